@@ -117,9 +117,9 @@ def lit(s: str) -> str:
 
 def sql_matches(source: str, key: str, label: str, pattern: str, rank: int = 0, text: str = "text") -> str:
     """SELECT of (key, s, e, txt, label, rank): matches with offsets from the lengths of gaps and matches."""
-    return f"""SELECT {key}, CAST(at AS BIGINT) AS s, CAST(at + length(txt) AS BIGINT) AS e, txt, {lit(label)} AS label, {rank} AS rank FROM (
+    return f"""SELECT {key}, CAST(pos0 AS BIGINT) AS s, CAST(pos0 + length(txt) AS BIGINT) AS e, txt, {lit(label)} AS label, {rank} AS rank FROM (
       SELECT {key}, ms[i] AS txt,
-        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS at
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS pos0
       FROM (SELECT {key}, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
         SELECT {key}, regexp_extract_all({text}, {lit(pattern)}) AS ms, string_split_regex({text}, {lit(pattern)}) AS gaps FROM {source})))"""
 

@@ -118,6 +118,10 @@ def _(spark, sf):
 
 SOME_NAMES = "(?:" + "|".join(V.FAKE_FIRST) + ") (?:" + "|".join(V.FAKE_LAST) + ")"
 
+NOTE_SPANS = f"{NOTES}, {sql_structured('notes', 'note_id')}"
+NAME_SPANS_SQL = f""", names AS ({sql_matches('notes', 'note_id', 'NAME', SOME_NAMES)}),
+  all_spans AS (SELECT note_id, s, e, txt, label FROM spans UNION ALL SELECT note_id, s, e, txt, label FROM names)"""
+
 
 def named_notes(spark, sf):
     """Notes with NAME spans, found by a pattern over the name lists."""
@@ -140,7 +144,7 @@ def _(spark, sf):
     "pi4_context_rule_entities",
     rf"""WITH {NOTES}, w AS ({sql_matches('notes', 'note_id', 'w', '[^ ,;()]*[^ ,;().!?]')})
     SELECT w.note_id, s AS start, txt AS text FROM w JOIN notes n ON n.note_id = w.note_id
-    WHERE regexp_matches(txt, '^\d{{2,3}}$') AND regexp_matches(left(text, CAST(s AS BIGINT)), '\baged ')""",
+    WHERE regexp_matches(txt, '^\d{{2,3}}$') AND regexp_matches(left(text, CAST(s AS BIGINT)), '\baged $')""",
 )
 def _(spark, sf):
     spans = pii.context_spans(col("text"), "AGE", r"\d{2,3}", prefix=["aged"], context=40, exceptions=["SSN"], exception_distance=4)

@@ -105,8 +105,9 @@ def non_overlapping(spans: Column) -> Column:
         ).otherwise(acc)
 
     start = F.struct(F.lit(0).alias("last"), no_spans().alias("kept"))
-    walked = F.aggregate(in_text_order(spans), start, step)["kept"]
-    return let(spans, lambda s: F.when(F.size(s) < 2, s).otherwise(walked))
+    return let(
+        spans, lambda s: F.when(F.size(s) < 2, s).otherwise(F.aggregate(in_text_order(s), start, step)["kept"])
+    )
 
 
 def merge_adjacent(text: Column, spans: Column, gap: int = 1) -> Column:

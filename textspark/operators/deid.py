@@ -269,18 +269,15 @@ def redact_by_language(df: DataFrame, text: str, phrases: dict[str, dict[str, Se
     t = F.col(text)
     language = F.when((F.length(F.trim(t)) >= 20) & (detect_language(t) == "en"), "en").otherwise("fr")
     entities = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "DATE_TIME", "PHONE_NUMBER"]
+    # one column per detector keeps every expression small
     staged = df.withColumn("_lang", language).withColumn("_regex", pii.detector_spans(t, entities))
-    spans = S.non_overlapping(
-        S.prefer_first(
-            F.col("_regex"),
-            F.when(F.col("_lang") == "en", pii.phrase_spans(t, phrases["en"])).otherwise(pii.phrase_spans(t, phrases["fr"])),
-        )
-    )
+    staged = staged.withColumns({f"_{k}": pii.phrase_spans(t, phrases[k]) for k in ("en", "fr")})
+    listed = F.when(F.col("_lang") == "en", F.col("_en")).otherwise(F.col("_fr"))
     return (
-        staged.withColumn("_spans", spans)
+        staged.withColumn("_spans", S.non_overlapping(S.prefer_first(F.col("_regex"), listed)))
         .withColumn(out, F.when(F.length(F.trim(t)) > 0, S.replace_spans(t, F.col("_spans"), M.label_text)).otherwise(t))
         .withColumnRenamed("_lang", "language")
-        .drop("_regex", "_spans")
+        .drop("_regex", "_spans", "_en", "_fr")
     )
 
 

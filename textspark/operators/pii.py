@@ -23,7 +23,7 @@ def structured_spans(col: Column, patterns: Sequence[tuple[str, str]] = V.STRUCT
 
 def passes_luhn(text: Column) -> Column:
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.luhn_check(digits)
+    return F.call_function("luhn_check", digits)
 
 
 def detector_spans(col: Column, entities: Sequence[str] | None = None, check_cards: bool = True) -> Column:
@@ -54,8 +54,12 @@ def structured(df: DataFrame, col: str, out: str = "spans", patterns=V.STRUCTURE
 
 
 def explode_spans(df: DataFrame, spans: str, keep: Sequence[str]) -> DataFrame:
-    """One row per span: the kept columns plus start, end, text, label, confidence."""
-    return df.select(*keep, F.inline(F.col(spans)))
+    """One row per span: the kept columns plus start, end, text, label, confidence.
+
+    The outer form keeps Spark from adding a size filter below, which would
+    evaluate a computed span column a second time.
+    """
+    return df.select(*keep, F.inline_outer(F.col(spans))).filter(F.col("start").isNotNull())
 
 
 def union_spans(*tables: DataFrame) -> DataFrame:
@@ -314,7 +318,7 @@ def offsets_table(df: DataFrame, key: str, text: str, spans: str) -> DataFrame:
         key,
         F.size(spans).alias("entity_count"),
         preview(F.col(text)).alias("text_preview"),
-        F.inline(
+        F.inline_outer(
             F.transform(
                 F.col(spans),
                 lambda s: F.struct(
@@ -325,6 +329,6 @@ def offsets_table(df: DataFrame, key: str, text: str, spans: str) -> DataFrame:
                 ),
             )
         ),
-    )
+    ).filter(F.col("begin_offset").isNotNull())
 
 

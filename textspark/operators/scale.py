@@ -76,7 +76,6 @@ def counted_lookup(fact: DataFrame, dim: DataFrame, keys: Sequence[str], count:
     frequent = dim.filter(F.col(count) >= hot).select(*keys, F.struct(*payload).alias("_hot"))
     staged = fact.join(sized_broadcast(frequent), list(keys), "left")
     # rows already served get a salted key that matches nothing, so they spread evenly
-    first = keys[0]
     staged = staged.withColumn(
         "_key",
         F.when(F.col("_hot").isNull(), F.struct(*[F.col(k).cast("string") for k in keys], F.lit(-1).alias("_s"))).otherwise(
@@ -89,7 +88,7 @@ def counted_lookup(fact: DataFrame, dim: DataFrame, keys: Sequence[str], count:
     )
     joined = staged.join(rest, "_key", "left")
     both = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(*fact.columns, *[both[p].alias(p) for p in payload]) if first else joined
+    return joined.select(*fact.columns, *[both[p].alias(p) for p in payload])
 
 
 def global_position(df: DataFrame, by: Sequence[Column], name: str = "position") -> DataFrame:
@@ -120,9 +119,9 @@ def grouped_position(df: DataFrame, group: Sequence[str], by: Sequence[Column],
     """Exact 1-based position within each group; a group may span any number of tasks."""
     ranked = global_position(df, [*[F.col(g) for g in group], *by], "_global")
     ranked = checkpointed(ranked)
-    first = ranked.groupBy(*group).agg(F.min("_global").alias("_first"), F.count("*").alias("_rows"))
-    joined = counted_lookup(ranked, first, group, "_rows", F.col("_global"))
-    return joined.withColumn(name, F.col("_global") - F.col("_first") + 1).drop("_global", "_first", "_rows")
+    bounds = ranked.groupBy(*group).agg(F.min("_global").alias("_group_start"), F.count("*").alias("_group_rows"))
+    joined = counted_lookup(ranked, bounds, group, "_group_rows", F.col("_global"))
+    return joined.withColumn(name, F.col("_global") - F.col("_group_start") + 1).drop("_global", "_group_start", "_group_rows")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
