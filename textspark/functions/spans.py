@@ -36,38 +36,44 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def match_spans(
-    text: Column,
-    pattern: str,
-    label: str,
-    confidence: float = 1.0,
-    accept: Callable[[Column], Column] | None = None,
-) -> Column:
-    """Every match of ``pattern`` with its position.
+def match_many(text: Column, patterns: Sequence[tuple[str, str]], confidence: float = 1.0) -> Column:
+    """For every (label, pattern) the array of all its matches with positions: an array of span arrays.
 
     Matches and the gaps between them alternate, so a running sum of their
-    lengths yields the offsets. Texts without a match cost one regex pass.
+    lengths yields the offsets. A pattern without a match costs one regex pass.
     """
 
-    def located(found: Column) -> Column:
+    def located(p: Column) -> Column:
+        found = p["found"]
+
         def walk(gaps: Column) -> Column:
             steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
             def place(before: Column) -> Column:
                 def one(m, i):
                     start = F.get(before, i) + F.length(F.get(gaps, i))
-                    return span(start, start + F.length(m), m, F.lit(label), F.lit(confidence))
+                    return span(start, start + F.length(m), m, p["label"], F.lit(confidence))
 
                 return F.transform(found, one)
 
             return let(running_offsets(steps), place)
 
-        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), walk)).otherwise(no_spans())
+        return F.when(F.size(found) > 0, let(F.split(text, p["pattern"], -1), walk)).otherwise(no_spans())
+
+    searched = [
+        F.struct(
+            F.lit(label).alias("label"),
+            F.lit(pattern).alias("pattern"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        )
+        for label, pattern in patterns
+    ]
+    return F.transform(F.array(*searched), located)
 
-    spans = F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located), no_spans())
-    if accept is not None:
-        spans = F.filter(spans, lambda s: accept(s["text"]))
-    return spans
+
+def match_spans(text: Column, pattern: str, label: str, confidence: float = 1.0) -> Column:
+    """Every match of one pattern."""
+    return F.element_at(match_many(text, [(label, pattern)], confidence), 1)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -78,15 +84,18 @@ def inside(a: Column, b: Column) -> Column:
     return (b["start"] <= a["start"]) & (a["end"] <= b["end"])
 
 
-def prefer_first(*sources: Column, clash: Callable[[Column, Column], Column] = overlaps) -> Column:
-    """Union of span arrays; a span that clashes with one of an earlier source is dropped."""
-
+def first_wins(sources: Column, clash: Callable[[Column, Column], Column] = overlaps) -> Column:
+    """Union of an array of span arrays; a span that clashes with one of an earlier array is dropped."""
 
     def add(kept: Column, later: Column) -> Column:
         free = F.filter(later, lambda s: ~F.exists(kept, lambda e: clash(s, e)))
         return F.when(F.size(later) == 0, kept).otherwise(F.concat(kept, F.when(F.size(kept) == 0, later).otherwise(free)))
 
-    return F.aggregate(F.array(*sources), no_spans(), add)
+    return F.aggregate(sources, no_spans(), add)
+
+
+def prefer_first(*sources: Column, clash: Callable[[Column, Column], Column] = overlaps) -> Column:
+    return first_wins(F.array(*sources), clash)
 
 
 def in_text_order(spans: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions.expr import let, seeded_index, string_array
 from ..functions.text import detect_language
 from ..resources import values as V
 from . import pii
-from .scale import checkpointed, counted_lookup, grouped_position
+from .scale import counted_lookup, grouped_position
 
 # ---------------------------------------------------------------- one replacement per span
 
@@ -135,11 +135,9 @@ def pseudonym_registry(df: DataFrame, spans: str, order: str) -> DataFrame:
     Occurrences are reduced to one row per (label, text) before anything is sorted,
     and the numbering is a range-partitioned sort, so no label has to fit one task.
     """
-    seen = df.select(F.col(order).alias("_order"), F.explode(spans).alias("s")).groupBy(
-        F.col("s.label").alias("label"), F.col("s.text").alias("text")
-    ).agg(
-        F.min(F.struct(F.col("_order"), (-F.col("s.start")).alias("_right"))).alias("_first"),
-        F.count("*").alias("n"),
+    found = pii.explode_spans(df.withColumn("_order", F.col(order)), spans, ["_order"])
+    seen = found.groupBy("label", "text").agg(
+        F.min(F.struct(F.col("_order"), (-F.col("start")).alias("_right"))).alias("_first"), F.count("*").alias("n")
     )
     return grouped_position(seen, ["label"], [F.col("_first")], "number").drop("_first")
 
@@ -151,8 +149,8 @@ def consistent(
     if scope == "document":
         return df.withColumn(out, S.replace_spans(F.col(text), F.col(spans), _numbered_in_document(F.col(spans))))
     if registry is None:
-        registry = checkpointed(pseudonym_registry(df, spans, order or key))
-    found = df.select(key, F.inline(spans))
+        registry = pseudonym_registry(df, spans, order or key)
+    found = pii.explode_spans(df, spans, [key])
     named = counted_lookup(found, registry, ["label", "text"], "n", F.struct(key, "start"))
     named = named.withColumn("text", M.pseudonym(F.col("label"), F.col("number")))
     replacements = named.groupBy(key).agg(

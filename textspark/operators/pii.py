@@ -17,8 +17,7 @@ from .scale import lookup
 
 def structured_spans(col: Column, patterns: Sequence[tuple[str, str]] = V.STRUCTURED_PATTERNS) -> Column:
     """Ordered patterns; a match of a later pattern that lies inside an earlier span is dropped."""
-    found = [S.match_spans(col, pattern, label) for label, pattern in patterns]
-    return S.in_text_order(S.prefer_first(*found, clash=S.inside))
+    return S.in_text_order(S.first_wins(S.match_many(col, patterns), clash=S.inside))
 
 
 def passes_luhn(text: Column) -> Column:
@@ -32,13 +31,11 @@ def detector_spans(col: Column, entities: Sequence[str] | None = None, check_car
     Card numbers must pass the checksum unless ``check_cards`` is off.
     """
     names = list(V.DETECTOR_PATTERNS) if entities is None else list(entities)
-    found = [
-        S.match_spans(
-            col, V.DETECTOR_PATTERNS[n], n, accept=passes_luhn if n == "CREDIT_CARD" and check_cards else None
-        )
-        for n in names
-    ]
-    return S.non_overlapping(S.prefer_first(*found))
+    found = S.match_many(col, [(n, V.DETECTOR_PATTERNS[n]) for n in names])
+    if check_cards and "CREDIT_CARD" in names:
+        valid = lambda s: (s["label"] != "CREDIT_CARD") | passes_luhn(s["text"])
+        found = F.transform(found, lambda spans: F.filter(spans, valid))
+    return S.non_overlapping(S.first_wins(found))
 
 
 def detect(df: DataFrame, col: str, entities: Sequence[str] | None = None, out: str = "spans", check_cards: bool = True) -> DataFrame:
@@ -118,11 +115,11 @@ def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame, lo
 
 def phrase_spans(col: Column, phrases: dict[str, Sequence[str]]) -> Column:
     """Gazetteer for short in-code lists: one alternation per label, no explode and no join."""
-    parts = []
+    patterns = []
     for label, listed in phrases.items():
         options = "|".join(_literal(p) for p in sorted(listed, key=len, reverse=True))
-        parts.append(S.match_spans(col, rf"(?i){V.LEFT}(?:{options}){V.RIGHT}", label))
-    return S.non_overlapping(S.prefer_first(*parts))
+        patterns.append((label, rf"(?i){V.LEFT}(?:{options}){V.RIGHT}"))
+    return S.non_overlapping(S.first_wins(S.match_many(col, patterns)))
 
 
 def _literal(phrase: str) -> str:

@@ -118,7 +118,6 @@ def global_position(df: DataFrame, by: Sequence[Column], name: str = "position")
 def grouped_position(df: DataFrame, group: Sequence[str], by: Sequence[Column], name: str = "position") -> DataFrame:
     """Exact 1-based position within each group; a group may span any number of tasks."""
     ranked = global_position(df, [*[F.col(g) for g in group], *by], "_global")
-    ranked = checkpointed(ranked)
     bounds = ranked.groupBy(*group).agg(F.min("_global").alias("_group_start"), F.count("*").alias("_group_rows"))
     joined = counted_lookup(ranked, bounds, group, "_group_rows", F.col("_global"))
     return joined.withColumn(name, F.col("_global") - F.col("_group_start") + 1).drop("_global", "_group_start", "_group_rows")
@@ -136,7 +135,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     if not by:
         keyed = keyed.withColumn("_all", F.lit(1))
     group = list(by) or ["_all"]
-    ranked = checkpointed(global_position(keyed, [*[F.col(g) for g in group], F.col("_v")], "_pos"))
+    ranked = global_position(keyed, [*[F.col(g) for g in group], F.col("_v")], "_pos")
     spans = ranked.groupBy(*group).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     wanted = spans.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
         "_h", F.col("prob") * (F.col("_n") - 1)
