@@ -75,7 +75,10 @@ def attach_spans(df: DataFrame, spans: DataFrame, key: str, out: str = "spans")
 
 
 def phrase_windows(df: DataFrame, key: str, col: str, longest: int = 3) -> DataFrame:
-    """Every run of 1..longest blank-separated words with its offsets, lower-cased, without edge punctuation."""
+    """(key, start, end, text, phrase) for every run of 1..longest words; ``phrase`` is the text in lower case.
+
+    The whole text is left behind, so a row is as small as its phrase.
+    """
     pieces = S.match_spans(F.col(col), r"[\p{L}\p{N}_](?:[\p{L}\p{N}_#'’-]*[\p{L}\p{N}_])?", "w")
 
     def runs(ws: Column) -> Column:
@@ -84,14 +87,15 @@ def phrase_windows(df: DataFrame, key: str, col: str, longest: int = 3) -> DataF
 
             def run(i):
                 first, last = F.get(ws, i), F.get(ws, i + (k - 1))
-                phrase = F.lower(S.piece(F.col(col), first["start"], last["end"])) if k > 1 else F.lower(first["text"])
-                return F.struct(first["start"].alias("start"), last["end"].alias("end"), phrase.alias("phrase"))
+                phrase = S.piece(F.col(col), first["start"], last["end"]) if k > 1 else first["text"]
+                return F.struct(first["start"].alias("start"), last["end"].alias("end"), phrase.alias("text"))
 
             return F.filter(F.transform(starts, run), lambda r: r["end"].isNotNull())
 
         return F.concat(*[of_length(k) for k in range(1, longest + 1)])
 
-    return df.select(key, F.col(col), F.inline(let(pieces, runs)))
+    runs_of = df.select(key, let(pieces, runs).alias("_runs"))
+    return runs_of.select(key, F.inline_outer("_runs")).filter(F.col("start").isNotNull()).withColumn("phrase", F.lower("text"))
 
 
 def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame, longest: int = 3) -> DataFrame:
@@ -103,14 +107,7 @@ def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame, lo
     """
     windows = phrase_windows(df, key, col, longest)
     hits = lookup(windows, dictionary.select("phrase", "label").distinct(), ["phrase"], F.struct(key, "start"), how="inner")
-    return hits.select(
-        key,
-        "start",
-        "end",
-        S.piece(F.col(col), F.col("start"), F.col("end")).alias("text"),
-        "label",
-        F.lit(1.0).alias("confidence"),
-    )
+    return hits.select(key, "start", "end", "text", "label", F.lit(1.0).alias("confidence"))
 
 
 def phrase_spans(col: Column, phrases: dict[str, Sequence[str]]) -> Column:

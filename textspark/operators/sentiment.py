@@ -29,57 +29,72 @@ def scored_tokens(text: Column, up: Sequence[str], down: Sequence[str], negation
 
     def bare(t):
         stripped = F.regexp_replace(t, f"^{EDGE}|{EDGE}$", "")
-        return F.when(F.length(stripped) <= 2, t).otherwise(stripped)
+        return let(stripped, lambda s: F.when(F.length(s) <= 2, t).otherwise(s))
 
     shout = lambda w: (w == F.upper(w)) & (w != F.lower(w))
 
     def build(ws: Column) -> Column:
+        low = F.transform(ws, lambda w: F.lower(w))
         n_caps = F.size(F.filter(ws, shout))
-        mixed = (n_caps > 0) & (n_caps < F.size(ws))
-
-        def with_low(low: Column) -> Column:
-            but = F.array_position(low, F.lit("but")).cast("int") - 1
-
-            def with_scalars(mod: Column) -> Column:
-                nothing = F.struct(F.lit(0.0).alias("boost"), F.lit(False).alias("caps"), F.lit(False).alias("neg"))
+        facts = F.struct(
+            low.alias("low"),
+            ((n_caps > 0) & (n_caps < F.size(ws))).alias("mixed"),
+            (F.array_position(low, F.lit("but")).cast("int") - 1).alias("but"),
+        )
+
+        # bound once per text; inside the per-token lambdas they would be computed for every token
+        def with_facts(f: Column) -> Column:
+            modifiers = F.transform(
+                ws,
+                lambda w, i: let(
+                    F.get(f["low"], i),
+                    lambda x: F.struct(
+                        F.when(x.isin(*up), V.BOOST).when(x.isin(*down), -V.BOOST).otherwise(0.0).alias("boost"),
+                        (shout(w) & f["mixed"]).alias("caps"),
+                        (x.isin(*negations) | x.contains("n't")).alias("neg"),
+                    ),
+                ),
+            )
+            nothing = F.struct(F.lit(0.0).alias("boost"), F.lit(False).alias("caps"), F.lit(False).alias("neg"))
+            but = f["but"]
 
-                def one(w, i):
+            def with_modifiers(mod: Column) -> Column:
+                def one(word, i):
                     return F.struct(
                         i.alias("i"),
-                        F.get(low, i).alias("word"),
-                        (shout(w) & mixed).alias("caps"),
+                        word.alias("word"),
+                        F.get(mod, i)["caps"].alias("caps"),
                         F.when((but < 0) | (i == but), 1.0).when(i < but, V.BUT_BEFORE).otherwise(V.BUT_AFTER).alias("weight"),
                         F.get(mod, i)["boost"].alias("own"),
                         *[F.when(i >= d, F.get(mod, i - d)).otherwise(nothing).alias(f"b{d}") for d in (1, 2, 3)],
                     )
 
-                return F.transform(ws, one)
+                return F.transform(f["low"], one)
 
-            modifiers = F.transform(
-                ws,
-                lambda w, i: F.struct(
-                    F.when(F.get(low, i).isin(*up), V.BOOST).when(F.get(low, i).isin(*down), -V.BOOST).otherwise(0.0).alias("boost"),
-                    (shout(w) & mixed).alias("caps"),
-                    (F.get(low, i).isin(*negations) | F.get(low, i).contains("n't")).alias("neg"),
-                ),
-            )
-            return let(modifiers, with_scalars)
+            return let(modifiers, with_modifiers)
 
-        return let(F.transform(ws, lambda w: F.lower(w)), with_low)
+        return let(facts, with_facts)
 
     return let(F.transform(T.words(text), bare), build)
 
 
-def token_valence(valence: Column) -> Column:
-    """Valence of a token after capitals, boosters and negations of the three words before it."""
-    v = valence + F.when(F.col("caps"), F.when(valence > 0, V.CAPS).otherwise(-V.CAPS)).otherwise(0.0)
+def with_token_valence(words: DataFrame, valence: str = "valence", out: str = "value") -> DataFrame:
+    """Valence of a token after capitals, boosters and negations of the three words before it.
+
+    Each step is a column of its own: nested into one expression the running value
+    would be copied into every branch again and again.
+    """
+    v = F.col(out)
+    loud = F.when(v > 0, V.CAPS).when(v < 0, -V.CAPS).otherwise(0.0)
+    staged = words.withColumn(out, F.col(valence).cast("double"))
+    staged = staged.withColumn(out, v + F.when(F.col("caps"), loud).otherwise(0.0))
     for d, decay in zip((1, 2, 3), V.BOOST_DECAY):
         b = F.col(f"b{d}")
-        signed = F.when(v < 0, -b["boost"]).otherwise(b["boost"])
-        loud = F.when(b["caps"], F.when(v > 0, signed + V.CAPS).otherwise(signed - V.CAPS)).otherwise(signed)
-        v = v + F.when(b["boost"] != 0, loud * decay).otherwise(0.0)
-        v = F.when(b["neg"], v * V.NEGATION).otherwise(v)
-    return F.when(F.col("own") != 0, 0.0).otherwise(v)
+        boost = F.when(v < 0, -b["boost"]).otherwise(b["boost"])
+        shout = F.when(b["caps"], F.when(v > 0, V.CAPS).otherwise(-V.CAPS)).otherwise(0.0)
+        staged = staged.withColumn(out, v + F.when(b["boost"] != 0, (boost + shout) * decay).otherwise(0.0))
+        staged = staged.withColumn(out, F.when(b["neg"], v * V.NEGATION).otherwise(v))
+    return staged.withColumn(out, F.when((F.col("own") != 0) | v.isNull(), 0.0).otherwise(v * F.col("weight")))
 
 
 def punctuation_emphasis(text: Column) -> Column:
@@ -95,22 +110,21 @@ def word_scores(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFr
     """
     up, down, negations = _modifiers(lexicon, "word")
     text = F.col(col)
-    rows = df.select(
-        key, punctuation_emphasis(text).alias("emphasis"), F.inline_outer(scored_tokens(text, up, down, negations))
+    # everything that needs the text comes before the explode, so the text is not carried along with every word
+    arrays = df.select(
+        key, punctuation_emphasis(text).alias("emphasis"), scored_tokens(text, up, down, negations).alias("_tokens")
     )
+    rows = arrays.select(key, "emphasis", F.inline_outer("_tokens"))
     known = lookup(rows, lexicon.select("word", "valence"), ["word"], F.struct(key, "i"))
-    hit = F.col("valence").isNotNull()
-    # the modifier chain is long, so it is computed for known words only
-    value = F.when(hit, token_valence(F.col("valence").cast("double")) * F.col("weight")).otherwise(0.0)
-    return known.select(key, "i", "word", value.alias("valence"), "emphasis")
+    return with_token_valence(known).select(key, "i", "word", F.col("value").alias("valence"), "emphasis")
 
 
 def polarity(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
-    """(key, compound, pos, neg, neu) per text; NULL text scores 0, 0, 0, 1.
+    """(key, compound, pos, neg, neu) per text; NULL text scores 0, 0, 0, 1 and text without words all 0.
 
     Words are summed per text inside each task first, so one short row per text is shuffled.
     """
-    words = word_scores(df.withColumn("_null", F.col(col).isNull()).withColumn(col, F.coalesce(col, F.lit(""))), key, col, lexicon)
+    words = word_scores(df, key, col, lexicon)
     v = F.col("valence")
     sums = words.groupBy(key).agg(
         F.sum(v).alias("_sum"),
@@ -120,10 +134,12 @@ def polarity(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame
         F.count("word").alias("_words"),
         F.max("emphasis").alias("_emph"),
     )
+    # the emphasis is NULL for NULL text only
     s = F.col("_sum") + F.when(F.col("_sum") > 0, F.col("_emph")).when(F.col("_sum") < 0, -F.col("_emph")).otherwise(0.0)
     staged = sums.select(
         key,
         "_words",
+        F.col("_emph").isNull().alias("_missing"),
         (s / F.sqrt(s * s + V.NORMALISER)).alias("_c"),
         (F.col("_pos") + F.when(F.col("_pos") > F.abs("_neg"), F.col("_emph")).otherwise(0.0)).alias("_p"),
         F.abs(F.col("_neg") - F.when(F.col("_pos") < F.abs("_neg"), F.col("_emph")).otherwise(0.0)).alias("_n"),
@@ -136,7 +152,7 @@ def polarity(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame
         F.when(F.col("_words") > 0, F.round("_c", 4)).otherwise(0.0).alias("compound"),
         share(F.col("_p")).alias("pos"),
         share(F.col("_n")).alias("neg"),
-        F.when(F.col("_words") > 0, F.round(F.col("_z") / total, 3)).otherwise(F.lit(1.0)).alias("neu"),
+        F.when(F.col("_words") > 0, F.round(F.col("_z") / total, 3)).when(F.col("_missing"), 1.0).otherwise(0.0).alias("neu"),
     )
 
 
