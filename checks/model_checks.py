@@ -1 +1,222 @@
+"""Keyword extraction, topic models and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textspark.functions import text as T
+from textspark.operators import classify, keywords, topics
+from textspark.resources import values as V
+
+from .base import documents, query, spread, table
+from .corpus_checks import TERMS, toks
+
+col = F.col
+
+
+# ---------------------------------------------------------------- keywords
+
+
+@query("kw1_yake_keywords")
+def _(spark, sf):
+    return keywords.yake(spread(documents(spark, sf)), "doc_id", "text").select("doc_id", "keyword", F.round("score", 9).alias("score"), "rank")
+
+
+@query("kw2_keyword_rows")
+def _(spark, sf):
+    return keywords.keyword_rows(table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 9))
+
+
+@query("kw3_keywords_per_column")
+def _(spark, sf):
+    df = table(spark, sf, "conversations").select((col("conv_id") * 1000 + col("turn")).alias("k"), "text", F.upper("text").alias("loud"))
+    out = keywords.keywords_per_column(df, "k", {"text": "text_keywords", "loud": "loud_keywords"}, top=5)
+    return out.select("k", F.array_join("text_keywords", "; ").alias("text_keywords"), F.array_join("loud_keywords", "; ").alias("loud_keywords"))
+
+
+# ---------------------------------------------------------------- topic models
+
+
+def vectors(spark, sf, vocab=2000):
+    frame = toks(spark, sf).join(documents(spark, sf).select("doc_id", "text"), "doc_id")
+    return topics.term_vectors(frame.persist(), "tokens", vocab_size=vocab, min_df=2.0)
+
+
+@query("tm1_lda_topics")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    model = topics.lda(v, k=5, iterations=5)
+    return model.describeTopics(10).select("topic", F.size("termIndices").alias("n"), F.round(F.get("termWeights", 0), 6).alias("top_weight"))
+
+
+@query("tm2_topic_words")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return topics.topic_words(topics.lda(v, k=5, iterations=3), v).select("topic", F.array_join("topicWords", " ").alias("words"))
+
+
+@query("tm3_topic_cloud")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return topics.topic_cloud(topics.lda(v, k=5, iterations=3, online=True), v)
+
+
+@query("tm4_assign_topic")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return topics.assign_topic(topics.lda(v, k=5, iterations=3), v).select("doc_id", "topicNo", F.round("probability", 6).alias("probability"))
+
+
+@query("tm5_topic_scores")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    out = topics.topic_scores(topics.lda(v, k=5, iterations=3), v, "text")
+    return out.select(F.md5("reviewText").alias("text_md5"), "topicNo", "wordCount")
+
+
+@query("tm6_lsi_topics")
+def _(spark, sf):
+    best, docs = topics.lsi(vectors(spark, sf, 500), "doc_id", 5)
+    sizes = docs.groupBy("topic").agg(F.count("*").alias("doc_count"))
+    return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
+
+
+@query("tm7_nmf_topics")
+def _(spark, sf):
+    best, docs = topics.nmf(toks(spark, sf), "doc_id", "tokens", k=5, iterations=5, top=500)
+    sizes = docs.groupBy("topic").agg(F.count("*").alias("doc_count"))
+    return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
+
+
+@query("tm8_auto_k_topics")
+def _(spark, sf):
+    _model, sizes = topics.auto_topics(vectors(spark, sf, 1000), [2, 4], iterations=3)
+    return sizes
+
+
+@query("tm9_embedding_topics")
+def _(spark, sf):
+    return topics.embedding_topics(table(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
+
+
+def labelled(spark, sf):
+    """Documents with the label of the embedding of the same number as topic; labels from 8 up are outliers."""
+    emb = table(spark, sf, "embeddings").select(col("vec_id").alias("doc_id"), F.when(col("label") >= 8, -1).otherwise(col("label")).alias("topic"))
+    return toks(spark, sf).join(emb, "doc_id")
+
+
+LABELLED = f"{TERMS}, e AS (SELECT vec_id AS doc_id, CASE WHEN label >= 8 THEN -1 ELSE label END AS topic FROM embeddings), x AS (SELECT topic, term FROM t JOIN e USING (doc_id) WHERE topic <> -1), c AS (SELECT topic, term, count(*) AS n FROM x GROUP BY topic, term), f AS (SELECT term, sum(n) AS f FROM c GROUP BY term)"
+INFO = (
+    f"{LABELLED}, w AS (SELECT topic, term, n * ln(1 + (SELECT sum(n) * 1.0 / count(DISTINCT topic) FROM c) / f) AS weight FROM c JOIN f USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w), "
+    "k AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS keywords, string_agg(CASE WHEN rank <= 5 THEN term END, ' ' ORDER BY rank) AS five, round(max(weight), 6) AS best FROM r WHERE rank <= 10 GROUP BY topic), "
+    "de AS (SELECT e.* FROM e JOIN documents d ON d.doc_id = e.doc_id)"
+)
+
+
+@query("tm11_topic_info", f"WITH {INFO} SELECT topic, keywords, best, count(*) AS doc_count, (SELECT count(*) FROM de WHERE topic = -1) AS outliers FROM de LEFT JOIN k USING (topic) WHERE topic <> -1 GROUP BY ALL")
+def _(spark, sf):
+    info = topics.topic_info(labelled(spark, sf), "topic", "tokens")
+    return info.select("topic", F.array_join("keywords", " ").alias("keywords"), F.round(F.get("scores", 0), 6).alias("best"), "doc_count", "outliers")
+
+
+@query("jn6_label_vs_document_join", f"WITH {INFO} SELECT doc_id, de.topic, coalesce(five, '') AS topic_keywords FROM de LEFT JOIN k ON k.topic = de.topic")
+def _(spark, sf):
+    docs = labelled(spark, sf)
+    out = topics.doc_topics(docs.select("doc_id", "topic"), topics.topic_info(docs, "topic", "tokens"), "topic")
+    return out.select("doc_id", "topic", F.array_join("topic_keywords", " ").alias("topic_keywords"))
+
+
+@query(
+    "tm12_topic_similarity",
+    "WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) "
+    "SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) AS cosine FROM m a JOIN m b USING (i) GROUP BY a.label, b.label",
+)
+def _(spark, sf):
+    c = topics.centroids(table(spark, sf, "embeddings"), "label", "embedding", 64)
+    return topics.topic_similarity(c, "label").withColumn("cosine", F.round("cosine", 6))
+
+
+@query("tm13_topic_map_2d")
+def _(spark, sf):
+    c = topics.centroids(table(spark, sf, "embeddings"), "label", "embedding", 64)
+    return topics.topic_map(c, "label")
+
+
+@query(
+    "tm14_topic_term_relevance",
+    f"WITH {LABELLED}, p AS (SELECT c.topic, c.term, c.n, c.n / (sum(c.n) OVER (PARTITION BY c.topic))::DOUBLE AS pt, f.f / (SELECT sum(n) FROM c)::DOUBLE AS p, (sum(c.n) OVER (PARTITION BY c.topic)) / (SELECT sum(n) FROM c)::DOUBLE AS prevalence FROM c JOIN f USING (term)) "
+    "SELECT topic, term, n, round(pt, 9) AS p_term_topic, round(p, 9) AS p_term, round(prevalence, 9) AS prevalence, round(0.6 * ln(pt) + 0.4 * ln(pt / p), 6) AS relevance FROM p",
+)
+def _(spark, sf):
+    out = topics.topic_relevance(labelled(spark, sf).filter("topic <> -1"), "topic", "tokens")
+    return out.withColumns({c: F.round(c, 9) for c in ("p_term_topic", "p_term", "prevalence")}).withColumn("relevance", F.round("relevance", 6))
+
+
+# ---------------------------------------------------------------- classifiers
+
+
+def labelled_texts(spark, sf):
+    return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", "text", T.content_tokens(col("text")).alias("tokens"), col("quality").cast("double").alias("label")
+    )
+
+
+@query("sn7_naive_bayes_sentiment")
+def _(spark, sf):
+    df = labelled_texts(spark, sf).persist()
+    model = classify.train_naive_bayes(df, "tokens", "label")
+    out = classify.predict(model, df, ["doc_id"], V.LABEL_SETS["binary"])
+    return out.select("doc_id", "label", F.round(F.get("probabilities", 1), 6).alias("positive"))
+
+
+def split(df):
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    return df.filter(part != 0), df.filter(part == 0)
+
+
+@query("sn8_mean_embedding_classifier")
+def _(spark, sf):
+    train, validation = split(labelled_texts(spark, sf).persist())
+    _model, scores = classify.train_text_classifier(train, validation, "tokens", "label", size=50, epochs=2)
+    return train.agg(F.count("*").alias("n_train"), F.lit(scores["train_accuracy"]).alias("train_accuracy"), F.lit(scores["validation_accuracy"]).alias("validation_accuracy"))
+
+
+@query("sn9_predict_labels")
+def _(spark, sf):
+    df = labelled_texts(spark, sf).persist()
+    train, validation = split(df)
+    model, _scores = classify.train_text_classifier(train, validation, "tokens", "label", size=16, epochs=1, reg=(0.01,))
+    return classify.predict(model, df, ["doc_id"]).select("doc_id", "prediction")
+
+
+def _length_scorer():
+    """A stand-in per-text model: the share of short words decides."""
+    import pandas as pd
+
+    def score(texts: pd.Series) -> pd.DataFrame:
+        if texts.str.contains("###").any():
+            raise ValueError("junk text")
+        short = texts.str.split().map(lambda ws: sum(len(w) < 4 for w in ws) / max(len(ws), 1))
+        return pd.DataFrame({"NEGATIVE": 1 - short.to_numpy(), "POSITIVE": short.to_numpy()})
+
+    return score
+
+
+SCORED_SQL = (
+    "SELECT doc_id, CASE WHEN contains(text, '###') THEN 'error' WHEN s > 0.5 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label FROM "
+    "(SELECT doc_id, text, len(list_filter(ws, lambda w: length(w) < 4)) / greatest(len(ws), 1)::DOUBLE AS s FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents))"
+)
+
+
+@query("sn10_score_with_model", SCORED_SQL.replace("SELECT doc_id, CASE", "SELECT label, count(*) AS n FROM (SELECT doc_id, CASE") + ") GROUP BY label")
+def _(spark, sf):
+    out = classify.score_with_model(spread(documents(spark, sf)), "doc_id", "text", _length_scorer, V.LABEL_SETS["binary"])
+    return out.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("sn12_classify_safe", SCORED_SQL)
+def _(spark, sf):
+    out = classify.score_with_model(spread(documents(spark, sf)), "doc_id", "text", _length_scorer, V.LABEL_SETS["binary"])
+    return out.select("doc_id", "label")
+
 

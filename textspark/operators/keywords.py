@@ -1,8 +1,166 @@
-"""Keywords."""
+"""Unsupervised keywords (YAKE, Campos et al. 2020) and keyword tables."""
 
-from pyspark.sql import DataFrame, Window
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.expr import let
+from ..functions.spans import match_spans
+from ..resources import values as V
+from .scale import top_k
+
+
+def _tokens_with_context(col: Column, window: int) -> Column:
+    """(sentence, i, start, end, text, low, usable, left[], right[]) of every word; context stays in the sentence."""
+    sentences = match_spans(col, r"(?s)\S.*?(?:[.!?](?=\s)|\z)", "s")
+
+    def of_sentence(s, n):
+        def with_context(ws: Column) -> Column:
+            low = F.transform(ws, lambda w: F.lower(w["text"]))
+
+            def build(lows: Column) -> Column:
+                def one(w, i):
+                    before = F.slice(lows, F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)))
+                    return F.struct(
+                        n.alias("sentence"),
+                        i.alias("i"),
+                        (w["start"] + s["start"]).alias("start"),
+                        (w["end"] + s["start"]).alias("end"),
+                        w["text"].alias("text"),
+                        F.get(lows, i).alias("low"),
+                        before.alias("left"),
+                        F.slice(lows, i + 2, F.lit(window)).alias("right"),
+                    )
+
+                return F.transform(ws, one)
+
+            return let(low, build)
+
+        return let(match_spans(s["text"], T.WORD, "w"), with_context)
+
+    return F.flatten(F.transform(sentences, of_sentence))
+
+
+def _usable(low: Column, stop_words: Sequence[str]) -> Column:
+    return ~low.isin(*stop_words) & (F.length(low) > 2) & ~low.rlike(r"^[0-9]")
+
+
+def term_scores(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, low, tf, weight, places): lower weight means a more relevant word of that document.
+
+    Casing, position, frequency, relatedness to context and spread over sentences come
+    from one aggregation per (document, word) and one window per document. The places of
+    the word stay with it, so its weight needs no join back to the tokens.
+    """
+    first_upper = F.col("text").rlike(r"^\p{Lu}")
+    acronym = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text")) & (F.length("text") > 1)
+    per_word = tokens.groupBy(key, "low").agg(
+        F.count("*").alias("tf"),
+        F.count_if(first_upper & (F.col("i") > 0)).alias("tf_upper"),
+        F.count_if(acronym).alias("tf_acronym"),
+        F.array_sort(F.collect_list(F.struct("sentence", "i", "start", "end"))).alias("places"),
+        F.flatten(F.collect_list("left")).alias("l"),
+        F.flatten(F.collect_list("right")).alias("r"),
+        F.max("sentence").alias("last_sentence"),
+    )
+    doc = Window.partitionBy(key)
+    valid = F.when(F.col("usable"), F.col("tf"))
+    staged = per_word.withColumn("usable", _usable(F.col("low"), V.STOP_WORDS)).withColumns(
+        {
+            "mean_tf": F.avg(valid).over(doc),
+            "std_tf": F.stddev_pop(valid).over(doc),
+            "max_tf": F.max("tf").over(doc),
+            "n_sentences": F.max("last_sentence").over(doc) + 1,
+        }
+    )
+    kept = staged.filter("usable").withColumn("found_in", F.transform("places", lambda p: p["sentence"]))
+    spread = lambda c: F.coalesce(F.size(F.array_distinct(c)) / F.nullif(F.size(c), F.lit(0)), F.lit(0.0))
+    tf = F.col("tf").cast("double")
+    half = lambda n: F.get("found_in", F.floor(n).cast("int"))
+    median = (half((F.col("tf") - 1) / 2) + half(F.col("tf") / 2)) / 2
+    case = F.greatest("tf_upper", "tf_acronym") / (1 + F.log(tf))
+    position = F.log(F.log(F.lit(3.0) + median))
+    frequency = tf / (F.coalesce("mean_tf", F.lit(0.0)) + F.coalesce("std_tf", F.lit(0.0)))
+    related = 1 + (spread(F.col("l")) + spread(F.col("r"))) * tf / F.col("max_tf")
+    sentences = F.size(F.array_distinct("found_in")) / F.col("n_sentences")
+    parts = kept.select(
+        key, "low", "tf", "places", case.alias("c"), position.alias("p"), frequency.alias("f"), related.alias("rel"), sentences.alias("s")
+    )
+    weight = F.col("rel") * F.col("p") / (F.col("c") + F.col("f") / F.col("rel") + F.col("s") / F.col("rel"))
+    return parts.select(key, "low", "tf", weight.alias("weight"), "places")
+
+
+def yake(
+    df: DataFrame, key: str, col: str, n_min: int = 1, n_max: int = 3, top: int = 30, threshold: float = 1.5, window: int = 3
+) -> DataFrame:
+    """(key, keyword, score, begin, end, sentence, rank): the ``top`` candidates per document with score <= threshold.
+
+    A candidate is a run of usable words in one sentence; lower scores are better.
+    Documents are hash-partitioned by key once, into as many tasks as the session
+    shuffles to, and all later aggregations and windows are on that key: no other shuffle.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(key, F.col(col)).repartition(tasks, F.col(key))
+    tokens = placed.select(key, _tokens_with_context(F.col(col), window).alias("_t")).select(key, F.inline_outer("_t")).filter(F.col("i").isNotNull())
+    words = term_scores(tokens, key).select(key, "low", "weight", F.inline_outer("places"))
+    in_sentence = Window.partitionBy(key, "sentence").orderBy("i")
+    staged = words.withColumns(
+        {f"{c}{d}": F.lead(c, d).over(in_sentence) for d in range(1, n_max) for c in ("i", "end", "low", "weight")}
+    )
+    candidates = []
+    for n in range(n_min, n_max + 1):
+        rest = range(1, n)
+        adjacent = F.lit(True)
+        product, total = F.col("weight"), F.col("weight")
+        phrase = [F.col("low")]
+        for d in rest:
+            adjacent = adjacent & (F.col(f"i{d}") == F.col("i") + d)
+            product, total = product * F.col(f"weight{d}"), total + F.col(f"weight{d}")
+            phrase.append(F.col(f"low{d}"))
+        last = F.col("end") if n == 1 else F.col(f"end{n - 1}")
+        candidates.append(
+            F.when(
+                adjacent,
+                F.struct(
+                    F.concat_ws(" ", *phrase).alias("keyword"), product.alias("product"), total.alias("total"),
+                    F.struct(F.col("sentence"), F.col("start").alias("begin"), last.alias("end")).alias("at"),
+                ),
+            )
+        )
+    rows = staged.select(key, F.explode(F.array(*candidates)).alias("k")).filter(F.col("k").isNotNull())
+    counted = rows.groupBy(key, F.col("k.keyword").alias("keyword")).agg(
+        F.count("*").alias("kf"), F.max("k.product").alias("product"), F.max("k.total").alias("total"), F.min("k.at").alias("at")
+    )
+    scored = counted.select(
+        key, "keyword", (F.col("product") / (F.col("kf") * (1 + F.col("total")))).alias("score"), "at.begin", "at.end", "at.sentence"
+    ).filter(F.col("score") <= threshold)
+    return top_k(scored, [key], [F.asc("score"), F.asc("keyword")], top)
+
+
+def keyword_rows(df: DataFrame, key: str, col: str, **options) -> DataFrame:
+    """Keyword table in document and relevance order."""
+    return yake(df, key, col, **options).orderBy(key, "score", "keyword")
+
+
+def keyword_arrays(df: DataFrame, key: str, col: str, out: str = "keywords", **options) -> DataFrame:
+    """(key, keywords[]) best first."""
+    rows = yake(df, key, col, **options)
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda r: r["keyword"]).alias(out))
+
+
+def keywords_per_column(df: DataFrame, key: str, columns: dict[str, str], **options) -> DataFrame:
+    """One keyword array per text column; all columns go through one pass as (key, column) rows."""
+    entries = F.array(*[F.struct(F.lit(out).alias("_col"), F.col(src).alias("_text")) for src, out in columns.items()])
+    stacked = df.select(key, F.inline(entries)).filter(F.col("_text").isNotNull()).withColumn("_id", F.struct(key, "_col"))
+    arrays = keyword_arrays(stacked, "_id", "_text", "_kw", **options).select("_id.*", "_kw")
+    wide = arrays.groupBy(key).agg(*[F.first(F.when(F.col("_col") == out, F.col("_kw")), ignorenulls=True).alias(out) for out in columns.values()])
+    empty = F.array().cast("array<string>")
+    return df.join(wide, key, "left").withColumns({out: F.coalesce(out, empty) for out in columns.values()})
+
 
 def order_by_relevance(keywords: DataFrame, key: str) -> DataFrame:
     """Keywords with their rank inside the document, lowest score first, ties in term order."""

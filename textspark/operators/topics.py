@@ -1,9 +1,228 @@
-"""Topic models."""
+"""Topic models on Spark ML, and the tables made from them."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LDAModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import argmax_index
+from ..functions.text import word_count
+from .corpus import class_tf_idf
+from .scale import counted_lookup, global_position, sized_broadcast, top_k
+
+# ---------------------------------------------------------------- vectors
+
+
+@dataclass
+class TermVectors:
+    """Weighted term vectors with the vocabulary behind them."""
+
+    frame: DataFrame
+    vocabulary: list[str]
+
+    def vocab_table(self) -> DataFrame:
+        rows = list(enumerate(self.vocabulary))
+        return self.frame.sparkSession.createDataFrame(rows, "termIndex int, term string")
+
+
+def term_vectors(df: DataFrame, terms: str, vocab_size: int = 1 << 18, min_df: float = 1.0, min_tf: float = 1.0, out: str = "tf_idf_features") -> TermVectors:
+    """CountVectorizer and IDF; the vocabulary is bounded by ``vocab_size``."""
+    counter: CountVectorizerModel = CountVectorizer(inputCol=terms, outputCol="tf_features", vocabSize=vocab_size, minDF=min_df, minTF=min_tf).fit(df)
+    counted = counter.transform(df)
+    weighted = IDF(inputCol="tf_features", outputCol=out).fit(counted).transform(counted)
+    return TermVectors(weighted, list(counter.vocabulary))
+
+
+# ---------------------------------------------------------------- LDA
+
+
+def lda(vectors: TermVectors, k: int = 20, iterations: int = 10, seed: int = 42, online: bool = False, features: str = "tf_idf_features") -> LDAModel:
+    """k topics; the online variant uses the slower-forgetting settings with a learned document prior."""
+    model = LDA(k=k, maxIter=iterations, featuresCol=features, seed=seed)
+    if online:
+        model = model.setOptimizer("online").setLearningDecay(0.51).setSubsamplingRate(0.5).setOptimizeDocConcentration(True)
+    return model.fit(vectors.frame)
+
+
+def topic_cloud(model: LDAModel, vectors: TermVectors, n: int = 10) -> DataFrame:
+    """(topic, term, weight): the n heaviest terms of every topic; k·n rows."""
+    pairs = zip_terms(model.describeTopics(n), "topic", "termIndices", "termWeights").withColumnRenamed("term", "termIndex")
+    return pairs.join(sized_broadcast(vectors.vocab_table()), "termIndex").select("topic", "term", "weight")
+
+
+def topic_words(model: LDAModel, vectors: TermVectors, n: int = 10) -> DataFrame:
+    """(topic, topicWords) heaviest first."""
+    rows = topic_cloud(model, vectors, n)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term")))
+    return rows.groupBy("topic").agg(F.transform(ordered, lambda r: r["term"]).alias("topicWords"))
+
 
 def zip_terms(topics: DataFrame, topic: str, terms: str, weights: str) -> DataFrame:
     """(topic, term, weight): parallel arrays zipped by position, no join."""
-    return topics.select(topic, F.explode(F.arrays_zip(F.col(terms).alias("term"), F.col(weights).alias("weight"))).alias("z")).select(topic, "z.term", "z.weight")
+    zipped = F.arrays_zip(F.col(terms).alias("term"), F.col(weights).alias("weight"))
+    return topics.select(topic, F.explode(zipped).alias("z")).select(topic, "z.term", "z.weight")
+
+
+def assign_topic(model: LDAModel, vectors: TermVectors, out: str = "topicNo") -> DataFrame:
+    """Topic with the largest share; rows without any share are dropped."""
+    shares = vector_to_array("topicDistribution")
+    scored = model.transform(vectors.frame).withColumn("_p", shares)
+    some = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) > 0
+    return scored.filter(some).withColumn(out, argmax_index(F.col("_p"))).withColumn("probability", F.array_max("_p")).drop("_p")
+
+
+def topic_scores(model: LDAModel, vectors: TermVectors, text: str) -> DataFrame:
+    """(reviewText, topicNo, wordCount)."""
+    rows = assign_topic(model, vectors)
+    return rows.select(F.col(text).alias("reviewText"), "topicNo", word_count(F.col(text)).alias("wordCount"))
+
+
+def auto_topics(vectors: TermVectors, k_range: Sequence[int], iterations: int = 10, seed: int = 42) -> tuple[LDAModel, DataFrame]:
+    """Model with the lowest log perplexity over the given topic counts, and its topics that got documents."""
+    best, best_score = None, None
+    for k in k_range:
+        model = lda(vectors, k, iterations, seed)
+        score = model.logPerplexity(vectors.frame)
+        if best_score is None or score < best_score:
+            best, best_score = model, score
+    sizes = assign_topic(best, vectors).groupBy("topicNo").agg(F.count("*").alias("doc_count"))
+    return best, sizes
+
+
+# ---------------------------------------------------------------- LSI, NMF
+
+
+def lsi(vectors: TermVectors, key: str, k: int = 5, features: str = "tf_features", n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(topics, documents) by a truncated SVD of the term matrix; a document's topic has the largest absolute weight.
+
+    The distributed SVD only keeps vectors of vocabulary length on the driver, which
+    the vocabulary size bounds.
+    """
+    from pyspark.mllib.linalg import Vectors as OldVectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark = vectors.frame.sparkSession
+    rows = vectors.frame.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
+    svd = RowMatrix(rows).computeSVD(k, computeU=False)
+    basis = svd.V.toArray()  # vocabulary × k
+    table = spark.createDataFrame([(i, [float(x) for x in basis[i]]) for i in range(basis.shape[0])], "termIndex int, loads array<double>")
+    topics = table.select("termIndex", F.posexplode("loads").alias("topic", "w")).withColumn("score", F.abs("w"))
+    named = topics.join(sized_broadcast(vectors.vocab_table()), "termIndex")
+    best = top_k(named, ["topic"], [F.desc("score"), F.asc("term")], n).select("topic", "term", "score", "rank")
+    # documents in topic space: one partial sum per (document, topic)
+    entries = vectors.frame.select(key, F.posexplode(vector_to_array(features)).alias("termIndex", "n")) if basis.shape[0] <= 64 else _sparse_rows(vectors.frame, key, features)
+    projected = entries.join(sized_broadcast(table), "termIndex").select(key, F.transform("loads", lambda x: x * F.col("n")).alias("c"))
+    sums = projected.groupBy(key).agg(F.array(*[F.sum(F.get("c", i)) for i in range(k)]).alias("c"))
+    share = F.transform("c", lambda x: F.abs(x))
+    docs = sums.select(key, argmax_index(share).alias("topic"), F.array_max(share).alias("probability"))
+    return best, vectors.frame.select(key).join(docs, key, "left").select(key, F.coalesce("topic", F.lit(0)).alias("topic"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
+
+
+def _sparse_rows(df: DataFrame, key: str, features: str) -> DataFrame:
+    """(key, termIndex, n) of the non-zero entries."""
+    dense = vector_to_array(features)
+    entries = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("termIndex"), x.alias("n"))), lambda e: e["n"] != 0)
+    return df.select(key, F.inline(entries))
+
+
+def nmf(df: DataFrame, key: str, tokens: str, k: int = 5, iterations: int = 10, seed: int = 42, top: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(topics, documents) by a non-negative factorisation of the TF-IDF entries.
+
+    ALS treats the weights as confidences (implicit preferences), so absent entries
+    count as zeros with low confidence. A document's share is w / Σw.
+    """
+    from .corpus import tf_idf_l2
+
+    weights = tf_idf_l2(df, key, tokens, top=top)
+    terms = weights.select("term").distinct().withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("int"))  # at most ``top`` rows
+    # ALS needs int ids: positions instead of the keys
+    ids = global_position(df.select(key), [F.col(key)], "doc_id_").withColumn("doc_id_", F.col("doc_id_").cast("int"))
+    ratings = weights.join(F.broadcast(terms), "term").join(ids, key).select(F.col("doc_id_").alias("d"), F.col("term_id").alias("t"), F.col("weight").cast("float").alias("w"))
+    model = ALS(rank=k, maxIter=iterations, regParam=0.01, implicitPrefs=True, alpha=40.0, nonnegative=True, userCol="d", itemCol="t", ratingCol="w", seed=seed).fit(ratings)
+    loads = model.itemFactors.withColumnRenamed("id", "term_id").join(F.broadcast(terms), "term_id")
+    rows = loads.select("term", F.posexplode("features").alias("topic", "score")).withColumn("score", F.col("score").cast("double"))
+    topics = top_k(rows, ["topic"], [F.desc("score"), F.asc("term")], 10).select("topic", "term", "score", "rank")
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    docs = model.userFactors.withColumnRenamed("id", "doc_id_").join(ids, "doc_id_").select(
+        key, argmax_index(F.col("features")).alias("topic"), F.when(total > 0, F.array_max("features").cast("double") / total).otherwise(0.0).alias("probability")
+    )
+    return topics, docs
+
+
+# ---------------------------------------------------------------- clusters of embeddings
+
+
+def embedding_topics(df: DataFrame, key: str, embedding: str, k: int, dims: int = 5, seed: int = 42, min_size: int = 2, bisecting: bool = False) -> DataFrame:
+    """(key, topic): reduced embeddings clustered; clusters smaller than ``min_size`` become −1."""
+    vectors = df.select(key, array_to_vector(F.transform(F.col(embedding), lambda x: x.cast("double"))).alias("v"))
+    reduced = PCA(k=dims, inputCol="v", outputCol="r").fit(vectors).transform(vectors)
+    algorithm = BisectingKMeans(k=k, seed=seed, featuresCol="r") if bisecting else KMeans(k=k, seed=seed, featuresCol="r")
+    clustered = algorithm.fit(reduced).transform(reduced).select(key, F.col("prediction").alias("_c"))
+    sizes = clustered.groupBy("_c").agg(F.count("*").alias("_n"))  # k rows
+    return clustered.join(F.broadcast(sizes), "_c").select(key, F.when(F.col("_n") >= min_size, F.col("_c")).otherwise(-1).alias("topic"))
+
+
+def topic_info(assigned: DataFrame, topic: str, tokens: str, n: int = 10) -> DataFrame:
+    """(topic, keywords, scores, doc_count, outliers): best terms by class TF-IDF, outliers (−1) counted apart."""
+    inliers = assigned.filter(F.col(topic) != -1)
+    best = top_k(class_tf_idf(inliers, topic, tokens), [topic], [F.desc("weight"), F.asc("term")], n)
+    pair = F.array_sort(F.collect_list(F.struct("rank", "term", "weight")))
+    words = best.groupBy(topic).agg(pair.alias("_w")).select(
+        topic, F.transform("_w", lambda w: w["term"]).alias("keywords"), F.transform("_w", lambda w: w["weight"]).alias("scores")
+    )
+    from .corpus import topic_sizes
+
+    return topic_sizes(assigned, topic).join(words, topic, "left").select(topic, "keywords", "scores", "doc_count", "outliers")
+
+
+def doc_topics(docs: DataFrame, topics: DataFrame, topic: str, n: int = 5) -> DataFrame:
+    """Documents with the first n keywords of their topic; outliers have none."""
+    named = topics.select(topic, F.slice("keywords", 1, n).alias("topic_keywords"))
+    joined = docs.join(sized_broadcast(named), topic, "left")
+    return joined.withColumn("topic_keywords", F.coalesce("topic_keywords", F.array().cast("array<string>")))
+
+
+def centroids(df: DataFrame, topic: str, embedding: str, dims: int) -> DataFrame:
+    """(topic, n, v): mean embedding per topic, summed inside each task first."""
+    parts = [F.avg(F.get(F.col(embedding), i).cast("double")) for i in range(dims)]
+    return df.groupBy(topic).agg(F.count("*").alias("n"), F.array(*parts).alias("v"))
+
+
+def topic_similarity(vectors: DataFrame, topic: str, limit: int = 100) -> DataFrame:
+    """(a, b, cosine) of every pair of topics; topics are few, and more than ``limit`` are an error."""
+    rows = vectors.select(topic, "v").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} topics")
+    spark = vectors.sparkSession
+    pairs = [(int(x[0]), int(y[0]), list(x[1]), list(y[1])) for x in rows for y in rows]
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    table = spark.createDataFrame(pairs, "a int, b int, x array<double>, y array<double>")
+    return table.select("a", "b", (dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).alias("cosine"))
+
+
+def topic_map(vectors: DataFrame, topic: str) -> DataFrame:
+    """(topic, n, x, y): topics in the plane of the two main components."""
+    points = vectors.select(topic, "n", array_to_vector("v").alias("p"))
+    flat = PCA(k=2, inputCol="p", outputCol="xy").fit(points).transform(points).withColumn("xy", vector_to_array("xy"))
+    return flat.select(topic, "n", F.get("xy", 0).alias("x"), F.get("xy", 1).alias("y"))
+
+
+def topic_relevance(df: DataFrame, topic: str, tokens: str, weight: float = 0.6) -> DataFrame:
+    """(topic, term, n, p_term_topic, p_term, prevalence, relevance) with λ·ln p(w|t) + (1 − λ)·ln (p(w|t) / p(w)) (LDAvis)."""
+    counts = df.select(topic, F.explode(tokens).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n"))
+    per_topic = counts.groupBy(topic).agg(F.sum("n").alias("_topic"))
+    per_term = counts.groupBy("term").agg(F.sum("n").alias("_term"), F.count("*").alias("_topics"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    joined = counted_lookup(counts, per_term, ["term"], "_topics", F.col(topic)).join(sized_broadcast(per_topic), topic)
+    p_tt, p_t = F.col("n") / F.col("_topic"), F.col("_term") / F.lit(float(total or 1))
+    return joined.select(
+        topic, "term", "n", p_tt.alias("p_term_topic"), p_t.alias("p_term"), (F.col("_topic") / F.lit(float(total or 1))).alias("prevalence"),
+        (F.lit(weight) * F.log(p_tt) + F.lit(1 - weight) * F.log(p_tt / p_t)).alias("relevance"),
+    )
