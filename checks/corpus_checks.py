@@ -131,7 +131,7 @@ def _(spark, sf):
     "SELECT doc_id, coalesce((SELECT min(k.n) FROM k WHERE k.n >= l.n), -1) AS bucket, coalesce((SELECT min(k.n) FROM k WHERE k.n >= l.n), -1) AS padded_length FROM l",
 )
 def _(spark, sf):
-    out = corpus.length_buckets(encoded(spark, sf), "ids", 4)
+    out = corpus.length_buckets(encoded(spark, sf).persist(), "ids", 4)
     size = F.when(col("padded").isNotNull(), F.size("padded")).otherwise(-1)
     return out.select("doc_id", F.coalesce("bucket", F.lit(-1)).cast("bigint").alias("bucket"), size.cast("bigint").alias("padded_length"))
 

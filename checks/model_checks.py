@@ -24,7 +24,8 @@ def _(spark, sf):
 
 @query("kw2_keyword_rows")
 def _(spark, sf):
-    return keywords.keyword_rows(table(spark, sf, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 9))
+    both = table(spark, sf, "benchmark").select("item_id", "text").unionAll(documents(spark, sf).select((col("doc_id") + 1000000000).alias("item_id"), "text"))
+    return keywords.keyword_rows(both, "item_id", "text").withColumn("score", F.round("score", 9))
 
 
 @query("kw3_keywords_per_column")
@@ -76,7 +77,7 @@ def _(spark, sf):
 
 @query("tm6_lsi_topics")
 def _(spark, sf):
-    best, docs = topics.lsi(vectors(spark, sf, 500), "doc_id", 5)
+    best, docs = topics.lsi(vectors(spark, sf, 500), "doc_id", "tokens", 5)
     sizes = docs.groupBy("topic").agg(F.count("*").alias("doc_count"))
     return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import argmax_index
 from ..functions.text import word_count
-from .corpus import class_tf_idf
-from .scale import counted_lookup, global_position, sized_broadcast, top_k
+from .corpus import bag_of_words, class_tf_idf
+from .scale import counted_lookup, global_position, lookup, sized_broadcast, top_k
 
 # ---------------------------------------------------------------- vectors
 
@@ -99,37 +99,29 @@ def auto_topics(vectors: TermVectors, k_range: Sequence[int], iterations: int =
 # ---------------------------------------------------------------- LSI, NMF
 
 
-def lsi(vectors: TermVectors, key: str, k: int = 5, features: str = "tf_features", n: int = 10) -> tuple[DataFrame, DataFrame]:
+def lsi(vectors: TermVectors, key: str, tokens: str, k: int = 5, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """(topics, documents) by a truncated SVD of the term matrix; a document's topic has the largest absolute weight.
 
-    The distributed SVD only keeps vectors of vocabulary length on the driver, which
-    the vocabulary size bounds.
+    The distributed SVD keeps vectors of vocabulary length on the driver, which the
+    vocabulary size bounds. Documents are projected from their sparse (term, count) rows.
     """
     from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     spark = vectors.frame.sparkSession
-    rows = vectors.frame.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    basis = svd.V.toArray()  # vocabulary × k
-    table = spark.createDataFrame([(i, [float(x) for x in basis[i]]) for i in range(basis.shape[0])], "termIndex int, loads array<double>")
-    topics = table.select("termIndex", F.posexplode("loads").alias("topic", "w")).withColumn("score", F.abs("w"))
-    named = topics.join(sized_broadcast(vectors.vocab_table()), "termIndex")
-    best = top_k(named, ["topic"], [F.desc("score"), F.asc("term")], n).select("topic", "term", "score", "rank")
-    # documents in topic space: one partial sum per (document, topic)
-    entries = vectors.frame.select(key, F.posexplode(vector_to_array(features)).alias("termIndex", "n")) if basis.shape[0] <= 64 else _sparse_rows(vectors.frame, key, features)
-    projected = entries.join(sized_broadcast(table), "termIndex").select(key, F.transform("loads", lambda x: x * F.col("n")).alias("c"))
-    sums = projected.groupBy(key).agg(F.array(*[F.sum(F.get("c", i)) for i in range(k)]).alias("c"))
+    rows = vectors.frame.select("tf_features").rdd.map(lambda r: OldVectors.fromML(r[0]))
+    basis = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()  # vocabulary × k
+    loads = [(term, [float(x) for x in basis[i]]) for i, term in enumerate(vectors.vocabulary)]
+    table = spark.createDataFrame(loads, "term string, loads array<double>")
+    heavy = table.select("term", F.posexplode("loads").alias("topic", "w")).withColumn("score", F.abs("w"))
+    best = top_k(heavy, ["topic"], [F.desc("score"), F.asc("term")], n).select("topic", "term", "score", "rank")
+    bag = lookup(bag_of_words(vectors.frame, key, tokens), table, ["term"], F.col(key), how="inner")
+    # one partial sum per (document, topic) inside each task
+    sums = bag.groupBy(key).agg(F.array(*[F.sum(F.col("n") * F.get("loads", i)) for i in range(k)]).alias("c"))
     share = F.transform("c", lambda x: F.abs(x))
     docs = sums.select(key, argmax_index(share).alias("topic"), F.array_max(share).alias("probability"))
-    return best, vectors.frame.select(key).join(docs, key, "left").select(key, F.coalesce("topic", F.lit(0)).alias("topic"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
-
-
-def _sparse_rows(df: DataFrame, key: str, features: str) -> DataFrame:
-    """(key, termIndex, n) of the non-zero entries."""
-    dense = vector_to_array(features)
-    entries = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("termIndex"), x.alias("n"))), lambda e: e["n"] != 0)
-    return df.select(key, F.inline(entries))
+    everyone = vectors.frame.select(key).join(docs, key, "left")
+    return best, everyone.select(key, F.coalesce("topic", F.lit(0)).alias("topic"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 
 def nmf(df: DataFrame, key: str, tokens: str, k: int = 5, iterations: int = 10, seed: int = 42, top: int = 1000) -> tuple[DataFrame, DataFrame]:
