@@ -144,8 +144,8 @@ def _positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
 
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 1, out: str = "ids") -> DataFrame:
     """(key, ids): token ids in text order, unknown words as 1."""
-    found = lookup(_positions(df, key, tokens), vocab.select("term", "id"), ["term"], F.struct(key, "_pos"))
-    return _regroup(found, key, F.coalesce("id", F.lit(unknown)), out)
+    found = lookup(_positions(df, key, tokens), vocab.select("term", F.col("id").alias("_id")), ["term"], F.struct(key, "_pos"))
+    return _regroup(found, key, F.coalesce("_id", F.lit(unknown)), out)
 
 
 def length_buckets(df: DataFrame, ids: str, batch: int) -> DataFrame:

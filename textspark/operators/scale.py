@@ -78,12 +78,12 @@ def counted_lookup(fact: DataFrame, dim: DataFrame, keys: Sequence[str], count:
     # rows already served get a salted key that matches nothing, so they spread evenly
     staged = staged.withColumn(
         "_key",
-        F.when(F.col("_hot").isNull(), F.struct(*[F.col(k).cast("string") for k in keys], F.lit(-1).alias("_s"))).otherwise(
+        F.when(F.col("_hot").isNull(), F.struct(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(-1).alias("_s"))).otherwise(
             F.struct(*[F.lit(None).cast("string").alias(k) for k in keys], F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int").alias("_s"))
         ),
     )
     rest = dim.filter(F.col(count) < hot).select(
-        F.struct(*[F.col(k).cast("string") for k in keys], F.lit(-1).alias("_s")).alias("_key"),
+        F.struct(*[F.col(k).cast("string").alias(k) for k in keys], F.lit(-1).alias("_s")).alias("_key"),
         F.struct(*payload).alias("_cold"),
     )
     joined = staged.join(rest, "_key", "left")

@@ -100,7 +100,8 @@ def with_token_valence(words: DataFrame, valence: str = "valence", out: str = "v
 def punctuation_emphasis(text: Column) -> Column:
     bangs = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"))), F.lit(V.EXCLAIM_MAX)) * V.EXCLAIM_STEP
     asks = F.length(text) - F.length(F.replace(text, F.lit("?")))
-    return bangs + F.when(asks > 3, V.QUESTION_CAP).when(asks > 1, asks * V.QUESTION_STEP).otherwise(0.0)
+    total = bangs + F.when(asks > 3, V.QUESTION_CAP).when(asks > 1, asks * V.QUESTION_STEP).otherwise(0.0)
+    return F.when(text.isNotNull(), total)
 
 
 def word_scores(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One document per file with its path; empty files (folder markers) are skipped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).filter(
         F.length("text") > 0
     )
@@ -72,7 +72,7 @@ def records_of(df: DataFrame, payload: str) -> DataFrame:
 
 def read_record_batch(spark: SparkSession, path: str) -> DataFrame:
     """One request per file."""
-    return records_of(spark.read.option("wholetext", True).text(path), "value")
+    return records_of(spark.read.text(path, wholetext=True), "value")
 
 
 def canonicalise(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
