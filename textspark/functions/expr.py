@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 32
@@ -49,7 +49,21 @@ def running_offsets(lengths: Column) -> Column:
             ),
         )
 
-    return let(lengths, blocked)
+    few = lambda arr: F.slice(_scan(arr), F.lit(1), F.size(arr))
+    return let(lengths, lambda arr: F.when(F.size(arr) <= BLOCK, few(arr)).otherwise(blocked(arr)))
+
+
+def unnest(df: DataFrame, keep: Sequence[str], array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element, with its position on request.
+
+    The outer form with a filter behind it: a plain explode makes Spark push a size test
+    below, and a computed array would then be computed twice.
+    """
+    if position is None:
+        rows = df.select(*keep, F.explode_outer(array).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())
 
 
 def string_array(values) -> Column:

@@ -15,6 +15,7 @@ from .expr import let, running_offsets
 
 SPAN_DDL = "struct<start:int,end:int,text:string,label:string,confidence:double>"
 SPANS_DDL = f"array<{SPAN_DDL}>"
+MARK = "\x01"  # stands for a match while gaps are measured; texts that contain it are split by the pattern itself
 
 
 def span(start: Column, end: Column, text: Column, label: Column, confidence: Column) -> Column:
@@ -45,30 +46,47 @@ def match_many(text: Column, patterns: Sequence[tuple[str, str]], confidence: fl
 
     def located(p: Column) -> Column:
         found = p["found"]
+        gaps_of = F.when(p["marked"].isNotNull(), F.split(p["marked"], MARK, -1)).otherwise(F.split(text, p["pattern"], -1))
 
         def walk(gaps: Column) -> Column:
             steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
             def place(before: Column) -> Column:
                 def one(m, i):
-                    start = F.get(before, i) + F.length(F.get(gaps, i))
-                    return span(start, start + F.length(m), m, p["label"], F.lit(confidence))
+                    return let(
+                        F.get(before, i) + F.length(F.get(gaps, i)),
+                        lambda start: span(start, start + F.length(m), m, p["label"], F.lit(confidence)),
+                    )
 
                 return F.transform(found, one)
 
             return let(running_offsets(steps), place)
 
-        return F.when(F.size(found) > 0, let(F.split(text, p["pattern"], -1), walk)).otherwise(no_spans())
+        # a single match, the usual case, needs only the length of what is before its mark
+        first = F.get(found, 0)
+        at = F.length(F.substring_index(p["marked"], MARK, 1))
+        alone = F.array(span(at, at + F.length(first), first, p["label"], F.lit(confidence)))
+        return (
+            F.when((F.size(found) == 1) & p["marked"].isNotNull(), alone)
+            .when(F.size(found) > 0, let(gaps_of, walk))
+            .otherwise(no_spans())
+        )
 
-    searched = [
-        F.struct(
-            F.lit(label).alias("label"),
-            F.lit(pattern).alias("pattern"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+    unmarked = ~F.contains(text, F.lit(MARK))
+
+    def search(label: str, pattern: str) -> Column:
+        # a literal pattern is compiled once, a split by one plain character needs none
+        return let(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda found: F.struct(
+                F.lit(label).alias("label"),
+                F.lit(pattern).alias("pattern"),
+                found.alias("found"),
+                F.when((F.size(found) > 0) & unmarked, F.regexp_replace(text, pattern, MARK)).alias("marked"),
+            ),
         )
-        for label, pattern in patterns
-    ]
-    return F.transform(F.array(*searched), located)
+
+    return F.transform(F.array(*[search(label, pattern) for label, pattern in patterns]), located)
 
 
 def match_spans(text: Column, pattern: str, label: str, confidence: float = 1.0) -> Column:

@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import let, unnest
 from ..functions.text import pos_tag, stem
 from ..resources import values as V
-from .scale import counted_lookup, exact_quantiles, global_position, lookup, sized_broadcast, top_k
+from .scale import checkpointed, counted_lookup, exact_quantiles, global_position, lookup, sized_broadcast, top_k
 
 # ---------------------------------------------------------------- frequencies
 
 
 def term_rows(df: DataFrame, tokens: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, F.explode(tokens).alias("term"))
+    return unnest(df, keep, F.col(tokens), "term")
 
 
 def term_frequency(df: DataFrame, tokens: str) -> DataFrame:
@@ -98,7 +98,7 @@ def tf_idf_l2(df: DataFrame, key: str, tokens: str, max_df: float = 0.95, top: i
 
 def class_tf_idf(df: DataFrame, cluster: str, tokens: str) -> DataFrame:
     """(cluster, term, n, weight) with weight = n · ln(1 + A / f); A is the mean number of words per cluster."""
-    counts = term_rows(df, tokens, [cluster]).groupBy(cluster, "term").agg(F.count("*").alias("n"))
+    counts = checkpointed(term_rows(df, tokens, [cluster]).groupBy(cluster, "term").agg(F.count("*").alias("n")))
     total = counts.groupBy("term").agg(F.sum("n").alias("f"), F.count("*").alias("_classes"))
     average = counts.agg((F.sum("n") / F.count_distinct(cluster)).alias("a")).first()["a"]
     joined = counted_lookup(counts, total, ["term"], "_classes", F.col(cluster))
@@ -209,26 +209,27 @@ def collocations(df: DataFrame, tokens: str, min_count: int = 2, threshold: floa
     """(a, b, n, score): adjacent pairs with (n − min_count) · V / (n_a · n_b) above the threshold.
 
     V counts distinct words and distinct pairs, as both are entries of the phrase vocabulary.
+    Every token is the first of exactly one pair (the last one of a text with nothing behind
+    it), so the word counts are sums over the pair counts and the texts are read once.
     """
-    ones = term_frequency(df, tokens)
-    pairs = _pair_rows(df.select(tokens), tokens).groupBy("a", "b").agg(F.count("*").alias("n"))
-    size = ones.count() + pairs.count()
-    frequent = pairs.filter(F.col("n") >= min_count)
-    left = lookup(frequent, ones.select(F.col("term").alias("a"), F.col("frequency").alias("n_a")), ["a"], F.col("b"))
-    both = lookup(left, ones.select(F.col("term").alias("b"), F.col("frequency").alias("n_b")), ["b"], F.col("a"))
+    pairs = checkpointed(_pair_rows(df, tokens).groupBy("a", "b").agg(F.count("*").alias("n")))
+    ones = checkpointed(pairs.groupBy("a").agg(F.sum("n").alias("frequency")))
+    real = pairs.filter(F.col("b").isNotNull())
+    size = ones.count() + real.count()
+    frequent = real.filter(F.col("n") >= min_count)
+    left = lookup(frequent, ones.withColumnRenamed("frequency", "n_a"), ["a"], F.col("b"))
+    both = lookup(left, ones.select(F.col("a").alias("b"), F.col("frequency").alias("n_b")), ["b"], F.col("a"))
     score = (F.col("n") - min_count) / F.col("n_a") / F.col("n_b") * F.lit(float(size))
     return both.withColumn("score", score).filter(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
 def _pair_rows(df: DataFrame, tokens: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(pos, a, b) for every token and the one behind it, NULL behind the last."""
+
     def pairs(arr: Column) -> Column:
-        made = F.transform(
-            F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0))),
-            lambda t, i: F.struct(i.alias("pos"), t.alias("a"), F.get(arr, i + 1).alias("b")),
-        )
-        return made
+        return F.transform(arr, lambda t, i: F.struct(i.alias("pos"), t.alias("a"), F.get(arr, i + 1).alias("b")))
 
-    return df.select(*keep, F.inline(let(F.col(tokens), pairs)))
+    return unnest(df, keep, let(F.col(tokens), pairs), "_p").select(*keep, "_p.*")
 
 
 def join_collocations(df: DataFrame, key: str, tokens: str, pairs: DataFrame, delimiter: str = "_", out: str = "phrases") -> DataFrame:
@@ -270,7 +271,7 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence[str]) -> DataFrame:
 
 def share_of_parent(df: DataFrame, parent: str, child: str) -> DataFrame:
     """(parent, child, n, percent of the parent)."""
-    counted = df.groupBy(parent, child).agg(F.count("*").alias("n"))
+    counted = checkpointed(df.groupBy(parent, child).agg(F.count("*").alias("n")))
     totals = counted.groupBy(parent).agg(F.sum("n").alias("_total"), F.count("*").alias("_children"))
     joined = counted_lookup(counted, totals, [parent], "_children", F.col(child))
     return joined.select(parent, child, "n", F.round(F.col("n") * 100.0 / F.col("_total"), 4).alias("percent"))

@@ -13,7 +13,7 @@ from ..functions.expr import let, seeded_index, string_array
 from ..functions.text import detect_language
 from ..resources import values as V
 from . import pii
-from .scale import counted_lookup, grouped_position
+from .scale import checkpointed, counted_lookup, grouped_position
 
 # ---------------------------------------------------------------- one replacement per span
 
@@ -132,10 +132,13 @@ def pseudonym_registry(df: DataFrame, spans: str, order: str) -> DataFrame:
     """(label, text, n, number): running number per label in order of first sight.
 
     First sight follows ``order``, and inside a document runs from right to left.
-    Occurrences are reduced to one row per (label, text) before anything is sorted,
-    and the numbering is a range-partitioned sort, so no label has to fit one task.
     """
-    found = pii.explode_spans(df.withColumn("_order", F.col(order)), spans, ["_order"])
+    return _number_pairs(pii.explode_spans(df.withColumn("_order", F.col(order)), spans, ["_order"]))
+
+
+def _number_pairs(found: DataFrame) -> DataFrame:
+    """Occurrences are reduced to one row per (label, text) before anything is sorted, and the
+    numbering is a range-partitioned sort, so no label has to fit one task."""
     seen = found.groupBy("label", "text").agg(
         F.min(F.struct(F.col("_order"), (-F.col("start")).alias("_right"))).alias("_first"), F.count("*").alias("n")
     )
@@ -145,17 +148,19 @@ def pseudonym_registry(df: DataFrame, spans: str, order: str) -> DataFrame:
 def consistent(
     df: DataFrame, key: str, text: str, spans: str, order: str | None = None, scope: str = "batch", registry: DataFrame | None = None, out: str = "deidentified"
 ) -> DataFrame:
-    """Equal (label, text) -> equal pseudonym over the batch, or per document with ``scope="document"``."""
+    """Equal (label, text) -> equal pseudonym over the batch, or per document with ``scope="document"``.
+
+    The span rows, small beside the texts, are written once; numbering and replacing both
+    read them, so the detectors run over the texts a single time.
+    """
     if scope == "document":
         return df.withColumn(out, S.replace_spans(F.col(text), F.col(spans), _numbered_in_document(F.col(spans))))
+    found = checkpointed(pii.explode_spans(df.withColumn("_order", F.col(order or key)), spans, [key, "_order"]))
     if registry is None:
-        registry = pseudonym_registry(df, spans, order or key)
-    found = pii.explode_spans(df, spans, [key])
+        registry = _number_pairs(found)
     named = counted_lookup(found, registry, ["label", "text"], "n", F.struct(key, "start"))
-    named = named.withColumn("text", M.pseudonym(F.col("label"), F.col("number")))
-    replacements = named.groupBy(key).agg(
-        F.array_sort(F.collect_list(S.span(F.col("start"), F.col("end"), F.col("text"), F.col("label"), F.lit(1.0)))).alias("_new")
-    )
+    new = S.span(F.col("start"), F.col("end"), M.pseudonym(F.col("label"), F.col("number")), F.col("label"), F.lit(1.0))
+    replacements = named.groupBy(key).agg(F.array_sort(F.collect_list(new)).alias("_new"))
     joined = df.join(replacements, key, "left")
     return joined.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
 

@@ -68,8 +68,10 @@ def counted_lookup(fact: DataFrame, dim: DataFrame, keys: Sequence[str], count:
 
     At most (rows of fact) / ``hot`` keys can be hot; those are broadcast after a
     size check, so their rows never meet in one task. All other keys have fewer
-    than ``hot`` rows and are joined by shuffle.
+    than ``hot`` rows and are joined by shuffle. The dictionary, an aggregate much
+    smaller than ``fact``, is written once so that checking its size costs no second run.
     """
+    dim = checkpointed(dim)
     if fits(dim):
         return fact.join(F.broadcast(dim), list(keys), "left")
     payload = [c for c in dim.columns if c not in keys]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as SC
 from ..functions import text as T
-from ..functions.expr import let
+from ..functions.expr import let, unnest
 from ..resources import values as V
 from .filters import record_problem, route
 from .scale import lookup
@@ -176,8 +176,8 @@ def sentence_sentiment(df: DataFrame, key: str, col: str, dictionary: DataFrame)
 
     ``dictionary`` has (word, label) with label positive or negative. Sentences without a known word give no row.
     """
-    sentences = df.select(key, F.posexplode(T.sentences(F.col(col))).alias("sentence", "_s"))
-    rows = sentences.select(key, "sentence", F.explode(T.normalise_tokens(T.tokens(F.col("_s")))).alias("word"))
+    sentences = unnest(df, [key], T.sentences(F.col(col)), "_s", "sentence")
+    rows = unnest(sentences, [key, "sentence"], T.normalise_tokens(T.tokens(F.col("_s"))), "word")
     signed = dictionary.select("word", F.when(F.col("label") == "positive", 1).otherwise(-1).alias("_sign"))
     hits = lookup(rows, signed, ["word"], F.struct(key, "sentence"), how="inner")
     return hits.groupBy(key, "sentence").agg(F.when(F.sum("_sign") >= 0, "positive").otherwise("negative").alias("label"))
@@ -194,7 +194,7 @@ def sentence_and_word_rows(df: DataFrame, key: str, col: str, lexicon: DataFrame
     whole = polarity(df, key, col, lexicon).select(key, F.lit(-1).alias("i"), F.lit(None).cast("string").alias("word"), F.col("compound").alias("score"))
     v = F.col("valence").cast("double")
     words = lookup(
-        df.select(key, F.posexplode(T.words(F.col(col))).alias("i", "raw")).withColumn("word", F.lower(F.regexp_replace("raw", f"^{EDGE}|{EDGE}$", ""))),
+        unnest(df, [key], T.words(F.col(col)), "raw", "i").withColumn("word", F.lower(F.regexp_replace("raw", f"^{EDGE}|{EDGE}$", ""))),
         lexicon.select("word", "valence"), ["word"], F.struct(key, "i"),
     )
     single = words.select(key, "i", "word", F.round(F.coalesce(v / F.sqrt(v * v + V.NORMALISER), F.lit(0.0)), 4).alias("score"))
@@ -223,7 +223,7 @@ def sentiment_columns(df: DataFrame, key: str, cols: Sequence[str], lexicon: Dat
 
 def word_distribution(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
     """(key, label, n, words): words of each text by the label of their own score, in text order."""
-    rows = df.select(key, F.posexplode(T.normalise_tokens(T.tokens(F.col(col)))).alias("i", "word"))
+    rows = unnest(df, [key], T.normalise_tokens(T.tokens(F.col(col))), "word", "i")
     known = lookup(rows, lexicon.select("word", "valence"), ["word"], F.struct(key, "i"))
     v = F.coalesce(F.col("valence").cast("double"), F.lit(0.0))
     labelled = known.withColumn("label", SC.polarity_label(v / F.sqrt(v * v + V.NORMALISER)))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import argmax_index
 from ..functions.text import word_count
-from .corpus import bag_of_words, class_tf_idf
-from .scale import counted_lookup, global_position, lookup, sized_broadcast, top_k
+from .corpus import bag_of_words, class_tf_idf, term_rows
+from .scale import checkpointed, counted_lookup, global_position, lookup, sized_broadcast, top_k
 
 # ---------------------------------------------------------------- vectors
 
@@ -208,7 +208,7 @@ def topic_map(vectors: DataFrame, topic: str) -> DataFrame:
 
 def topic_relevance(df: DataFrame, topic: str, tokens: str, weight: float = 0.6) -> DataFrame:
     """(topic, term, n, p_term_topic, p_term, prevalence, relevance) with λ·ln p(w|t) + (1 − λ)·ln (p(w|t) / p(w)) (LDAvis)."""
-    counts = df.select(topic, F.explode(tokens).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n"))
+    counts = checkpointed(term_rows(df, tokens, [topic]).groupBy(topic, "term").agg(F.count("*").alias("n")))
     per_topic = counts.groupBy(topic).agg(F.sum("n").alias("_topic"))
     per_term = counts.groupBy("term").agg(F.sum("n").alias("_term"), F.count("*").alias("_topics"))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
