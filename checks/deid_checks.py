@@ -11,7 +11,8 @@ from textspark.operators import deid, pii
 from textspark.resources import values as V
 
 from .base import NOTES, RE2_PATTERNS, _list, documents, lit, notes, query, spread, sql_matches, sql_replace, sql_structured, table
-from .pii_checks import NAME_SPANS_SQL, NOTE_SPANS, SOME_NAMES
+from .pii_checks import NAME_SPANS_SQL, NOTE_SPANS, SOME_NAMES, sql_detectors
+from .text_checks import LANGUAGE_SQL
 
 col = F.col
 
@@ -349,7 +350,14 @@ def _(spark, sf):
     return out.withColumn("entity_count", col("entity_count").cast("bigint")).select("note_id", "text", "entity_count", "n_words")
 
 
-@query("de30_language_routed_redaction")
+ROUTED = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "DATE_TIME", "PHONE_NUMBER"]
+
+
+@query(
+    "de30_language_routed_redaction",
+    f"WITH {sql_detectors('documents', 'doc_id', ROUTED)}, r AS (SELECT doc_id, text, CASE WHEN length(trim(text)) >= 20 AND language = 'en' THEN 'en' ELSE 'fr' END AS language FROM ({LANGUAGE_SQL})) "
+    "SELECT language, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM spans) OR regexp_matches(text, CASE language WHEN 'en' THEN '(?i)\\b(this|that)\\b' ELSE '(?i)\\b(cette|leurs)\\b' END)) AS n_changed FROM r GROUP BY language",
+)
 def _(spark, sf):
     phrases = {"en": {"NRP": ["this", "that"]}, "fr": {"NRP": ["cette", "leurs"]}}
     out = deid.redact_by_language(spread(documents(spark, sf)), "text", phrases, "redacted")

@@ -10,6 +10,7 @@ from textspark.resources import values as V
 
 from .base import documents, query, spread, table
 from .corpus_checks import TERMS, toks
+from .text_checks import STOPS
 
 col = F.col
 
@@ -17,15 +18,47 @@ col = F.col
 # ---------------------------------------------------------------- keywords
 
 
-@query("kw1_yake_keywords")
+def yake_sql(source: str, key: str, top: int = 30) -> str:
+    """CTEs ending in yk (key, keyword, score, rank) by the published formulas."""
+    left, right = ([f"lag(low, {d})" for d in (1, 2, 3)], [f"lead(low, {d})" for d in (1, 2, 3)])
+    near = lambda side: ", ".join(f"{x} OVER o" for x in side)
+    return rf"""sn AS (SELECT {key}, generate_subscripts(ss, 1) - 1 AS sentence, unnest(ss) AS text FROM
+      (SELECT {key}, string_split(regexp_replace(regexp_replace(text, '^\s+', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM {source})),
+    w AS (SELECT {key}, sentence, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), 1) AS i FROM sn),
+    l AS (SELECT *, lower(w) AS low FROM w),
+    c AS (SELECT *, [{near(left)}] AS lf, [{near(right)}] AS rt FROM l WINDOW o AS (PARTITION BY {key}, sentence ORDER BY i)),
+    lp AS (SELECT {key}, low, count(x) AS n, count(DISTINCT x) AS d FROM (SELECT {key}, low, unnest(lf) AS x FROM c) WHERE x IS NOT NULL GROUP BY {key}, low),
+    rp AS (SELECT {key}, low, count(x) AS n, count(DISTINCT x) AS d FROM (SELECT {key}, low, unnest(rt) AS x FROM c) WHERE x IS NOT NULL GROUP BY {key}, low),
+    f AS (SELECT {key}, low, count(*) AS tf, count(*) FILTER (regexp_matches(w, '^\p{{Lu}}') AND i > 1) AS up, count(*) FILTER (w = upper(w) AND w <> lower(w) AND length(w) > 1) AS ac,
+      count(DISTINCT sentence) AS sf, quantile_cont(sentence::DOUBLE, 0.5) AS med, max(sentence) AS last FROM l GROUP BY {key}, low),
+    g AS (SELECT *, low NOT IN {STOPS} AND length(low) > 2 AND NOT regexp_matches(low, '^[0-9]') AS ok FROM f),
+    h AS (SELECT *, avg(CASE WHEN ok THEN tf END) OVER d AS mean, stddev_pop(CASE WHEN ok THEN tf END) OVER d AS sd, max(tf) OVER d AS top, max(last) OVER d + 1 AS ns FROM g WINDOW d AS (PARTITION BY {key})),
+    k AS (SELECT h.{key}, h.low, greatest(up, ac) / (1 + ln(tf)) AS c, ln(ln(3.0 + med)) AS p, tf / (coalesce(mean, 0) + coalesce(sd, 0)) AS fr,
+      1 + (coalesce(lp.d / lp.n::DOUBLE, 0) + coalesce(rp.d / rp.n::DOUBLE, 0)) * tf / top AS rel, sf / ns::DOUBLE AS s
+      FROM h LEFT JOIN lp ON lp.{key} = h.{key} AND lp.low = h.low LEFT JOIN rp ON rp.{key} = h.{key} AND rp.low = h.low WHERE ok),
+    wt AS (SELECT {key}, low, rel * p / (c + fr / rel + s / rel) AS wt FROM k),
+    t AS (SELECT l.{key}, l.sentence, l.i, l.low, wt FROM l LEFT JOIN wt ON wt.{key} = l.{key} AND wt.low = l.low),
+    z AS (SELECT *, lead(low) OVER o AS l2, lead(low, 2) OVER o AS l3, lead(wt) OVER o AS w2, lead(wt, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY {key}, sentence ORDER BY i)),
+    cand AS (SELECT {key}, low AS keyword, wt AS pr, wt AS su FROM z WHERE wt IS NOT NULL UNION ALL SELECT {key}, low || ' ' || l2, wt * w2, wt + w2 FROM z WHERE wt * w2 IS NOT NULL
+      UNION ALL SELECT {key}, low || ' ' || l2 || ' ' || l3, wt * w2 * w3, wt + w2 + w3 FROM z WHERE wt * w2 * w3 IS NOT NULL),
+    sc AS (SELECT {key}, keyword, max(pr) / (count(*) * (1 + max(su))) AS score FROM cand GROUP BY {key}, keyword),
+    yk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score, keyword) AS rank FROM sc WHERE score <= 1.5) WHERE rank <= {top})"""
+
+
+@query("kw1_yake_keywords", f"WITH {yake_sql('documents', 'doc_id')} SELECT doc_id, keyword, round(score, 6) AS score, rank FROM yk")
 def _(spark, sf):
-    return keywords.yake(spread(documents(spark, sf)), "doc_id", "text").select("doc_id", "keyword", F.round("score", 9).alias("score"), "rank")
+    return keywords.yake(spread(documents(spark, sf)), "doc_id", "text").select(
+        "doc_id", "keyword", F.round("score", 6).alias("score"), col("rank").cast("bigint").alias("rank")
+    )
+
+
+BOTH_SQL = "src AS (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000000 + doc_id, text FROM documents)"
 
 
-@query("kw2_keyword_rows")
+@query("kw2_keyword_rows", f"WITH {BOTH_SQL}, {yake_sql('src', 'item_id')} SELECT item_id, keyword, round(score, 6) AS score FROM yk")
 def _(spark, sf):
     both = table(spark, sf, "benchmark").select("item_id", "text").unionAll(documents(spark, sf).select((col("doc_id") + 1000000000).alias("item_id"), "text"))
-    return keywords.keyword_rows(both, "item_id", "text").withColumn("score", F.round("score", 9))
+    return keywords.keyword_rows(both, "item_id", "text").select("item_id", "keyword", F.round("score", 6).alias("score"))
 
 
 @query("kw3_keywords_per_column")

@@ -257,7 +257,7 @@ def test_dictionary_sentiment(spark):
 def brute_yake(text, window, stops):
     import re
 
-    sents = [m.group() for m in re.finditer(r"(?s)\S.*?(?:[.!?](?=\s)|\Z)", text)]
+    sents = [m.group() for m in re.finditer(r"(?s)(?=\S).*?(?:[.!?](?=\s)|\Z)", text)]
     toks = [[w for w in re.findall(r"\w+", s)] for s in sents]
     occ, left, right = {}, {}, {}
     for si, ws in enumerate(toks):

@@ -80,7 +80,7 @@ def sentences(col: Column) -> Column:
 
 def sentence_spans(col: Column) -> Column:
     """Sentences with their offsets, blank ones left out."""
-    return match_spans(col, r"(?s)\S.*?(?:[.!?](?=\s)|\z)", "sentence")
+    return match_spans(col, r"(?s)(?=\S).*?(?:[.!?](?=\s)|\z)", "sentence")
 
 
 def normalise_tokens(col: Column) -> Column:

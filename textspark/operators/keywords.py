@@ -16,7 +16,7 @@ from .scale import top_k
 
 def _tokens_with_context(col: Column, window: int) -> Column:
     """(sentence, i, start, end, text, low, usable, left[], right[]) of every word; context stays in the sentence."""
-    sentences = match_spans(col, r"(?s)\S.*?(?:[.!?](?=\s)|\z)", "s")
+    sentences = match_spans(col, r"(?s)(?=\S).*?(?:[.!?](?=\s)|\z)", "s")
 
     def of_sentence(s, n):
         def with_context(ws: Column) -> Column:

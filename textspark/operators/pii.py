@@ -148,7 +148,7 @@ def context_spans(
             (V.LEFT if w[0].isalnum() else "") + _literal(w) + (V.RIGHT if w[-1].isalnum() else "") for w in listed
         ) + ")"
 
-    sentences = S.match_spans(col, r"(?s)\S.*?(?:[.!?](?=\s)|\z)", "s")
+    sentences = S.match_spans(col, r"(?s)(?=\S).*?(?:[.!?](?=\s)|\z)", "s")
 
     def in_sentence(s):
         body = s["text"]
