@@ -41,7 +41,7 @@ def yake_sql(source: str, key: str, top: int = 30) -> str:
     z AS (SELECT *, lead(low) OVER o AS l2, lead(low, 2) OVER o AS l3, lead(wt) OVER o AS w2, lead(wt, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY {key}, sentence ORDER BY i)),
     cand AS (SELECT {key}, low AS keyword, wt AS pr, wt AS su FROM z WHERE wt IS NOT NULL UNION ALL SELECT {key}, low || ' ' || l2, wt * w2, wt + w2 FROM z WHERE wt * w2 IS NOT NULL
       UNION ALL SELECT {key}, low || ' ' || l2 || ' ' || l3, wt * w2 * w3, wt + w2 + w3 FROM z WHERE wt * w2 * w3 IS NOT NULL),
-    sc AS (SELECT {key}, keyword, max(pr) / (count(*) * (1 + max(su))) AS score FROM cand GROUP BY {key}, keyword),
+    sc AS (SELECT {key}, keyword, round(max(pr) / (count(*) * (1 + max(su))), 9) AS score FROM cand GROUP BY {key}, keyword),
     yk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score, keyword) AS rank FROM sc WHERE score <= 1.5) WHERE rank <= {top})"""
 
 

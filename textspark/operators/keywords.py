@@ -99,7 +99,8 @@ def yake(
 ) -> DataFrame:
     """(key, keyword, score, begin, end, sentence, rank): the ``top`` candidates per document with score <= threshold.
 
-    A candidate is a run of usable words in one sentence; lower scores are better.
+    A candidate is a run of usable words in one sentence; lower scores are better. Scores have
+    nine decimals, so that equal ones rank by keyword and not by the last bit of a logarithm.
     Documents are hash-partitioned by key once, into as many tasks as the session
     shuffles to, and all later aggregations and windows are on that key: no other shuffle.
     """
@@ -136,7 +137,7 @@ def yake(
         F.count("*").alias("kf"), F.max("k.product").alias("product"), F.max("k.total").alias("total"), F.min("k.at").alias("at")
     )
     scored = counted.select(
-        key, "keyword", (F.col("product") / (F.col("kf") * (1 + F.col("total")))).alias("score"), "at.begin", "at.end", "at.sentence"
+        key, "keyword", F.round(F.col("product") / (F.col("kf") * (1 + F.col("total"))), 9).alias("score"), "at.begin", "at.end", "at.sentence"
     ).filter(F.col("score") <= threshold)
     return top_k(scored, [key], [F.asc("score"), F.asc("keyword")], top)
 
