@@ -61,11 +61,23 @@ def _(spark, sf):
     return keywords.keyword_rows(both, "item_id", "text").select("item_id", "keyword", F.round("score", 6).alias("score"))
 
 
-@query("kw3_keywords_per_column")
+TWO_TEXTS = (
+    "src AS (SELECT (conv_id * 1000 + turn) || ':a' AS id, text FROM conversations UNION ALL SELECT (conv_id * 1000 + turn) || ':b', 'Extra Keyword here. ' || text FROM conversations)"
+)
+
+
+@query(
+    "kw3_keywords_per_column",
+    f"WITH {TWO_TEXTS}, {yake_sql('src', 'id', 5)}, a AS (SELECT id, string_agg(keyword, '; ' ORDER BY rank) AS kw FROM yk GROUP BY id) "
+    "SELECT conv_id * 1000 + turn AS k, coalesce(x.kw, '') AS text_keywords, coalesce(y.kw, '') AS more_keywords FROM conversations "
+    "LEFT JOIN a x ON x.id = (conv_id * 1000 + turn) || ':a' LEFT JOIN a y ON y.id = (conv_id * 1000 + turn) || ':b'",
+)
 def _(spark, sf):
-    df = table(spark, sf, "conversations").select((col("conv_id") * 1000 + col("turn")).alias("k"), "text", F.upper("text").alias("loud"))
-    out = keywords.keywords_per_column(df, "k", {"text": "text_keywords", "loud": "loud_keywords"}, top=5)
-    return out.select("k", F.array_join("text_keywords", "; ").alias("text_keywords"), F.array_join("loud_keywords", "; ").alias("loud_keywords"))
+    df = table(spark, sf, "conversations").select(
+        (col("conv_id") * 1000 + col("turn")).alias("k"), "text", F.concat(F.lit("Extra Keyword here. "), "text").alias("more")
+    )
+    out = keywords.keywords_per_column(df, "k", {"text": "text_keywords", "more": "more_keywords"}, top=5)
+    return out.select("k", F.array_join("text_keywords", "; ").alias("text_keywords"), F.array_join("more_keywords", "; ").alias("more_keywords"))
 
 
 # ---------------------------------------------------------------- topic models

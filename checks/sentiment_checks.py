@@ -74,7 +74,7 @@ def polarity_sql(source: str, key: str, name: str = "pol") -> str:
     {steps}{name}_s AS (SELECT {key}, CASE WHEN valence IS NULL OR boost <> 0 THEN 0 ELSE v3 * CASE WHEN but IS NULL OR i = but THEN 1 WHEN i < but THEN 0.5 ELSE 1.5 END END AS v FROM {name}_v3),
     {name}_e AS (SELECT {key}, least(length(text) - length(replace(text, '!', '')), 4) * 0.292 + CASE WHEN length(text) - length(replace(text, '?', '')) > 3 THEN 0.96
       WHEN length(text) - length(replace(text, '?', '')) > 1 THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0 END AS emph FROM {source}),
-    {name}_a AS (SELECT e.{key}, emph, coalesce(sum(v), 0) AS s, coalesce(sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END), 0) AS p, coalesce(sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END), 0) AS n, count(*) FILTER (v = 0) AS z, count(v) AS nw
+    {name}_a AS (SELECT e.{key}, emph, round(coalesce(sum(v), 0), 9) AS s, round(coalesce(sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END), 0), 9) AS p, round(coalesce(sum(CASE WHEN v < 0 THEN v - 1 ELSE 0 END), 0), 9) AS n, count(*) FILTER (v = 0) AS z, count(v) AS nw
       FROM {name}_e e LEFT JOIN {name}_s s USING ({key}) GROUP BY e.{key}, emph),
     {name}_f AS (SELECT {key}, nw, z, s + CASE WHEN s > 0 THEN emph WHEN s < 0 THEN -emph ELSE 0 END AS s, p + CASE WHEN p > abs(n) THEN emph ELSE 0 END AS p, abs(n - CASE WHEN p < abs(n) THEN emph ELSE 0 END) AS n FROM {name}_a),
     {name} AS (SELECT {key}, CASE WHEN nw > 0 THEN round(s / sqrt(s * s + 15), 4) ELSE 0 END AS compound, CASE WHEN nw > 0 THEN round(p / (p + n + z), 3) ELSE 0 END AS pos,

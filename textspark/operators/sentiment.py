@@ -128,9 +128,10 @@ def polarity(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame
     words = word_scores(df, key, col, lexicon)
     v = F.col("valence")
     sums = words.groupBy(key).agg(
-        F.sum(v).alias("_sum"),
-        F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_pos"),
-        F.sum(F.when(v < 0, v - 1).otherwise(0.0)).alias("_neg"),
+        # nine decimals: which side prevails must not hang on the order of a sum
+        F.round(F.sum(v), 9).alias("_sum"),
+        F.round(F.sum(F.when(v > 0, v + 1).otherwise(0.0)), 9).alias("_pos"),
+        F.round(F.sum(F.when(v < 0, v - 1).otherwise(0.0)), 9).alias("_neg"),
         F.count_if(v == 0).alias("_zero"),
         F.count("word").alias("_words"),
         F.max("emphasis").alias("_emph"),
