@@ -11,12 +11,12 @@ from textspark.resources import values as V
 from .base import NOTES, RE2_DETECTORS, documents, lit, notes, query, spread, sql_matches, sql_structured, table
 
 col = F.col
-SPAN_COLUMNS = [col("start").cast("bigint").alias("start"), col("end").cast("bigint").alias("stop"), "text", "label"]
+SPAN_COLUMNS = ["CAST(start AS bigint) AS start", "CAST(`end` AS bigint) AS stop", "text", "label"]
 
 
 def long(df, spans, key):
     """Span rows with plain types."""
-    return pii.explode_spans(df, spans, [key]).select(key, *SPAN_COLUMNS)
+    return pii.explode_spans(df, spans, [key]).selectExpr(key, *SPAN_COLUMNS)
 
 
 @query("pi1_regex_entities", f"WITH {NOTES}, {sql_structured('notes', 'note_id')} SELECT note_id, s AS start, e AS stop, txt AS text, label FROM spans")
@@ -113,7 +113,7 @@ GAZETTEER = (
     JOIN gaz ON phrase = lower(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)))""",
 )
 def _(spark, sf):
-    return pii.gazetteer_spans(spread(notes(spark, sf)), "note_id", "text", gazetteer(spark, sf)).select("note_id", *SPAN_COLUMNS)
+    return pii.gazetteer_spans(spread(notes(spark, sf)), "note_id", "text", gazetteer(spark, sf)).selectExpr("note_id", *SPAN_COLUMNS)
 
 
 SOME_NAMES = "(?:" + "|".join(V.FAKE_FIRST) + ") (?:" + "|".join(V.FAKE_LAST) + ")"
