@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,7 +69,7 @@ def with_columns(df: DataFrame, source: Column, fn: Callable[[pa.Array], dict[st
     given = df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_llm_source"))
     schema = given.drop("_llm_source").schema
     for name, kind in names.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
 
     def run(batch):
         made = fn(batch.column(len(kept)))

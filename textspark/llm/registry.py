@@ -6,7 +6,7 @@ import importlib
 
 from textspark.llm import common
 
-MODULES = ["pseudonyms", "decontaminate", "packing", "simhash", "quality_rules"]
+MODULES = ["pseudonyms", "url_filter", "decontaminate", "packing", "toxicity", "simhash", "quality_classifier", "quality_rules"]
 
 
 def load() -> tuple[dict, dict]:
