@@ -6,7 +6,7 @@ import importlib
 
 from textspark.llm import common
 
-MODULES = ["pseudonyms", "url_filter", "decontaminate", "packing", "toxicity", "simhash", "quality_classifier", "quality_rules"]
+MODULES = ["pseudonyms", "url_filter", "warc", "decontaminate", "packing", "toxicity", "simhash", "quality_classifier", "token_counts", "quality_rules"]
 
 
 def load() -> tuple[dict, dict]:
