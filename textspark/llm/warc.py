@@ -9,6 +9,7 @@ its blocks by a loser tree. Only blocks that overlap are held.
 
 from __future__ import annotations
 
+import bisect
 import io
 from collections.abc import Iterator
 
@@ -119,7 +120,7 @@ def url_key(url: Column) -> Column:
     """Host parts from the last to the first, then the rest, in lower case: pages of one domain lie together."""
     rest = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"(?s)^[^:/?#]*://", "")
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
-    return F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), F.expr("substring(regexp_replace(lower(coalesce(url, '')), '(?s)^[^:/?#]*://', ''), 1)").substr(F.length(host) + 1, F.length(rest) + 1))
+    return F.concat(F.concat_ws(",", F.reverse(F.split(host, r"\."))), F.lit(")"), rest.substr(F.length(host) + 1, F.length(rest) + 1))
 
 
 class LoserTree:
@@ -187,8 +188,6 @@ def merged_index(captures: DataFrame) -> DataFrame:
     bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     def cut(batch):
-        import bisect
-
         keys = keys_of(batch)
         part = [bisect.bisect_right(bounds, k) for k in keys]
         starts = [0] + [i for i in range(1, len(keys)) if part[i] != part[i - 1] or keys[i] < keys[i - 1]] + [len(keys)]
