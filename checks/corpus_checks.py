@@ -79,7 +79,7 @@ def _(spark, sf):
 
 @query(
     "kw7_tf_idf_l2",
-    f"WITH {BAG}, k AS (SELECT term, d FROM df WHERE d <= 0.95 * (SELECT count(*) FROM documents) ORDER BY f DESC, term LIMIT 1000), w AS (SELECT doc_id, term, n * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + d)) + 1) AS w FROM b JOIN k USING (term)) "
+    f"WITH {BAG}, k AS (SELECT term, d FROM df WHERE d <= 0.95 * (SELECT count(*) FROM documents)), w AS (SELECT doc_id, term, n * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + d)) + 1) AS w FROM b JOIN k USING (term)) "
     "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
 )
 def _(spark, sf):
@@ -354,13 +354,13 @@ def _(spark, sf):
     return corpus.threshold_sweep(rows, "score", "overlaps")
 
 
-@query("jn2_zip_positions", "SELECT vec_id AS topic, ('t' || CAST(i - 1 AS VARCHAR)) AS term, round(CAST(embedding[i] AS DOUBLE), 9) AS weight FROM (SELECT vec_id, embedding, unnest(range(1, 11)) AS i FROM embeddings)")
+@query("jn2_zip_positions", "SELECT vec_id AS topic, ('t' || CAST(i - 1 AS VARCHAR)) AS term, round(CAST(embedding[i] AS DOUBLE), 9) AS weight FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
 def _(spark, sf):
     from textspark.operators.topics import zip_terms
 
     topics = table(spark, sf, "embeddings").select(
-        col("vec_id").alias("topic"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("terms"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("weights"),
+        col("vec_id").alias("topic"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("terms"),
+        F.transform(col("embedding"), lambda x: x.cast("double")).alias("weights"),
     )
     return zip_terms(topics, "topic", "terms", "weights").withColumn("weight", F.round("weight", 9))
 

@@ -83,9 +83,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------- topic models
 
 
-def vectors(spark, sf, vocab=2000):
-    frame = toks(spark, sf).join(documents(spark, sf).select("doc_id", "text"), "doc_id")
-    return topics.term_vectors(frame.persist(), "tokens", vocab_size=vocab, min_df=2.0)
+def vectors(spark, sf):
+    frame = spread(documents(spark, sf)).select("doc_id", "text", T.content_tokens(col("text")).alias("tokens"))
+    return topics.term_vectors(frame, "tokens")
 
 
 @query("tm1_lda_topics")
@@ -122,21 +122,21 @@ def _(spark, sf):
 
 @query("tm6_lsi_topics")
 def _(spark, sf):
-    best, docs = topics.lsi(vectors(spark, sf, 500), "doc_id", "tokens", 5)
+    best, docs = topics.lsi(toks(spark, sf), "doc_id", "tokens", 5)
     sizes = docs.groupBy("topic").agg(F.count("*").alias("doc_count"))
     return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 
 
 @query("tm7_nmf_topics")
 def _(spark, sf):
-    best, docs = topics.nmf(toks(spark, sf), "doc_id", "tokens", k=5, iterations=5, top=500)
+    best, docs = topics.nmf(toks(spark, sf), "doc_id", "tokens", k=5, iterations=5)
     sizes = docs.groupBy("topic").agg(F.count("*").alias("doc_count"))
     return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 
 
 @query("tm8_auto_k_topics")
 def _(spark, sf):
-    _model, sizes = topics.auto_topics(vectors(spark, sf, 1000), [2, 4], iterations=3)
+    _model, sizes = topics.auto_topics(vectors(spark, sf), [2, 4], iterations=3)
     return sizes
 
 
@@ -146,16 +146,16 @@ def _(spark, sf):
 
 
 def labelled(spark, sf):
-    """Documents with the label of the embedding of the same number as topic; labels from 8 up are outliers."""
+    """Documents with the label of the embedding of the same number as topic; labels from 8 up and documents without one are outliers."""
     emb = table(spark, sf, "embeddings").select(col("vec_id").alias("doc_id"), F.when(col("label") >= 8, -1).otherwise(col("label")).alias("topic"))
-    return toks(spark, sf).join(emb, "doc_id")
+    return toks(spark, sf).join(emb, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(-1)))
 
 
 LABELLED = f"{TERMS}, e AS (SELECT vec_id AS doc_id, CASE WHEN label >= 8 THEN -1 ELSE label END AS topic FROM embeddings), x AS (SELECT topic, term FROM t JOIN e USING (doc_id) WHERE topic <> -1), c AS (SELECT topic, term, count(*) AS n FROM x GROUP BY topic, term), f AS (SELECT term, sum(n) AS f FROM c GROUP BY term)"
 INFO = (
     f"{LABELLED}, w AS (SELECT topic, term, n * ln(1 + (SELECT sum(n) * 1.0 / count(DISTINCT topic) FROM c) / f) AS weight FROM c JOIN f USING (term)), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w), "
     "k AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS keywords, string_agg(CASE WHEN rank <= 5 THEN term END, ' ' ORDER BY rank) AS five, round(max(weight), 6) AS best FROM r WHERE rank <= 10 GROUP BY topic), "
-    "de AS (SELECT e.* FROM e JOIN documents d ON d.doc_id = e.doc_id)"
+    "de AS (SELECT d.doc_id, coalesce(e.topic, -1) AS topic FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id)"
 )
 
 
@@ -207,11 +207,23 @@ def labelled_texts(spark, sf):
     )
 
 
-@query("sn7_naive_bayes_sentiment")
+def all_texts(spark, sf):
+    return spread(documents(spark, sf)).select("doc_id", T.content_tokens(col("text")).alias("tokens"))
+
+
+NB_SQL = f"""WITH {TERMS}, tr AS (SELECT doc_id, quality AS label FROM labels JOIN documents USING (doc_id)), c AS (SELECT label, term, count(*) AS n FROM t JOIN tr USING (doc_id) GROUP BY label, term),
+    v AS (SELECT DISTINCT term FROM c), l AS (SELECT label, ln((count(*) + 1.0) / ((SELECT count(*) FROM tr) + (SELECT count(DISTINCT label) FROM tr))) AS prior FROM tr GROUP BY label),
+    z AS (SELECT label, sum(n) + (SELECT count(*) FROM v) AS total FROM c GROUP BY label),
+    w AS (SELECT l.label, v.term, ln((coalesce(n, 0) + 1.0) / total) AS w FROM l CROSS JOIN v JOIN z ON z.label = l.label LEFT JOIN c ON c.label = l.label AND c.term = v.term),
+    s AS (SELECT d.doc_id, l.label, prior + coalesce(x.s, 0) AS s FROM documents d CROSS JOIN l LEFT JOIN (SELECT doc_id, label, sum(w) AS s FROM t JOIN w USING (term) GROUP BY doc_id, label) x ON x.doc_id = d.doc_id AND x.label = l.label),
+    p AS (SELECT doc_id, max(CASE WHEN label = 0 THEN s END) AS s0, max(CASE WHEN label = 1 THEN s END) AS s1 FROM s GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN s1 > s0 THEN '{V.LABEL_SETS["binary"][1]}' ELSE '{V.LABEL_SETS["binary"][0]}' END AS label, round(1 / (1 + exp(least(s0 - s1, 700))), 6) AS positive FROM p"""
+
+
+@query("sn7_naive_bayes_sentiment", NB_SQL)
 def _(spark, sf):
-    df = labelled_texts(spark, sf).persist()
-    model = classify.train_naive_bayes(df, "tokens", "label")
-    out = classify.predict(model, df, ["doc_id"], V.LABEL_SETS["binary"])
+    model = classify.train_naive_bayes(labelled_texts(spark, sf), "tokens", "label")
+    out = classify.predict_naive_bayes(model, all_texts(spark, sf), "doc_id", "tokens", V.LABEL_SETS["binary"])
     return out.select("doc_id", "label", F.round(F.get("probabilities", 1), 6).alias("positive"))
 
 
@@ -232,7 +244,8 @@ def _(spark, sf):
     df = labelled_texts(spark, sf).persist()
     train, validation = split(df)
     model, _scores = classify.train_text_classifier(train, validation, "tokens", "label", size=16, epochs=1, reg=(0.01,))
-    return classify.predict(model, df, ["doc_id"]).select("doc_id", "prediction")
+    df.unpersist()
+    return classify.predict(model, all_texts(spark, sf), ["doc_id"]).select("doc_id", "prediction")
 
 
 def _length_scorer():

@@ -172,12 +172,17 @@ def _(spark, sf):
     return items.select(F.inline(pii.map_labels(col("spans")))).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("pi12_catalogue", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(x) for x in row) + ", CAST(0 AS BIGINT))" for row in V.ENTITY_CATALOGUE if row[0] not in ("NAME", "SSN")) + ") t(entity_type, description, example, replacement, n) UNION ALL SELECT " + ", ".join(lit(x) for x in V.ENTITY_CATALOGUE[0]) + ", 2 * count(*) FROM orders UNION ALL SELECT " + ", ".join(lit(x) for x in V.ENTITY_CATALOGUE[6]) + ", count(*) FROM orders")
+def _entry(row) -> str:
+    return ", ".join(lit("; ".join(x) if isinstance(x, list) else x) for x in row)
+
+
+@query("pi12_catalogue", "SELECT * FROM (VALUES " + ", ".join("(" + _entry(row) + ", CAST(0 AS BIGINT))" for row in V.ENTITY_CATALOGUE if row[0] not in ("NAME", "SSN")) + ") t(entity_type, description, examples, replacement, n) UNION ALL SELECT " + _entry(V.ENTITY_CATALOGUE[0]) + ", 2 * count(*) FROM orders UNION ALL SELECT " + _entry(V.ENTITY_CATALOGUE[6]) + ", count(*) FROM orders")
 def _(spark, sf):
     """The catalogue with the number of name and SSN spans in the notes."""
     found = named_notes(spark, sf).withColumn("spans", F.concat("spans", S.match_spans(col("text"), V.STRUCTURED_PATTERNS[0][1], "SSN")))
     counts = pii.explode_spans(found, "spans", ["note_id"]).groupBy(col("label").alias("entity_type")).agg(F.count("*").alias("n"))
-    return pii.entity_catalogue(spark).join(counts, "entity_type", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    listed = pii.entity_catalogue(spark).withColumn("examples", F.array_join("examples", "; "))
+    return listed.join(counts, "entity_type", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 @query(

@@ -149,11 +149,11 @@ def _(spark, sf):
     return out.select("doc_id", col("i").cast("bigint").alias("i"), F.coalesce("word", F.lit("")).alias("word"), "score")
 
 
-TWO_SQL = f"WITH {LEX}, a_src AS (SELECT doc_id, text FROM documents), b_src AS (SELECT doc_id, 'VERY ' || left(text, 300) || '!' AS text FROM documents), {polarity_sql('a_src', 'doc_id', 'pa')}, {polarity_sql('b_src', 'doc_id', 'pb')}"
+TWO_SQL = f"WITH {LEX}, a_src AS (SELECT doc_id, text FROM documents), b_src AS (SELECT doc_id, 'VERY ' || text || '!' AS text FROM documents), {polarity_sql('a_src', 'doc_id', 'pa')}, {polarity_sql('b_src', 'doc_id', 'pb')}"
 
 
 def two_columns(spark, sf):
-    return spread(documents(spark, sf)).select("doc_id", col("text").alias("a"), F.concat(F.lit("VERY "), F.substring("text", 1, 300), F.lit("!")).alias("b"))
+    return spread(documents(spark, sf)).select("doc_id", col("text").alias("a"), F.concat(F.lit("VERY "), col("text"), F.lit("!")).alias("b"))
 
 
 _NAMES = ("compound", "pos", "neg", "neu")

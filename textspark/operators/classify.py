@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, Word2Vec
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scores import argmax_index, softmax
+from .corpus import bag_of_words, term_rows
+from .scale import checkpointed, counted_lookup
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
-def train_naive_bayes(df: DataFrame, tokens: str, label: str, features: int = 1 << 14) -> PipelineModel:
-    return Pipeline(stages=[HashingTF(inputCol=tokens, outputCol="_f", numFeatures=features), NaiveBayes(featuresCol="_f", labelCol=label)]).fit(df)
+@dataclass
+class NaiveBayes:
+    """Multinomial model: log priors by label, and (term, w) with a log probability for each label."""
+
+    labels: list
+    priors: list[float]
+    weights: DataFrame
+
+
+def train_naive_bayes(df: DataFrame, tokens: str, label: str, smoothing: float = 1.0) -> NaiveBayes:
+    """Exact counts per (label, term), no hashing; labels are few and come to the driver."""
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()}
+    counts = checkpointed(term_rows(df, tokens, [label]).groupBy(label, "term").agg(F.count("*").alias("n")))
+    totals = {r[label]: r["n"] for r in counts.groupBy(label).agg(F.sum("n").alias("n")).collect()}
+    terms = counts.select("term").distinct().count()
+    per_term = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, c in enumerate(sizes)])
+    weight = [F.log((F.col(f"n{i}") + smoothing) / (totals.get(c, 0) + smoothing * terms)) for i, c in enumerate(sizes)]
+    total = sum(sizes.values())
+    priors = [math.log((n + smoothing) / (total + smoothing * len(sizes))) for n in sizes.values()]
+    return NaiveBayes(list(sizes), priors, checkpointed(per_term.select("term", F.array(*weight).alias("w"), sum((F.col(f"n{i}") for i in range(len(sizes))), F.lit(0)).alias("n"))))
+
+
+def predict_naive_bayes(model: NaiveBayes, df: DataFrame, key: str, tokens: str, names: Sequence[str] | None = None) -> DataFrame:
+    """(key, prediction, probabilities, label) of every row; terms never seen in training do not count."""
+    k = len(model.labels)
+    bag = bag_of_words(df, key, tokens).withColumnRenamed("n", "_n")
+    known = counted_lookup(bag, model.weights, ["term"], "n", F.col(key)).filter(F.col("w").isNotNull())
+    sums = known.groupBy(key).agg(F.array(*[F.sum(F.col("_n") * F.get("w", i)) for i in range(k)]).alias("s"))
+    scores = [F.lit(model.priors[i]) + F.coalesce(F.get("s", i), F.lit(0.0)) for i in range(k)]
+    scored = df.select(key).join(sums, key, "left").select(key, F.array(*scores).alias("s"))
+    out = scored.select(key, argmax_index(F.col("s")).cast("int").alias("prediction"), softmax(F.col("s")).alias("probabilities"))
+    named = [F.lit(x) for x in (names or model.labels)]
+    return out.withColumn("label", F.get(F.array(*named), F.col("prediction")))
 
 
 def train_text_classifier(
@@ -55,8 +92,8 @@ def score_with_model(
     """(key, label, probabilities) from any per-text model.
 
     ``make_scorer`` runs once per task, so a heavy model is loaded once and not per
-    row. The scorer takes a series of texts and returns one column per label. When a
-    batch fails, its rows are scored one by one and only failing rows get ``on_error``.
+    row. The scorer takes a series of texts and returns one column per label. A batch that
+    fails is halved until the failing rows are alone; only those get ``on_error``.
     """
     kind = df.schema[key].dataType
     schema = T.StructType(
@@ -73,17 +110,17 @@ def score_with_model(
         for batch in batches:
             if batch.empty:
                 continue
-            try:
-                yield frame(batch[key], scorer(batch[text]))
-            except Exception:
-                if on_error is None:
-                    raise
-                yield pd.concat([one(batch.iloc[[i]], scorer) for i in range(len(batch))])
-
-    def one(row: pd.DataFrame, scorer: Scorer) -> pd.DataFrame:
+            yield pd.concat(parts(batch, scorer))
+
+    def parts(batch: pd.DataFrame, scorer: Scorer) -> list[pd.DataFrame]:
         try:
-            return frame(row[key], scorer(row[text]))
+            return [frame(batch[key], scorer(batch[text]))]
         except Exception:
-            return pd.DataFrame({key: row[key].to_numpy(), "label": [on_error], "probabilities": [[0.0] * len(names)]})
+            if on_error is None:
+                raise
+        if len(batch) == 1:
+            return [pd.DataFrame({key: batch[key].to_numpy(), "label": [on_error], "probabilities": [[0.0] * len(names)]})]
+        half = len(batch) // 2
+        return parts(batch.iloc[:half], scorer) + parts(batch.iloc[half:], scorer)
 
     return df.select(key, text).mapInPandas(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,19 @@ def count_vectors(df: DataFrame, key: str, tokens: str, vocab_size: int | None =
 def tf_idf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, term, n, weight) with weight = n · ln((N + 1) / (df + 1))."""
     n_docs = df.count()
-    bag = bag_of_words(df, key, tokens)
+    bag = checkpointed(bag_of_words(df, key, tokens))  # the texts are read once
     joined = counted_lookup(bag, document_frequency(bag).select("term", "n_docs"), ["term"], "n_docs", F.col(key))
     return joined.select(key, "term", "n", (F.col("n") * F.log(F.lit(float(n_docs + 1)) / (F.col("n_docs") + 1))).alias("weight"))
 
 
-def tf_idf_l2(df: DataFrame, key: str, tokens: str, max_df: float = 0.95, top: int = 1000) -> DataFrame:
-    """Smoothed weights n · (ln((1 + N) / (1 + df)) + 1) of the ``top`` most frequent terms, rows scaled to length 1."""
+def tf_idf_l2(df: DataFrame, key: str, tokens: str, max_df: float = 0.95, top: int | None = None) -> DataFrame:
+    """Smoothed weights n · (ln((1 + N) / (1 + df)) + 1), rows scaled to length 1; of all terms, or the ``top`` most frequent ones."""
     n_docs = df.count()
-    bag = bag_of_words(df, key, tokens)
-    kept = document_frequency(bag).filter(F.col("n_docs") <= max_df * n_docs).orderBy(F.desc("frequency"), "term").limit(top)
-    joined = bag.join(F.broadcast(kept.select("term", "n_docs")), "term")
+    bag = checkpointed(bag_of_words(df, key, tokens))
+    kept = document_frequency(bag).filter(F.col("n_docs") <= max_df * n_docs)
+    if top is not None:
+        kept = kept.orderBy(F.desc("frequency"), "term").limit(top)
+    joined = counted_lookup(bag, kept.select("term", "n_docs"), ["term"], "n_docs", F.col(key)).filter(F.col("n_docs").isNotNull())
     weighted = joined.withColumn("_w", F.col("n") * (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("n_docs"))) + 1))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("_w") / length).alias("weight"))
@@ -121,15 +124,16 @@ def doc2bow(df: DataFrame, key: str, tokens: str, terms: DataFrame) -> DataFrame
     return joined.filter(F.col("term_id").isNotNull()).select(key, "term_id", "n")
 
 
-def training_vocab(df: DataFrame, tokens: str, min_count: int = 5, max_words: int = 100_000) -> DataFrame:
-    """(term, id): words by (count, word) descending, numbered after the special symbols."""
+def training_vocab(df: DataFrame, tokens: str, min_count: int = 5, max_words: int | None = None) -> DataFrame:
+    """(term, id): words by (count, word) descending, numbered after the special symbols; all words unless the caller sets a limit."""
     spark = df.sparkSession
-    counted = term_frequency(df, tokens).filter(F.col("frequency") >= min_count)
-    best = counted.orderBy(F.desc("frequency"), F.desc("term")).limit(max_words)
-    # at most max_words rows, so one window task is enough
-    numbered = best.withColumn("id", F.row_number().over(Window.orderBy(F.desc("frequency"), F.desc("term"))) - 1 + len(V.VOCAB_SYMBOLS))
-    symbols = spark.createDataFrame([(s, i) for i, s in enumerate(V.VOCAB_SYMBOLS)], "term string, id int")
-    return symbols.unionByName(numbered.select("term", "id"))
+    order = [F.desc("frequency"), F.desc("term")]
+    kept = term_frequency(df, tokens).filter(F.col("frequency") >= min_count)
+    if max_words is not None:
+        kept = kept.orderBy(*order).limit(max_words)
+    numbered = global_position(kept, order, "_pos").select("term", (F.col("_pos") - 1 + len(V.VOCAB_SYMBOLS)).alias("id"))
+    symbols = spark.createDataFrame([(s, i) for i, s in enumerate(V.VOCAB_SYMBOLS)], "term string, id long")
+    return symbols.unionByName(numbered)
 
 
 def _regroup(rows: DataFrame, key: str, value: Column, out: str) -> DataFrame:
@@ -236,25 +240,23 @@ def join_collocations(df: DataFrame, key: str, tokens: str, pairs: DataFrame, de
     """(key, phrases): kept pairs joined from the left; a token belongs to one pair at most."""
     rows = _pair_rows(df, tokens, [key])
     hits = lookup(rows, pairs.select("a", "b"), ["a", "b"], F.struct(key, "pos"), how="inner")
-    at = hits.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_at"))
-    joined = df.select(key, tokens).join(at, key, "left")
-    greedy = F.aggregate(
-        F.coalesce("_at", F.array().cast("array<int>")),
-        F.array().cast("array<int>"),
-        lambda acc, p: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) == p - 1), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-
-    def rebuilt(arr: Column) -> Column:
-        starts = F.col("_starts")
-        marked = F.transform(
-            arr,
-            lambda t, i: F.when(F.array_contains(starts, i), F.concat(t, F.lit(delimiter), F.get(arr, i + 1))).when(
-                ~F.array_contains(starts, i - 1), t
-            ),
-        )
-        return F.filter(marked, lambda t: t.isNotNull())
-
-    return joined.withColumn("_starts", greedy).select(key, let(F.col(tokens), rebuilt).alias(out))
+    at = hits.groupBy(key).agg(F.collect_list("pos").alias("_at"))
+
+    @F.pandas_udf("array<string>")
+    def joined(words: pd.Series, starts: pd.Series) -> pd.Series:
+        def walk(own, at_):
+            if own is None:
+                return None
+            heads, phrases, i = set(() if at_ is None else at_), [], 0
+            while i < len(own):
+                step = 2 if i in heads else 1
+                phrases.append(delimiter.join(own[i : i + step]))
+                i += step
+            return phrases
+
+        return pd.Series([walk(a, b) for a, b in zip(words, starts, strict=True)])
+
+    return df.select(key, tokens).join(at, key, "left").select(key, joined(F.col(tokens), F.col("_at")).alias(out))
 
 
 # ---------------------------------------------------------------- reports

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import masks as M
 from ..functions import spans as S
@@ -154,7 +156,8 @@ def consistent(
     read them, so the detectors run over the texts a single time.
     """
     if scope == "document":
-        return df.withColumn(out, S.replace_spans(F.col(text), F.col(spans), _numbered_in_document(F.col(spans))))
+        new = df.withColumn("_new", _numbered_in_document(F.col(spans)))
+        return new.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
     found = checkpointed(pii.explode_spans(df.withColumn("_order", F.col(order or key)), spans, [key, "_order"]))
     if registry is None:
         registry = _number_pairs(found)
@@ -165,18 +168,29 @@ def consistent(
     return joined.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
 
 
-def _numbered_in_document(spans: Column):
-    pair = lambda s: F.struct(s["label"].alias("label"), s["text"].alias("text"))
-    first_seen = F.array_distinct(F.transform(F.reverse(F.array_sort(spans)), pair))
+@F.pandas_udf(ArrayType(LongType()))
+def _numbers_in_document(labels: pd.Series, texts: pd.Series) -> pd.Series:
+    """For spans in text order the number of their text among those of their label, seen from the right; one pass."""
 
-    def how(s):
-        def number(seen):
-            upto = F.slice(seen, 1, F.array_position(seen, pair(s)).cast("int"))
-            return M.pseudonym(s["label"], F.size(F.filter(upto, lambda p: p["label"] == s["label"])))
+    def number(own, words):
+        seen: dict = {}
+        per_label: dict = {}
+        out = [0] * len(own)
+        for i in range(len(own) - 1, -1, -1):
+            pair = own[i], words[i]
+            if pair not in seen:
+                seen[pair] = per_label[own[i]] = per_label.get(own[i], 0) + 1
+            out[i] = seen[pair]
+        return out
 
-        return let(first_seen, number)
+    return pd.Series([None if a is None else number(a, b) for a, b in zip(labels, texts, strict=True)])
 
-    return how
+
+def _numbered_in_document(spans: Column) -> Column:
+    """The spans in text order with their pseudonyms as text."""
+    ordered = F.array_sort(spans)
+    numbers = _numbers_in_document(F.transform(ordered, lambda s: s["label"]), F.transform(ordered, lambda s: s["text"]))
+    return F.zip_with(ordered, numbers, lambda s, n: S.span(s["start"], s["end"], M.pseudonym(s["label"], n), s["label"], F.lit(1.0)))
 
 
 # ---------------------------------------------------------------- mapping and back
@@ -332,13 +346,14 @@ def hash_column(df: DataFrame, col: str, salt: str | None = None, out: str | Non
     return df.withColumn(out or col, M.hash_text(F.col(col), salt))
 
 
-def read_reference(spark: SparkSession, path: str, limit: int = 100_000) -> dict[str, list[str]]:
-    """``value#TYPE`` lines as pools. The list goes into the plan, so its size is checked."""
+def read_reference(spark: SparkSession, path: str, limit: int | None = None) -> dict[str, list[str]]:
+    """``value#TYPE`` lines as pools. The list goes into the plan; ``limit`` makes a longer one an error."""
     lines = spark.read.text(path).filter(F.col("value").contains("#"))
     rows = lines.select(
         F.substring_index("value", "#", 1).alias("v"), F.substring_index("value", "#", -1).alias("k")
-    ).limit(limit + 1).collect()
-    if len(rows) > limit:
+    )
+    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"reference list has more than {limit} values")
     pools: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.k, r.v)):

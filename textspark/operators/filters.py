@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import detect_language, word_count
 from .scale import global_position
 
-SMALL_SLICE = 100_000
 
 
 def keep_text(df: DataFrame, col: str) -> DataFrame:
@@ -43,16 +42,16 @@ def guard_words(df: DataFrame, col: str, low: int = 4, high: int = 300, out: str
     )
 
 
-def guard_corpus(df: DataFrame, topics: int, docs: tuple[int, int] = (2, 1000), topic_range: tuple[int, int] = (2, 20), embedding: bool = False) -> DataFrame:
-    """Checks document and topic counts; reads at most one row beyond the limit."""
+def guard_corpus(df: DataFrame, topics: int, docs: tuple[int, int | None] = (2, None), topic_range: tuple[int, int] = (2, 20), embedding: bool = False) -> DataFrame:
+    """Checks document and topic counts; an upper limit of documents only where the caller sets one. Reads at most one row beyond a limit."""
     low, high = docs
     if embedding:
         low = max(low, 3)
     if not topic_range[0] <= topics <= topic_range[1]:
         raise ValueError(f"topics must be {topic_range[0]}..{topic_range[1]}, not {topics}")
-    n = df.limit(high + 1).count()
-    if n < low or n > high:
-        raise ValueError(f"documents must be {low}..{high}, found {'more' if n > high else n}")
+    n = df.limit((low if high is None else high) + 1).count()
+    if n < low or high is not None and n > high:
+        raise ValueError(f"documents must be {low}..{'' if high is None else high}, found {n if high is None or n <= high else 'more'}")
     return df
 
 
@@ -76,15 +75,7 @@ def insert_after(df: DataFrame, derived: dict[str, str]) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, order: Sequence[Column], first: int, last: int) -> DataFrame:
-    """Rows first..last-1 (0-based) of the ordered table, with their position.
-
-    Small slices near the start are a top-k; others use exact distributed positions.
-    """
-    if last <= SMALL_SLICE:
-        top = df.orderBy(*order).limit(last)
-        return global_position(top, order, "_pos").withColumn("position", F.col("_pos") - 1).drop("_pos").filter(
-            F.col("position") >= first
-        )
+    """Rows first..last-1 (0-based) of the ordered table, with their position, which is exact at any size."""
     ranked = global_position(df, order, "_pos").withColumn("position", F.col("_pos") - 1).drop("_pos")
     return ranked.filter((F.col("position") >= first) & (F.col("position") < last))
 

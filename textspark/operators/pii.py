@@ -74,12 +74,15 @@ def attach_spans(df: DataFrame, spans: DataFrame, key: str, out: str = "spans")
     return df.join(grouped, key, "left").withColumn(out, F.coalesce(F.col(out), S.no_spans()))
 
 
-def phrase_windows(df: DataFrame, key: str, col: str, longest: int = 3) -> DataFrame:
+WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_#'’-]*[\p{L}\p{N}_])?"
+
+
+def phrase_windows(df: DataFrame, key: str, col: str, longest: int) -> DataFrame:
     """(key, start, end, text, phrase) for every run of 1..longest words; ``phrase`` is the text in lower case.
 
     The whole text is left behind, so a row is as small as its phrase.
     """
-    pieces = S.match_spans(F.col(col), r"[\p{L}\p{N}_](?:[\p{L}\p{N}_#'’-]*[\p{L}\p{N}_])?", "w")
+    pieces = S.match_spans(F.col(col), WORD, "w")
 
     def runs(ws: Column) -> Column:
         def of_length(k: int) -> Column:
@@ -98,13 +101,14 @@ def phrase_windows(df: DataFrame, key: str, col: str, longest: int = 3) -> DataF
     return runs_of.select(key, F.inline_outer("_runs")).filter(F.col("start").isNotNull()).withColumn("phrase", F.lower("text"))
 
 
-def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame, longest: int = 3) -> DataFrame:
-    """Spans (start, end, text, label, confidence) of dictionary phrases.
+def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
+    """Spans (start, end, text, label, confidence) of dictionary phrases, however many words they have.
 
     ``dictionary`` has (phrase, label) with lower-case phrases. A dictionary of
     checked size is broadcast, so the text is not shuffled; a larger one is joined
     with frequent phrases spread over many tasks.
     """
+    longest = dictionary.agg(F.max(F.regexp_count("phrase", F.lit(WORD)))).first()[0] or 1
     windows = phrase_windows(df, key, col, longest)
     hits = lookup(windows, dictionary.select("phrase", "label").distinct(), ["phrase"], F.struct(key, "start"), how="inner")
     return hits.select(key, "start", "end", "text", "label", F.lit(1.0).alias("confidence"))
@@ -280,7 +284,7 @@ def validate_types(requested: Sequence[str], known: Sequence[str] = tuple(V.REPL
 
 
 def entity_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(V.ENTITY_CATALOGUE, "entity_type string, description string, example string, replacement string")
+    return spark.createDataFrame(V.ENTITY_CATALOGUE, "entity_type string, description string, examples array<string>, replacement string")
 
 
 # ---------------------------------------------------------------- profiles

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 HOT_ROWS = 100_000
 SALTS = 64
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, as in tests, a folder of the warehouse, which executors share too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return folder.rstrip("/")
 
-    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage: the table is written once to the folder the cluster names, and read again from there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """True when the table has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes; reads no more than one row beyond.
+
+    The size is that of the values as text, so long phrases and arrays count for what they are.
+    """
+    width = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in df.columns), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= BROADCAST_BYTES
 
 
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LDAModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax_index
 from ..functions.text import word_count
-from .corpus import bag_of_words, class_tf_idf, term_rows
-from .scale import checkpointed, counted_lookup, global_position, lookup, sized_broadcast, top_k
+from .corpus import bag_of_words, class_tf_idf, term_frequency, term_rows, tf_idf_l2
+from .scale import checkpointed, counted_lookup, sized_broadcast, top_k
 
 # ---------------------------------------------------------------- vectors
 
@@ -32,9 +32,17 @@ class TermVectors:
         return self.frame.sparkSession.createDataFrame(rows, "termIndex int, term string")
 
 
-def term_vectors(df: DataFrame, terms: str, vocab_size: int = 1 << 18, min_df: float = 1.0, min_tf: float = 1.0, out: str = "tf_idf_features") -> TermVectors:
-    """CountVectorizer and IDF; the vocabulary is bounded by ``vocab_size``."""
-    counter: CountVectorizerModel = CountVectorizer(inputCol=terms, outputCol="tf_features", vocabSize=vocab_size, minDF=min_df, minTF=min_tf).fit(df)
+def term_vectors(df: DataFrame, terms: str, vocab_size: int | None = None, min_df: float = 1.0, min_tf: float = 1.0, out: str = "tf_idf_features") -> TermVectors:
+    """Counts and IDF weights over the vocabulary ordered by frequency, then term, whatever the partitioning.
+
+    All terms in at least ``min_df`` documents (a share below 1) unless ``vocab_size`` is set. The
+    models behind need the vocabulary on the driver.
+    """
+    least = min_df if min_df >= 1 else min_df * df.count()
+    kept = term_rows(df.withColumn("_row", F.monotonically_increasing_id()), terms, ["_row"]).distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
+    ranked = term_frequency(df, terms).join(kept.filter(F.col("n_docs") >= least), "term").orderBy(F.desc("frequency"), "term")
+    words = [r["term"] for r in (ranked if vocab_size is None else ranked.limit(vocab_size)).select("term").collect()]
+    counter = CountVectorizerModel.from_vocabulary(words or [""], inputCol=terms, outputCol="tf_features", minTF=min_tf)
     counted = counter.transform(df)
     weighted = IDF(inputCol="tf_features", outputCol=out).fit(counted).transform(counted)
     return TermVectors(weighted, list(counter.vocabulary))
@@ -99,52 +107,84 @@ def auto_topics(vectors: TermVectors, k_range: Sequence[int], iterations: int =
 # ---------------------------------------------------------------- LSI, NMF
 
 
-def lsi(vectors: TermVectors, key: str, tokens: str, k: int = 5, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(topics, documents) by a truncated SVD of the term matrix; a document's topic has the largest absolute weight.
+def _seeded(term: Column, i: int, seed: int) -> Column:
+    """A number in [-1, 1) that depends on the term, the column and the seed only."""
+    return F.xxhash64(term, F.lit(i), F.lit(seed)) / F.lit(float(1 << 63))
+
+
+def _combined(rows: DataFrame, left: str, by: DataFrame, on: str, weight: str, k: int) -> DataFrame:
+    """(left, v): for each ``left`` the sum of the weighted vectors of its entries; summed in the task first."""
+    both = rows.join(by, on)
+    return both.groupBy(left).agg(F.array(*[F.sum(F.col(weight) * F.get("v", i)) for i in range(k)]).alias("v"))
+
+
+def _gram(vectors: DataFrame, k: int) -> np.ndarray:
+    """k x k products of the columns of (id, v)."""
+    x = [F.get("v", i) for i in range(k)]
+    row = vectors.agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
-    The distributed SVD keeps vectors of vocabulary length on the driver, which the
-    vocabulary size bounds. Documents are projected from their sparse (term, count) rows.
+
+def _turned(vectors: DataFrame, name: str, by: np.ndarray) -> DataFrame:
+    """(id, v) times a small matrix."""
+    new = [sum((F.get("v", i) * float(by[i, j]) for i in range(by.shape[0])), F.lit(0.0)) for j in range(by.shape[1])]
+    return vectors.select(name, F.array(*new).alias("v"))
+
+
+def lsi(df: DataFrame, key: str, tokens: str, k: int = 5, n: int = 10, iterations: int = 6, extra: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(topics, documents) by a truncated SVD of the term counts; a document's topic has the largest absolute weight.
+
+    Subspace iteration over (document, term, n) rows with ``extra`` further directions: each
+    round is two joins with sums, and only k x k products come to the driver. It starts from hashes
+    of the terms and the heaviest term of a topic has a positive weight, so neither partitions
+    nor the order of rows matter.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = vectors.frame.sparkSession
-    rows = vectors.frame.select("tf_features").rdd.map(lambda r: OldVectors.fromML(r[0]))
-    basis = RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()  # vocabulary × k
-    loads = [(term, [float(x) for x in basis[i]]) for i, term in enumerate(vectors.vocabulary)]
-    table = spark.createDataFrame(loads, "term string, loads array<double>")
-    heavy = table.select("term", F.posexplode("loads").alias("topic", "w")).withColumn("score", F.abs("w"))
-    best = top_k(heavy, ["topic"], [F.desc("score"), F.asc("term")], n).select("topic", "term", "score", "rank")
-    bag = lookup(bag_of_words(vectors.frame, key, tokens), table, ["term"], F.col(key), how="inner")
-    # one partial sum per (document, topic) inside each task
-    sums = bag.groupBy(key).agg(F.array(*[F.sum(F.col("n") * F.get("loads", i)) for i in range(k)]).alias("c"))
-    share = F.transform("c", lambda x: F.abs(x))
+    bag = checkpointed(bag_of_words(df, key, tokens).withColumn("n", F.col("n").cast("double")))
+    width = k + extra
+    basis = bag.select("term").distinct().select("term", F.array(*[_seeded(F.col("term"), i, seed) for i in range(width)]).alias("v"))
+    for _ in range(iterations):
+        image = checkpointed(_combined(bag, "term", _combined(bag, key, basis, "term", "n", width), key, "n", width))
+        values, turn = np.linalg.eigh(_gram(image, width))
+        safe = values > values.max(initial=0.0) * 1e-12
+        basis = _turned(image, "term", np.where(safe, turn / np.sqrt(np.where(safe, values, 1.0)), 0.0))
+    basis = checkpointed(basis)
+    values, turn = np.linalg.eigh(_gram(_combined(bag, key, basis, "term", "n", width), width))
+    basis = checkpointed(_turned(basis, "term", turn[:, np.argsort(-values)[:k]]))
+    heavy = basis.select("term", F.posexplode("v").alias("topic", "w")).withColumn("score", F.abs("w"))
+    best = top_k(heavy, ["topic"], [F.desc(F.round("score", 9)), F.asc("term")], n).select("topic", "term", "score", "rank")
+    sums = _combined(bag, key, basis, "term", "n", k)
+    share = F.transform("v", lambda x: F.abs(x))
     docs = sums.select(key, argmax_index(share).alias("topic"), F.array_max(share).alias("probability"))
-    everyone = vectors.frame.select(key).join(docs, key, "left")
+    everyone = df.select(key).join(docs, key, "left")
     return best, everyone.select(key, F.coalesce("topic", F.lit(0)).alias("topic"), F.coalesce("probability", F.lit(0.0)).alias("probability"))
 
 
-def nmf(df: DataFrame, key: str, tokens: str, k: int = 5, iterations: int = 10, seed: int = 42, top: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(topics, documents) by a non-negative factorisation of the TF-IDF entries.
+def nmf(df: DataFrame, key: str, tokens: str, k: int = 5, iterations: int = 20, seed: int = 42, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(topics, documents) by a non-negative factorisation of the TF-IDF entries, absent ones as zeros.
 
-    ALS treats the weights as confidences (implicit preferences), so absent entries
-    count as zeros with low confidence. A document's share is w / Σw.
+    Multiplicative updates over (document, term, weight) rows: each is a join with sums, and
+    the k x k products alone come to the driver. Keys may be of any type. A document's share is w / sum of w.
     """
-    from .corpus import tf_idf_l2
-
-    weights = tf_idf_l2(df, key, tokens, top=top)
-    terms = weights.select("term").distinct().withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("int"))  # at most ``top`` rows
-    # ALS needs int ids: positions instead of the keys
-    ids = global_position(df.select(key), [F.col(key)], "doc_id_").withColumn("doc_id_", F.col("doc_id_").cast("int"))
-    ratings = weights.join(F.broadcast(terms), "term").join(ids, key).select(F.col("doc_id_").alias("d"), F.col("term_id").alias("t"), F.col("weight").cast("float").alias("w"))
-    model = ALS(rank=k, maxIter=iterations, regParam=0.01, implicitPrefs=True, alpha=40.0, nonnegative=True, userCol="d", itemCol="t", ratingCol="w", seed=seed).fit(ratings)
-    loads = model.itemFactors.withColumnRenamed("id", "term_id").join(F.broadcast(terms), "term_id")
-    rows = loads.select("term", F.posexplode("features").alias("topic", "score")).withColumn("score", F.col("score").cast("double"))
-    topics = top_k(rows, ["topic"], [F.desc("score"), F.asc("term")], 10).select("topic", "term", "score", "rank")
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    docs = model.userFactors.withColumnRenamed("id", "doc_id_").join(ids, "doc_id_").select(
-        key, argmax_index(F.col("features")).alias("topic"), F.when(total > 0, F.array_max("features").cast("double") / total).otherwise(0.0).alias("probability")
-    )
+    weights = checkpointed(tf_idf_l2(df, key, tokens, top=top))
+    positive = lambda c, i: F.abs(_seeded(c, i, seed)) + 0.1
+    left = weights.select(key).distinct().select(key, F.array(*[positive(F.col(key), i) for i in range(k)]).alias("v"))
+    right = weights.select("term").distinct().select("term", F.array(*[positive(F.col("term"), i) for i in range(k)]).alias("v"))
+    left, right = checkpointed(left), checkpointed(right)
+
+    def updated(own: DataFrame, name: str, other: DataFrame, on: str) -> DataFrame:
+        gram = _gram(other, k)
+        target = _combined(weights, name, other, on, "weight", k).withColumnRenamed("v", "target")
+        below = [sum((F.get("v", i) * float(gram[i, j]) for i in range(k)), F.lit(1e-12)) for j in range(k)]
+        new = F.array(*[F.get("v", j) * F.get("target", j) / below[j] for j in range(k)])
+        return checkpointed(own.join(target, name).select(name, new.alias("v")))
+
+    for _ in range(iterations):
+        left = updated(left, key, right, "term")
+        right = updated(right, "term", left, key)
+    rows = right.select("term", F.posexplode("v").alias("topic", "score"))
+    topics = top_k(rows, ["topic"], [F.desc(F.round("score", 9)), F.asc("term")], 10).select("topic", "term", "score", "rank")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    docs = left.select(key, argmax_index(F.col("v")).alias("topic"), F.when(total > 0, F.array_max("v") / total).otherwise(0.0).alias("probability"))
     return topics, docs
 
 
@@ -187,16 +227,13 @@ def centroids(df: DataFrame, topic: str, embedding: str, dims: int) -> DataFrame
     return df.groupBy(topic).agg(F.count("*").alias("n"), F.array(*parts).alias("v"))
 
 
-def topic_similarity(vectors: DataFrame, topic: str, limit: int = 100) -> DataFrame:
-    """(a, b, cosine) of every pair of topics; topics are few, and more than ``limit`` are an error."""
-    rows = vectors.select(topic, "v").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} topics")
-    spark = vectors.sparkSession
-    pairs = [(int(x[0]), int(y[0]), list(x[1]), list(y[1])) for x in rows for y in rows]
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    table = spark.createDataFrame(pairs, "a int, b int, x array<double>, y array<double>")
-    return table.select("a", "b", (dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))).alias("cosine"))
+def topic_similarity(vectors: DataFrame, topic: str) -> DataFrame:
+    """(a, b, cosine) of every pair of topics: joined on the component, summed per pair."""
+    parts = vectors.select(topic, F.posexplode("v").alias("i", "x"))
+    length = parts.groupBy(topic).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    one = parts.join(length, topic).select(F.col(topic).alias("a"), "i", (F.col("x") / F.col("length")).alias("x"))
+    two = one.select(F.col("a").alias("b"), "i", F.col("x").alias("y"))
+    return one.join(two, "i").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
 
 
 def topic_map(vectors: DataFrame, topic: str) -> DataFrame:

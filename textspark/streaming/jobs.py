@@ -111,11 +111,14 @@ def run_corpus_job(
 
 
 def registry_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Registry rows of earlier batches only, so that a replayed batch sees what it saw before."""
-    try:
-        return spark.read.schema(REGISTRY).parquet(path).filter(F.col("batch") < batch_id)
-    except Exception:
+    """Registry rows of earlier batches only, so that a replayed batch sees what it saw before.
+
+    The first batch has none, and its folder need not be there. Later on a registry that cannot be
+    read is an error: numbering anew would give two people one pseudonym.
+    """
+    if batch_id == 0:
         return spark.createDataFrame([], REGISTRY)
+    return spark.read.schema(REGISTRY).parquet(path).filter(F.col("batch") < batch_id)
 
 
 def extend_registry(spark: SparkSession, spans: DataFrame, order: str, path: str, batch_id: int) -> DataFrame:
