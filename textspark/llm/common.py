@@ -48,13 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``fn`` over Arrow batches; a narrow step, without shuffle."""
+ROWS = 256  # rows whose Python values a task holds at once
+pa.set_memory_pool(pa.system_memory_pool())  # workers live long and are to give memory back
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str, rows: int | None = ROWS) -> DataFrame:
+    """``fn`` over Arrow batches of at most ``rows`` rows (None: as they come); a narrow step, without shuffle."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for i in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield from fn(batch.slice(i, rows))
 
     return df.mapInArrow(run, schema)
 

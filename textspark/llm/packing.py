@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm.common import arrow_map, mixed, query, table, texts, words
+from textspark.llm.common import ROWS, arrow_map, mixed, query, table, texts, words
 
 LENGTH = 2048
 END = 1
@@ -27,7 +27,7 @@ GRID = 12  # bits for each dimension
 SLOTS = 4096  # of the hashed vector
 RANGE = 1 << 23  # ids a range is meant to hold, 16 MB; a target, not a cap
 SAMPLE = 64  # sampled documents for each range
-CACHE = 400_000  # words whose ids a worker keeps
+CACHE = 100_000  # words whose ids a worker keeps
 
 
 class Tokens:
@@ -175,16 +175,13 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     docs = docs.withColumn("tie", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
     def place(batch, bounds: np.ndarray | None = None):
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            ids, tie = tokens(path).encode(texts(part.column(1))), part.column(2).to_numpy()
-            key = curve_keys(ids)
-            size = pa.array([len(x) for x in ids], pa.int64())
-            if bounds is None:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tie), size], ["key", "tie", "size"])
-            else:
-                at = np.searchsorted(bounds, np.rec.fromarrays([key, tie], names="key,tie").view(bounds.dtype))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(key), part.column(2), part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "key", "tie", "doc_id", "ids"])
+        ids, tie = tokens(path).encode(texts(batch.column(1))), batch.column(2).to_numpy()
+        key = curve_keys(ids)
+        if bounds is None:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tie), pa.array([len(x) for x in ids], pa.int64())], ["key", "tie", "size"])
+        else:
+            at = np.searchsorted(bounds, np.rec.fromarrays([key, tie], names="key,tie").view(bounds.dtype))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(key), batch.column(2), batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "key", "tie", "doc_id", "ids"])
 
     # bounds of the ranges: documents with the smallest hashes are a sample of bounded size that no partitioning changes
     chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("n")).first()["n"] or 0
@@ -212,8 +209,8 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         now, arrow = None, None
         for batch in batches:
             arrow = batch.schema.field("doc_id").type
-            for i in range(0, batch.num_rows, 256):
-                part, pieces = batch.slice(i, 256), []
+            for i in range(0, batch.num_rows, ROWS):
+                part, pieces = batch.slice(i, ROWS), []
                 for number, doc, ids in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     if now is None or now.number != number:
                         pieces += now.end() if now else []

@@ -278,7 +278,7 @@ def share_of_sets(x: bytes, y: bytes) -> float:
     return both / max(1, len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def similar_classes(keyed: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
+def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: str, text: str, width: int, similarity: float) -> DataFrame:
     """(key, root) of every distinct word sequence that is linked to another one; keys of one root are near copies.
 
     Each text has 1,024 SimHash bits of its set of shingles, cut into 32 tables of 32 bits. Two
@@ -290,8 +290,8 @@ def similar_classes(keyed: DataFrame, ids: DataFrame, doc_id: str, text: str, wi
     share = share_for(similarity)
     most = lambda lanes, sigmas: (share + sigmas * math.sqrt(share * (1 - share) / (64 * lanes))) * 64 * lanes
     rough, finer = most(CHECK, 3), most(LANES, 2.5)
-    made = with_columns(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), F.col("text"), lambda c: sketches(c, width), {"value": "binary"})
-    known = written(made.groupBy("key").agg(F.min("value").alias("value")), "sketches")
+    made = with_columns(docs.select(F.col(text).alias("text")), F.col("text"), lambda c: word_keys(c) | sketches(c, width), {"_key": "binary", "value": "binary"})
+    known = written(made.groupBy(F.col("_key").alias("key")).agg(F.min("value").alias("value")), "sketches")
     depth = depth_for(known.count(), TABLE_SHARD)
     sample = np.frombuffer(b"".join(sample_of(known, "value", depth)), np.uint32).reshape(-1, TABLES)
     trees = [fit(np.ascontiguousarray(sample[:, t]), depth, REACH) for t in range(TABLES)]
@@ -334,7 +334,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     """
     keyed = with_columns(docs, F.col(text), word_keys, {"_key": "binary"})
     ids = written(keyed.select(F.col(doc_id).alias("id"), F.col("_key").alias("key")).distinct(), "keys")
-    roots = similar_classes(keyed, ids, doc_id, text, width, similarity)
+    roots = similar_classes(docs, keyed, ids, doc_id, text, width, similarity)
     classed = ids.join(roots, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))
     kept = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
     kept = kept.select(F.col("best.id").alias("_id"), F.col("best.key").alias("_best"))

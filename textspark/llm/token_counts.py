@@ -20,7 +20,7 @@ from textspark.llm.common import query, table, with_columns
 
 BLANK = "▁"
 PENALTY = 10.0
-CACHE = 500_000
+CACHE = 150_000
 LONG = 64
 
 

@@ -126,7 +126,7 @@ def learnt(rows: DataFrame) -> dict[str, float]:
         names = [*dict.fromkeys([*seen[0], *seen[1]]), ""]  # the empty term counts rows
         yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([seen[y].get(t, 0) if t else n[y] for t in names], pa.int64()) for y in (0, 1)]], ["term", "n0", "n1"])
 
-    counts = arrow_map(rows.select("text", F.col("y").cast("int").alias("y")), run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = arrow_map(rows.select("text", F.col("y").cast("int").alias("y")), run, "term string, n0 long, n1 long", rows=None).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = counts.where((F.col("n1") > F.col("n0")) | (F.col("term") == "")).persist()
     total = counts.where(F.col("term") == "").first()
     every = rows.groupBy("y").count().collect()

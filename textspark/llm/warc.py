@@ -196,7 +196,7 @@ def merged_index(captures: DataFrame) -> DataFrame:
         columns = [pa.array([part[a] for a, _ in out], pa.int32()), *[batch.column(c).take(at) for c in INDEX], pa.array([packed(batch.slice(a, b - a)) for a, b in out], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["part", *INDEX, "block"])
 
-    blocks = arrow_map(runs, cut, runs.select(F.lit(0).alias("part"), *INDEX, F.lit(b"").alias("block")).schema)
+    blocks = arrow_map(runs, cut, runs.select(F.lit(0).alias("part"), *INDEX, F.lit(b"").alias("block")).schema, rows=None)
     ordered = blocks.repartition(F.col("part")).sortWithinPartitions("part", *INDEX)
 
     def merge(batches):
