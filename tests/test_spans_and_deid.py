@@ -273,3 +273,17 @@ def test_ngram_counts(spark):
     assert one(spark, "", lambda t: T.ngrams(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 3)) == ["a", "b", "c", "a_b", "b_c", "a_b_c"]
 
 
+
+
+def test_many_spans_in_one_document(spark):
+    n = 20_000
+    row = spark.range(1).select(F.lit("x" * (4 * n)).alias("t"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: S.span(i * 4, i * 4 + 2, F.concat(F.lit("v"), (i % 700).cast("string")), F.lit("ID"), F.lit(1.0))).alias("s"))
+    out = deid.consistent(row, "t", "t", "s", scope="document").first().deidentified
+    assert out.startswith("[ID_") and len(set(re.findall(r"ID_[0-9]+", out))) == 700
+
+
+def test_phrases_of_many_words(spark):
+    docs = spark.createDataFrame([(1, "He banked at bank of new york mellon, downtown.")], "id long, t string")
+    phrases = spark.createDataFrame([("bank of new york mellon", "ORG"), ("downtown", "PLACE")], "phrase string, label string")
+    found = pii.gazetteer_spans(docs, "id", "t", phrases).collect()
+    assert sorted((r.text, r.label) for r in found) == [("bank of new york mellon", "ORG"), ("downtown", "PLACE")]

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from textspark.functions.registry import register_functions
@@ -72,6 +74,8 @@ def test_pseudonyms_survive_batches_and_replays(spark, tmp_path):
     assert second == {3: "[EMAIL_ADDRESS_3] and [EMAIL_ADDRESS_2]"}
     assert run(two, 1) == second  # a replayed batch changes nothing
     assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|Path does not exist"):  # a lost registry does not start anew
+        jobs.pseudonymise_batch(two, 2, "file", "text", str(tmp_path / "lost"), ["EMAIL_ADDRESS"])
 
 
 def test_consistent_stream(spark, tmp_path):

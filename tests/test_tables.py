@@ -95,7 +95,11 @@ def test_readers(spark, tmp_path):
     assert [(r.file.split("/")[-1], r.text) for r in got] == [("n.txt", "line one\nline two")]
     (tmp_path / "req").mkdir()
     (tmp_path / "req" / "r.json").write_text('{"body": "{\\"data\\": [{\\"patient_id\\": \\"P1\\", \\"text\\": \\"hi\\"}]}"}')
-    assert [tuple(r) for r in readers.read_record_batch(spark, str(tmp_path / "req")).collect()] == [(0, "P1", "hi")]
+    for name, broken in (("x", "not json"), ("y", '{"data": []}'), ("z", '{"body": "no"}')):
+        (tmp_path / "req" / f"{name}.json").write_text(broken)
+    records, errors = readers.read_record_batch(spark, str(tmp_path / "req"))
+    assert [tuple(r)[1:] for r in records.collect()] == [(0, "P1", "hi")]
+    assert sorted((r.file.split("/")[-1], r.error) for r in errors.collect()) == [(f"{n}.json", "no records") for n in "xyz"]
 
 
 def test_columns(spark):
@@ -117,10 +121,10 @@ def test_writers(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{base}/c").count() == 4
     writers.write(df, f"{base}/j", "json")
     assert spark.read.json(f"{base}/j").count() == 4
-    files = spark.createDataFrame([("file:/a/note.txt", "x\ny"), ("file:/a/b", "z")], "file string, text string")
-    writers.write_mirrored(files, f"{base}/m")
-    names = {r.name: r.value for r in spark.read.text(f"{base}/m", wholetext=True).collect()}
-    assert names == {"note_deidentified.txt": "x\ny\n", "b_deidentified": "z\n"}
+    files = spark.createDataFrame([("file:/a/note.txt", "x\ny"), ("file:/a/b", "z"), ("file:/a/c/note.txt", "w")], "file string, text string")
+    writers.write_mirrored(files, f"{base}/m", root="file:/a")
+    names = {(r.folder, r.name): r.value for r in spark.read.text(f"{base}/m", wholetext=True).collect()}
+    assert names == {(None, "note_deidentified.txt"): "x\ny\n", (None, "b_deidentified"): "z\n", ("c", "note_deidentified.txt"): "w\n"}
 
 
 def test_filters(spark):

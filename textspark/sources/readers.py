@@ -70,9 +70,19 @@ def records_of(df: DataFrame, payload: str) -> DataFrame:
     )
 
 
-def read_record_batch(spark: SparkSession, path: str) -> DataFrame:
-    """One request per file."""
-    return records_of(spark.read.text(path, wholetext=True), "value")
+def unread(df: DataFrame, payload: str) -> DataFrame:
+    """Rows whose payload is not JSON or has no records, with the reason as ``error``: what ``records_of`` leaves out."""
+    outer = F.from_json(F.col(payload), BATCH)
+    inner = F.from_json(outer["body"], f"struct<data:array<{RECORD}>>")
+    data = F.coalesce(outer["data"], inner["data"])
+    kept = [c for c in df.columns if c != payload]
+    return df.filter(F.coalesce(F.size(data), F.lit(0)) < 1).select(*kept, F.lit("no records").alias("error"))
+
+
+def read_record_batch(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, errors): one request per file; a file without records is an error row with its path."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return records_of(files, "value"), unread(files, "value")
 
 
 def canonicalise(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:

@@ -27,7 +27,9 @@ def output_name(file, suffix: str = "_deidentified"):
     return F.concat(stem, F.lit(suffix), ext)
 
 
-def write_mirrored(df: DataFrame, path: str, file: str = "file", text: str = "text", suffix: str = "_deidentified") -> None:
-    """One output folder per input file, keyed by the suffixed name; a file's text stays in the task that has it."""
-    named = df.select(output_name(F.col(file), suffix).alias("name"), F.col(text).alias("value"))
-    named.write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
+def write_mirrored(df: DataFrame, path: str, file: str = "file", text: str = "text", suffix: str = "_deidentified", root: str = "") -> None:
+    """One output folder per input file, keyed by its folder (below ``root``) and the suffixed name; a file's text stays in the task that has it."""
+    whole = F.regexp_replace(F.col(file), "[^/]*$", "")
+    below = F.when(F.startswith(whole, F.lit(root)), whole.substr(F.lit(len(root) + 1), F.length(whole))).otherwise(whole)
+    named = df.select(F.trim(below, F.lit("/")).alias("folder"), output_name(F.col(file), suffix).alias("name"), F.col(text).alias("value"))
+    named.write.mode("overwrite").partitionBy("folder", "name").option("lineSep", "\n").text(path)

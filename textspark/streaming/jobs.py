@@ -17,7 +17,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..operators import pii, sentiment
 from ..operators.scale import counted_lookup, grouped_position, sized_broadcast
-from ..sources.readers import records_of
+from ..sources.readers import records_of, unread
 
 REGISTRY = "label string, text string, number bigint, batch bigint"
 
@@ -76,14 +76,13 @@ def stream_records(
     from ..plans.jobs import analyse_records
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        requests = batch.withColumnRenamed("text", "payload")
+        requests = batch.withColumnRenamed("text", "payload").persist()  # results, errors and unread ones come from it
         records = records_of(requests, "payload").withColumn("record", F.concat_ws("#", "file", F.col("position").cast("string")))
         results, errors = analyse_records(records, "record", "patient_id", "text", lexicon, entities)
-        unread = requests.join(records.select("file").distinct(), "file", "left_anti").select(
-            F.col("file").alias("record"), F.lit(None).cast("string").alias("patient_id"), F.lit("no records").alias("error")
-        )
+        empty = unread(requests, "payload").select(F.col("file").alias("record"), F.lit(None).cast("string").alias("patient_id"), "error")
         results.write.mode("overwrite").json(f"{out}/results/batch={batch_id}")
-        errors.unionByName(unread).write.mode("overwrite").json(f"{out}/errors/batch={batch_id}")
+        errors.unionByName(empty).write.mode("overwrite").json(f"{out}/errors/batch={batch_id}")
+        requests.unpersist()
 
     return _start(stream_files(spark, source).writeStream.foreachBatch(run), checkpoint, once)
 
