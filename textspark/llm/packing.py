@@ -10,11 +10,15 @@ two, which need no padding: no sequence has any.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +29,26 @@ END = 1
 DIMS = 4
 GRID = 12  # bits for each dimension
 SLOTS = 4096  # of the hashed vector
-RANGE = 1 << 23  # ids a range is meant to hold, 16 MB; a target, not a cap
+RANGE = 1 << 22  # ids a range is meant to hold, 8 MB; a target, not a cap
+RANGES = 100_000  # from here on ranges grow with the input; they are sorted with spill and stream by
 SAMPLE = 64  # sampled documents for each range
-CACHE = 100_000  # words whose ids a worker keeps
+CACHE = 400_000  # words whose ids a worker keeps, about 80 MB
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies have for each byte: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in prints else chr(next(others)) for b in range(256)}
 
 
 class Tokens:
-    """Ids of texts under a public tokenizer that never joins across white space: each word is encoded once and kept."""
+    """Ids of texts under a public tokenizer that never joins across white space: each word is encoded once and kept.
+
+    Where the tokenizer is the usual kind (composed, lower case, cut by a pattern, byte letters, ends of
+    words marked), new words are prepared here and many go to its model at once; any other word
+    or tokenizer takes the long way.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,20 +57,59 @@ class Tokens:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        self.model, self.letters = None, byte_letters()
+        parts = json.loads(self.tokenizer.to_str())
+        kinds = lambda part, name: [x["type"] for x in (part or {}).get(name, [])]
+        pattern = parts.get("pre_tokenizer")
+        if kinds(parts.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(pattern, "pretokenizers") == ["Split", "ByteLevel"] and parts["model"].get("end_of_word_suffix"):
+            own = pattern["pretokenizers"][0]["pattern"]["Regex"]
+            self.cut, self.cut_ascii = regex.compile(own), re.compile(own.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+            self.model = Tokenizer(self.tokenizer.model)
+            self.ends = np.zeros(1 << 16, bool)
+            self.ends[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith(parts["model"]["end_of_word_suffix"])]] = True
+
+    def prepared(self, word: str) -> list[str] | None:
+        """The strings that the model gets for a word; None for one that is not plain."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            return self.cut_ascii.findall(word.lower()) if word.isprintable() and "<|" not in word else None
+        if max(word) >= "\u0300" and (any(map(unicodedata.combining, word)) or not unicodedata.is_normalized("NFC", word)):
+            return None
+        if not word.isprintable() or "<|" in word:
+            return None
+        low = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()  # a final one has no form of its own there
+        parts = [low] if low.isalpha() else self.cut.findall(low)
+        return [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+
+    def learn(self, new: list[bytes]) -> None:
+        plain: list[tuple[bytes, list[str]]] = []
+        for w in new:
+            t = w.decode("utf-8", "replace")
+            parts = self.prepared(t) if self.model else None
+            if parts:
+                plain.append((w, parts))
+            else:
+                self.known[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16).tobytes()
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self.model.encode_batch_fast([[p for _, parts in part for p in parts]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            raw, ends = ids.tobytes(), (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            at = n = 0
+            for w, parts in part:
+                n += len(parts)
+                self.known[w], at = raw[at : ends[n - 1]], ends[n - 1]
 
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for body in bodies:
-            parts = words(body)
-            new = [w for w in dict.fromkeys(parts) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known.clear()
-                    new = list(dict.fromkeys(parts))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, np.uint16).tobytes()
-            out.append(np.frombuffer(b"".join([self.known[w] for w in parts]) + np.uint16(END).tobytes(), np.uint16))
-        return out
+        lists = [words(b) for b in bodies]
+        every = set().union(*lists)
+        new = [w for w in every if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(every)
+        self.learn(new)
+        end, get = np.uint16(END).tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)) + end, np.uint16) for x in lists]
 
 
 TOKENS: dict[str, Tokens] = {}  # one for each path in a worker
@@ -160,8 +216,8 @@ class Range:
         return out
 
 
-def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) for each piece; ids: unsigned 32-bit, little-endian.
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, form: str = "<u4") -> DataFrame:
+    """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) for each piece; ids in ``form``: unsigned, little-endian, of 32 or 16 bits.
 
     A document is its ids and one closing id, so a null or empty text is that one id. Each id
     lies in one piece; repeated rows are packed as often as they occur; rows of equal key and tie
@@ -185,7 +241,7 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     # bounds of the ranges: documents with the smallest hashes are a sample of bounded size that no partitioning changes
     chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("n")).first()["n"] or 0
-    ranges = max(1, -(-chars // (2 * RANGE)))
+    ranges = min(RANGES, max(1, -(-chars // (2 * RANGE))))
     most = docs.select("tie").orderBy("tie").limit(SAMPLE * ranges).agg(F.max("tie").alias("m")).first()["m"] if ranges > 1 else None
     bounds = np.zeros(0, [("key", np.int64), ("tie", np.int64)])
     if most is not None:
@@ -195,13 +251,13 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         bounds = np.rec.fromarrays([sample["key"].to_numpy()[cuts], sample["tie"].to_numpy()[cuts]], names="key,tie").view(bounds.dtype)
     schema = docs.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("key"), "tie", "doc_id", F.lit(b"").alias("ids")).schema
     dealt = arrow_map(docs, lambda b: place(b, bounds), schema)
-    ordered = dealt.repartition(F.col("part")).sortWithinPartitions("part", "key", "tie", "ids")
+    ordered = dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key", "tie", "ids")
 
     def out(pieces: list[tuple], arrow) -> pa.RecordBatch:
         columns = [
             pa.array([r[0] for r, *_ in pieces], arrow), pa.array([s for _, s, *_ in pieces], pa.int64()), pa.array([len(x) for _, _, x, *_ in pieces], pa.int64()),
             pa.array([r[1] for r, *_ in pieces], pa.int64()), pa.array([q for *_, q, _ in pieces], pa.int64()), pa.array([o for *_, o in pieces], pa.int64()),
-            pa.array([x.astype("<u4").tobytes() for _, _, x, *_ in pieces], pa.binary()),
+            pa.array([x.astype(form).tobytes() for _, _, x, *_ in pieces], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
