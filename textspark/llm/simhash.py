@@ -228,7 +228,7 @@ def sketches(column: pa.Array, width: int) -> dict[str, pa.Array]:
 
 def word_keys(column: pa.Array) -> dict[str, pa.Array]:
     """128 bits of the sequence of words: equal for exact copies."""
-    return {"_key": pa.array([xxhash.xxh3_128_digest(b" ".join(words(t.lower()))) for t in texts(column)], pa.binary())}
+    return {"_llm_key": pa.array([xxhash.xxh3_128_digest(b" ".join(words(t.lower()))) for t in texts(column)], pa.binary())}
 
 
 def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float) -> np.ndarray:
@@ -290,8 +290,8 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
     share = share_for(similarity)
     most = lambda lanes, sigmas: (share + sigmas * math.sqrt(share * (1 - share) / (64 * lanes))) * 64 * lanes
     rough, finer = most(CHECK, 3), most(LANES, 2.5)
-    made = with_columns(docs.select(F.col(text).alias("text")), F.col("text"), lambda c: word_keys(c) | sketches(c, width), {"_key": "binary", "value": "binary"})
-    known = written(made.groupBy(F.col("_key").alias("key")).agg(F.min("value").alias("value")), "sketches")
+    made = with_columns(docs.select(F.col(text).alias("text")), F.col("text"), lambda c: word_keys(c) | sketches(c, width), {"_llm_key": "binary", "value": "binary"})
+    known = written(made.groupBy(F.col("_llm_key").alias("key")).agg(F.min("value").alias("value")), "sketches")
     depth = depth_for(known.count(), TABLE_SHARD)
     sample = np.frombuffer(b"".join(sample_of(known, "value", depth)), np.uint32).reshape(-1, TABLES)
     trees = [fit(np.ascontiguousarray(sample[:, t]), depth, REACH) for t in range(TABLES)]
@@ -318,8 +318,8 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
     links = written(verified(found, known, lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= finer), "near")
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
     chosen = ids.join(ends, "key").groupBy("key").agg(F.min(F.struct("id")).alias("first")).select("key", "first.id")
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))
-    moved = keyed.select(f"`{doc_id}`", F.col(text).alias("text"), "_key").join(chosen, same).select("key", "text")
+    same = F.col("_llm_id").eqNullSafe(F.col("id")) & (F.col("_llm_key") == F.col("key"))
+    moved = keyed.select(F.col(doc_id).alias("_llm_id"), F.col(text).alias("text"), "_llm_key").join(chosen, same).select("key", "text")
     sets = with_columns(moved, F.col("text"), lambda c: {"value": pa.array([shingle_set(t, width).tobytes() for t in texts(c)], pa.binary())}, {"value": "binary"})
     sets = written(sets.select("key", "value").dropDuplicates(["key"]), "sets")
     exact = verified(links, sets, lambda x, y: share_of_sets(x, y) >= similarity)
@@ -332,11 +332,11 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Texts without words are copies of each other. Of rows with equal id and words one stays.
     Columns stay as they are.
     """
-    keyed = with_columns(docs, F.col(text), word_keys, {"_key": "binary"})
-    ids = written(keyed.select(F.col(doc_id).alias("id"), F.col("_key").alias("key")).distinct(), "keys")
+    keyed = with_columns(docs, F.col(text), word_keys, {"_llm_key": "binary"})
+    ids = written(keyed.select(F.col(doc_id).alias("id"), F.col("_llm_key").alias("key")).distinct(), "keys")
     roots = similar_classes(docs, keyed, ids, doc_id, text, width, similarity)
     classed = ids.join(roots, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))
     kept = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best"))
-    kept = kept.select(F.col("best.id").alias("_id"), F.col("best.key").alias("_best"))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_best"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_key"]).drop("_key")
+    kept = kept.select(F.col("best.id").alias("_llm_id"), F.col("best.key").alias("_llm_best"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_best"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_llm_key"]).drop("_llm_key")

@@ -197,7 +197,7 @@ def merged_index(captures: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, ["part", *INDEX, "block"])
 
     blocks = arrow_map(runs, cut, runs.select(F.lit(0).alias("part"), *INDEX, F.lit(b"").alias("block")).schema, rows=None)
-    ordered = blocks.repartition(F.col("part")).sortWithinPartitions("part", *INDEX)
+    ordered = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part", *INDEX)
 
     def merge(batches):
         def rows():
