@@ -108,6 +108,38 @@ def test_dense_cells_keep_true_neighbours():
     assert len(pairs) <= 1500 * 2 * simhash.NEAREST
 
 
+def family(base, name, size):
+    """Texts that differ in their last word."""
+    return [f"{base} {name}{i}" for i in range(size)]
+
+
+def test_groups_beside_a_larger_one_are_linked(spark):
+    rng = random.Random(21)
+    large, words = prose(rng, 400), prose(rng, 400).split()
+    chain = []
+    for step in range(6):  # neighbours differ in one run of words, others in two or more
+        words[step * 60 : step * 60 + 24] = prose(rng, 24).split()
+        chain.append(" ".join(words))
+    assert min(jaccard(a + " x", b + " y") for a, b in zip(chain, chain[1:], strict=False)) >= 0.82
+    assert max(jaccard(a, b) for i, a in enumerate(chain) for b in chain[i + 2 :]) < 0.8
+    texts = family(large, "large", 150)
+    for k, base in enumerate(chain):
+        texts += family(base, f"chain{k}", 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.first_of_each(docs).collect()} == {0, 150}
+
+
+def test_crossing_pairs_are_whole_or_named_as_open():
+    rng = np.random.default_rng(4)
+    check = rng.integers(0, 2**63, (60, simhash.CHECK), dtype=np.uint64)
+    check[20:] = check[20]  # forty equal points of four roots
+    root = np.concatenate([np.zeros(20, np.int64), np.arange(40) % 4 + 1])
+    pairs, more = simhash.crossing(root, check, 20, 100)
+    assert len(more) == 0 and {tuple(sorted(p)) for p in pairs.tolist()} == {(i, j) for i in range(20, 60) for j in range(i + 1, 60) if root[i] != root[j]}
+    pairs, more = simhash.crossing(root, check, 20, 3)
+    assert set(more.tolist()) == set(range(20, 60)) and len(pairs) == 120
+
+
 # ---------------------------------------------------------------- quality rules
 
 

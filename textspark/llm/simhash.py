@@ -201,7 +201,8 @@ TABLES = 2 * LANES
 REACH = 2
 CHECK = 6  # lanes that travel with a table's 32 bits
 TABLE_SHARD = 1 << 18  # records of 72 bytes, about 20 MB a task
-NEAREST = 4  # of a cell with many links: links kept for each point, to its nearest points and to the cell's central ones
+NEAREST = 4  # of a cell with many links: first links of each point, to its nearest points and to the cell's central ones
+WIDER = 8  # times as many partners in each further pass over what these leave unlinked
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -232,10 +233,11 @@ def word_keys(column: pa.Array) -> dict[str, pa.Array]:
 
 
 def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float) -> np.ndarray:
-    """Pairs of a cell to be compared, of which at most ``most`` check bits differ.
+    """Pairs of a cell to be compared first, of which at most ``most`` check bits differ.
 
     All pairs within ``reach`` where they are few; else a group of many copies, of which each point
     is compared with its nearest ones and with those that are nearest to the cell on average.
+    ``crossing`` gives the rest, once it is known which of them are linked.
     """
     pairs = all_links(cell, f, reach)
     if pairs is not None:
@@ -259,6 +261,29 @@ def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, m
     return np.concatenate(found)
 
 
+def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a cell with different roots, of which at most ``most`` check bits differ, and the points with more of them.
+
+    Each point gets its ``room`` nearest such partners. The members of the largest root are only
+    partners: every pair of different roots has an end outside it.
+    """
+    _, own, n = np.unique(root, return_inverse=True, return_counts=True)
+    ends = np.flatnonzero(own != n.argmax())
+    found, more = [np.zeros((0, 2), np.int64)], [ends[:0]]
+    for i in range(0, len(ends), CELL):
+        at = ends[i : i + CELL]
+        d = sum(np.bitwise_count(check[at, None, k] ^ check[None, :, k]).astype(np.int16) for k in range(check.shape[1]))
+        ok = (d <= most) & (own[at][:, None] != own[None, :])
+        over = ok.sum(1) > room
+        x, y = np.nonzero(ok & ~over[:, None])
+        found.append(np.stack([at[x], y], 1))
+        if over.any():
+            near = np.argpartition(np.where(ok[over], d[over], 32_000), room, axis=1)[:, :room]
+            found.append(np.stack([np.repeat(at[over], room), near.ravel()], 1))
+            more.append(at[over])
+    return np.concatenate(found), np.concatenate(more)
+
+
 def verified(links: DataFrame, sides: DataFrame, keep) -> DataFrame:
     """The links (a, b) for which ``keep`` holds of what ``sides`` (key, value: binary) has of both."""
     side = lambda c: sides.select(F.col("key").alias(c), F.col("value").alias(f"{c}_value"))
@@ -286,6 +311,10 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
     misses all 32 with a probability of 2 %, one of 0.85 with 0.1 %), found by one
     vantage-point tree for each table; then by 384 bits, by all bits, and at last exactly by
     their sets of shingles. Only the texts of pairs are moved for that.
+
+    Cells with many links give a few pairs for each text first. What these leave unlinked is
+    compared across the groups found, with ever more partners for each text, until each pair of
+    the cell is either compared or within one group.
     """
     share = share_for(similarity)
     most = lambda lanes, sigmas: (share + sigmas * math.sqrt(share * (1 - share) / (64 * lanes))) * 64 * lanes
@@ -309,21 +338,62 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
         part = part.combine_chunks()
         check = np.frombuffer(b"".join(part.column("check").to_pylist()), np.uint64).reshape(-1, CHECK)
         f = part.column("bits").to_numpy().view(np.uint32)
-        pairs = near_pairs(f, REACH, lambda cell: candidates(cell, f, check, REACH, rough))
-        return pa.table({"a": part.column("key").take(pa.array(pairs[:, 0])), "b": part.column("key").take(pa.array(pairs[:, 1]))})
+        dense = []
+
+        def of_cell(cell):
+            if all_links(cell, f, REACH) is None:
+                dense.append(cell)
+            return candidates(cell, f, check, REACH, rough)
+
+        pairs = near_pairs(f, REACH, of_cell)
+        members = np.concatenate([pairs[:0, 0], *dense])
+        numbers = np.repeat(np.arange(len(dense)), [len(c) for c in dense]) + (part.column("shard")[0].as_py() << 32)
+        key, none = part.column("key"), len(pairs)
+        return pa.table({
+            "cell": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(numbers, pa.int64())]),
+            "a": key.take(pa.array(np.concatenate([pairs[:, 0], members]))),
+            "b": pa.concat_arrays([key.take(pa.array(pairs[:, 1])).combine_chunks(), pa.nulls(len(members), pa.binary())]),
+            "check": pa.concat_arrays([pa.nulls(none, pa.binary()), part.column("check").take(pa.array(members)).combine_chunks()]),
+        })
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as asked."""
+        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+        links = written(verified(pairs, known, lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= finer), "near")
+        ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+        chosen = ids.join(ends, "key").groupBy("key").agg(F.min(F.struct("id")).alias("first")).select("key", "first.id")
+        same = F.col("_llm_id").eqNullSafe(F.col("id")) & (F.col("_llm_key") == F.col("key"))
+        moved = keyed.select(F.col(doc_id).alias("_llm_id"), F.col(text).alias("text"), "_llm_key").join(chosen, same).select("key", "text")
+        sets = with_columns(moved, F.col("text"), lambda c: {"value": pa.array([shingle_set(t, width).tobytes() for t in texts(c)], pa.binary())}, {"value": "binary"})
+        sets = written(sets.select("key", "value").dropDuplicates(["key"]), "sets")
+        return written(verified(links, sets, lambda x, y: share_of_sets(x, y) >= similarity), "links")
 
     dealt = arrow_map(known, deal, "shard long, key binary, bits int, check binary")
-    found = dealt.groupBy("shard").applyInArrow(search, "a binary, b binary")
-    found = written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    links = written(verified(found, known, lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= finer), "near")
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-    chosen = ids.join(ends, "key").groupBy("key").agg(F.min(F.struct("id")).alias("first")).select("key", "first.id")
-    same = F.col("_llm_id").eqNullSafe(F.col("id")) & (F.col("_llm_key") == F.col("key"))
-    moved = keyed.select(F.col(doc_id).alias("_llm_id"), F.col(text).alias("text"), "_llm_key").join(chosen, same).select("key", "text")
-    sets = with_columns(moved, F.col("text"), lambda c: {"value": pa.array([shingle_set(t, width).tobytes() for t in texts(c)], pa.binary())}, {"value": "binary"})
-    sets = written(sets.select("key", "value").dropDuplicates(["key"]), "sets")
-    exact = verified(links, sets, lambda x, y: share_of_sets(x, y) >= similarity)
-    return components(exact).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    found = written(dealt.groupBy("shard").applyInArrow(search, "cell long, a binary, b binary, check binary"), "found")
+    links = exact(found.where(F.col("cell").isNull()))
+    roots = components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    dense = found.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("key"), "check")
+    room, open_ = NEAREST, not dense.isEmpty()
+
+    def across(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        key, (_, root) = part.column("key"), np.unique(np.array(part.column("root").to_pylist(), object), return_inverse=True)
+        pairs, more = crossing(root, np.frombuffer(b"".join(part.column("check").to_pylist()), np.uint64).reshape(-1, CHECK), rough, room)
+        b = pa.concat_arrays([key.take(pa.array(pairs[:, 1])).combine_chunks(), pa.nulls(len(more), pa.binary())])
+        return pa.table({"a": key.take(pa.array(np.concatenate([pairs[:, 0], more]))), "b": b})
+
+    while open_:
+        room *= WIDER
+        marked = dense.join(roots, "key", "left").select("cell", "key", "check", F.coalesce("root", "key").alias("root"))
+        # cells within one group have nothing left
+        parted = marked.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("cell")
+        left = written(marked.join(parted, "cell", "left_semi").groupBy("cell").applyInArrow(across, "a binary, b binary"), "crossing")
+        new = exact(left.where(F.col("b").isNotNull()))
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
+        open_ = not left.where(F.col("b").isNull()).isEmpty()
+    return roots
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
