@@ -60,6 +60,17 @@ def test_what_is_not_valid_stays(value):
 
 
 def test_dates_are_permuted_among_all_days():
+@pytest.mark.parametrize(("before", "value", "after"), [
+    ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/25"), ("order 12 ", "4111 1111 1111 1111", ""), ("12 34 56 78 ", "4111-1111-1111-1111", "-99 x"),
+    ("", "ES91 2100 0418 4502 0005 1332", " OK"), ("", "BE68 5390 0754 7034", " EUR"), ("AB12 ", "BE68 5390 0754 7034", " TOTAL DUE 1234"), ("call ", "+49 (30) 1234 5678", " 9012 3456"),
+])
+def test_valid_values_beside_other_groups(before, value, after):
+    alone, kinds = pseudonyms.pseudonymise(value, "k")
+    assert len(kinds) == 1 and alone != value
+    new, found = pseudonyms.pseudonymise(before + value + after, "k")
+    assert (new, found) == (before + alone + after, kinds)
+
+
     days = [datetime.date(1900, 1, 1) + datetime.timedelta(n) for n in range(0, 73_000, 37)]
     for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"):
         new = [pseudonyms.pseudonymise(d.strftime(form), "k")[0] for d in days]
