@@ -130,6 +130,15 @@ def test_all_are_registered():
     assert queries["pipeline"] is corpus_pipeline.run and set(sql) <= set(queries)
 
 
+def test_more_overlapping_runs_than_are_admitted_at_once(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ADMIT", 3)
+    captures = spark.range(400).selectExpr("'k' AS url_key", "timestamp_seconds(id % 7) AS captured", "id AS page_id").repartition(20, "page_id")
+    rows = warc.merged_index(captures).orderBy("part", "place").collect()
+    keys = [(r["captured"], r["page_id"]) for r in rows]
+    assert keys == sorted(keys) and sorted(i for _, i in keys) == list(range(400))
+    assert [r["place"] for r in rows] == list(range(400))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, odd_docs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))

@@ -227,11 +227,11 @@ def merged_index(captures: DataFrame) -> DataFrame:
             if not alive:
                 place = 0 if waiting[0] != part else place
                 part = waiting[0]
-            while waiting and waiting[0] == part and len(alive) < 1 + len(alive) // 2 + ADMIT:
+            # one at least: its first key is not above the limit, so the merge goes on however many runs overlap
+            room = max(1 + len(alive) // 16, ADMIT - len(alive))
+            while waiting and waiting[0] == part and room:
                 alive.append(source(waiting[2]))
-                waiting = next(stream, None)
-                if len(alive) % ADMIT == 0:
-                    break
+                waiting, room = next(stream, None), room - 1
             limit = waiting[1] if waiting and waiting[0] == part else None
             tree, held = LoserTree(alive), []
             while (head := tree.peek()) is not None and (limit is None or head[0] <= limit):
