@@ -65,6 +65,23 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in rows) >= 190
 
 
+@pytest.mark.parametrize("fits", [True, False])
+def test_each_suffix_has_its_own_rate(spark, monkeypatch, fits):
+    if not fits:
+        monkeypatch.setattr(url_filter.scale, "fits", lambda *_: False)
+    n = 6000  # more domains than any table of slots
+    host, path = url_filter.host_and_path(url_filter.F.col("url"))
+    urls = spark.range(2 * n).selectExpr("concat('http://w.d', id % 6000, '.test/') AS url", "cast(id % 6000 % 2 AS int) AS label")
+    shaped = url_filter.with_shape(urls.withColumn("host", host).withColumn("path", path))
+    rates, mean = url_filter.suffix_statistics(shaped)
+    more = spark.createDataFrame([("http://other.new/", None)], "url string, label int").withColumn("host", host).withColumn("path", path)
+    rows = url_filter.with_suffixes(shaped.unionByName(url_filter.with_shape(more)), rates, mean).select("label", "long_suffix", "short_suffix").collect()
+    assert mean == 0.5 and len(rows) == 2 * n + 1
+    p = url_filter.PRIOR
+    expected = {0: p * 0.5 / (2 + p), 1: (2 + p * 0.5) / (2 + p), None: 0.5}
+    assert all(r["long_suffix"] == pytest.approx(expected[r["label"]]) and r["short_suffix"] == pytest.approx(0.5) for r in rows)
+
+
 # ---------------------------------------------------------------- archives
 
 

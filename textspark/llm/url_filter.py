@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textspark.llm.common import query, table, written
+from textspark.operators import scale
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SUFFIX_SLOTS = 4096  # hashed host suffixes: the table of their statistics has no more rows
 PRIOR = 20.0  # rows that a suffix is drawn to the mean with
 SAMPLE = 20_000  # labelled URLs the trees are fitted on
 TREES, DEPTH, STEP = 10, 4, 0.3
@@ -54,12 +54,8 @@ def entropy(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log(share(c)))
 
 
-def suffix_slot(host: Column, labels: int) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels)), F.lit(SUFFIX_SLOTS)).cast("int") + SUFFIX_SLOTS * (labels - 1)
-
-
 def with_shape(pages: DataFrame) -> DataFrame:
-    """``pages`` (with url, host, path) with the lexical features and the slots of two host suffixes."""
+    """``pages`` (with url, host, path) with the lexical features and two host suffixes."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     query_part = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     host, path = F.col("host"), F.col("path")
@@ -69,24 +65,31 @@ def with_shape(pages: DataFrame) -> DataFrame:
         (F.length(F.regexp_replace(url, "[^0-9]", "")) / F.greatest(F.length(url), F.lit(1))).alias("digits"), entropy(url).alias("entropy"),
         F.when(query_part == "", 0.0).otherwise(count_of(query_part, "&") + 1).alias("parameters"), F.length(query_part).cast("double").alias("query_length"),
         count_of(host, ".").alias("labels"), count_of(host, "-").alias("hyphens"), F.contains(url, F.lit("#")).cast("double").alias("fragment"),
-        suffix_slot(host, 1).alias("slot_1"), suffix_slot(host, 2).alias("slot_2"),
+        F.substring_index(host, ".", -1).alias("suffix_1"), F.substring_index(host, ".", -2).alias("suffix_2"),
     )
 
 
 def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """(slot, rate) of all labelled rows, drawn to the mean, and the mean; at most 2 * ``SUFFIX_SLOTS`` rows."""
-    both = labelled.select(F.explode(F.array("slot_1", "slot_2")).alias("slot"), "label")
-    sums = written(both.groupBy("slot").agg(F.sum("label").cast("double").alias("blocked"), F.count("*").alias("n")), "suffixes")
+    """(parts, suffix, rate) of all labelled rows, one row for each suffix of one or two parts, drawn to the mean; and the mean."""
+    both = labelled.select(F.explode(F.array(*[F.struct(F.lit(k).alias("parts"), F.col(f"suffix_{k}").alias("suffix")) for k in (1, 2)])).alias("s"), "label")
+    sums = written(both.groupBy("s.parts", "s.suffix").agg(F.sum("label").cast("double").alias("blocked"), F.count("*").alias("n")), "suffixes")
     total = sums.agg(F.sum("blocked").alias("b"), F.sum("n").alias("n")).first()
     mean = total["b"] / total["n"] if total["n"] else 0.5
-    return sums.select("slot", ((F.col("blocked") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("rate")), mean
+    return sums.select("parts", "suffix", ((F.col("blocked") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("rate")), mean
 
 
 def with_suffixes(shaped: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
+    """Rates of a checked size are broadcast; more are joined by shuffle, without the rows of frequent suffixes."""
     out = shaped
-    for slot, name in (("slot_1", "short_suffix"), ("slot_2", "long_suffix")):
-        named = rates.select(F.col("slot").alias(slot), F.col("rate").alias(name))
-        out = out.join(F.broadcast(named), slot, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
+    for k, name in ((1, "short_suffix"), (2, "long_suffix")):
+        suffix = f"suffix_{k}"
+        named = rates.where(F.col("parts") == k).select(F.col("suffix").alias(suffix), F.col("rate").alias(name))
+        if scale.fits(named):
+            out = out.join(F.broadcast(named), suffix, "left")
+        else:
+            times = shaped.groupBy(suffix).agg(F.count("*").alias("_times"))
+            out = scale.counted_lookup(out, times.join(named, suffix), [suffix], "_times", F.col("url")).drop("_times")
+        out = out.withColumn(name, F.coalesce(name, F.lit(mean)))
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(out)
 
 
