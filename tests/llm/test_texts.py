@@ -1,3 +1,4 @@
+import math
 import datetime
 import random
 import zlib
@@ -59,7 +60,6 @@ def test_what_is_not_valid_stays(value):
     assert pseudonyms.pseudonymise(f"x {value} y", "k") == (f"x {value} y", [])
 
 
-def test_dates_are_permuted_among_all_days():
 @pytest.mark.parametrize(("before", "value", "after"), [
     ("", "4111 1111 1111 1111", " 123"), ("", "4111 1111 1111 1111", " 12/25"), ("order 12 ", "4111 1111 1111 1111", ""), ("12 34 56 78 ", "4111-1111-1111-1111", "-99 x"),
     ("", "ES91 2100 0418 4502 0005 1332", " OK"), ("", "BE68 5390 0754 7034", " EUR"), ("AB12 ", "BE68 5390 0754 7034", " TOTAL DUE 1234"), ("call ", "+49 (30) 1234 5678", " 9012 3456"),
@@ -71,6 +71,7 @@ def test_valid_values_beside_other_groups(before, value, after):
     assert (new, found) == (before + alone + after, kinds)
 
 
+def test_dates_are_permuted_among_all_days():
     days = [datetime.date(1900, 1, 1) + datetime.timedelta(n) for n in range(0, 73_000, 37)]
     for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"):
         new = [pseudonyms.pseudonymise(d.strftime(form), "k")[0] for d in days]
@@ -278,6 +279,23 @@ def test_toxic_words_are_learnt_and_folded(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_scores_are_those_of_all_labels_whatever_the_sample(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1200):
+        toxic = i % 12 == 0
+        words = prose(rng, 40).split()
+        for _ in range(2 * toxic + (rng.random() < 0.04)):
+            words.insert(rng.randrange(len(words)), "grumblefink")
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole = {r["doc_id"]: r["score"] for r in toxicity.classified(docs, docs, "toxic", 4, 2).collect()}
+    monkeypatch.setattr(toxicity, "SAMPLE", 70)
+    part = {r["doc_id"]: r["score"] for r in toxicity.classified(docs, docs, "toxic", 4, 2).collect()}
+    odds = [math.log(part[i] / (1 - part[i])) - math.log(whole[i] / (1 - whole[i])) for i, _, y in rows if not y]
+    assert abs(sum(odds) / len(odds)) < 1.0  # unweighted classes shift them by the log of eleven
+
+
 def test_folding():
     assert toxicity.folded("Y0u 1diot! Іdiоt tr@sh, $cum$$$ 1234 (É)") == " you idiot idiot trash scum e "
     assert toxicity.folded("") == "  "

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm.common import arrow_map, fold, query, table, with_columns
+from textspark.llm.common import arrow_map, fold, query, table, with_columns, written
 
 SAMPLE = 4000  # labelled rows of each class to learn the terms from
 TERMS = 2000  # the most that a lexicon has
@@ -106,12 +106,13 @@ class Lexicon:
 # ---------------------------------------------------------------- learning
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``SAMPLE`` ids of each class outside the fold, those with the smallest hashes."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, text, y) of at most ``SAMPLE`` ids of each class outside the fold, those with the smallest hashes; and how many ids one of a class stands for."""
     known = labels.where((fold(F.col("doc_id"), folds) != held) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    known = known.withColumn("h", F.xxhash64("doc_id"))
+    known = written(known.withColumn("h", F.xxhash64("doc_id")), "labels")
+    stands = {int(r["y"]): max(1.0, r["count"] / SAMPLE) for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(SAMPLE) for y in (0, 1)]
-    return docs.join(F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "y")), "doc_id")  # 2 * SAMPLE rows at most
+    return docs.join(F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", "y")), "doc_id"), stands  # 2 * SAMPLE labels at most
 
 
 def learnt(rows: DataFrame) -> dict[str, float]:
@@ -127,7 +128,7 @@ def learnt(rows: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([seen[y].get(t, 0) if t else n[y] for t in names], pa.int64()) for y in (0, 1)]], ["term", "n0", "n1"])
 
     counts = arrow_map(rows.select("text", F.col("y").cast("int").alias("y")), run, "term string, n0 long, n1 long", rows=None).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.where((F.col("n1") > F.col("n0")) | (F.col("term") == "")).persist()
+    counts = counts.where((F.col("n1") >= 8) | (F.col("term") == "")).persist()
     total = counts.where(F.col("term") == "").first()
     every = rows.groupBy("y").count().collect()
     n = {int(r["y"]): r["count"] for r in every}
@@ -151,12 +152,12 @@ def learnt(rows: DataFrame) -> dict[str, float]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Newton's method; x with a column of ones."""
+def logistic(x: np.ndarray, y: np.ndarray, stands: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+    """Newton's method; x with a column of ones, ``stands`` with how many rows each stands for."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (stands * (y - p)) - ridge * w)
     return w
 
 
@@ -169,12 +170,14 @@ def classified(docs: DataFrame, labels: DataFrame, label: str, folds: int, held:
     """(doc_id, held_out, score, predicted, weight, n_words, matched) for each row.
 
     Terms are learnt from at most ``SAMPLE`` labelled rows of each class outside fold ``held``, the
-    logistic from the same rows; one label, the largest, for an id. Null and empty texts match
+    logistic from the same rows, weighted so that each class counts as it does among all labels;
+    one label, the largest, for an id. Null and empty texts match
     nothing and get the score of that; rows with a null id are scored, not learnt from; without
     labels of both classes all scores are 0.5.
     """
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = labelled(plain, labels, label, folds, held).persist()
+    rows, stands = labelled(plain, labels, label, folds, held)
+    rows = rows.persist()
     lexicon = Lexicon(learnt(rows), exceptions)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -186,7 +189,8 @@ def classified(docs: DataFrame, labels: DataFrame, label: str, folds: int, held:
     seen = with_columns(rows, F.col("text"), run, names).select("weight", "n_words", "y").toPandas()
     rows.unpersist()
     both = seen["y"].nunique() == 2
-    w = logistic(inputs(seen["weight"].to_numpy(), seen["n_words"].to_numpy()), seen["y"].to_numpy(float)).tolist() if both else [0.0] * 4
+    weights = seen["y"].astype(int).map(stands).to_numpy(float)
+    w = logistic(inputs(seen["weight"].to_numpy(), seen["n_words"].to_numpy()), seen["y"].to_numpy(float), weights).tolist() if both else [0.0] * 4
     a, n = F.col("weight"), F.col("n_words")
     z = F.lit(w[0]) + w[1] * F.log1p(a) + w[2] * F.log1p(100 * a / F.greatest(n, F.lit(1))) + w[3] * F.when(a > 0, F.log1p(n.cast("double"))).otherwise(0.0)
     out = with_columns(plain, F.col("text"), run, names).withColumn("score", 1 / (1 + F.exp(-z)))
