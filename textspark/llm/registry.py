@@ -6,7 +6,7 @@ import importlib
 
 from textspark.llm import common
 
-MODULES = ["pseudonyms", "url_filter", "warc", "decontaminate", "packing", "toxicity", "simhash", "quality_classifier", "token_counts", "quality_rules"]
+MODULES = ["pseudonyms", "url_filter", "warc", "decontaminate", "packing", "toxicity", "simhash", "quality_classifier", "token_counts", "quality_rules", "lexical_search", "source_audit", "byte_bpe"]
 
 
 def load() -> tuple[dict, dict]:
