@@ -28,11 +28,19 @@ MARKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).low
 
 
 def collapsed(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
-    """(lang, text, owners): each distinct text of a language once, with how often each source has it."""
+    """(lang, text, owners): each distinct text of a language once, with how often each source has it.
+
+    Copies are summed before they move. Texts move once, one of each source; a table of digests says which
+    source hands its text on, and how often each one has it.
+    """
     empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(empty(lang).alias("lang"), empty(text).alias("text"), empty(source).alias("source"))
-    once = rows.groupBy("lang", "text", "source").agg(F.count("*").alias("n"))  # copies are summed before they move
-    return once.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("owners"))  # one entry a source
+    rows = docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).alias("text"))
+    rows = rows.select("lang", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "source", "text")
+    key = ["digest", "lang", "source"]  # sorted by it: what differs most comes first
+    times = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    owners = times.groupBy("digest", "lang").agg(F.min("source").alias("source"), F.collect_list(F.struct("source", "n")).alias("owners"))  # one entry a source
+    once = rows.groupBy(*key).agg(F.first("text").alias("text"))
+    return once.join(owners.hint("merge"), key).select("lang", "text", "owners")
 
 
 def term_counts(distinct: DataFrame) -> DataFrame:
@@ -103,11 +111,13 @@ def divergence(docs: DataFrame, lang: str = "lang", source: str = "source", text
     An empty table gives no rows. Further columns are left out.
     """
     groups = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")).distinct()
-    counts = written(term_counts(collapsed(docs, lang, source, text)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
-    per_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("_docs")).where(F.col("_docs") >= least).drop("_docs")
-    per_lang = written(per_lang, "kept-terms")
-    own = counts.drop("docs").join(per_lang, ["lang", "term"])
-    langs = per_lang.groupBy("lang").agg(F.sum("n_lang").alias("total_lang"), F.count("*").alias("kept"))
+    # the tasks have summed their rows; all of a term meet once, to be added up and to see whether it is kept
+    counts = term_counts(collapsed(docs, lang, source, text)).repartition("term", "lang")
+    counts = counts.groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("term", "lang")
+    counts = counts.withColumn("_docs", F.sum("docs").over(of_term)).withColumn("n_lang", F.sum("n").over(of_term))
+    own = written(counts.where(F.col("_docs") >= least).select("lang", "term", "source", "n", "n_lang"), "kept-terms")
+    langs = own.groupBy("lang").agg(F.sum("n").alias("total_lang"), F.count_distinct("term").alias("kept"))
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("has"))
     none = F.lit(0).cast("long")
     sizes = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
