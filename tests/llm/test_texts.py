@@ -238,6 +238,39 @@ def test_leaks_are_found_and_nothing_else(spark, odd_docs, bench):
     assert clean.columns == docs.columns and sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r["doc_id"]) for r in odd_docs.collect())
 
 
+def test_candidates_are_not_lost(spark, bench, monkeypatch):
+    """Windows near by cosine against every window as a candidate: recall of leaks on documents of its own kind."""
+    table, items = bench
+    rng = random.Random(12)
+    syllables = lambda n: " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    texts = [syllables(rng.randrange(20, 300)) for _ in range(300)]
+    for i, t in items.items():
+        for every in (3, 4, 5, 8):  # so many words have one replaced
+            w = t.split()
+            for at in range(i % every, len(w), every):
+                w[at] = syllables(1)
+            texts.append(" ".join([syllables(rng.randrange(100)), *w, syllables(rng.randrange(100))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, n = decontaminate.passage_counts(docs)
+    idf = np.log((n + 1) / (counts + 1)).astype(np.float32)
+    pieces = decontaminate.Items(list(items.items()), decontaminate.directions(docs, table.where("length(text) > 9"), idf) * idf[:, None], idf)
+    bodies = [t.encode() for t in texts]
+    found = {(m[0], pieces.ids[m[1]]) for m in decontaminate.matches(pieces, bodies)}
+    monkeypatch.setattr(decontaminate, "NEAR", -2.0)
+    every = {(m[0], pieces.ids[m[1]]) for m in decontaminate.matches(pieces, bodies)}
+    assert found <= every and len(every) > 50
+    assert len(found) >= 0.9 * len(every), (len(found), len(every))
+
+
+def test_short_items_are_phrases(spark):
+    table = spark.createDataFrame([(1, "Red, river"), (2, "stone"), (3, "red river"), (4, "...")], "item_id long, text string")
+    texts = ["a red river.", "RED-RIVER", "red wide river", "redriver", "a stone", "stones", "", None, "red red river bank stone red river"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["first_word"], r["share"]) for r in decontaminate.leaks(docs, table).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 3, 1, 1.0), (1, 1, 0, 1.0), (1, 3, 0, 1.0), (4, 2, 1, 1.0), (8, 1, 1, 1.0), (8, 2, 4, 1.0), (8, 3, 1, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, table).orderBy("doc_id").collect()] == [2, 3, 5, 6, 7]
+
+
 def test_subsequence_equals_the_plain_one():
     rng = random.Random(3)
     idf = np.ones(decontaminate.SLOTS, np.float32)
