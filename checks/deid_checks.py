@@ -11,7 +11,7 @@ from textspark.operators import deid, pii
 from textspark.resources import values as V
 
 from .base import NOTES, RE2_PATTERNS, _list, documents, lit, notes, query, spread, sql_matches, sql_replace, sql_structured, table
-from .pii_checks import NAME_SPANS_SQL, NOTE_SPANS, SOME_NAMES, sql_detectors
+from .pii_checks import NAME_SPANS_SQL, NOTE_SPANS, SOME_NAMES, sql_detectors, sql_whole_words
 from .text_checks import LANGUAGE_SQL
 
 col = F.col
@@ -353,15 +353,27 @@ def _(spark, sf):
 ROUTED = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "DATE_TIME", "PHONE_NUMBER"]
 
 
+ROUTED_WORDS = {"en": [("NRP", "this|that"), ("PERSON", "of the|in the")], "fr": [("NRP", "cette|leurs"), ("PERSON", "de la|dans le")]}
+
+
+def sql_routed(language: str, first_rank: int) -> str:
+    """Spans of the word lists of one language in texts of that language."""
+    parts = [sql_matches("routed", "doc_id", label, rf"(?i)\b(?:{words})\b", first_rank) for label, words in ROUTED_WORDS[language]]
+    return " UNION ALL ".join(f"SELECT x.* FROM ({p}) x JOIN routed r ON r.doc_id = x.doc_id AND r.language = {lit(language)} WHERE {sql_whole_words('r.text', 'x.s', 'x.e')}" for p in parts)
+
+
 @query(
     "de30_language_routed_redaction",
-    f"WITH {sql_detectors('documents', 'doc_id', ROUTED)}, r AS (SELECT doc_id, text, CASE WHEN length(trim(text)) >= 20 AND language = 'en' THEN 'en' ELSE 'fr' END AS language FROM ({LANGUAGE_SQL})) "
-    "SELECT language, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM spans) OR regexp_matches(text, CASE language WHEN 'en' THEN '(?i)\\b(this|that)\\b' ELSE '(?i)\\b(cette|leurs)\\b' END)) AS n_changed FROM r GROUP BY language",
+    f"WITH routed AS (SELECT doc_id, text, CASE WHEN length(trim(text)) >= 20 AND language = 'en' THEN 'en' ELSE 'fr' END AS language FROM ({LANGUAGE_SQL})), "
+    f"{sql_detectors('routed', 'doc_id', ROUTED)}, w AS ({sql_routed('en', 9)} UNION ALL {sql_routed('fr', 9)}), "
+    "u AS (SELECT doc_id, s, e, txt, label FROM spans UNION ALL SELECT doc_id, s, e, txt, label FROM w WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = w.doc_id AND w.s < b.e AND b.s < w.e)) "
+    + sql_replace("routed", "doc_id", "u", "'[' || label || ']'", "redacted", ", d.language"),
 )
 def _(spark, sf):
-    phrases = {"en": {"NRP": ["this", "that"]}, "fr": {"NRP": ["cette", "leurs"]}}
-    out = deid.redact_by_language(spread(documents(spark, sf)), "text", phrases, "redacted")
-    return out.groupBy("language").agg(F.count("*").alias("n"), F.count_if(col("redacted") != col("text")).alias("n_changed"))
+    """Whole texts, redacted by the patterns and by a table of phrases of each language."""
+    rows = [(of, p, label) for of, lists in ROUTED_WORDS.items() for label, words in lists for p in words.split("|")]
+    phrases = spark.createDataFrame(rows, "language string, phrase string, label string")
+    return deid.redact_by_language(spread(documents(spark, sf)), "text", phrases).select("doc_id", "language", "redacted")
 
 
 # ---------------------------------------------------------------- keywords and entities

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textspark.functions import masks as M
 from textspark.functions import spans as S
 from textspark.operators import pii
 from textspark.resources import values as V
 
-from .base import NOTES, RE2_DETECTORS, documents, lit, notes, query, spread, sql_matches, sql_structured, table
+from .base import NOTES, RE2_DETECTORS, documents, lit, notes, query, spread, sql_matches, sql_replace, sql_structured, table
 
 col = F.col
 SPAN_COLUMNS = ["CAST(start AS bigint) AS start", "CAST(`end` AS bigint) AS stop", "text", "label"]
@@ -35,9 +36,10 @@ LUHN = (
 )
 
 
-def sql_detectors(source: str, key: str, names, check_cards: bool = True, name: str = "spans") -> str:
-    """CTEs: matches, the listed-first rule, then left-to-right clearing by a recursive walk."""
-    parts = "\n UNION ALL ".join(sql_matches(source, key, n, RE2_DETECTORS[n], i) for i, n in enumerate(names))
+def sql_detectors(source: str, key: str, names, check_cards: bool = True, name: str = "spans", listed: dict[str, str] | None = None) -> str:
+    """CTEs: matches, the listed-first rule, then left-to-right clearing by a recursive walk; ``listed`` has further patterns."""
+    patterns = RE2_DETECTORS | (listed or {})
+    parts = "\n UNION ALL ".join(sql_matches(source, key, n, patterns[n], i) for i, n in enumerate(names))
     cards = f"WHERE label <> 'CREDIT_CARD' OR {LUHN}" if check_cards else ""
     rules = ""
     previous = f"{name}_r0"
@@ -80,6 +82,11 @@ def _(spark, sf):
     return pii.explode_spans(found, "spans", ["note_id"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def sql_whole_words(text: str, start: str, end: str) -> str:
+    """Condition that a match neither begins nor ends inside a word of any script."""
+    return rf"NOT regexp_matches(left({text}, CAST({start} AS BIGINT)), '[\p{{L}}\p{{N}}_][#''’-]*$') AND NOT regexp_matches(substr({text}, CAST({end} + 1 AS BIGINT), 20), '^[#''’-]*[\p{{L}}\p{{N}}_]')"
+
+
 # ---------------------------------------------------------------- gazetteer: names from a list, places from the nation table
 
 
@@ -118,6 +125,37 @@ def _(spark, sf):
 
 SOME_NAMES = "(?:" + "|".join(V.FAKE_FIRST) + ") (?:" + "|".join(V.FAKE_LAST) + ")"
 
+ALL_ENTITIES = ["PERSON", "LOCATION", "DATE_TIME", "PHONE_NUMBER", "EMAIL_ADDRESS", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "NRP"]
+
+
+@query(
+    "pi2_people_places_and_patterns",
+    f"WITH {NOTES}, {sql_detectors('notes', 'note_id', ALL_ENTITIES, listed={'PERSON': SOME_NAMES, 'LOCATION': 'NATION_[0-9]+', 'NRP': '(?i)' + chr(92) + 'b(?:chart opened|patient)' + chr(92) + 'b'})} "
+    + sql_replace("notes", "note_id", "spans", "'[' || label || ']'", "redacted"),
+)
+def _(spark, sf):
+    """Names, places and groups of people beside the patterns in one call; whole texts with their labels."""
+    listed = gazetteer(spark, sf).withColumn("label", F.when(col("label") == "NAME", "PERSON").otherwise(col("label")))
+    groups = spark.createDataFrame([("chart opened", "NRP"), ("patient", "NRP"), ("patient opened", "NRP")], "phrase string, label string")
+    found = pii.detect(spread(notes(spark, sf)), "text", ALL_ENTITIES, dictionary=listed.unionByName(groups))
+    return found.select("note_id", S.replace_spans(col("text"), col("spans"), M.label_text).alias("redacted"))
+
+
+@query(
+    "pi3_phrases_of_twelve_words",
+    r"""WITH p AS (SELECT item_id, regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ')), '[^\p{L}\p{N}]+$', '') AS phrase FROM benchmark),
+    hits AS (SELECT doc_id, text, phrase, unnest(range(1, len(parts))) AS i, parts FROM (SELECT doc_id, text, phrase, string_split(lower(text), phrase) AS parts FROM documents, (SELECT DISTINCT phrase FROM p) WHERE contains(lower(text), phrase))),
+    places AS (SELECT doc_id, text, phrase, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase) AS BIGINT) AS s FROM hits)
+    SELECT doc_id, s AS start, s + length(phrase) AS stop, substr(text, s + 1, length(phrase)) AS text, 'NRP' AS label FROM places
+    WHERE """ + sql_whole_words("text", "s", "s + length(phrase)"),
+)
+def _(spark, sf):
+    """The first twelve words of each benchmark item as a dictionary."""
+    phrase = F.regexp_replace(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 12), " ")), r"[^\p{L}\p{N}]+$", "")
+    listed = table(spark, sf, "benchmark").select(phrase.alias("phrase"), F.lit("NRP").alias("label"))
+    return pii.gazetteer_spans(spread(documents(spark, sf)), "doc_id", "text", listed).selectExpr("doc_id", *SPAN_COLUMNS)
+
+
 NOTE_SPANS = f"{NOTES}, {sql_structured('notes', 'note_id')}"
 NAME_SPANS_SQL = f""", names AS ({sql_matches('notes', 'note_id', 'NAME', SOME_NAMES)}),
   all_spans AS (SELECT note_id, s, e, txt, label FROM spans UNION ALL SELECT note_id, s, e, txt, label FROM names)"""

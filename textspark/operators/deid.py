@@ -15,6 +15,7 @@ from ..functions.expr import let, seeded_index, string_array
 from ..functions.text import detect_language
 from ..resources import values as V
 from . import pii
+from .dictionary import with_dictionary_spans
 from .scale import checkpointed, counted_lookup, grouped_position
 
 # ---------------------------------------------------------------- one replacement per span
@@ -281,21 +282,29 @@ def highlight(text: Column, spans: Column, marks: dict[str, tuple[str, str]] | N
 # ---------------------------------------------------------------- whole jobs on one column
 
 
-def redact_by_language(df: DataFrame, text: str, phrases: dict[str, dict[str, Sequence[str]]], out: str = "redacted") -> DataFrame:
-    """English texts use the English dictionaries, all others (also short ones) the French; patterns apply to both."""
+ROUTED_ENTITIES = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "DATE_TIME", "PHONE_NUMBER"]
+
+
+def redact_by_language(
+    df: DataFrame, text: str, phrases: DataFrame | dict[str, dict[str, Sequence[str]]], out: str = "redacted", languages: Sequence[str] = ("en", "fr"), default: str = "fr",
+    shortest: int = 20, key: str | None = None,
+) -> DataFrame:
+    """Texts redacted by the patterns and by the dictionary of their language; adds ``language`` too.
+
+    ``phrases`` is a table (language, phrase, label) of any size, of which only the phrases of a text's own
+    language and those without one are looked for; or short lists as {language: {label: phrases}}. Texts below ``shortest`` characters
+    and those of other languages count as ``default``. On overlap a pattern wins. Null and blank texts stay as they are.
+    """
     t = F.col(text)
-    language = F.when((F.length(F.trim(t)) >= 20) & (detect_language(t) == "en"), "en").otherwise("fr")
-    entities = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "DATE_TIME", "PHONE_NUMBER"]
-    # one column per detector keeps every expression small
-    staged = df.withColumn("_lang", language).withColumn("_regex", pii.detector_spans(t, entities))
-    staged = staged.withColumns({f"_{k}": pii.phrase_spans(t, phrases[k]) for k in ("en", "fr")})
-    listed = F.when(F.col("_lang") == "en", F.col("_en")).otherwise(F.col("_fr"))
-    return (
-        staged.withColumn("_spans", S.non_overlapping(S.prefer_first(F.col("_regex"), listed)))
-        .withColumn(out, F.when(F.length(F.trim(t)) > 0, S.replace_spans(t, F.col("_spans"), M.label_text)).otherwise(t))
-        .withColumnRenamed("_lang", "language")
-        .drop("_regex", "_spans", "_en", "_fr")
-    )
+    found = detect_language(t)
+    language = F.when((F.length(F.trim(t)) >= shortest) & found.isin(*languages), found).otherwise(default)
+    if isinstance(phrases, dict):
+        rows = [(of, p.lower(), label) for of, labels in phrases.items() for label, listed in labels.items() for p in listed]
+        phrases = df.sparkSession.createDataFrame(rows, "language string, phrase string, label string")
+    staged = with_dictionary_spans(df.withColumn("language", language), text, phrases, "language", "_listed", key)
+    spans = S.non_overlapping(S.prefer_first(pii.detector_spans(t, ROUTED_ENTITIES), S.non_overlapping(F.col("_listed"))))
+    redacted = F.when(F.length(F.trim(t)) > 0, S.replace_spans(t, F.col("_spans"), M.label_text)).otherwise(t)
+    return staged.withColumn("_spans", spans).withColumn(out, redacted).drop("_listed", "_spans")
 
 
 def redact_first(df: DataFrame, text: str, next_step, entities: Sequence[str] | None = None) -> DataFrame:

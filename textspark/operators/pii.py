@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions.expr import let, string_map
 from ..resources import values as V
-from .scale import lookup
+from .dictionary import dictionary_spans, with_dictionary_spans
 
 # ---------------------------------------------------------------- detectors
 
@@ -25,21 +26,44 @@ def passes_luhn(text: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def detector_spans(col: Column, entities: Sequence[str] | None = None, check_cards: bool = True) -> Column:
+def detector_spans(col: Column, entities: Sequence[str] | None = None, check_cards: bool = True, listed: Column | None = None) -> Column:
     """Generic detectors; where two overlap the one listed first wins.
 
-    Card numbers must pass the checksum unless ``check_cards`` is off.
+    Card numbers must pass the checksum unless ``check_cards`` is off. Entities without a
+    pattern are the labels of ``listed``, the spans of a dictionary; of two of its
+    phrases with one label the one that starts first, then the longer one, wins.
     """
     names = list(V.DETECTOR_PATTERNS) if entities is None else list(entities)
-    found = S.match_many(col, [(n, V.DETECTOR_PATTERNS[n]) for n in names])
+    unknown = [n for n in names if n not in V.DETECTOR_PATTERNS]
+    if unknown and listed is None:
+        raise ValueError(f"no pattern for {unknown}: they need a dictionary; patterns: {sorted(V.DETECTOR_PATTERNS)}")
+    parts = []
+    for by_pattern, run in groupby(names, lambda n: n in V.DETECTOR_PATTERNS):
+        run = list(run)
+        parts.append(S.match_many(col, [(n, V.DETECTOR_PATTERNS[n]) for n in run]) if by_pattern else F.array(*[S.keep_labels(listed, allow=[n]) for n in run]))
+    if entities is None and listed is not None:
+        parts.append(F.array(listed))
+    found = F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array(S.no_spans())
     if check_cards and "CREDIT_CARD" in names:
         valid = lambda s: (s["label"] != "CREDIT_CARD") | passes_luhn(s["text"])
         found = F.transform(found, lambda spans: F.filter(spans, valid))
     return S.non_overlapping(S.first_wins(found))
 
 
-def detect(df: DataFrame, col: str, entities: Sequence[str] | None = None, out: str = "spans", check_cards: bool = True) -> DataFrame:
-    return df.withColumn(out, detector_spans(F.col(col), entities, check_cards))
+def detect(
+    df: DataFrame, col: str, entities: Sequence[str] | None = None, out: str = "spans", check_cards: bool = True,
+    dictionary: DataFrame | None = None, language: str | None = None, key: str | None = None,
+) -> DataFrame:
+    """``df`` with the spans of all entities: patterns, and with a ``dictionary`` (phrase, label[, language]) its labels too,
+    such as PERSON, LOCATION and NRP.
+
+    Without ``entities`` all patterns and all labels are looked for. ``language`` names the column with the
+    language of a text; ``key`` is only needed for a dictionary of more than one shard.
+    """
+    if dictionary is None:
+        return df.withColumn(out, detector_spans(F.col(col), entities, check_cards))
+    listed = with_dictionary_spans(df, col, dictionary, language, "_listed", key)
+    return listed.withColumn(out, detector_spans(F.col(col), entities, check_cards, F.col("_listed"))).drop("_listed")
 
 
 def structured(df: DataFrame, col: str, out: str = "spans", patterns=V.STRUCTURED_PATTERNS) -> DataFrame:
@@ -77,41 +101,13 @@ def attach_spans(df: DataFrame, spans: DataFrame, key: str, out: str = "spans")
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_#'’-]*[\p{L}\p{N}_])?"
 
 
-def phrase_windows(df: DataFrame, key: str, col: str, longest: int) -> DataFrame:
-    """(key, start, end, text, phrase) for every run of 1..longest words; ``phrase`` is the text in lower case.
-
-    The whole text is left behind, so a row is as small as its phrase.
-    """
-    pieces = S.match_spans(F.col(col), WORD, "w")
-
-    def runs(ws: Column) -> Column:
-        def of_length(k: int) -> Column:
-            starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - k, F.lit(0)))
-
-            def run(i):
-                first, last = F.get(ws, i), F.get(ws, i + (k - 1))
-                phrase = S.piece(F.col(col), first["start"], last["end"]) if k > 1 else first["text"]
-                return F.struct(first["start"].alias("start"), last["end"].alias("end"), phrase.alias("text"))
-
-            return F.filter(F.transform(starts, run), lambda r: r["end"].isNotNull())
-
-        return F.concat(*[of_length(k) for k in range(1, longest + 1)])
-
-    runs_of = df.select(key, let(pieces, runs).alias("_runs"))
-    return runs_of.select(key, F.inline_outer("_runs")).filter(F.col("start").isNotNull()).withColumn("phrase", F.lower("text"))
-
-
-def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
+def gazetteer_spans(df: DataFrame, key: str, col: str, dictionary: DataFrame, language: str | None = None) -> DataFrame:
     """Spans (start, end, text, label, confidence) of dictionary phrases, however many words they have.
 
-    ``dictionary`` has (phrase, label) with lower-case phrases. A dictionary of
-    checked size is broadcast, so the text is not shuffled; a larger one is joined
-    with frequent phrases spread over many tasks.
+    ``dictionary`` has (phrase, label) with lower-case phrases, and ``language`` where a phrase
+    counts in texts of that language only, which a column of ``df`` then names.
     """
-    longest = dictionary.agg(F.max(F.regexp_count("phrase", F.lit(WORD)))).first()[0] or 1
-    windows = phrase_windows(df, key, col, longest)
-    hits = lookup(windows, dictionary.select("phrase", "label").distinct(), ["phrase"], F.struct(key, "start"), how="inner")
-    return hits.select(key, "start", "end", "text", "label", F.lit(1.0).alias("confidence"))
+    return dictionary_spans(df, key, col, dictionary, language)
 
 
 def phrase_spans(col: Column, phrases: dict[str, Sequence[str]]) -> Column:
