@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text_checks", "pii_checks", "deid_checks", "corpus_checks", "sentiment_checks", "model_checks", "series_checks", "io_checks", "invariant_checks"]
+MODULES = ["text_checks", "pii_checks", "deid_checks", "corpus_checks", "sentiment_checks", "model_checks", "series_checks", "io_checks", "invariant_checks", "streaming_checks"]
 
 
 def load() -> None:

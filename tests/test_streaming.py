@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textspark.functions.registry import register_functions
-from textspark.streaming import jobs
+from textspark.streaming import jobs, numbering
 
 
 def put(folder, **files):
@@ -88,6 +88,57 @@ def test_consistent_stream(spark, tmp_path):
     assert out == {"a.txt": "[EMAIL_ADDRESS_1]", "b.txt": "[EMAIL_ADDRESS_2] [EMAIL_ADDRESS_1]"}
 
 
+def numbered(spark, path):
+    return {(r.label, r.text): r.number for r in numbering.read_registry(spark, path).collect()}
+
+
+def by_file(spark, path):
+    return {r.file.split("/")[-1]: r.deidentified for r in spark.read.parquet(path).collect()}
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_a_new_checkpoint_gives_no_number_twice(spark, tmp_path, buckets):
+    src, reg = put(tmp_path / "in", a="a@x.org b@x.org", b="c@x.org a@x.org 123-45-6789"), str(tmp_path / "reg")
+    jobs.stream_consistent(spark, src, str(tmp_path / "o1"), str(tmp_path / "c1"), reg, once=True, buckets=buckets).awaitTermination()
+    old = numbered(spark, reg)
+    assert len(old) == 4 and len({n for (label, _), n in old.items() if label == "EMAIL_ADDRESS"}) == 3
+    put(tmp_path / "in2", d="d@x.org then c@x.org and 999-88-7777", e="e@x.org f@x.org g@x.org a@x.org")
+    # another query, even with other buckets, goes on where the registry ends
+    jobs.stream_consistent(spark, str(tmp_path / "in2"), str(tmp_path / "o2"), str(tmp_path / "c2"), reg, once=True, buckets=4 - buckets).awaitTermination()
+    new = numbered(spark, reg)
+    assert old.items() <= new.items() and len(new) == 9
+    for label in ("EMAIL_ADDRESS", "US_SSN"):
+        numbers = [n for (of, _), n in new.items() if of == label]
+        assert len(set(numbers)) == len(numbers)
+    assert by_file(spark, str(tmp_path / "o2"))["d.txt"] == f"[EMAIL_ADDRESS_{new['EMAIL_ADDRESS', 'd@x.org']}] then [EMAIL_ADDRESS_{old['EMAIL_ADDRESS', 'c@x.org']}] and [US_SSN_{new['US_SSN', '999-88-7777']}]"
+    # the first query does not know the numbers of the second, but writes to folders of its own
+    assert len(by_file(spark, str(tmp_path / "o1"))) == 2 and spark.read.option("recursiveFileLookup", True).parquet(reg).count() == 9
+
+
+def test_a_replayed_batch_gives_the_same_numbers(spark, tmp_path):
+    src, args = put(tmp_path / "in", a="b@x.org a@x.org", b="plain"), (str(tmp_path / "o"), str(tmp_path / "c"), str(tmp_path / "reg"))
+    for _ in range(2):  # the second time without the record that the batch is done
+        jobs.stream_consistent(spark, src, *args, once=True).awaitTermination()
+        first = first if _ else (by_file(spark, args[0]), numbered(spark, args[2]))
+        for name in ("0", ".0.crc"):
+            (tmp_path / "c" / "commits" / name).unlink(missing_ok=True)
+    assert (by_file(spark, args[0]), numbered(spark, args[2])) == first
+    assert first == ({"a.txt": "[EMAIL_ADDRESS_2] [EMAIL_ADDRESS_1]", "b.txt": "plain"}, {("EMAIL_ADDRESS", "a@x.org"): 1, ("EMAIL_ADDRESS", "b@x.org"): 2})
+    put(tmp_path / "in", c="c@x.org a@x.org")
+    jobs.stream_consistent(spark, src, *args, once=True).awaitTermination()
+    assert by_file(spark, args[0])["c.txt"] == "[EMAIL_ADDRESS_3] [EMAIL_ADDRESS_1]"
+
+
+def test_a_foreign_registry_is_an_error_for_batches(spark, tmp_path):
+    path = str(tmp_path / "reg")
+    one = spark.createDataFrame([(1, "a@x.org")], "file long, text string")
+    two = spark.createDataFrame([(2, "b@x.org")], "file long, text string")
+    for n, batch in enumerate((one, two)):
+        jobs.pseudonymise_batch(batch, n, "file", "text", path, ["EMAIL_ADDRESS"]).collect()
+    with pytest.raises(ValueError, match="another query"):
+        jobs.pseudonymise_batch(one, 0, "file", "text", path, ["EMAIL_ADDRESS"])
+
+
 def test_sql_functions(spark):
     names = register_functions(spark)
     row = spark.sql(

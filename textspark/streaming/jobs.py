@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..operators import pii, sentiment
 from ..operators.scale import counted_lookup, grouped_position, sized_broadcast
 from ..sources.readers import records_of, unread
+from .numbering import folder_exists, stream_numbered
 
 REGISTRY = "label string, text string, number bigint, batch bigint"
 
@@ -112,10 +113,13 @@ def run_corpus_job(
 def registry_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """Registry rows of earlier batches only, so that a replayed batch sees what it saw before.
 
-    The first batch has none, and its folder need not be there. Later on a registry that cannot be
+    The first batch has none, and its folder need not be there; rows of later batches in it are then those of
+    another query, an error. Later on a registry that cannot be
     read is an error: numbering anew would give two people one pseudonym.
     """
     if batch_id == 0:
+        if folder_exists(spark, path) and not spark.read.schema(REGISTRY).parquet(path).filter(F.col("batch") > 0).isEmpty():
+            raise ValueError(f"{path} has batches of another query: go on with its checkpoint, or use stream_consistent, which begins with its numbers")
         return spark.createDataFrame([], REGISTRY)
     return spark.read.schema(REGISTRY).parquet(path).filter(F.col("batch") < batch_id)
 
@@ -152,12 +156,10 @@ def pseudonymise_batch(batch: DataFrame, batch_id: int, key: str, text: str, reg
 
 
 def stream_consistent(
-    spark: SparkSession, source: str, out: str, checkpoint: str, registry: str, entities: Sequence[str] | None = None, once: bool = False
+    spark: SparkSession, source: str, out: str, checkpoint: str, registry: str, entities: Sequence[str] | None = None, once: bool = False, buckets: int = 1
 ) -> StreamingQuery:
-    """Arriving files with pseudonyms that stay the same between batches until the registry folder is replaced."""
+    """Arriving files with pseudonyms that stay the same between batches, and between queries on one registry folder.
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        result = pseudonymise_batch(batch, batch_id, "file", "text", registry, entities)
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return _start(stream_files(spark, source).writeStream.foreachBatch(run), checkpoint, once)
+    Numbers are in the state store of the stream; ``buckets`` spreads frequent labels over so many tasks.
+    """
+    return stream_numbered(spark, stream_files(spark, source), out, checkpoint, registry, entities, once, buckets)
