@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textspark.functions import text as T
-from textspark.operators import classify, keywords, topics
+from textspark.operators import classify, density, keywords, topics
 from textspark.operators.scale import checkpointed
 from textspark.resources import values as V
 
@@ -160,6 +160,29 @@ def _(spark, sf):
     return topics.embedding_topics(table(spark, sf, "embeddings"), "vec_id", "embedding", k=10)
 
 
+SPREAD_SQL = "p AS (SELECT vec_id, label * 0.6::DOUBLE + CAST(embedding[1] AS DOUBLE) AS x, label % 3 * 0.8::DOUBLE + CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+
+
+@query(
+    "tm9_density_topics",
+    f"""WITH RECURSIVE {SPREAD_SQL},
+    near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.15),
+    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 5),
+    links AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    named AS (SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a),
+    every AS (SELECT * FROM named UNION ALL SELECT n.a, min(m.cluster) FROM near n JOIN named m ON m.vec_id = n.b WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a),
+    sizes AS (SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, cluster) - 1 AS topic FROM every GROUP BY cluster HAVING count(*) >= 2)
+    SELECT p.vec_id, CAST(coalesce(topic, -1) AS BIGINT) AS topic FROM p LEFT JOIN every USING (vec_id) LEFT JOIN sizes USING (cluster)""",
+)
+def _(spark, sf):
+    """Three coordinates of each embedding, parted by its label: groups of several densities, and outliers."""
+    e = lambda i: F.get("embedding", i).cast("double")
+    v = F.array(col("label") * F.lit(0.6) + e(0), col("label") % 3 * F.lit(0.8) + e(1), e(2))
+    points = table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
+    return density.density_topics(points, "vec_id", "v", 0.15, 5).select("vec_id", col("topic").cast("bigint").alias("topic"))
+
+
 def labelled(spark, sf):
     """Documents with the label of the embedding of the same number as topic; labels from 8 up and documents without one are outliers."""
     emb = table(spark, sf, "embeddings").select(col("vec_id").alias("doc_id"), F.when(col("label") >= 8, -1).otherwise(col("label")).alias("topic"))
