@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textspark.functions import text as T
 from textspark.functions.expr import string_array
-from textspark.operators import corpus
+from textspark.operators import corpus, tagger
 from textspark.resources import values as V
 
 from .base import documents, lit, query, spread, table
@@ -193,7 +193,29 @@ def tag_lexicon(spark, sf):
 
 def tagged(spark, sf):
     raw = spread(documents(spark, sf)).select("doc_id", T.tokens(col("text")).alias("tokens"))
-    return raw.join(corpus.pos_tags(raw, "doc_id", "tokens", tag_lexicon(spark, sf)), "doc_id")
+    return corpus.with_pos_tags(raw, "tokens", tag_lexicon(spark, sf))
+
+
+@query(
+    "tx15_tag_transitions",
+    f"WITH {TAGGED_SQL}, n AS (SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS before, tag FROM g) SELECT before, tag, count(*) AS n FROM n GROUP BY ALL",
+)
+def _(spark, sf):
+    return tagger.transition_counts(tagged(spark, sf), "tags")
+
+
+@query("tx15_tag_words", f"WITH {TAGGED_SQL} SELECT lower(term) AS term, tag, count(*) AS n FROM g GROUP BY ALL")
+def _(spark, sf):
+    return tagger.word_counts(tagged(spark, sf), "tokens", "tags")
+
+
+@query("tx15_tag_model", f"WITH {TAGGED_SQL} SELECT doc_id, count(*) AS n, true AS known_tags FROM g WHERE doc_id % 2 = 1 GROUP BY doc_id")
+def _(spark, sf):
+    """Every token of the other half of the documents gets one of the tags that the model was counted from."""
+    docs = tagged(spark, sf)
+    model = tagger.train_tagger(docs.where("doc_id % 2 = 0"), "tokens", "tags")
+    found = tagger.tag_rows(docs.where("doc_id % 2 = 1").select("doc_id", "tokens"), "tokens", model)
+    return found.where(F.size("tags") > 0).select("doc_id", F.size("tags").cast("bigint").alias("n"), F.forall("tags", lambda t: t.isin(*model.tags)).alias("known_tags"))
 
 
 @query("tx15_pos_tag", f"WITH {TAGGED_SQL} SELECT tag, count(*) AS n, count(DISTINCT term) AS terms FROM g GROUP BY tag")
@@ -222,8 +244,7 @@ def _(spark, sf):
 
 @query("tx18_visible_tags", f"WITH {TAGGED_SQL} SELECT doc_id, count(*) AS n FROM g WHERE tag NOT IN ('PUNCT', 'ADP', 'DET', 'CCONJ', 'PART', 'X') GROUP BY doc_id")
 def _(spark, sf):
-    shown = F.filter("tags", lambda t: ~t.isin(*V.HIDDEN_TAGS))
-    return tagged(spark, sf).select("doc_id", F.size(shown).cast("bigint").alias("n")).filter("n > 0")
+    return tagged(spark, sf).select("doc_id", F.size(T.visible_tags(col("tags"))).cast("bigint").alias("n")).filter("n > 0")
 
 
 # ---------------------------------------------------------------- collocations

@@ -258,8 +258,8 @@ def _(spark, sf):
     f"WITH {NOTES}, {sql_structured('notes', 'note_id')} SELECT (SELECT count(*) FROM notes) AS documents, count(*) AS entities, max(n) AS most, min(n) AS least FROM (SELECT *, count(*) OVER (PARTITION BY note_id) AS n FROM spans)",
 )
 def _(spark, sf):
-    df = spread(notes(spark, sf)).select(F.size(pii.structured_spans(col("text"))).cast("bigint").alias("n"))
-    return df.agg(F.count("*").alias("documents"), F.sum("n").alias("entities"), F.max("n").alias("most"), F.min("n").alias("least"))
+    df = spread(notes(spark, sf)).select(pii.structured_spans(col("text")).alias("spans"))
+    return pii.batch_totals(df, "spans")
 
 
 # ---------------------------------------------------------------- span algebra on spans derived from lineitem

@@ -8,7 +8,7 @@ from textspark.functions import masks as M
 from textspark.functions import scores as SC
 from textspark.functions import text as T
 from textspark.functions.expr import string_array
-from textspark.operators import filters
+from textspark.operators import filters, language
 from textspark.resources import values as V
 from textspark.sources import readers
 
@@ -182,6 +182,44 @@ def _(spark, sf):
     return spread(documents(spark, sf)).select("doc_id", T.detect_language(col("text")).alias("language"))
 
 
+def sql_grams(source: str, keys: str) -> str:
+    """SELECT of (keys, gram, n) with the counts of the 1- to 3-grams of the words of ``text``."""
+    return rf"""SELECT {keys}, gram, sum(m) AS n FROM (
+      SELECT {keys}, m, unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 1)), list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)))) AS gram
+      FROM (SELECT {keys}, '_' || w || '_' AS w, count(*) AS m FROM (SELECT {keys}, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM {source}) GROUP BY ALL)) WHERE gram <> '_' GROUP BY ALL"""
+
+
+PROFILES_SQL = f"""train AS (SELECT * FROM documents WHERE doc_id % 2 = 0),
+    prof AS (SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank FROM ({sql_grams('train', 'lang')}) QUALIFY rank <= 300),
+    own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS rank FROM ({sql_grams('documents', 'doc_id')}) QUALIFY rank <= 300),
+    away AS (SELECT doc_id, lang, sum(abs(coalesce(p.rank, 300 + own.rank) - own.rank)) AS d FROM own CROSS JOIN (SELECT DISTINCT lang FROM prof) LEFT JOIN prof p USING (lang, gram) GROUP BY doc_id, lang),
+    best AS (SELECT doc_id, lang FROM away QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d, lang) = 1),
+    told AS (SELECT d.doc_id, d.lang, CASE WHEN length(trim(text)) >= 10 THEN coalesce(b.lang, 'unknown') ELSE 'unknown' END AS language FROM documents d LEFT JOIN best b USING (doc_id))"""
+
+
+def by_profile(spark, sf):
+    """Languages by the profiles of every second document."""
+    docs = spread(documents(spark, sf))
+    return language.detect_by_profile(docs, "text", language.language_profiles(docs.where("doc_id % 2 = 0"), "text", "lang"))
+
+
+@query("tx19_language_profiles", f"WITH {PROFILES_SQL} SELECT lang, gram, CAST(n AS BIGINT) AS n, rank FROM prof")
+def _(spark, sf):
+    return language.language_profiles(documents(spark, sf).where("doc_id % 2 = 0"), "text", "lang").select(col("language").alias("lang"), "gram", "n", col("rank").cast("bigint").alias("rank"))
+
+
+@query("tx19_language_by_profile", f"WITH {PROFILES_SQL} SELECT doc_id, language FROM told")
+def _(spark, sf):
+    return by_profile(spark, sf).select("doc_id", "language")
+
+
+@query("tx19_profile_accuracy", f"WITH {PROFILES_SQL} SELECT lang, count(*) AS n, true AS nine_in_ten FROM told WHERE doc_id % 2 = 1 AND language <> 'unknown' GROUP BY lang")
+def _(spark, sf):
+    """Of the documents that the profiles were not counted from, nine in ten of each language are told right."""
+    held = by_profile(spark, sf).where("doc_id % 2 = 1 and language <> 'unknown'")
+    return held.groupBy("lang").agg(F.count("*").alias("n"), (F.count_if(col("lang") == col("language")) >= 0.9 * F.count("*")).alias("nine_in_ten"))
+
+
 @query(
     "pf13_filter_english",
     f"SELECT count(*) AS n_rows, count(*) FILTER (language = 'en') AS n_kept, round(count(*) FILTER (language = 'en') * 100.0 / count(*), 4) AS percent FROM ({LANGUAGE_SQL})",
@@ -342,7 +380,7 @@ def _(spark, sf):
     f"(SELECT doc_id, unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS i FROM documents) GROUP BY doc_id, w) GROUP BY doc_id",
 )
 def _(spark, sf):
-    return spread(documents(spark, sf)).select("doc_id", F.array_join(F.array_distinct(T.words(col("text"))), " ").alias("terms"))
+    return spread(documents(spark, sf)).select("doc_id", F.array_join(T.distinct_terms(T.words(col("text"))), " ").alias("terms"))
 
 
 @query(
@@ -353,17 +391,19 @@ def _(spark, sf):
     ws = T.words(col("text"))
     second = F.when(col("n_chars") % 2 == 0, F.filter(ws, lambda w: F.length(w) < 3))
     return spread(documents(spark, sf)).select(
-        "doc_id", F.array_join(F.concat(F.filter(ws, lambda w: F.length(w) > 12), F.coalesce(second, string_array([]))), " ").alias("terms")
+        "doc_id", F.array_join(T.final_terms(F.filter(ws, lambda w: F.length(w) > 12), second), " ").alias("terms")
     )
 
 
-EMB = "list_transform(embedding[1:7], lambda x: CAST(x AS DOUBLE))"
+# seven sums over all entries of an embedding, every seventh one from each start
+EMB = "list_transform(range(1, 8), lambda k: list_reduce(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: i % 7 = k % 7), lambda i: CAST(embedding[i] AS DOUBLE)), lambda a, b: a + b))"
 EMO = "[" + ", ".join(lit(x) for x in V.LABEL_SETS["emotion"]) + "]"
 SOFT = f"(SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l)) / list_sum(list_transform(l, lambda y: exp(y - list_max(l))))) AS p FROM (SELECT vec_id, {EMB} AS l FROM embeddings))"
 
 
 def _probs(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double"))
+    entry = lambda k: F.filter("embedding", lambda x, i: (i + 1) % 7 == k % 7)
+    logits = F.array(*[F.aggregate(entry(k), F.lit(0.0), lambda a, x: a + x.cast("double")) for k in range(1, 8)])
     return table(spark, sf, "embeddings").select("vec_id", SC.softmax(logits).alias("p"))
 
 
@@ -412,11 +452,11 @@ def _(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", p.alias("p")).select("vec_id", *[F.round(F.get("p", i), 9).alias(n) for i, n in enumerate(["negative", "neutral", "positive"])])
 
 
-@query("tx28_map_lookup_by_value", "SELECT vec_id, round(CAST(embedding[label % 3 + 1] AS DOUBLE), 9) AS confidence FROM embeddings")
+@query("tx28_map_lookup_by_value", "SELECT vec_id, round(CAST(embedding[label % len(embedding) + 1] AS DOUBLE), 9) AS confidence FROM embeddings")
 def _(spark, sf):
-    names = string_array(["a", "b", "c"])
-    meta = F.map_from_arrays(names, F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at(meta, F.get(names, (col("label") % 3).cast("int"))), 9).alias("confidence"))
+    names = F.transform("embedding", lambda x, i: F.concat(F.lit("label "), i.cast("string")))
+    meta = F.map_from_arrays(names, F.transform("embedding", lambda x: x.cast("double")))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(SC.label_confidence(meta, F.concat(F.lit("label "), (col("label") % F.size("embedding")).cast("string"))), 9).alias("confidence"))
 
 
 @query("tx29_star_bucket", "SELECT vec_id, CASE label % 5 + 1 WHEN 1 THEN 'negative' WHEN 2 THEN 'negative' WHEN 3 THEN 'neutral' ELSE 'positive' END AS bucket FROM embeddings")

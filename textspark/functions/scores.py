@@ -70,3 +70,8 @@ def polarity_label(compound: Column, cut: float = V.POLARITY_CUT) -> Column:
 
 def any_positive(positive_share: Column) -> Column:
     return F.when(positive_share > 0, 1).otherwise(0)
+
+
+def label_confidence(scores: Column, label: Column) -> Column:
+    """Score of the predicted label, from a map of all scores; null where the map does not have it."""
+    return F.try_element_at(scores, label)

@@ -178,14 +178,15 @@ def pos_tag(token: Column, known: Column | None = None) -> Column:
 
 def filter_pos(tokens_col: Column, tags: Column, keep: Sequence[str] = V.UNIGRAM_TAGS) -> Column:
     """Tokens whose tag (same position) is in the list."""
-    return F.filter(tokens_col, lambda t, i: F.coalesce(F.get(tags, i).isin(*keep), F.lit(False)))
+    # the tags are bound once: inside the lambda they would be made again for each token
+    return let(tags, lambda own: F.filter(tokens_col, lambda t, i: F.coalesce(F.get(own, i).isin(*keep), F.lit(False))))
 
 
 def filter_pos_ngrams(grams: Column, tag_grams: Column) -> Column:
     """Bigrams ending in adjective or noun and trigrams ending in a noun, all parts from the kept tags."""
     any_kept = "JJ|NN|NNS|VB|VBP"
     allowed = rf"^(?:{any_kept})_(?:(?:JJ|NN|NNS)|(?:{any_kept})_(?:NN|NNS))$"
-    return F.filter(grams, lambda g, i: F.coalesce(F.get(tag_grams, i).rlike(allowed), F.lit(False)))
+    return let(tag_grams, lambda own: F.filter(grams, lambda g, i: F.coalesce(F.get(own, i).rlike(allowed), F.lit(False))))
 
 
 def detect_language(col: Column, profiles: dict[str, Sequence[str]] = V.LANGUAGE_WORDS, min_chars: int = 10) -> Column:
@@ -204,3 +205,18 @@ def detect_language(col: Column, profiles: dict[str, Sequence[str]] = V.LANGUAGE
 
     guess = let(F.regexp_extract_all(F.lower(col), F.lit(r"\p{L}+"), F.lit(0)), best)
     return F.when(F.length(F.trim(col)) >= min_chars, guess).otherwise("unknown")
+
+
+def distinct_terms(terms: Column) -> Column:
+    """Distinct elements in the order in which they first occur."""
+    return F.array_distinct(terms)
+
+
+def final_terms(*arrays: Column) -> Column:
+    """Arrays one after the other; a null array has nothing to add."""
+    return F.concat(*[F.coalesce(a, string_array([])) for a in arrays])
+
+
+def visible_tags(tags: Column, hidden: Sequence[str] = V.HIDDEN_TAGS) -> Column:
+    """Tags that tables show: without those of marks, function words and unknown words."""
+    return F.filter(tags, lambda t: ~t.isin(*hidden))

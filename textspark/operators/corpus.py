@@ -12,6 +12,7 @@ from ..functions.expr import let, unnest
 from ..functions.text import pos_tag, stem
 from ..resources import values as V
 from .scale import checkpointed, counted_lookup, exact_quantiles, global_position, lookup, sized_broadcast, top_k
+from .words import looked_up
 
 # ---------------------------------------------------------------- frequencies
 
@@ -136,20 +137,10 @@ def training_vocab(df: DataFrame, tokens: str, min_count: int = 5, max_words: in
     return symbols.unionByName(numbered)
 
 
-def _regroup(rows: DataFrame, key: str, value: Column, out: str) -> DataFrame:
-    """(key, _pos, …) rows back to one array per key in position order."""
-    pairs = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), value.alias("_v")))
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(pairs)), lambda p: p["_v"]).alias(out))
-
-
-def _positions(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    return df.select(key, F.posexplode_outer(tokens).alias("_pos", "term"))
-
-
 def encode(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 1, out: str = "ids") -> DataFrame:
-    """(key, ids): token ids in text order, unknown words as 1."""
-    found = lookup(_positions(df, key, tokens), vocab.select("term", F.col("id").alias("_id")), ["term"], F.struct(key, "_pos"))
-    return _regroup(found, key, F.coalesce("_id", F.lit(unknown)), out)
+    """(key, ids): token ids in text order, unknown words as 1; looked up in the row."""
+    found = looked_up(df.select(key, tokens), tokens, vocab, "term", "id", out)
+    return found.select(key, F.transform(out, lambda i: F.coalesce(i, F.lit(unknown).cast(vocab.schema["id"].dataType))).alias(out))
 
 
 def length_buckets(df: DataFrame, ids: str, batch: int) -> DataFrame:
@@ -171,10 +162,10 @@ def length_buckets(df: DataFrame, ids: str, batch: int) -> DataFrame:
 
 
 def lemmatise(df: DataFrame, key: str, tokens: str, lemmas: DataFrame, out: str = "lemmas", distinct: bool = False) -> DataFrame:
-    """(key, lemmas): dictionary (form, lemma) applied to every token; unknown tokens stay."""
-    found = lookup(_positions(df, key, tokens), lemmas.select(F.col("form").alias("term"), "lemma"), ["term"], F.struct(key, "_pos"))
-    arrays = _regroup(found, key, F.coalesce("lemma", "term"), out)
-    return arrays.withColumn(out, F.array_distinct(out)) if distinct else arrays
+    """(key, lemmas): dictionary (form, lemma) applied to every token in the row; unknown tokens stay."""
+    found = looked_up(df.select(key, tokens), tokens, lemmas, "form", "lemma", "_lemma")
+    words = F.zip_with(F.coalesce(tokens, F.array().cast("array<string>")), "_lemma", lambda t, known: F.coalesce(known, t))
+    return found.select(key, (F.array_distinct(words) if distinct else words).alias(out))
 
 
 def parse_lemmas(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -196,14 +187,18 @@ def stem_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     return term_rows(df, tokens).distinct().withColumn("stem", stem(F.col("term")))
 
 
-def pos_tags(df: DataFrame, key: str, tokens: str, lexicon: DataFrame | None = None, out: str = "tags") -> DataFrame:
-    """(key, tags) by lexicon (term, tag), suffix rules for unknown words."""
+def with_pos_tags(df: DataFrame, tokens: str, lexicon: DataFrame | None = None, out: str = "tags") -> DataFrame:
+    """``df`` with tags by lexicon (term, tag), looked up in the row; suffix rules for unknown words."""
     if lexicon is None:
-        return df.select(key, F.transform(tokens, lambda t: pos_tag(t)).alias(out))
-    rows = _positions(df, key, tokens)
-    low = lexicon.select(F.col("term").alias("_low"), "tag")
-    found = lookup(rows.withColumn("_low", F.lower("term")), low, ["_low"], F.struct(key, "_pos"))
-    return _regroup(found, key, pos_tag(F.col("term"), F.col("tag")), out)
+        return df.withColumn(out, F.transform(tokens, lambda t: pos_tag(t)))
+    found = looked_up(df.withColumn("_low", F.transform(tokens, lambda t: F.lower(t))), "_low", lexicon, "term", "tag", "_tag")
+    tags = F.zip_with(F.coalesce(tokens, F.array().cast("array<string>")), "_tag", lambda t, known: pos_tag(t, known))
+    return found.withColumn(out, tags).drop("_low", "_tag")
+
+
+def pos_tags(df: DataFrame, key: str, tokens: str, lexicon: DataFrame | None = None, out: str = "tags") -> DataFrame:
+    """(key, tags)."""
+    return with_pos_tags(df.select(key, tokens), tokens, lexicon, out).select(key, out)
 
 
 # ---------------------------------------------------------------- collocations
@@ -237,26 +232,27 @@ def _pair_rows(df: DataFrame, tokens: str, keep: Sequence[str] = ()) -> DataFram
 
 
 def join_collocations(df: DataFrame, key: str, tokens: str, pairs: DataFrame, delimiter: str = "_", out: str = "phrases") -> DataFrame:
-    """(key, phrases): kept pairs joined from the left; a token belongs to one pair at most."""
-    rows = _pair_rows(df, tokens, [key])
-    hits = lookup(rows, pairs.select("a", "b"), ["a", "b"], F.struct(key, "pos"), how="inner")
-    at = hits.groupBy(key).agg(F.collect_list("pos").alias("_at"))
+    """(key, phrases): kept pairs joined from the left; a token belongs to one pair at most. Pairs are looked up in the row."""
+    both = lambda a, b: F.concat(a, F.lit("\x1f"), b)
+    neighbours = F.zip_with(F.col(tokens), F.slice(F.col(tokens), F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), both)
+    table = pairs.select(both(F.col("a"), F.col("b")).alias("pair"), F.lit(True).alias("_hit"))
+    found = looked_up(df.select(key, tokens, neighbours.alias("_pairs")), "_pairs", table, "pair", "_hit", "_hits")
 
     @F.pandas_udf("array<string>")
-    def joined(words: pd.Series, starts: pd.Series) -> pd.Series:
-        def walk(own, at_):
+    def joined(words: pd.Series, hits: pd.Series) -> pd.Series:
+        def walk(own, heads):
             if own is None:
                 return None
-            heads, phrases, i = set(() if at_ is None else at_), [], 0
+            phrases, i = [], 0
             while i < len(own):
-                step = 2 if i in heads else 1
+                step = 2 if heads[i] else 1
                 phrases.append(delimiter.join(own[i : i + step]))
                 i += step
             return phrases
 
-        return pd.Series([walk(a, b) for a, b in zip(words, starts, strict=True)])
+        return pd.Series([walk(a, b) for a, b in zip(words, hits, strict=True)])
 
-    return df.select(key, tokens).join(at, key, "left").select(key, joined(F.col(tokens), F.col("_at")).alias(out))
+    return found.select(key, joined(F.col(tokens), F.col("_hits")).alias(out))
 
 
 # ---------------------------------------------------------------- reports

@@ -16,6 +16,7 @@ from ..functions.text import detect_language
 from ..resources import values as V
 from . import pii
 from .dictionary import with_dictionary_spans
+from .language import detect_by_profile
 from .scale import checkpointed, counted_lookup, grouped_position
 
 # ---------------------------------------------------------------- one replacement per span
@@ -287,17 +288,18 @@ ROUTED_ENTITIES = ["EMAIL_ADDRESS", "IBAN_CODE", "CREDIT_CARD", "IP_ADDRESS", "D
 
 def redact_by_language(
     df: DataFrame, text: str, phrases: DataFrame | dict[str, dict[str, Sequence[str]]], out: str = "redacted", languages: Sequence[str] = ("en", "fr"), default: str = "fr",
-    shortest: int = 20, key: str | None = None,
+    shortest: int = 20, key: str | None = None, profiles: DataFrame | None = None,
 ) -> DataFrame:
     """Texts redacted by the patterns and by the dictionary of their language; adds ``language`` too.
 
     ``phrases`` is a table (language, phrase, label) of any size, of which only the phrases of a text's own
     language and those without one are looked for; or short lists as {language: {label: phrases}}. Texts below ``shortest`` characters
-    and those of other languages count as ``default``. On overlap a pattern wins. Null and blank texts stay as they are.
+    and those of other languages count as ``default``. Languages are told by frequent words, or by the ``profiles`` of
+    ``language_profiles``. On overlap a pattern wins. Null and blank texts stay as they are.
     """
     t = F.col(text)
-    found = detect_language(t)
-    language = F.when((F.length(F.trim(t)) >= shortest) & found.isin(*languages), found).otherwise(default)
+    df = df.withColumn("language", detect_language(t)) if profiles is None else detect_by_profile(df, text, profiles, "language")
+    language = F.when((F.length(F.trim(t)) >= shortest) & F.col("language").isin(*languages), F.col("language")).otherwise(default)
     if isinstance(phrases, dict):
         rows = [(of, p.lower(), label) for of, labels in phrases.items() for label, listed in labels.items() for p in listed]
         phrases = df.sparkSession.createDataFrame(rows, "language string, phrase string, label string")

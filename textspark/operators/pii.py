@@ -304,6 +304,13 @@ def pii_profile(df: DataFrame, spans: str, text: str) -> DataFrame:
     )
 
 
+def batch_totals(df: DataFrame, spans: str) -> DataFrame:
+    """(documents, entities, most, least): documents and entities of a batch, and the entities of the document with most and with fewest."""
+    n = F.coalesce(F.size(spans), F.lit(0)).cast("bigint")
+    counts = df.select(F.greatest(n, F.lit(0)).alias("n"))
+    return counts.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.max("n").alias("most"), F.min("n").alias("least"))
+
+
 def offsets_table(df: DataFrame, key: str, text: str, spans: str) -> DataFrame:
     """Type, score and offsets per record, with the entity count and a preview of the text."""
     from ..functions.text import preview

@@ -60,12 +60,9 @@ def topic_terms(df: DataFrame, key: str, text: str, lemmas: DataFrame | None = N
     base = df.select(key, T.normalise_tokens(T.tokens(F.col(text))).alias("tokens"))
     if lemmas is not None:
         base = corpus.lemmatise(base, key, "tokens", lemmas, out="tokens")
-    if lexicon is None:
-        tagged = base.withColumn("tags", F.transform("tokens", lambda t: T.pos_tag(t)))
-    else:
-        tagged = base.join(corpus.pos_tags(base, key, "tokens", lexicon), key)
+    tagged = corpus.with_pos_tags(base, "tokens", lexicon)
     unigrams = T.remove_stops(T.filter_pos(F.col("tokens"), F.col("tags")))
     grams = T.filter_pos_ngrams(T.ngrams(F.col("tokens"), 3), T.ngrams(F.col("tags"), 3))
     return tagged.select(key, "tokens", "tags", unigrams.alias("unigrams"), grams.alias("ngrams")).select(
-        key, "unigrams", "tags", F.concat("unigrams", "ngrams").alias("final")
+        key, "unigrams", "tags", T.final_terms(F.col("unigrams"), F.col("ngrams")).alias("final")
     )
