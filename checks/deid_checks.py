@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textspark.functions import masks as M
 from textspark.functions import spans as S
 from textspark.functions import text as T
-from textspark.operators import deid, pii
+from textspark.operators import deid, pii, pools
 from textspark.resources import values as V
 
 from .base import NOTES, RE2_PATTERNS, _list, documents, lit, notes, query, spread, sql_matches, sql_replace, sql_structured, table
@@ -129,6 +129,36 @@ def _(spark, sf):
     return deid.obfuscate(with_names(spark, sf), "text", "spans", "both", REFERENCE, 7, "out").select("note_id", "out")
 
 
+POOL_SQL = (
+    "pool AS (SELECT 'NAME' AS label, c_name AS value FROM customer UNION SELECT 'ID', p_name FROM part UNION SELECT 'PHONE', '555-' || s_suppkey FROM supplier), "
+    "num AS (SELECT label, value, row_number() OVER (PARTITION BY label ORDER BY value) - 1 AS number, count(*) OVER (PARTITION BY label) AS size FROM pool), sized AS (SELECT DISTINCT label, size FROM num)"
+)
+
+
+def pool(spark, sf):
+    """Fake values from the tables: names of customers, numbers of parts, phones made of supplier keys."""
+    values = lambda name, label, value: table(spark, sf, name).select(F.lit(label).alias("label"), value.alias("value"))
+    return values("customer", "NAME", col("c_name")).unionAll(values("part", "ID", col("p_name"))).unionAll(values("supplier", "PHONE", F.concat(F.lit("555-"), col("s_suppkey").cast("string"))))
+
+
+@query(
+    "de13_obfuscate_from_tables",
+    f"WITH {NOTE_SPANS}{NAME_SPANS_SQL}, {POOL_SQL}, named AS (SELECT a.note_id, a.s, a.e, a.txt, a.label, n.value FROM all_spans a LEFT JOIN sized z ON z.label = a.label "
+    f"LEFT JOIN num n ON n.label = a.label AND n.number = {index_sql('a.txt', 42, 'z.size')}) " + sql_replace("notes", "note_id", "named", "coalesce(x.value, '[' || label || ']')"),
+)
+def _(spark, sf):
+    return pools.obfuscate_from(with_names(spark, sf), "note_id", "text", "spans", pool(spark, sf), out="out").select("note_id", "out")
+
+
+@query(
+    "de23_columns_from_tables",
+    f"WITH {POOL_SQL} SELECT o_orderkey, n.value AS o_clerk FROM (SELECT o_orderkey, 'Clerk ' || (o_custkey % 97) AS clerk FROM orders) o, sized z JOIN num n ON n.label = z.label WHERE z.label = 'NAME' AND n.number = {index_sql('clerk', 5, 'z.size')}",
+)
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Clerk "), (col("o_custkey") % 97).cast("string")).alias("o_clerk"))
+    return pools.columns_from_pool(orders, {"o_clerk": "NAME"}, pool(spark, sf), {"o_clerk": 5})
+
+
 MODES = {"obfuscate": ["PHONE"], "mask_entity_labels": ["ID"], "skip": ["DATE"], "mask_same_length_chars": ["NAME"], "mask_fixed_length_chars": ["time"]}
 
 

@@ -18,6 +18,9 @@ from . import pii
 from .dictionary import with_dictionary_spans
 from .language import detect_by_profile
 from .scale import checkpointed, counted_lookup, grouped_position
+from .words import SHARD_WORDS, looked_up
+
+REGISTRY_SHARDS = 8
 
 # ---------------------------------------------------------------- one replacement per span
 
@@ -154,20 +157,32 @@ def consistent(
 ) -> DataFrame:
     """Equal (label, text) -> equal pseudonym over the batch, or per document with ``scope="document"``.
 
-    The span rows, small beside the texts, are written once; numbering and replacing both
-    read them, so the detectors run over the texts a single time.
+    The rows are written once with their spans, so the detectors run a single time. Pseudonyms are then looked up in the
+    row, a registry of up to ``REGISTRY_SHARDS`` shards in as many narrow passes, and no text is shuffled;
+    a larger registry is joined with the span rows, and those with the texts that have spans.
     """
     if scope == "document":
         new = df.withColumn("_new", _numbered_in_document(F.col(spans)))
         return new.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
-    found = checkpointed(pii.explode_spans(df.withColumn("_order", F.col(order or key)), spans, [key, "_order"]))
+    whole = checkpointed(df)
+    found = pii.explode_spans(whole.withColumn("_order", F.col(order or key)), spans, [key, "_order"])
     if registry is None:
-        registry = _number_pairs(found)
-    named = counted_lookup(found, registry, ["label", "text"], "n", F.struct(key, "start"))
+        registry = checkpointed(_number_pairs(found))
+    if registry.count() <= REGISTRY_SHARDS * SHARD_WORDS:
+        pair = lambda label, value: F.concat(label, F.lit("\x1f"), value)
+        ordered = whole.withColumn("_spans", F.array_sort(F.coalesce(F.col(spans), S.no_spans())))
+        keyed = ordered.withColumn("_pairs", F.transform("_spans", lambda s: pair(s["label"], s["text"])))
+        table = registry.select(pair(F.col("label"), F.col("text")).alias("pair"), F.col("number").cast("bigint").alias("number"))
+        named = looked_up(keyed, "_pairs", table, "pair", "number", "_numbers")
+        new = F.zip_with("_spans", "_numbers", lambda s, n: S.span(s["start"], s["end"], M.pseudonym(s["label"], n), s["label"], F.lit(1.0)))
+        return named.withColumn(out, S.replace_spans(F.col(text), new, lambda s: s["text"])).drop("_spans", "_pairs", "_numbers")
+    named = counted_lookup(checkpointed(found), registry, ["label", "text"], "n", F.struct(key, "start"))
     new = S.span(F.col("start"), F.col("end"), M.pseudonym(F.col("label"), F.col("number")), F.col("label"), F.lit(1.0))
     replacements = named.groupBy(key).agg(F.array_sort(F.collect_list(new)).alias("_new"))
-    joined = df.join(replacements, key, "left")
-    return joined.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
+    some = F.coalesce(F.size(spans) > 0, F.lit(False))
+    joined = whole.where(some).join(replacements, key, "left")
+    changed = joined.withColumn(out, S.replace_spans(F.col(text), F.coalesce("_new", S.no_spans()), lambda s: s["text"])).drop("_new")
+    return changed.unionByName(whole.where(~some).withColumn(out, F.col(text)))
 
 
 @F.pandas_udf(ArrayType(LongType()))

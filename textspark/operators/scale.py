@@ -62,7 +62,8 @@ def lookup(
         return fact.join(dim, list(keys), how)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    # the copies are larger than Spark thinks: it would broadcast them
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def counted_lookup(fact: DataFrame, dim: DataFrame, keys: Sequence[str], count: str, spread: Column, hot: int = HOT_ROWS) -> DataFrame:
