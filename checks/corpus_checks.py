@@ -10,7 +10,7 @@ from textspark.operators import corpus, tagger
 from textspark.resources import values as V
 
 from .base import documents, lit, query, spread, table
-from .text_checks import CONTENT, NORMALISED, TOKENS
+from .text_checks import CONTENT, NORMALISED, STOPS, TOKENS
 
 col = F.col
 
@@ -157,6 +157,15 @@ def _(spark, sf):
     return out.select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
 
 
+@query(
+    "tx3_normalise_with_lemmas",
+    f"WITH {LEMMA_SQL}, w AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN {STOPS}) AS x FROM documents)) "
+    "SELECT d.doc_id, coalesce(n, '') AS normalised FROM documents d LEFT JOIN (SELECT doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS n FROM w LEFT JOIN lm ON form = lower(w) GROUP BY doc_id) USING (doc_id)",
+)
+def _(spark, sf):
+    return corpus.normalise_text(spread(documents(spark, sf)), "text", lemma_table(spark, sf)).select("doc_id", "normalised")
+
+
 @query("jn3_dictionary_join", f"WITH {TERMS}, {LEMMA_SQL} SELECT lemma, count(*) AS n, count(DISTINCT term) AS forms FROM t JOIN lm ON form = term GROUP BY lemma")
 def _(spark, sf):
     from textspark.operators.scale import lookup

@@ -303,6 +303,13 @@ def _(spark, sf):
     )
 
 
+@query("tx30_written_dates", "SELECT o_orderkey, monthname(d) || ' ' || day(d) || CASE WHEN o_orderkey % 2 = 0 THEN ', ' ELSE ' ' END || year(d) AS shifted FROM (SELECT o_orderkey, o_orderdate + to_days(CAST(o_custkey % 50 - 25 AS INT)) AS d FROM orders)")
+def _(spark, sf):
+    """Dates with the name of the month, with and without a comma."""
+    written = F.when(col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "MMMM d yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", M.shift_date(written, col("o_custkey") % 50 - 25).alias("shifted"))
+
+
 def _range_sql(a: str) -> str:
     edges = [0, *V.AGE_RANGES, V.AGE_RANGES[-1] + 40]
     cases = " ".join(f"WHEN {a} > {lo} AND {a} <= {hi} THEN {lo + 1} + {index_sql('CAST(' + a + ' AS VARCHAR)', 42, hi - lo)}" for lo, hi in zip(edges, edges[1:]))

@@ -168,6 +168,20 @@ def _(spark, sf):
     return sentiment.sentiment_columns(two_columns(spark, sf), "doc_id", ["a", "b"], lexicon(spark, sf))
 
 
+@query(
+    "sn13_columns_with_sentences_and_tokens",
+    f"{SENTENCE_SQL}, src AS (SELECT doc_id, text FROM documents), {polarity_sql('src', 'doc_id')}, s AS (SELECT doc_id, string_agg(label, ' ' ORDER BY sentence) AS labels, arg_min(label, sentence) AS first FROM l GROUP BY doc_id) "
+    f"SELECT d.doc_id, d.lang, d.source, d.text AS a, compound AS a_compound, {LABEL_SQL} AS a_label, coalesce(labels, '') AS a_sentence_labels, coalesce(first, 'na') AS a_sentiment, array_to_string({NORMALISED}, ' ') AS a_tokens, 'na' AS b_sentiment "
+    "FROM documents d JOIN pol USING (doc_id) LEFT JOIN s USING (doc_id)",
+)
+def _(spark, sf):
+    """A text column with everything that is found in it, and one without a known word."""
+    rows = spread(documents(spark, sf)).select("doc_id", "lang", "source", col("text").alias("a"), F.lit("7 8 9").alias("b"))
+    out = sentiment.sentiment_table(rows, "doc_id", ["a", "b"], lexicon(spark, sf), dictionary(spark, sf))
+    joined = lambda c: F.array_join(c, " ").alias(c)
+    return out.select("doc_id", "lang", "source", "a", "a_compound", "a_label", joined("a_sentence_labels"), "a_sentiment", joined("a_tokens"), "b_sentiment")
+
+
 @query("jn1_attach_column_results", TWO_SQL + " SELECT doc_id, lang, pa.compound AS a_compound, pb.compound AS b_compound FROM documents LEFT JOIN pa USING (doc_id) LEFT JOIN pb USING (doc_id)")
 def _(spark, sf):
     wide = sentiment.sentiment_columns(two_columns(spark, sf), "doc_id", ["a", "b"], lexicon(spark, sf))

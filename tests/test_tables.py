@@ -336,6 +336,14 @@ def test_topic_models(spark):
         assert [r.n for r in by_parity] == [1, 1]
 
 
+def test_frequent_terms_give_the_same_factors(spark, monkeypatch):
+    df = themed(spark)
+    rows = lambda pair: [sorted((r["topic"], r["term"], round(r["score"], 6)) for r in pair[0].collect()), sorted((r["id"], r["topic"], round(r["probability"], 6)) for r in pair[1].collect())]
+    plain = [rows(topics.lsi(df, "id", "tokens", 2, iterations=2)), rows(topics.nmf(df, "id", "tokens", k=2, iterations=2))]
+    monkeypatch.setattr(topics, "FREQUENT", 5)
+    assert [rows(topics.lsi(df, "id", "tokens", 2, iterations=2)), rows(topics.nmf(df, "id", "tokens", k=2, iterations=2))] == plain
+
+
 def test_embedding_topics(spark):
     rows = [(i, [float(i % 2) * 10 + (i % 7) * 0.1, float(i % 3) * 0.1, 1.0, i * 0.001, 0.5]) for i in range(40)] + [(99, [500.0, 500.0, 500.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, e array<double>")

@@ -151,6 +151,8 @@ DATE_FORMATS = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "MM/dd/yyyy"),
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd", "yyyy-MM-dd"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "MM-dd-yyyy"),
+    (rf"^(?:{V.MONTHS})\s+\d{{1,2}}\s+\d{{4}}$", "MMMM d yyyy", "MMMM d yyyy"),
+    (rf"^(?:{V.MONTHS})\s+\d{{1,2}},\s*\d{{4}}$", "MMMM d, yyyy", "MMMM d, yyyy"),
 )
 DAY_FIRST_FORMATS = ((r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy", "dd/MM/yyyy"),)
 
@@ -159,7 +161,9 @@ def shift_date(text: Column, days: Column, formats: Sequence[tuple[str, str, str
     """Date in text moved by ``days`` and printed in its own format; NULL when it cannot be parsed."""
     out = F.lit(None).cast("string")
     for shape, reading, writing in formats:
-        parsed = F.when(text.rlike(shape), F.try_to_date(text, reading))
+        # a written date has one blank between its parts, and one behind a comma
+        plain = F.regexp_replace(F.regexp_replace(text, r",\s*", ", "), r"\s+", " ") if "MMMM" in reading else text
+        parsed = F.when(text.rlike(shape), F.try_to_date(plain, reading))
         out = F.coalesce(out, F.date_format(F.date_add(parsed, days.cast("int")), writing))
     return out
 

@@ -105,10 +105,14 @@ def content_tokens(col: Column, extra: Sequence[str] = ()) -> Column:
     )
 
 
+def normalised_words(col: Column, stop_words: Sequence[str] = V.STOP_WORDS) -> Column:
+    """Words without punctuation, stop words left out."""
+    return remove_stops(words(F.regexp_replace(col, r"[^\p{L}\p{N}_\s]", "")), stop_words)
+
+
 def normalise(col: Column, stop_words: Sequence[str] = V.STOP_WORDS) -> Column:
     """Without punctuation and stop words, joined by blanks."""
-    bare = F.regexp_replace(col, r"[^\p{L}\p{N}_\s]", "")
-    return F.coalesce(F.concat_ws(" ", remove_stops(words(bare), stop_words)), F.lit(""))
+    return F.coalesce(F.concat_ws(" ", normalised_words(col, stop_words)), F.lit(""))
 
 
 def kept_and_removed(col: Column, stop_words: Sequence[str] = V.STOP_WORDS) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let, unnest
-from ..functions.text import pos_tag, stem
+from ..functions.text import normalised_words, pos_tag, stem
 from ..resources import values as V
 from .scale import checkpointed, counted_lookup, exact_quantiles, global_position, lookup, sized_broadcast, top_k
 from .words import looked_up
@@ -168,6 +168,13 @@ def lemmatise(df: DataFrame, key: str, tokens: str, lemmas: DataFrame, out: str
     return found.select(key, (F.array_distinct(words) if distinct else words).alias(out))
 
 
+def normalise_text(df: DataFrame, text: str, lemmas: DataFrame, out: str = "normalised", stop_words: Sequence[str] = V.STOP_WORDS) -> DataFrame:
+    """``df`` with its text without punctuation and stop words, each word as its lemma (form, lemma) in any case; looked up in the row."""
+    words = df.withColumn("_words", F.coalesce(normalised_words(F.col(text), stop_words), F.array().cast("array<string>")))
+    found = looked_up(words.withColumn("_low", F.transform("_words", lambda w: F.lower(w))), "_low", lemmas, "form", "lemma", "_lemma")
+    return found.withColumn(out, F.array_join(F.zip_with("_words", "_lemma", lambda w, known: F.coalesce(known, w)), " ")).drop("_words", "_low", "_lemma")
+
+
 def parse_lemmas(lines: DataFrame, col: str = "value") -> DataFrame:
     """``lemma->form<TAB>form…`` lines to (form, lemma); one lemma per form."""
     parts = F.split(F.col(col), "->")

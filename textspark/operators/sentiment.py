@@ -222,6 +222,25 @@ def sentiment_columns(df: DataFrame, key: str, cols: Sequence[str], lexicon: Dat
     return out
 
 
+def sentiment_table(df: DataFrame, key: str, cols: Sequence[str], lexicon: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``df`` with, for each text column c, its scores and label, the labels of its sentences in order, and its tokens.
+
+    Added are c_compound, c_pos, c_neg, c_neu, c_label, c_sentiment (of the first sentence with a label, else na), c_sentence_labels and c_tokens;
+    sentences without a known word have no label. ``key`` is unique in ``df``; all columns go through the scoring together.
+    """
+    scores = sentiment_columns(df, key, cols, lexicon)
+    entries = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_text")) for c in cols])
+    stacked = df.select(key, F.inline(entries)).withColumn("_id", F.struct(key, "_col"))
+    labels = sentence_sentiment(stacked, "_id", "_text", dictionary).select("_id.*", "sentence", "label")
+    ordered = lambda c: F.array_sort(F.collect_list(F.when(F.col("_col") == c, F.struct("sentence", "label"))))
+    by_key = labels.groupBy(key).agg(*[F.transform(ordered(c), lambda x: x["label"]).alias(f"{c}_sentence_labels") for c in cols])
+    none = F.array().cast("array<string>")
+    wide = df.join(scores, key, "left").join(by_key, key, "left")
+    wide = wide.withColumns({f"{c}_sentence_labels": F.coalesce(f"{c}_sentence_labels", none) for c in cols})
+    wide = wide.withColumns({f"{c}_sentiment": F.coalesce(F.get(f"{c}_sentence_labels", 0), F.lit("na")) for c in cols})
+    return wide.withColumns({f"{c}_tokens": F.coalesce(T.normalise_tokens(T.tokens(F.col(c))), none) for c in cols})
+
+
 def word_distribution(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
     """(key, label, n, words): words of each text by the label of their own score, in text order."""
     rows = unnest(df, [key], T.normalise_tokens(T.tokens(F.col(col))), "word", "i")

@@ -127,14 +127,29 @@ def auto_topics(vectors: TermVectors, iterations: int = 10, seed: int = 42, gain
 # ---------------------------------------------------------------- LSI, NMF
 
 
+FREQUENT = 100_000  # rows of a key that are too many for one task
+
+
 def _seeded(term: Column, i: int, seed: int) -> Column:
     """A number in [-1, 1) that depends on the term, the column and the seed only."""
     return F.xxhash64(term, F.lit(i), F.lit(seed)) / F.lit(float(1 << 63))
 
 
-def _combined(rows: DataFrame, left: str, by: DataFrame, on: str, weight: str, k: int) -> DataFrame:
-    """(left, v): for each ``left`` the sum of the weighted vectors of its entries; summed in the task first."""
-    both = rows.join(by, on)
+def _frequent(rows: DataFrame, on: str) -> DataFrame | None:
+    """(on, _rows): how often each key occurs, where one does ``FREQUENT`` times or more; None where a plain join is safe."""
+    counts = checkpointed(rows.groupBy(on).agg(F.count("*").alias("_rows")))
+    return None if counts.where(F.col("_rows") >= FREQUENT).isEmpty() else counts
+
+
+def _combined(rows: DataFrame, left: str, by: DataFrame, on: str, weight: str, k: int, frequent: DataFrame | None = None) -> DataFrame:
+    """(left, v): for each ``left`` the sum of the weighted vectors of its entries; summed in the task first.
+
+    Rows of ``frequent`` keys stay where they are: their vectors go to them.
+    """
+    if frequent is None:
+        both = rows.join(by, on)
+    else:
+        both = counted_lookup(rows, by.join(frequent, on), [on], "_rows", F.col(left), FREQUENT).where(F.col("v").isNotNull())
     return both.groupBy(left).agg(F.array(*[F.sum(F.col(weight) * F.get("v", i)) for i in range(k)]).alias("v"))
 
 
@@ -161,18 +176,19 @@ def lsi(df: DataFrame, key: str, tokens: str, k: int = 5, n: int = 10, iteration
     """
     bag = checkpointed(bag_of_words(df, key, tokens).withColumn("n", F.col("n").cast("double")))
     width = k + extra
+    of_term, of_doc = _frequent(bag, "term"), _frequent(bag, key)
     basis = bag.select("term").distinct().select("term", F.array(*[_seeded(F.col("term"), i, seed) for i in range(width)]).alias("v"))
     for _ in range(iterations):
-        image = checkpointed(_combined(bag, "term", _combined(bag, key, basis, "term", "n", width), key, "n", width))
+        image = checkpointed(_combined(bag, "term", _combined(bag, key, basis, "term", "n", width, of_term), key, "n", width, of_doc))
         values, turn = np.linalg.eigh(_gram(image, width))
         safe = values > values.max(initial=0.0) * 1e-12
         basis = _turned(image, "term", np.where(safe, turn / np.sqrt(np.where(safe, values, 1.0)), 0.0))
     basis = checkpointed(basis)
-    values, turn = np.linalg.eigh(_gram(_combined(bag, key, basis, "term", "n", width), width))
+    values, turn = np.linalg.eigh(_gram(_combined(bag, key, basis, "term", "n", width, of_term), width))
     basis = checkpointed(_turned(basis, "term", turn[:, np.argsort(-values)[:k]]))
     heavy = basis.select("term", F.posexplode("v").alias("topic", "w")).withColumn("score", F.abs("w"))
     best = top_k(heavy, ["topic"], [F.desc(F.round("score", 9)), F.asc("term")], n).select("topic", "term", "score", "rank")
-    sums = _combined(bag, key, basis, "term", "n", k)
+    sums = _combined(bag, key, basis, "term", "n", k, of_term)
     share = F.transform("v", lambda x: F.abs(x))
     docs = sums.select(key, argmax_index(share).alias("topic"), F.array_max(share).alias("probability"))
     everyone = df.select(key).join(docs, key, "left")
@@ -191,9 +207,11 @@ def nmf(df: DataFrame, key: str, tokens: str, k: int = 5, iterations: int = 20,
     right = weights.select("term").distinct().select("term", F.array(*[positive(F.col("term"), i) for i in range(k)]).alias("v"))
     left, right = checkpointed(left), checkpointed(right)
 
+    frequent = {c: _frequent(weights, c) for c in ("term", key)}
+
     def updated(own: DataFrame, name: str, other: DataFrame, on: str) -> DataFrame:
         gram = _gram(other, k)
-        target = _combined(weights, name, other, on, "weight", k).withColumnRenamed("v", "target")
+        target = _combined(weights, name, other, on, "weight", k, frequent[on]).withColumnRenamed("v", "target")
         below = [sum((F.get("v", i) * float(gram[i, j]) for i in range(k)), F.lit(1e-12)) for j in range(k)]
         new = F.array(*[F.get("v", j) * F.get("target", j) / below[j] for j in range(k)])
         return checkpointed(own.join(target, name).select(name, new.alias("v")))
