@@ -9,6 +9,7 @@ character, so words are counted one by one, and a word's count is kept.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import ahocorasick
 import public_tokenizers
@@ -33,6 +34,7 @@ class Unigram:
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values(), default=0.0) - PENALTY
         joined = any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.word = re.compile(r"(?s).+" if joined else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -49,7 +51,16 @@ class Unigram:
     def best(self, word: str) -> tuple[int, int, float]:
         """Pieces, unknown characters and score of the best way to cut ``word``."""
         n = len(word)
-        score, count, odd = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        if self.single.issuperset(word):  # each character is a piece, so each place is reached and none is unknown
+            reached = 0
+            for last, (size, value) in self.automaton.iter(word):  # longest first: of equal scores the first start wins
+                s = score[last + 1 - size] + value
+                if reached <= last or s > score[last + 1]:
+                    reached = last + 1
+                    score[reached], count[reached] = s, count[reached - size] + 1
+            return count[n], 0, score[n]
+        odd = [0] * (n + 1)
         done = 0
 
         def close(to: int) -> None:
@@ -67,7 +78,7 @@ class Unigram:
                     score[end], count[end], odd[end] = s, count[end - 1] + len(c.encode("utf-8", "replace")), odd[end - 1] + 1
 
         reached = 0
-        for last, (size, value) in self.automaton.iter(word):  # longest first: of equal scores the first start wins
+        for last, (size, value) in self.automaton.iter(word):
             end = last + 1
             close(end - 1)
             s = score[end - size] + value
@@ -82,7 +93,7 @@ class Unigram:
         if not text:
             return 0, 0
         total = odd = 0
-        for word in self.word.findall(BLANK + text.replace(" ", BLANK)):
+        for word, times in Counter(self.word.findall(BLANK + text.replace(" ", BLANK))).items():
             found = self.known.get(word)
             if found is None:
                 found = self.best(word)[:2]
@@ -90,8 +101,8 @@ class Unigram:
                     if len(self.known) >= CACHE:
                         self.known.clear()
                     self.known[word] = found
-            total += found[0]
-            odd += found[1]
+            total += found[0] * times
+            odd += found[1] * times
         return total, odd
 
 
