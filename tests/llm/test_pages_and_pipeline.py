@@ -152,7 +152,7 @@ def test_damaged_records_are_errors(spark, tmp_path):
 
 def test_all_are_registered():
     queries, sql = registry.load()
-    assert sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op")) == list(range(1, 14))
     assert queries["pipeline"] is corpus_pipeline.run and set(sql) <= set(queries)
 
 
