@@ -152,10 +152,10 @@ def plain_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
 
 
-def plain_log_perplexities(texts):
-    """Modified Kneser-Ney of order 4 with dictionaries, one language."""
-    order, edge = quality_rules.ORDER, 63
-    grams = [[tuple(s[i : i + order]) for i in range(len(s) - order + 1)] for s in ([edge] * 3 + quality_rules.FOLD[list(t.encode())].tolist() + [edge] for t in texts)]
+def plain_model(texts):
+    """n-grams of each text, counts of each order and its discounts, one language, with dictionaries."""
+    order, edge = quality_rules.ORDER, chr(quality_rules.EDGE)
+    grams = [[s[i : i + order] for i in range(len(s) - order + 1)] for s in (edge * (order - 1) + t + edge for t in texts)]
     counts = {order: Counter(g for gs in grams for g in gs)}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -165,18 +165,25 @@ def plain_log_perplexities(texts):
         y = n[1] / max(1, n[1] + 2 * n[2])
         return [0] + [min(j, max(0, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else 0.5 for j in (1, 2, 3)]
 
-    offs = {k: off(k) for k in counts}
+    return grams, counts, {k: off(k) for k in counts}
+
 
-    def p(g):
-        k = len(g)
-        if not k:
-            return 1 / 64
-        total = sum(c for h, c in counts[k].items() if h[:-1] == g[:-1])
-        left = sum(offs[k][min(c, 3)] for h, c in counts[k].items() if h[:-1] == g[:-1])
-        c = counts[k][g]
-        return max(0, c - offs[k][min(c, 3)]) / total + left / total * p(g[1:])
+def plain_probability(g, counts, offs, own=None):
+    """Modified Kneser-Ney; ``own`` has n-grams that do not count in the top order."""
+    k, own = len(g), own or {}
+    if not k:
+        return 1 / (len(counts[1]) + 1)
+    lower = plain_probability(g[1:], counts, offs)
+    of = [h for h in counts[k] if h[:-1] == g[:-1]]
+    total = sum(counts[k][h] - own.get(h, 0) for h in of)
+    left = sum(offs[k][min(counts[k][h], 3)] for h in of)
+    c = counts[k].get(g, 0) - own.get(g, 0)
+    return min(1, max(0, c - offs[k][min(c, 3)]) / total + min(1, left / total) * lower) if total else lower
 
-    return [-sum(np.log(p(g)) for g in gs) / len(gs) for gs in grams]
+
+def plain_log_perplexities(texts):
+    grams, counts, offs = plain_model(texts)
+    return [-sum(np.log(plain_probability(g, counts, offs, Counter(gs))) for g in gs) / len(gs) for gs in grams]
 
 
 def test_counts_and_verdicts(odd_docs, odd_rows):
@@ -205,12 +212,25 @@ def test_perplexity_equals_plain_model(spark):
 
 
 def test_model_sums_to_one_in_any_context(spark):
-    docs = spark.createDataFrame([("abcab abd", "en"), ("abe", "en")], "text string, lang string")
-    scorer = quality_rules.Scorer(quality_rules.model(docs).toArrow())
-    for context in (FOLDS := quality_rules.FOLD[list(b"abzq")].tolist(), FOLDS[::-1]):
-        base = context[0] << 18 | context[1] << 12 | context[2] << 6
-        assert scorer.probability("en", np.arange(base, base + 64, dtype=np.int32)).sum() == pytest.approx(1)
-    assert scorer.log_perplexity("none", b"abc") is None
+    texts = ["abcab abd abcab", "abe"]
+    _, counts, offs = plain_model(texts)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    grams = quality_rules.blocked(docs.select("doc_id", "lang", "text")).where("code is not null")
+    trained, off = quality_rules.model(grams.select("lang", "code", "gram", "n"))
+    of = {r["code"]: r["gram"] for r in grams.collect()}
+    top = {of[r["code"]]: r for r in trained.collect()}
+    assert set(top) == set(counts[quality_rules.ORDER])
+    d = off.first()
+    for context in {g[:-1] for g in top}:
+        rows = [r for g, r in top.items() if g[:-1] == context]
+        seen = sum((r["n"] - d[f"d{min(r['n'], 3)}"]) / r["total"] for r in rows)
+        assert seen + rows[0]["left"] / rows[0]["total"] == pytest.approx(1)
+        for g in (h for h in top if h[:-1] == context):
+            assert top[g]["lower"] == pytest.approx(plain_probability(g[1:], counts, offs))
+    shorter = quality_rules.ORDER - 1
+    for context in {g[:-1] for g in counts[shorter]}:
+        unknown = plain_probability(context + "?", counts, offs)
+        assert sum(plain_probability(context + x, counts, offs) for x in counts[1]) + unknown == pytest.approx(1)
 
 
 def test_strange_text_is_out_of_band(spark):
@@ -220,15 +240,27 @@ def test_strange_text_is_out_of_band(spark):
     assert not verdicts.pop(900) and all(verdicts.values())
 
 
-def test_languages_in_blocks_score_alike(spark, odd_docs, monkeypatch):
+def test_blocks_and_pieces_score_alike(spark, odd_docs, monkeypatch):
     whole = {(str(r["doc_id"]), r["log_perplexity"]) for r in quality_rules.judged(odd_docs).collect()}
-    monkeypatch.setattr(quality_rules, "MODEL_ROWS", 10)
-    assert {(str(r["doc_id"]), r["log_perplexity"]) for r in quality_rules.judged(odd_docs).collect()} == whole
-
-
-def test_long_text_in_blocks_gives_the_same_ngrams(monkeypatch):
-    text = prose(random.Random(1), 500).encode()
-    whole = np.concatenate(list(quality_rules.codes(text)))
-    monkeypatch.setattr(quality_rules, "BLOCK", 97)
-    assert (np.concatenate(list(quality_rules.codes(text))) == whole).all()
-    assert len(whole) == len(text) + 1
+    monkeypatch.setattr(quality_rules, "BLOCK", 100)
+    assert {(str(r["doc_id"]), r["log_perplexity"]) for r in quality_rules.judged(odd_docs.repartition(3)).collect()} == whole
+
+
+def test_long_text_in_pieces_gives_the_same_ngrams(monkeypatch):
+    text = (prose(random.Random(1), 500) + " Ärger 漢字かな 😀 \x00").encode()
+    whole = quality_rules.ngrams(text)
+    monkeypatch.setattr(quality_rules, "PIECE", 97)
+    for a, b in zip(whole, quality_rules.ngrams(text), strict=True):
+        assert (a == b).all()
+    assert whole[2].sum() == len(text.decode()) + 1
+
+
+def test_model_grows_with_the_texts_in_every_script(spark):
+    """Letters beyond ASCII are told apart: a text of a language's letters in another order is out of its band."""
+    rng = random.Random(5)
+    syllables = ["при", "вет", "сло", "во", "дом", "мир", "ка", "то", "на", "ре"]
+    sound = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(150)) for _ in range(60)]
+    letters = "".join(syllables)
+    odd = " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(150))
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([*sound, odd])], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality_rules.judged(docs).collect() if not r["kept"]} == {60}

@@ -1,61 +1,76 @@
 """Quality rules: counts over words, lines and symbols, and perplexity bands of each language.
 
-The language model is a modified Kneser-Ney model of order 4 over folded characters. Every byte
-of a text is folded to one of 64 symbols, so an n-gram is a number of at most 24 bits and a
-language has at most 2**24 of them, however large the corpus: the model needs no cut-off.
-Spark counts the n-grams of all texts and computes all probabilities; tasks get them as sorted
-arrays of n-gram codes. Languages are scored in blocks of at most ``MODEL_ROWS`` n-grams.
+The language model is a modified Kneser-Ney model of order 5 over code points as they are, so it
+grows with the corpus and needs no alphabet. Tasks count the n-grams of blocks of texts; an n-gram
+is known by a 64-bit hash and carries its code points. Spark sums the blocks and computes all
+probabilities as tables. A block then gets the rows of its own n-grams by a join, as sorted hash
+arrays, and scores its texts with them; neither a task nor the driver ever holds the whole model.
+The n-grams of a text itself are taken out of the counts of the top order, so it does not vouch
+for itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm.common import ROWS, arrow_map, query, table, texts, with_columns, words, written
+from textspark.llm.common import ROWS, mixed, query, table, texts, with_columns, words, written
 
-ORDER = 4
-BITS = 6
-MODEL_ROWS = 1 << 24
-BLOCK = 1 << 20
+ORDER = 5
+BLOCK = 1 << 22  # bytes of texts whose n-grams are asked for at once
+PIECE = 1 << 20  # code points of a text that are cut into n-grams at once
+EDGE = 3  # code point that bounds a text
+LANGUAGES = 10_000  # tables of one row a language are broadcast up to here
 MIN_WORDS = 20
 REPEAT_SHARE = 30  # per cent of words
 WINDOW = 8
 WIDTH = 8.0  # median deviations on either side of the median log perplexity
-LEAST = 0.12  # half width of a band at least: a language of copies has a deviation of zero
+LEAST = 0.2  # half width of a band at least: a language of copies has a deviation of zero
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+FACTORS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def folded_bytes() -> np.ndarray:
-    """Symbol of each byte: 26 letters without case, digit, blank, line end, 10 kinds of marks, 23 of other bytes; 63 bounds a text."""
-    out = np.full(256, 62, np.uint8)
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = i
-    out[48:58], out[ord(" ")], out[ord("\n")] = 26, 27, 28
-    for k, marks in enumerate([b".", b",", b"!?", b"'\"`", b"-_/\\", b":;", b"()[]{}", b"#*$%", b"&@~^+=", b"|<>"]):
-        out[list(marks)] = 29 + k
-    high = np.arange(128, 256)
-    out[128:192] = 39 + high[:64] % 16
-    out[192:] = 55 + high[64:] % 7
-    return out
+class Counts:
+    """Distinct n-grams by their hash, with the hash of their context, how often they occur and their code points."""
 
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-FOLD = folded_bytes()
+    def add(self, *part: np.ndarray):
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > PIECE and len(self.parts) > 1:
+            self.merged()
 
+    def merged(self) -> tuple[np.ndarray, ...]:
+        """(hashes in order, contexts, counts, code points)."""
+        if len(self.parts) > 1:
+            code, context, n, points = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            code, first, at = np.unique(code, return_index=True, return_inverse=True)
+            self.parts = [(code, context[first], np.bincount(at, n, len(code)).astype(np.int64), points[first])]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
 
-def codes(text: bytes):
-    """The 24-bit n-grams of a text in blocks: one for each byte and one for its end."""
-    edge = np.full(ORDER - 1, 63, np.uint8)
-    data = np.frombuffer(text, np.uint8)
+
+def ngrams(text: bytes) -> tuple[np.ndarray, ...]:
+    """The n-grams of a text as ``Counts`` has them: one that ends at each code point and one at its end."""
+    data = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    edge, out = np.full(ORDER - 1, EDGE, np.uint32), Counts()
     last = edge
-    for i in range(0, len(data) + 1, BLOCK):
-        part = FOLD[data[i : i + BLOCK]]
-        s = np.concatenate([last, part, edge[:1] if i + BLOCK > len(data) else edge[:0]]).astype(np.int32)
-        last = s[len(s) - ORDER + 1 :].astype(np.uint8)
-        yield sum(s[k : len(s) - ORDER + 1 + k] << (BITS * (ORDER - 1 - k)) for k in range(ORDER))
+    for i in range(0, len(data) + 1, PIECE):
+        s = np.concatenate([last, data[i : i + PIECE], edge[:1] if i + PIECE > len(data) else edge[:0]])
+        last = s[len(s) - ORDER + 1 :]
+        wide, m = s.astype(np.uint64), len(s) - ORDER + 1
+        before = sum(wide[k : m + k] * FACTORS[k] for k in range(ORDER - 1))
+        code, first, n = np.unique(mixed(before + wide[ORDER - 1 :] * FACTORS[-1]).view(np.int64), return_index=True, return_counts=True)
+        out.add(code, mixed(before[first]), n, np.lib.stride_tricks.sliding_window_view(s, ORDER)[first])
+    return out.merged()
 
 
 # ---------------------------------------------------------------- the model
@@ -65,35 +80,59 @@ def language(lang: str) -> Column:
     return F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(""))
 
 
-def counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, n): how often each n-gram of the top order is in the texts; summed in the task before the shuffle."""
-
-    def run(batch):
-        held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+def by_language(rows: DataFrame) -> DataFrame:
+    """A table of one row a language, broadcast if these are few."""
+    rows = written(rows, "languages")
+    return F.broadcast(rows) if rows.count() <= LANGUAGES else rows
 
-        def flush(name):
-            code, n = np.unique(np.concatenate(held.pop(name)), return_counts=True)
-            size[name] = 0
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-        for i in range(0, batch.num_rows, ROWS):
-            part = batch.slice(i, ROWS)
-            for name, t in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                for block in codes(t):
-                    held.setdefault(name, []).append(block)
-                    size[name] = size.get(name, 0) + len(block)
-                    if size[name] >= 2 * BLOCK:
-                        yield flush(name)
-        for name in list(held):
-            yield flush(name)
+def blocked(docs: DataFrame) -> DataFrame:
+    """Rows of texts (block, doc_id, lang, text, the counts) and rows of n-grams (block, lang, code, gram, n).
 
-    found = arrow_map(docs.select(language(lang).alias("lang"), F.col(f"`{text}`").alias("text")), run, "lang string, code int, n long", rows=None)
-    return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    A block has texts of one language of one task, about ``BLOCK`` bytes of all languages at a
+    time, and each of their n-grams once.
+    """
+    names = ["block", "lang", "doc_id", "text", *BASE, "code", "gram", "n"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, lang string, doc_id {kind}, text string, {', '.join(f'{c} long' for c in BASE)}, code long, gram string, n long"
+
+    def run(batches):
+        given, held, size, number = TaskContext.get().partitionId() << 32, {}, 0, 0
+
+        def flush(like):
+            for name, (block, counts) in held.items():
+                code, _, n, points = counts.merged()
+                m, all_points = len(code), points.astype("<u4").tobytes().decode("utf-32-le")
+                grams = [all_points[i : i + ORDER] for i in range(0, ORDER * m, ORDER)]
+                empty = [pa.nulls(m, like.column(0).type), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * len(BASE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array([name] * m, pa.string()), *empty, pa.array(code), pa.array(grams, pa.string()), pa.array(n)], names)
+            held.clear()
+
+        batch = None
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                bodies, of = texts(batch.column(2)), []
+                for name, t in zip(batch.column(1).to_pylist(), bodies, strict=True):
+                    if name not in held:
+                        held[name], number = (given + number, Counts()), number + 1
+                    of.append(held[name][0])
+                    held[name][1].add(*ngrams(t))
+                    size += len(t)
+                m, base = batch.num_rows, base_counts(bodies)
+                none = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(1), batch.column(0), batch.column(2), *[base[c] for c in BASE], *none], names)
+                if size >= BLOCK:
+                    yield from flush(batch)
+                    size = 0
+        if batch is not None:
+            yield from flush(batch)
+
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) from how many n-grams are seen once to four times."""
+    """(lang, d1, d2, d3, kinds) from how many n-grams are seen once to four times; kinds is how many there are."""
     by = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.lit(1.0), F.col("n1") + 2 * F.col("n2"))
     # every discount stays within [0, k], also where counts of counts are zero
@@ -101,103 +140,90 @@ def discounts(counts: DataFrame) -> DataFrame:
         F.when(F.col(f"n{k}") > 0, F.least(F.lit(float(k)), F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(0.5)).alias(f"d{k}")
         for k in (1, 2, 3)
     ]
-    return counts.groupBy("lang").agg(*by).select("lang", *d)
+    return counts.groupBy("lang").agg(*by, F.count("*").alias("kinds")).select("lang", *d, "kinds")
 
 
 def discount() -> Column:
     return F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def model(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, order, code, p, rest): interpolated probability of each seen n-gram, and what its context leaves to shorter ones.
+def model(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, code, n, total, left, lower) of each n-gram of the top order in (lang, code, gram, n), and the discounts of its order.
 
-    The top order has counts; shorter n-grams count the different symbols that stand before them.
+    ``total`` and ``left`` are the count of its context and what the discounts leave to shorter
+    n-grams, ``lower`` the interpolated probability of its suffix. Shorter n-grams count the
+    different code points that stand before them; below the shortest all code points of the
+    language and an unknown one are equally likely.
     """
-    levels = [written(counted(docs, text, lang), "ngrams")]
-    for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("code").bitwiseAND((1 << (BITS * k)) - 1)
-        levels.append(written(levels[-1].groupBy("lang", suffix.alias("code")).agg(F.count("*").alias("n")), "ngrams"))
-    below, out = None, None
+    top = written(grams.groupBy("lang", "code").agg(F.min("gram").alias("gram"), F.sum("n").alias("n")), "ngrams")
+    levels = [top]
+    for _ in range(ORDER - 1):
+        levels.append(written(levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "ngrams"))
+    below = offs = None
     for k, counts in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-        context = F.shiftright("code", BITS)
-        cut = counts.join(discounts(counts), "lang").select("lang", "code", context.alias("context"), "n", discount().alias("d"))
-        per = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        own = cut.join(per, ["lang", "context"]).select("lang", "code", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("rest"))
+        offs = by_language(discounts(counts))
+        context = F.col("gram").substr(F.lit(1), F.lit(k - 1)).alias("context")
+        seen = [F.sum(F.when(F.col("n") == j if j < 3 else F.col("n") >= j, 1).otherwise(0)).alias(f"c{j}") for j in (1, 2, 3)]
+        per = counts.groupBy("lang", context).agg(F.sum("n").alias("total"), *seen)
+        cut = counts.select("*", context).join(per, ["lang", "context"]).join(offs, "lang")
+        cut = cut.withColumn("left", sum((F.col(f"c{j}") * F.col(f"d{j}") for j in (2, 3)), F.col("c1") * F.col("d1")))
         if below is None:
-            now = own.select("lang", "code", (F.col("own") + F.col("rest") / (1 << BITS)).alias("p"), "rest")
+            cut = cut.withColumn("lower", 1 / (F.col("kinds") + 1))
         else:
-            shorter = below.select("lang", F.col("code").alias("suffix"), F.col("p").alias("lower"))
-            now = own.withColumn("suffix", F.col("code").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(shorter, ["lang", "suffix"])
-            now = now.select("lang", "code", (F.col("own") + F.col("rest") * F.col("lower")).alias("p"), "rest")
-        below = written(now, "orders")
-        level = below.select("lang", F.lit(k).alias("order"), "code", "p", "rest")
-        out = level if out is None else out.unionByName(level)
-    return out
+            shorter = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            cut = cut.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["lang", "suffix"])
+        if k == ORDER:
+            return cut.select("lang", "code", "n", "total", "left", "lower"), offs.drop("kinds")
+        p = (F.col("n") - discount() + F.col("left") * F.col("lower")) / F.col("total")
+        below = written(cut.select("lang", "gram", p.alias("p")), "orders")
+
+
+ANSWERS = ["code", "n", "total", "left", "lower"]
 
 
 class Scorer:
-    """The n-grams of some languages as sorted arrays; made once, read by all tasks of a worker."""
+    """The n-grams of a block as sorted hash arrays."""
 
     def __init__(self, rows: pa.Table):
-        order = rows.column("order").to_numpy()
-        lang = np.array(rows.column("lang").to_pylist(), object)
-        code, p, rest = (rows.column(c).to_numpy() for c in ("code", "p", "rest"))
-        self.by: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for name in dict.fromkeys(lang.tolist()):
-            levels = []
-            for k in range(1, ORDER + 1):
-                at = np.flatnonzero((order == k) & (lang == name))
-                at = at[np.argsort(code[at], kind="stable")]
-                context, first = np.unique(code[at] >> BITS, return_index=True)
-                levels.append((code[at].astype(np.int32), p[at].astype(np.float64), context.astype(np.int32), rest[at][first]))
-            self.by[name] = levels
-
-    def probability(self, name: str, code: np.ndarray, k: int = ORDER) -> np.ndarray:
-        keys, p, contexts, rest = self.by[name][k - 1]
-        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-        out, new = p[at], np.flatnonzero(keys[at] != code)
-        if len(new):
-            c = np.minimum(np.searchsorted(contexts, code[new] >> BITS), len(contexts) - 1)
-            weight = np.where(contexts[c] == code[new] >> BITS, rest[c], 1.0)
-            lower = self.probability(name, code[new] & ((1 << (BITS * (k - 1))) - 1), k - 1) if k > 1 else np.full(len(new), 2.0**-BITS)
-            out[new] = weight * lower
-        return out
-
-    def log_perplexity(self, name: str, text: bytes) -> float | None:
-        if name not in self.by:
-            return None
-        total = n = 0
-        for block in codes(text):
-            total += float(np.log(self.probability(name, block)).sum())
-            n += len(block)
-        return -total / n
-
-
-def scored(docs: DataFrame, trained: DataFrame, fn, names: dict[str, str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the columns that ``fn`` makes of the languages, texts and log perplexities of a batch."""
-    spark = docs.sparkSession
-    blocks: list[list[str]] = [[]]
-    room = MODEL_ROWS
-    for name, n in trained.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect():
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = MODEL_ROWS
-        blocks[-1].append(name)
-        room -= n
-    out = None
-    for block in blocks:
-        rows = trained.where(F.col("lang").isin(block)).select("lang", "order", "code", "p", "rest").toArrow()
-        shared = spark.sparkContext.broadcast(Scorer(rows))
-
-        def score(column, shared=shared):
-            langs, bodies = column.flatten()
-            langs, bodies = langs.to_pylist(), texts(bodies)
-            return fn(langs, bodies, [shared.value.log_perplexity(x, t) for x, t in zip(langs, bodies, strict=True)])
-
-        part = docs.where(language(lang).isin(block)) if len(blocks) > 1 else docs
-        done = with_columns(part, F.struct(language(lang).alias("l"), F.col(f"`{text}`").alias("t")), score, names)
-        out = done if out is None else out.unionByName(done)
-    return out
+        code = rows.column("code").to_numpy()
+        order = np.argsort(code)
+        self.code = code[order]
+        self.n, self.total, self.left, self.lower = (rows.column(c).to_numpy()[order] for c in ANSWERS[1:])
+
+    def log_perplexity(self, text: bytes, off: np.ndarray) -> float:
+        """Mean negative log probability of the n-grams of a text, whose own n-grams do not count in the top order."""
+        code, context, own, _ = ngrams(text)
+        at = np.searchsorted(self.code, code)
+        _, ctx = np.unique(context, return_inverse=True)
+        n = self.n[at] - own
+        total = self.total[at] - np.bincount(ctx, own)[ctx]
+        known = np.maximum(total, 1)
+        rest = np.where(total > 0, np.minimum(1.0, self.left[at] / known), 1.0)
+        p = np.where(total > 0, np.maximum(n - off[np.clip(n, 0, 3)], 0) / known, 0) + rest * self.lower[at]
+        return float(-(own * np.log(np.minimum(p, 1.0))).sum() / own.sum())
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, the counts, base_failed, log_perplexity) of each row of (doc_id, lang, text)."""
+    rows = written(blocked(docs), "blocks")
+    grams = rows.where(F.col("code").isNotNull()).select("block", "lang", "code", "gram", "n")
+    trained, offs = model(grams.select("lang", "code", "gram", "n"))
+    answers = grams.select("block", "lang", "code").join(trained, ["lang", "code"]).select(F.col("block").alias("asked"), *ANSWERS)
+    bodies = rows.where(F.col("code").isNull()).drop("code", "gram", "n").join(offs, "lang")
+    out = ["doc_id", "lang", *BASE]
+
+    def score(body: pa.Table, answer: pa.Table) -> pa.Table:
+        scorer = Scorer(answer)
+        off = np.array([0.0, *[body.column(f"d{j}")[0].as_py() for j in (1, 2, 3)]])
+        values = [scorer.log_perplexity(t, off) for t in texts(body.column("text"))]
+        body = body.combine_chunks()
+        return body.select(out).append_column("log_perplexity", pa.array(values, pa.float64()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in BASE)}, log_perplexity double"
+    scored = bodies.groupBy("block").cogroup(answers.groupBy("asked")).applyInArrow(score, schema)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
+    return scored.withColumn("base_failed", failed)
 
 
 # ---------------------------------------------------------------- counts and verdicts
@@ -239,62 +265,41 @@ def base_counts(bodies: list[bytes]) -> dict[str, pa.Array]:
     return {n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(BASE)}
 
 
-def base_failed(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_SHARE * n_words
-
-
-def measured(docs: DataFrame, trained: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the counts, ``base_failed`` and ``log_perplexity``, and without the text."""
-
-    def fn(langs, bodies, values):
-        out = base_counts(bodies)
-        failed = [base_failed(n, r) for n, r in zip(out["n_words"].to_pylist(), out["n_repeat_words"].to_pylist(), strict=True)]
-        return out | {"base_failed": pa.array(failed, pa.bool_()), "log_perplexity": pa.array(values, pa.float64())}
-
-    return scored(docs, trained, fn, dict.fromkeys(BASE, "long") | {"base_failed": "boolean", "log_perplexity": "double"}, text, lang).drop(text)
-
-
-def bands(rows: DataFrame, lang: str = "lang") -> DataFrame:
-    """(lang, low, high), one row a language, as many as the model has: the median log perplexity of rows that pass the base rules, plus and minus ``WIDTH`` median deviations."""
-    sound = rows.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).select(language(lang).alias("lang"), "log_perplexity")
-    middle = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))
-    off = sound.join(F.broadcast(middle), "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000).alias("off"))
+def bands(rows: DataFrame) -> DataFrame:
+    """(lang, low, high): the median log perplexity of rows that pass the base rules, plus and minus ``WIDTH`` median deviations."""
+    sound = rows.where(~F.col("base_failed")).select("lang", "log_perplexity")
+    middle = by_language(sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
+    off = sound.join(middle, "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000).alias("off"))
     half = F.greatest(F.lit(LEAST), WIDTH * F.col("off"))
-    return off.select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"))
+    return by_language(off.select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high")))
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, the counts, base_failed, log_perplexity, low, high, kept) for each row.
+    """(doc_id, lang, the counts, base_failed, log_perplexity, low, high, kept) for each row.
 
     The model and the bands come from all rows of ``docs``. A null text has no words and fails; a
     null language is one of its own; equal rows get equal verdicts; an empty table stays empty. A
     language none of whose rows passes the base rules has no band, and none is needed.
     """
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), language(lang).alias("lang"), F.col(f"`{text}`").alias("text"))
-    rows = written(measured(docs, written(model(docs), "model")), "measured")
+    rows = written(measured(docs), "measured")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.join(F.broadcast(bands(rows)), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return rows.join(bands(rows), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def kept(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with their columns as they are.
+def row_keys(column: pa.Array) -> dict[str, pa.Array]:
+    """128 bits of language and text, of which the verdict is a function."""
+    langs, bodies = column.flatten()
+    keys = [xxhash.xxh3_128_digest(b"%d %b %b" % (len(x), x, t)) for x, t in zip(texts(langs), texts(bodies), strict=True)]
+    return {"_llm_key": pa.array(keys, pa.binary())}
 
-    The texts are scored a second time where they lie instead of being joined with their verdicts.
-    The bands, one row a language as the model is, are read by the driver.
-    """
-    plain = docs.select(language(lang).alias("lang"), F.col(f"`{text}`").alias("text"))
-    trained = written(model(plain), "model")
-    limits = {r["lang"]: (r["low"], r["high"]) for r in bands(written(measured(plain, trained), "measured")).collect()}
-
-    def fn(langs, bodies, values):
-        ok = []
-        for name, t, v in zip(langs, bodies, values, strict=True):
-            low, high = limits.get(name, (0.0, -1.0))
-            tokens = words(t)
-            ok.append(v is not None and low <= v <= high and not base_failed(len(tokens), repeated_words(tokens)))
-        return {"_llm_kept": pa.array(ok, pa.bool_())}
-
-    return scored(docs, trained, fn, {"_llm_kept": "boolean"}, text, lang).where("_llm_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def kept(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns as they are."""
+    keyed = with_columns(docs, F.struct(language(lang).alias("l"), F.col(f"`{text}`").alias("t")), row_keys, {"_llm_key": "binary"})
+    verdicts = judged(keyed, "_llm_key", text, lang)
+    rejected = written(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_llm_key")).distinct(), "rejected")
+    return keyed.join(rejected, "_llm_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op10_quality_rules")
