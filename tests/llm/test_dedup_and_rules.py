@@ -215,10 +215,9 @@ def test_model_sums_to_one_in_any_context(spark):
     texts = ["abcab abd abcab", "abe"]
     _, counts, offs = plain_model(texts)
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    grams = quality_rules.blocked(docs.select("doc_id", "lang", "text")).where("code is not null")
-    trained, off = quality_rules.model(grams.select("lang", "code", "gram", "n"))
-    of = {r["code"]: r["gram"] for r in grams.collect()}
-    top = {of[r["code"]]: r for r in trained.collect()}
+    grams = quality_rules.blocked(docs.select("doc_id", "lang", "text")).where("gram is not null")
+    trained, off = quality_rules.model(grams.select("lang", "gram", "n"))
+    top = {r["gram"]: r for r in trained.collect()}
     assert set(top) == set(counts[quality_rules.ORDER])
     d = off.first()
     for context in {g[:-1] for g in top}:
@@ -247,12 +246,28 @@ def test_blocks_and_pieces_score_alike(spark, odd_docs, monkeypatch):
 
 
 def test_long_text_in_pieces_gives_the_same_ngrams(monkeypatch):
-    text = (prose(random.Random(1), 500) + " Ärger 漢字かな 😀 \x00").encode()
-    whole = quality_rules.ngrams(text)
+    text = prose(random.Random(1), 500) + " Ärger 漢字かな 😀 \x00"
+
+    def counted():
+        own = quality_rules.Counts(0)
+        own.add(text.encode())
+        own.merge()
+        return dict(zip(own.alphabet.strings(own.code), own.n.tolist(), strict=True))
+
+    padded = "\x03" * 3 + text + "\x03"
+    whole = counted()
+    assert whole == Counter(padded[i : i + 4] for i in range(len(padded) - 3))
     monkeypatch.setattr(quality_rules, "PIECE", 97)
-    for a, b in zip(whole, quality_rules.ngrams(text), strict=True):
-        assert (a == b).all()
-    assert whole[2].sum() == len(text.decode()) + 1
+    assert counted() == whole
+
+
+def test_alphabets_without_room_begin_a_block(spark):
+    every = [chr(c) for c in range(4, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(every[:60_000]), "".join(every[40_000:]), "".join(every), "plain words " * 30]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(rows)], "doc_id long, text string, lang string").coalesce(1)
+    assert quality_rules.blocked(docs).where("gram is null").select("block").distinct().count() == 3
+    found = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.judged(docs).collect()}
+    assert len(found) == 4 and all(np.isfinite(v) for v in found.values())
 
 
 def test_model_grows_with_the_texts_in_every_script(spark):

@@ -1,10 +1,10 @@
 """Quality rules: counts over words, lines and symbols, and perplexity bands of each language.
 
-The language model is a modified Kneser-Ney model of order 5 over code points as they are, so it
-grows with the corpus and needs no alphabet. Tasks count the n-grams of blocks of texts; an n-gram
-is known by a 64-bit hash and carries its code points. Spark sums the blocks and computes all
-probabilities as tables. A block then gets the rows of its own n-grams by a join, as sorted hash
-arrays, and scores its texts with them; neither a task nor the driver ever holds the whole model.
+The language model is a modified Kneser-Ney model of order 4 over code points as they are, so it
+grows with the corpus and needs no alphabet. Tasks count the n-grams of blocks of texts, Spark sums
+the blocks and computes all probabilities as tables dealt by the hash of the n-gram. A block then
+gets the rows of its own n-grams by a join, as sorted arrays, and scores its texts with them;
+neither a task nor the driver ever holds the whole model.
 The n-grams of a text itself are taken out of the counts of the top order, so it does not vouch
 for itself.
 """
@@ -18,13 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm.common import ROWS, mixed, query, table, texts, with_columns, words, written
+from textspark.llm.common import ROWS, query, table, texts, with_columns, words, written
 
-ORDER = 5
-BLOCK = 1 << 22  # bytes of texts whose n-grams are asked for at once
-PIECE = 1 << 20  # code points of a text that are cut into n-grams at once
+ORDER = 4
+BITS = 16
+LAST = (1 << BITS) - 1
+BLOCK = 1 << 25  # bytes of texts whose n-grams are asked for at once
+PIECE = 1 << 20  # code points that are cut into n-grams at once
 EDGE = 3  # code point that bounds a text
 LANGUAGES = 10_000  # tables of one row a language are broadcast up to here
+LANGUAGES_HELD = 64  # blocks a task fills at once
 MIN_WORDS = 20
 REPEAT_SHARE = 30  # per cent of words
 WINDOW = 8
@@ -32,45 +35,81 @@ WIDTH = 8.0  # median deviations on either side of the median log perplexity
 LEAST = 0.2  # half width of a band at least: a language of copies has a deviation of zero
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
-FACTORS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-class Counts:
-    """Distinct n-grams by their hash, with the hash of their context, how often they occur and their code points."""
+class Alphabet:
+    """Numbers of 16 bits for the code points of a block, so that an n-gram is one number, its context in the high bits.
+
+    0 bounds a text.
+    """
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.number = np.zeros(0x110000, np.uint16)
+        self.points = [EDGE]
+
+    def room(self, data: np.ndarray) -> bool:
+        """Numbers for new code points; False, and none, if there are too few left."""
+        new = np.unique(data[self.number[data] == 0])
+        if len(self.points) + len(new) > LAST + 1:
+            return False
+        self.number[new] = len(self.points) + np.arange(len(new))
+        self.points += new.tolist()
+        return True
+
+    def ngrams(self, data: np.ndarray):
+        """The n-grams of a text in pieces: one that ends at each code point and one at its end."""
+        edge = np.zeros(ORDER - 1, np.uint16)
+        last = edge
+        for i in range(0, len(data) + 1, PIECE):
+            s = np.concatenate([last, self.number[data[i : i + PIECE]], edge[:1] if i + PIECE > len(data) else edge[:0]])
+            last = s[len(s) - ORDER + 1 :]
+            wide, m = s.astype(np.uint64), len(s) - ORDER + 1
+            yield sum(wide[k : m + k] << np.uint64(BITS * (ORDER - 1 - k)) for k in range(ORDER))
+
+    def strings(self, code: np.ndarray) -> list[str]:
+        at = code[:, None] >> np.arange(BITS * (ORDER - 1), -1, -BITS, dtype=np.uint64) & np.uint64(LAST)
+        whole = np.array(self.points, "<u4")[at].tobytes().decode("utf-32-le")
+        return [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)]
+
+    def codes(self, grams: list[str]) -> np.ndarray:
+        at = self.number[np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32)].astype(np.uint64).reshape(-1, ORDER)
+        return (at << np.arange(BITS * (ORDER - 1), -1, -BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def points(text: bytes) -> np.ndarray:
+    """The code points of a text; that of the edge is read as a replacement character, as are those above the basic plane in a text of over 65,535 different ones."""
+    data = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    if len(data) > LAST and len(np.unique(data)) > LAST:
+        data = np.where(data > LAST, 0xFFFD, data)
+    return np.where(data == EDGE, 0xFFFD, data) if EDGE in data else data
 
-    def add(self, *part: np.ndarray):
-        self.parts.append(part)
-        self.size += len(part[0])
-        if self.size > PIECE and len(self.parts) > 1:
-            self.merged()
 
-    def merged(self) -> tuple[np.ndarray, ...]:
-        """(hashes in order, contexts, counts, code points)."""
-        if len(self.parts) > 1:
-            code, context, n, points = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            code, first, at = np.unique(code, return_index=True, return_inverse=True)
-            self.parts = [(code, context[first], np.bincount(at, n, len(code)).astype(np.int64), points[first])]
-        self.size = len(self.parts[0][0])
-        return self.parts[0]
+class Counts:
+    """Distinct n-grams of a block and how often they occur."""
 
+    def __init__(self, block: int):
+        self.block, self.alphabet = block, Alphabet()
+        self.code, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw: list[np.ndarray] = []
+        self.size = 0
 
-def ngrams(text: bytes) -> tuple[np.ndarray, ...]:
-    """The n-grams of a text as ``Counts`` has them: one that ends at each code point and one at its end."""
-    data = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    edge, out = np.full(ORDER - 1, EDGE, np.uint32), Counts()
-    last = edge
-    for i in range(0, len(data) + 1, PIECE):
-        s = np.concatenate([last, data[i : i + PIECE], edge[:1] if i + PIECE > len(data) else edge[:0]])
-        last = s[len(s) - ORDER + 1 :]
-        wide, m = s.astype(np.uint64), len(s) - ORDER + 1
-        before = sum(wide[k : m + k] * FACTORS[k] for k in range(ORDER - 1))
-        code, first, n = np.unique(mixed(before + wide[ORDER - 1 :] * FACTORS[-1]).view(np.int64), return_index=True, return_counts=True)
-        out.add(code, mixed(before[first]), n, np.lib.stride_tricks.sliding_window_view(s, ORDER)[first])
-    return out.merged()
+    def add(self, text: bytes) -> bool:
+        """Counts a text; False, and nothing counted, if the alphabet has no room for it."""
+        data = points(text)
+        if not self.alphabet.room(data):
+            return False
+        for piece in self.alphabet.ngrams(data):
+            self.raw.append(piece)
+            self.size += len(piece)
+            if self.size >= PIECE:
+                self.merge()
+        return True
+
+    def merge(self):
+        code, n = np.unique(np.concatenate([self.code[:0], *self.raw]), return_counts=True)
+        self.raw, self.size = [], 0
+        both, at = np.unique(np.concatenate([self.code, code]), return_inverse=True)
+        self.code, self.n = both, np.bincount(at, np.concatenate([self.n, n]), len(both)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- the model
@@ -87,46 +126,49 @@ def by_language(rows: DataFrame) -> DataFrame:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """Rows of texts (block, doc_id, lang, text, the counts) and rows of n-grams (block, lang, code, gram, n).
+    """Rows of texts (block, doc_id, lang, text, the counts) and rows of n-grams (block, lang, gram, n).
 
     A block has texts of one language of one task, about ``BLOCK`` bytes of all languages at a
-    time, and each of their n-grams once.
+    time, and each of their n-grams once, in order.
     """
-    names = ["block", "lang", "doc_id", "text", *BASE, "code", "gram", "n"]
+    names = ["block", "lang", "doc_id", "text", *BASE, "gram", "n"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, lang string, doc_id {kind}, text string, {', '.join(f'{c} long' for c in BASE)}, code long, gram string, n long"
+    schema = f"block long, lang string, doc_id {kind}, text string, {', '.join(f'{c} long' for c in BASE)}, gram string, n long"
 
     def run(batches):
         given, held, size, number = TaskContext.get().partitionId() << 32, {}, 0, 0
 
-        def flush(like):
-            for name, (block, counts) in held.items():
-                code, _, n, points = counts.merged()
-                m, all_points = len(code), points.astype("<u4").tobytes().decode("utf-32-le")
-                grams = [all_points[i : i + ORDER] for i in range(0, ORDER * m, ORDER)]
-                empty = [pa.nulls(m, like.column(0).type), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * len(BASE)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array([name] * m, pa.string()), *empty, pa.array(code), pa.array(grams, pa.string()), pa.array(n)], names)
-            held.clear()
+        def flush(name, kind):
+            counts = held.pop(name)
+            counts.merge()
+            for i in range(0, len(counts.code), 1 << 16):
+                code = counts.code[i : i + (1 << 16)]
+                m = len(code)
+                empty = [pa.nulls(m, kind), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * len(BASE)]
+                grams = pa.array(counts.alphabet.strings(code), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, counts.block)), pa.array([name] * m, pa.string()), *empty, grams, pa.array(counts.n[i : i + (1 << 16)])], names)
 
-        batch = None
         for whole in batches:
+            kind = whole.column(0).type
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
                 bodies, of = texts(batch.column(2)), []
                 for name, t in zip(batch.column(1).to_pylist(), bodies, strict=True):
-                    if name not in held:
-                        held[name], number = (given + number, Counts()), number + 1
-                    of.append(held[name][0])
-                    held[name][1].add(*ngrams(t))
+                    if name not in held or not held[name].add(t):
+                        if name in held:
+                            yield from flush(name, kind)
+                        held[name], number = Counts(given + number), number + 1
+                        held[name].add(t)
+                    of.append(held[name].block)
                     size += len(t)
                 m, base = batch.num_rows, base_counts(bodies)
-                none = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(1), batch.column(0), batch.column(2), *[base[c] for c in BASE], *none], names)
-                if size >= BLOCK:
-                    yield from flush(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(1), batch.column(0), batch.column(2), *[base[c] for c in BASE], pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+                if size >= BLOCK or len(held) > LANGUAGES_HELD:
+                    for name in list(held):
+                        yield from flush(name, kind)
                     size = 0
-        if batch is not None:
-            yield from flush(batch)
+        for name in list(held):
+            yield from flush(name, kind)
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
@@ -148,14 +190,14 @@ def discount() -> Column:
 
 
 def model(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, code, n, total, left, lower) of each n-gram of the top order in (lang, code, gram, n), and the discounts of its order.
+    """(lang, gram, n, total, left, lower) of each n-gram of the top order in (lang, gram, n), and the discounts of its order.
 
     ``total`` and ``left`` are the count of its context and what the discounts leave to shorter
     n-grams, ``lower`` the interpolated probability of its suffix. Shorter n-grams count the
     different code points that stand before them; below the shortest all code points of the
     language and an unknown one are equally likely.
     """
-    top = written(grams.groupBy("lang", "code").agg(F.min("gram").alias("gram"), F.sum("n").alias("n")), "ngrams")
+    top = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
     levels = [top]
     for _ in range(ORDER - 1):
         levels.append(written(levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "ngrams"))
@@ -173,50 +215,58 @@ def model(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
             shorter = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             cut = cut.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["lang", "suffix"])
         if k == ORDER:
-            return cut.select("lang", "code", "n", "total", "left", "lower"), offs.drop("kinds")
+            return cut.select("lang", "gram", "n", "total", F.col("left").cast("float"), F.col("lower").cast("float")), offs.drop("kinds")
         p = (F.col("n") - discount() + F.col("left") * F.col("lower")) / F.col("total")
         below = written(cut.select("lang", "gram", p.alias("p")), "orders")
 
 
-ANSWERS = ["code", "n", "total", "left", "lower"]
+ANSWERS = ["gram", "n", "total", "left", "lower"]
 
 
 class Scorer:
-    """The n-grams of a block as sorted hash arrays."""
+    """The n-grams of a block as sorted arrays."""
 
     def __init__(self, rows: pa.Table):
-        code = rows.column("code").to_numpy()
+        grams, self.alphabet = rows.column("gram").to_pylist(), Alphabet()
+        self.alphabet.room(points("".join(grams).replace(chr(EDGE), "").encode()))
+        code = self.alphabet.codes(grams)
         order = np.argsort(code)
         self.code = code[order]
         self.n, self.total, self.left, self.lower = (rows.column(c).to_numpy()[order] for c in ANSWERS[1:])
 
     def log_perplexity(self, text: bytes, off: np.ndarray) -> float:
         """Mean negative log probability of the n-grams of a text, whose own n-grams do not count in the top order."""
-        code, context, own, _ = ngrams(text)
-        at = np.searchsorted(self.code, code)
-        _, ctx = np.unique(context, return_inverse=True)
-        n = self.n[at] - own
-        total = self.total[at] - np.bincount(ctx, own)[ctx]
+        own = Counts(0)
+        own.alphabet = self.alphabet
+        own.add(text)
+        own.merge()
+        at = np.searchsorted(self.code, own.code)
+        context = own.code >> np.uint64(BITS)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        n = self.n[at] - own.n
+        total = self.total[at] - np.add.reduceat(own.n, np.flatnonzero(new))[np.cumsum(new) - 1]
         known = np.maximum(total, 1)
+        lower = self.lower[at].astype(np.float64)
         rest = np.where(total > 0, np.minimum(1.0, self.left[at] / known), 1.0)
-        p = np.where(total > 0, np.maximum(n - off[np.clip(n, 0, 3)], 0) / known, 0) + rest * self.lower[at]
-        return float(-(own * np.log(np.minimum(p, 1.0))).sum() / own.sum())
+        p = np.where(total > 0, np.maximum(n - off[np.clip(n, 0, 3)], 0) / known, 0) + rest * lower
+        return float(-(own.n * np.log(np.minimum(p, 1.0))).sum() / own.n.sum())
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, the counts, base_failed, log_perplexity) of each row of (doc_id, lang, text)."""
-    rows = written(blocked(docs), "blocks")
-    grams = rows.where(F.col("code").isNotNull()).select("block", "lang", "code", "gram", "n")
-    trained, offs = model(grams.select("lang", "code", "gram", "n"))
-    answers = grams.select("block", "lang", "code").join(trained, ["lang", "code"]).select(F.col("block").alias("asked"), *ANSWERS)
-    bodies = rows.where(F.col("code").isNull()).drop("code", "gram", "n").join(offs, "lang")
+    rows = written(blocked(docs), "blocks", compression="zstd")
+    grams = rows.where(F.col("gram").isNotNull()).select("block", "lang", "gram", "n")
+    trained, offs = model(grams.select("lang", "gram", "n"))
+    answers = grams.select("block", "lang", "gram").join(trained, ["lang", "gram"]).select(F.col("block").alias("asked"), *ANSWERS)
+    bodies = rows.where(F.col("gram").isNull()).drop("gram", "n").join(offs, "lang")
     out = ["doc_id", "lang", *BASE]
 
     def score(body: pa.Table, answer: pa.Table) -> pa.Table:
-        scorer = Scorer(answer)
+        body, scorer = body.combine_chunks(), Scorer(answer)
         off = np.array([0.0, *[body.column(f"d{j}")[0].as_py() for j in (1, 2, 3)]])
-        values = [scorer.log_perplexity(t, off) for t in texts(body.column("text"))]
-        body = body.combine_chunks()
+        values = []
+        for i in range(0, body.num_rows, ROWS):
+            values += [scorer.log_perplexity(t, off) for t in texts(body.column("text").slice(i, ROWS))]
         return body.select(out).append_column("log_perplexity", pa.array(values, pa.float64()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
