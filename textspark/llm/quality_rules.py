@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,14 +127,14 @@ def by_language(rows: DataFrame) -> DataFrame:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """Rows of texts (block, doc_id, lang, text, the counts) and rows of n-grams (block, lang, gram, n).
+    """Rows of texts (block, doc_id, lang, body: the compressed text, the counts) and rows of n-grams (block, lang, gram, n).
 
     A block has texts of one language of one task, about ``BLOCK`` bytes of all languages at a
     time, and each of their n-grams once, in order.
     """
-    names = ["block", "lang", "doc_id", "text", *BASE, "gram", "n"]
+    names = ["block", "lang", "doc_id", "body", *BASE, "gram", "n"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, lang string, doc_id {kind}, text string, {', '.join(f'{c} long' for c in BASE)}, gram string, n long"
+    schema = f"block long, lang string, doc_id {kind}, body binary, {', '.join(f'{c} long' for c in BASE)}, gram string, n long"
 
     def run(batches):
         given, held, size, number = TaskContext.get().partitionId() << 32, {}, 0, 0
@@ -144,7 +145,7 @@ def blocked(docs: DataFrame) -> DataFrame:
             for i in range(0, len(counts.code), 1 << 16):
                 code = counts.code[i : i + (1 << 16)]
                 m = len(code)
-                empty = [pa.nulls(m, kind), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * len(BASE)]
+                empty = [pa.nulls(m, kind), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * len(BASE)]
                 grams = pa.array(counts.alphabet.strings(code), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, counts.block)), pa.array([name] * m, pa.string()), *empty, grams, pa.array(counts.n[i : i + (1 << 16)])], names)
 
@@ -161,8 +162,8 @@ def blocked(docs: DataFrame) -> DataFrame:
                         held[name].add(t)
                     of.append(held[name].block)
                     size += len(t)
-                m, base = batch.num_rows, base_counts(bodies)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(1), batch.column(0), batch.column(2), *[base[c] for c in BASE], pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+                m, base, packed = batch.num_rows, base_counts(bodies), zstandard.ZstdCompressor()
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), batch.column(1), batch.column(0), pa.array([packed.compress(t) for t in bodies], pa.binary()), *[base[c] for c in BASE], pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
                 if size >= BLOCK or len(held) > LANGUAGES_HELD:
                     for name in list(held):
                         yield from flush(name, kind)
@@ -254,7 +255,7 @@ class Scorer:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, the counts, base_failed, log_perplexity) of each row of (doc_id, lang, text)."""
-    rows = written(blocked(docs), "blocks", compression="zstd")
+    rows = written(blocked(docs), "blocks")
     grams = rows.where(F.col("gram").isNotNull()).select("block", "lang", "gram", "n")
     trained, offs = model(grams.select("lang", "gram", "n"))
     answers = grams.select("block", "lang", "gram").join(trained, ["lang", "gram"]).select(F.col("block").alias("asked"), *ANSWERS)
@@ -264,9 +265,9 @@ def measured(docs: DataFrame) -> DataFrame:
     def score(body: pa.Table, answer: pa.Table) -> pa.Table:
         body, scorer = body.combine_chunks(), Scorer(answer)
         off = np.array([0.0, *[body.column(f"d{j}")[0].as_py() for j in (1, 2, 3)]])
-        values = []
+        values, packed = [], zstandard.ZstdDecompressor()
         for i in range(0, body.num_rows, ROWS):
-            values += [scorer.log_perplexity(t, off) for t in texts(body.column("text").slice(i, ROWS))]
+            values += [scorer.log_perplexity(packed.decompress(t), off) for t in body.column("body").slice(i, ROWS).to_pylist()]
         return body.select(out).append_column("log_perplexity", pa.array(values, pa.float64()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
