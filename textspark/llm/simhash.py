@@ -201,8 +201,9 @@ TABLES = 2 * LANES
 REACH = 2
 CHECK = 6  # lanes that travel with a table's 32 bits
 TABLE_SHARD = 1 << 18  # records of 72 bytes, about 20 MB a task
-NEAREST = 4  # of a cell with many links: first links of each point, to its nearest points and to the cell's central ones
-WIDER = 8  # times as many partners in each further pass over what these leave unlinked
+LEADERS = 64  # of a cell with many links: most leaders, and points by which one is chosen
+NEAREST = 4  # partners of each point in the first pass over what leaders leave unlinked
+WIDER = 8  # times as many partners in each further pass
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -232,33 +233,31 @@ def word_keys(column: pa.Array) -> dict[str, pa.Array]:
     return {"_llm_key": pa.array([xxhash.xxh3_128_digest(b" ".join(words(t.lower()))) for t in texts(column)], pa.binary())}
 
 
-def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float) -> np.ndarray:
-    """Pairs of a cell to be compared first, of which at most ``most`` check bits differ.
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of ``x`` and each of ``y``."""
+    return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
 
-    All pairs within ``reach`` where they are few; else a group of many copies, of which each point
-    is compared with its nearest ones and with those that are nearest to the cell on average.
-    ``crossing`` gives the rest, once it is known which of them are linked.
+
+def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float) -> tuple[np.ndarray, bool]:
+    """Pairs of a cell to be compared first, of which at most ``most`` check bits differ, and whether these are all of them.
+
+    All pairs within ``reach`` where they are few; else each point with one leader: the most
+    central point leads all within ``most`` bits, the most central one of the rest the next, and
+    so on. ``crossing`` gives the rest, once it is known which of them are linked.
     """
     pairs = all_links(cell, f, reach)
     if pairs is not None:
-        return pairs[np.bitwise_count(check[pairs[:, 0]] ^ check[pairs[:, 1]]).sum(1, dtype=np.int64) <= most]
-    own, found = check[cell], []
-    lanes = range(check.shape[1])
-    apart = lambda x, y: sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in lanes)
-    mean = np.zeros(len(cell))
-    for i in range(0, len(cell), CELL):
-        mean[i : i + CELL] = apart(own[i : i + CELL], own[:: max(1, len(cell) // CELL)]).mean(1)
-    hubs = np.argsort(mean, kind="stable")[:NEAREST]
-    for i in range(0, len(cell), CELL):
-        d = apart(own[i : i + CELL], own)
-        rows = np.arange(len(d))
-        d[rows, rows + i] = 32_000
-        near = np.argpartition(d, min(NEAREST, len(cell) - 1), axis=1)[:, :NEAREST]
-        to = np.concatenate([near, np.broadcast_to(hubs, (len(d), len(hubs)))], 1)
-        at = np.broadcast_to(rows[:, None], to.shape)
-        ok = d[at, to] <= most
-        found.append(np.stack([cell[at[ok] + i], cell[to[ok]]], 1))
-    return np.concatenate(found)
+        return pairs[np.bitwise_count(check[pairs[:, 0]] ^ check[pairs[:, 1]]).sum(1, dtype=np.int64) <= most], True
+    rest, found = cell, [np.zeros((0, 2), np.int64)]
+    for _ in range(LEADERS):
+        if len(rest) < 2:
+            break
+        central = apart(check[rest], check[rest[:: max(1, len(rest) // LEADERS)]]).sum(1, dtype=np.int64).argmin()
+        leader, rest = rest[central], np.delete(rest, central)
+        led = apart(check[rest], check[leader][None])[:, 0] <= most
+        found.append(np.stack([rest[led], np.full(int(led.sum()), leader)], 1))
+        rest = rest[~led]
+    return np.concatenate(found), False
 
 
 def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +271,7 @@ def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int) -> tup
     found, more = [np.zeros((0, 2), np.int64)], [ends[:0]]
     for i in range(0, len(ends), CELL):
         at = ends[i : i + CELL]
-        d = sum(np.bitwise_count(check[at, None, k] ^ check[None, :, k]).astype(np.int16) for k in range(check.shape[1]))
+        d = apart(check[at], check)
         ok = (d <= most) & (own[at][:, None] != own[None, :])
         over = ok.sum(1) > room
         x, y = np.nonzero(ok & ~over[:, None])
@@ -312,7 +311,7 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
     vantage-point tree for each table; then by 384 bits, by all bits, and at last exactly by
     their sets of shingles. Only the texts of pairs are moved for that.
 
-    Cells with many links give a few pairs for each text first. What these leave unlinked is
+    In cells with many links each text is first compared with one leader. What this leaves unlinked is
     compared across the groups found, with ever more partners for each text, until each pair of
     the cell is either compared or within one group.
     """
@@ -341,9 +340,10 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
         dense = []
 
         def of_cell(cell):
-            if all_links(cell, f, REACH) is None:
+            pairs, whole = candidates(cell, f, check, REACH, rough)
+            if not whole:
                 dense.append(cell)
-            return candidates(cell, f, check, REACH, rough)
+            return pairs
 
         pairs = near_pairs(f, REACH, of_cell)
         members = np.concatenate([pairs[:0, 0], *dense])
@@ -383,7 +383,6 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
         return pa.table({"a": key.take(pa.array(np.concatenate([pairs[:, 0], more]))), "b": b})
 
     while open_:
-        room *= WIDER
         marked = dense.join(roots, "key", "left").select("cell", "key", "check", F.coalesce("root", "key").alias("root"))
         # cells within one group have nothing left
         parted = marked.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("cell")
@@ -393,6 +392,7 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
             links = links.unionByName(new)
             roots = components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
         open_ = not left.where(F.col("b").isNull()).isEmpty()
+        room *= WIDER
     return roots
 
 
