@@ -103,12 +103,12 @@ def test_dense_cells_keep_true_neighbours():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, simhash.CHECK, dtype=np.uint64)
     check = np.stack([centre ^ (np.uint64(1) << rng.integers(0, 64, simhash.CHECK, dtype=np.uint64)) for _ in range(1500)])
-    pairs, whole = simhash.candidates(np.arange(1500), np.zeros(1500, np.uint32), check, 2, 20)
+    pairs, whole = simhash.candidates(np.arange(1500), np.zeros(1500, np.uint32), check, 2, 20, np.arange(1500))
     assert set(roots(1500, pairs.tolist())) == {0}
     assert not whole and len(pairs) == 1499
     far = rng.integers(0, 2**63, (3, 1, simhash.CHECK), dtype=np.uint64)
     groups = np.concatenate([check[:700], *(check[700:900] ^ x for x in far)])
-    pairs, whole = simhash.candidates(np.arange(1300), np.zeros(1300, np.uint32), groups, 2, 20)
+    pairs, whole = simhash.candidates(np.arange(1300), np.zeros(1300, np.uint32), groups, 2, 20, np.arange(1300))
     assert not whole and len(pairs) == 1300 - 4 and len(set(roots(1300, pairs.tolist()))) == 4
 
 

@@ -238,12 +238,12 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(x[:, None, k] ^ y[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
 
 
-def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float) -> tuple[np.ndarray, bool]:
+def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, most: float, order: np.ndarray) -> tuple[np.ndarray, bool]:
     """Pairs of a cell to be compared first, of which at most ``most`` check bits differ, and whether these are all of them.
 
-    All pairs within ``reach`` where they are few; else each point with one leader: the most
-    central point leads all within ``most`` bits, the most central one of the rest the next, and
-    so on. ``crossing`` gives the rest, once it is known which of them are linked.
+    All pairs within ``reach`` where they are few; else each point with one leader: of the more
+    central half of the points the first in ``order`` leads all within ``most`` bits, then one of
+    the rest, and so on. With one order for all tables most tables choose the same leaders. ``crossing`` gives the rest, once it is known which of them are linked.
     """
     pairs = all_links(cell, f, reach)
     if pairs is not None:
@@ -252,8 +252,10 @@ def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, m
     for _ in range(LEADERS):
         if len(rest) < 2:
             break
-        central = apart(check[rest], check[rest[:: max(1, len(rest) // LEADERS)]]).sum(1, dtype=np.int64).argmin()
-        leader, rest = rest[central], np.delete(rest, central)
+        mean = apart(check[rest], check[rest[:: max(1, len(rest) // LEADERS)]]).sum(1, dtype=np.int64)
+        central = rest[mean <= np.median(mean)]
+        leader = central[order[central].argmin()]
+        rest = rest[rest != leader]
         led = apart(check[rest], check[leader][None])[:, 0] <= most
         found.append(np.stack([rest[led], np.full(int(led.sum()), leader)], 1))
         rest = rest[~led]
@@ -337,10 +339,11 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
         part = part.combine_chunks()
         check = np.frombuffer(b"".join(part.column("check").to_pylist()), np.uint64).reshape(-1, CHECK)
         f = part.column("bits").to_numpy().view(np.uint32)
+        order = np.frombuffer(b"".join(k[:8] for k in part.column("key").to_pylist()), np.uint64)
         dense = []
 
         def of_cell(cell):
-            pairs, whole = candidates(cell, f, check, REACH, rough)
+            pairs, whole = candidates(cell, f, check, REACH, rough, order)
             if not whole:
                 dense.append(cell)
             return pairs
@@ -353,12 +356,17 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
             "cell": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(numbers, pa.int64())]),
             "a": key.take(pa.array(np.concatenate([pairs[:, 0], members]))),
             "b": pa.concat_arrays([key.take(pa.array(pairs[:, 1])).combine_chunks(), pa.nulls(len(members), pa.binary())]),
-            "check": pa.concat_arrays([pa.nulls(none, pa.binary()), part.column("check").take(pa.array(members)).combine_chunks()]),
         })
 
+    tried: list[DataFrame] = []
+
     def exact(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are as similar as asked."""
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+        """Those of the pairs that are as similar as asked, without pairs of an earlier call."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for earlier in tried:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        pairs = written(pairs, "candidates")
+        tried.append(pairs)
         links = written(verified(pairs, known, lambda x, y: (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= finer), "near")
         ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
         chosen = ids.join(ends, "key").groupBy("key").agg(F.min(F.struct("id")).alias("first")).select("key", "first.id")
@@ -369,21 +377,22 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
         return written(verified(links, sets, lambda x, y: share_of_sets(x, y) >= similarity), "links")
 
     dealt = arrow_map(known, deal, "shard long, key binary, bits int, check binary")
-    found = written(dealt.groupBy("shard").applyInArrow(search, "cell long, a binary, b binary, check binary"), "found")
+    found = written(dealt.groupBy("shard").applyInArrow(search, "cell long, a binary, b binary"), "found")
     links = exact(found.where(F.col("cell").isNull()))
     roots = components(links).select(F.col("node").alias("key"), F.col("component").alias("root"))
-    dense = found.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("key"), "check")
+    dense = found.where(F.col("cell").isNotNull()).select("cell", F.col("a").alias("key"))
     room, open_ = NEAREST, not dense.isEmpty()
 
     def across(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         key, (_, root) = part.column("key"), np.unique(np.array(part.column("root").to_pylist(), object), return_inverse=True)
-        pairs, more = crossing(root, np.frombuffer(b"".join(part.column("check").to_pylist()), np.uint64).reshape(-1, CHECK), rough, room)
+        pairs, more = crossing(root, np.frombuffer(b"".join(part.column("value").to_pylist()), np.uint64).reshape(-1, LANES), finer, room)
         b = pa.concat_arrays([key.take(pa.array(pairs[:, 1])).combine_chunks(), pa.nulls(len(more), pa.binary())])
         return pa.table({"a": key.take(pa.array(np.concatenate([pairs[:, 0], more]))), "b": b})
 
     while open_:
-        marked = dense.join(roots, "key", "left").select("cell", "key", "check", F.coalesce("root", "key").alias("root"))
+        placed = known.join(roots, "key", "left").select("key", "value", F.coalesce("root", "key").alias("root"))
+        marked = dense.join(placed, "key")
         # cells within one group have nothing left
         parted = marked.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("cell")
         left = written(marked.join(parted, "cell", "left_semi").groupBy("cell").applyInArrow(across, "a binary, b binary"), "crossing")
