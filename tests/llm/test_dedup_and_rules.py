@@ -144,6 +144,17 @@ def test_crossing_pairs_are_whole_or_named_as_open():
     assert set(more.tolist()) == set(range(20, 60)) and len(pairs) == 120
 
 
+def test_crossing_pairs_come_from_one_table():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64)
+    value = np.stack([base ^ (rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64) & rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64) & rng.integers(0, 2**63, simhash.LANES, dtype=np.uint64)) for _ in range(40)])
+    parts, root = value.view(np.uint32), np.arange(40)
+    found = [tuple(sorted(p)) for t in range(simhash.TABLES) for p in simhash.crossing(root, value, 1024, 100, t)[0].tolist()]
+    near = (np.bitwise_count(parts[:, None] ^ parts[None]) <= simhash.REACH).any(2)
+    assert Counter(found).keys() == {(i, j) for i in range(40) for j in range(i + 1, 40) if near[i, j]}
+    assert max(Counter(found).values()) <= 2  # once from each end
+
+
 # ---------------------------------------------------------------- quality rules
 
 

@@ -262,12 +262,14 @@ def candidates(cell: np.ndarray, f: np.ndarray, check: np.ndarray, reach: int, m
     return np.concatenate(found), False
 
 
-def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int) -> tuple[np.ndarray, np.ndarray]:
+def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int, number: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of a cell with different roots, of which at most ``most`` check bits differ, and the points with more of them.
 
     Each point gets its ``room`` nearest such partners. The members of the largest root are only
-    partners: every pair of different roots has an end outside it.
+    partners: every pair of different roots has an end outside it. ``number`` is that of the table
+    whose cell this is, if ``check`` has all bits: a pair is left to the first table that has it.
     """
+    parts = check.view(np.uint32)
     _, own, n = np.unique(root, return_inverse=True, return_counts=True)
     ends = np.flatnonzero(own != n.argmax())
     found, more = [np.zeros((0, 2), np.int64)], [ends[:0]]
@@ -275,6 +277,12 @@ def crossing(root: np.ndarray, check: np.ndarray, most: float, room: int) -> tup
         at = ends[i : i + CELL]
         d = apart(check[at], check)
         ok = (d <= most) & (own[at][:, None] != own[None, :])
+        if number is not None:
+            ok &= np.bitwise_count(parts[at, None, number] ^ parts[None, :, number]) <= REACH
+            x, y = np.nonzero(ok)
+            for j in range(0, len(x), 1 << 16):
+                u, v = x[j : j + (1 << 16)], y[j : j + (1 << 16)]
+                ok[u, v] = ~(np.bitwise_count(parts[at[u], :number] ^ parts[v, :number]) <= REACH).any(1)
         over = ok.sum(1) > room
         x, y = np.nonzero(ok & ~over[:, None])
         found.append(np.stack([at[x], y], 1))
@@ -386,7 +394,7 @@ def similar_classes(docs: DataFrame, keyed: DataFrame, ids: DataFrame, doc_id: s
     def across(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         key, (_, root) = part.column("key"), np.unique(np.array(part.column("root").to_pylist(), object), return_inverse=True)
-        pairs, more = crossing(root, np.frombuffer(b"".join(part.column("value").to_pylist()), np.uint64).reshape(-1, LANES), finer, room)
+        pairs, more = crossing(root, np.frombuffer(b"".join(part.column("value").to_pylist()), np.uint64).reshape(-1, LANES), finer, room, part.column("cell")[0].as_py() >> 32 + depth)
         b = pa.concat_arrays([key.take(pa.array(pairs[:, 1])).combine_chunks(), pa.nulls(len(more), pa.binary())])
         return pa.table({"a": key.take(pa.array(np.concatenate([pairs[:, 0], more]))), "b": b})
 
