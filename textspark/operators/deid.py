@@ -229,13 +229,15 @@ def reidentify(df: DataFrame, text: str = "deidentified", mapping: str = "mappin
 
 def keep_overlapping(keywords: Column, entities: Column) -> Column:
     """Distinct keywords that equal, lie in, or contain one of the entity texts, in any case."""
-    low = F.transform(entities, lambda e: F.lower(e))
-    return F.array_distinct(
-        F.filter(
+
+    def near(low: Column) -> Column:
+        return F.filter(
             keywords,
-            lambda k: F.exists(low, lambda e: F.contains(e, F.lower(k)) | F.contains(F.lower(k), e)),
+            lambda k: let(F.lower(k), lambda w: F.exists(low, lambda e: F.contains(e, w) | F.contains(w, e))),
         )
-    )
+
+    # bound once per row: inside the lambda the entities would be found anew for every keyword
+    return F.array_distinct(let(F.transform(entities, lambda e: F.lower(e)), near))
 
 
 def keyword_spans(text: Column, keywords: Column, label: str) -> Column:
