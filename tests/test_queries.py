@@ -2,9 +2,19 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from textspark.operators import deid
 
 
+def test_parquet_folder(spark, tmp_path):
+    """The documents may be one file or a folder of files."""
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b", i) for i in range(10)], "doc_id long, source string, n_chars long")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/many/labels.parquet")
+    found = entry.queries()["io1_read_parquet_dir"](spark, f"{tmp_path}/many").collect()
+    assert {tuple(r) for r in found} == {("a", 6, 27), ("b", 4, 18)}
+
+
 def test_entities_are_found_once_a_row(spark):
     """A Python function cannot be called for each keyword inside a lambda, only once for each row."""
     found = F.udf(lambda t: [t, "New York City"], "array<string>")
