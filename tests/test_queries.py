@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from textspark.operators import deid
+from textspark.operators import deid, topics
 
 
 def test_parquet_folder(spark, tmp_path):
@@ -15,6 +15,16 @@ def test_parquet_folder(spark, tmp_path):
     assert {tuple(r) for r in found} == {("a", 6, 27), ("b", 4, 18)}
 
 
+def test_zip_positions(spark, tmp_path):
+    vectors = [(1, [i / 64 for i in range(64)]), (2, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = entry.queries()["jn2_zip_positions"](spark, str(tmp_path)).collect()
+    want = {(1, f"t{i}", round(i / 64, 9)) for i in range(64)} | {(2, f"t{i}", None) for i in range(64)}
+    assert len(found) == 128 and {tuple(r) for r in found} == want
+    short = spark.createDataFrame([(0, ["a", "b"], [1.5])], "topic int, terms array<string>, weights array<double>")
+    assert [tuple(r) for r in topics.zip_terms(short, "topic", "terms", "weights").collect()] == [(0, "a", 1.5), (0, "b", None)]
+
+
 def test_entities_are_found_once_a_row(spark):
     """A Python function cannot be called for each keyword inside a lambda, only once for each row."""
     found = F.udf(lambda t: [t, "New York City"], "array<string>")
