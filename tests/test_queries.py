@@ -31,3 +31,19 @@ def test_entities_are_found_once_a_row(spark):
     rows = spark.createDataFrame([("John Smith", ["john", "saw", "York", "john"]), (None, ["x"])], "text string, keywords array<string>")
     kept = rows.select(deid.keep_overlapping(F.col("keywords"), found("text")).alias("k")).collect()
     assert [r.k for r in kept] == [["john", "York"], []]
+
+
+def test_factors_need_no_lookup_of_frequent_terms(spark, monkeypatch):
+    """Vectors go to blocks of documents: however frequent a term is, its rows are not joined."""
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("rows of frequent terms are looked up")
+
+    monkeypatch.setattr(topics, "FREQUENT", 1)
+    monkeypatch.setattr(topics, "counted_lookup", refused)
+    rows = [(i, ["all", "a" if i % 2 else "b"]) for i in range(8)] + [(8, []), (9, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    best, docs = topics.lsi(df, "id", "tokens", 2, iterations=2)
+    assert best.count() == 6 and docs.count() == 10
+    best, docs = topics.nmf(df, "id", "tokens", k=2, iterations=2)
+    assert best.count() == 6 and {r["id"] for r in docs.collect()} == set(range(8))
