@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from textspark.operators import deid, topics
+from textspark.operators import deid, tagger, topics
 
 
 def test_parquet_folder(spark, tmp_path):
@@ -47,3 +47,20 @@ def test_factors_need_no_lookup_of_frequent_terms(spark, monkeypatch):
     assert best.count() == 6 and docs.count() == 10
     best, docs = topics.nmf(df, "id", "tokens", k=2, iterations=2)
     assert best.count() == 6 and {r["id"] for r in docs.collect()} == set(range(8))
+
+
+def test_tags_are_found_by_one_lookup_of_numbers(spark, monkeypatch):
+    """A token carries the number of its vector, found once for each word, not a vector for each of its endings."""
+    seen, plain = [], tagger.looked_up
+
+    def counted(df, tokens, table, term, value, out):
+        seen.append(table.schema[value].dataType.typeName())
+        return plain(df, tokens, table, term, value, out)
+
+    monkeypatch.setattr(tagger, "looked_up", counted)
+    known = spark.createDataFrame([(["Runs", "the", "talking"], ["V", "D", "G"])] * 3, "t array<string>, tags array<string>")
+    model = tagger.train_tagger(known, "t", "tags")
+    rows = spark.createDataFrame([(1, ["the", "walking", None, "RUNS"]), (2, None), (3, [])], "id int, t array<string>")
+    got = {r["id"]: r["tags"] for r in tagger.tag_rows(rows, "t", model).collect()}
+    assert got[1][:2] == ["D", "G"] and got[1][3] == "V" and got[2] is None and got[3] == []
+    assert seen == ["long"]
