@@ -262,6 +262,12 @@ def test_candidates_are_not_lost(spark, bench, monkeypatch):
     assert len(found) >= 0.9 * len(every), (len(found), len(every))
 
 
+def test_candidates_are_not_lost_by_a_cut_sample(spark, bench, monkeypatch):
+    """The same recall with directions from 64 passages of the corpus and as many of the benchmark."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 64)
+    test_candidates_are_not_lost(spark, bench, monkeypatch)
+
+
 def test_short_items_are_phrases(spark):
     table = spark.createDataFrame([(1, "Red, river"), (2, "stone"), (3, "red river"), (4, "...")], "item_id long, text string")
     texts = ["a red river.", "RED-RIVER", "red wide river", "redriver", "a stone", "stones", "", None, "red red river bank stone red river"]
