@@ -364,6 +364,17 @@ def test_classifiers(spark):
     assert scores["validation_accuracy"] > 0.9
 
 
+def test_word_vectors_are_learned_in_several_tasks(spark, monkeypatch):
+    df = themed(spark).withColumn("label", (F.col("id") % 2).cast("double"))
+    n = df.agg(F.sum(F.size("tokens"))).first()[0]
+    model, _ = classify.train_text_classifier(df, df, "tokens", "label", size=4, epochs=1, min_count=1)
+    assert model.stages[0].getOrDefault("numPartitions") == 1
+    monkeypatch.setattr(classify, "TASK_WORDS", -(-n // 3))
+    model, scores = classify.train_text_classifier(df, df, "tokens", "label", size=8, epochs=2, min_count=1)
+    assert model.stages[0].getOrDefault("numPartitions") == 3 and scores["train_accuracy"] > 0.5
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_failing_rows_do_not_stop_a_batch(spark):
     def make():
         def score(texts):

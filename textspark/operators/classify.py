@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Word2Vec
@@ -20,6 +20,7 @@ from ..functions.scores import argmax_index, softmax
 from .corpus import bag_of_words, term_rows
 from .scale import checkpointed, counted_lookup
 
+TASK_WORDS = 2_000_000  # words that one task learns vectors from in an epoch
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
@@ -61,20 +62,27 @@ def predict_naive_bayes(model: NaiveBayes, df: DataFrame, key: str, tokens: str,
 def train_text_classifier(
     train: DataFrame, validation: DataFrame, tokens: str, label: str, size: int = 50, epochs: int = 2, min_count: int = 5, reg: Sequence[float] = (0.0, 0.01), seed: int = 42
 ) -> tuple[PipelineModel, dict[str, float]]:
-    """Mean of learned word vectors, then a linear layer; the model best on the validation rows is kept."""
-    words = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, seed=seed, inputCol=tokens, outputCol="_f").fit(train)
-    prepared = words.transform(train)
+    """Mean of learned word vectors, then a linear layer; the model best on the validation rows is kept.
+
+    Word vectors are learned in one task for each ``TASK_WORDS`` words and averaged after each epoch. Rows are tokenised once.
+    """
+    rows = train.select(tokens, label).persist()
+    found = rows.agg(F.sum(F.greatest(F.size(tokens), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
+    tasks = max(1, math.ceil(found / TASK_WORDS))
+    words = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=tasks, inputCol=tokens, outputCol="_f").fit(rows)
+    prepared, held = (words.transform(x).select("_f", label).persist() for x in (rows, validation))
     best, best_scores = None, {"validation_accuracy": -1.0}
     for strength in reg:
         linear = LogisticRegression(featuresCol="_f", labelCol=label, regParam=strength, maxIter=50).fit(prepared)
-        model = PipelineModel(stages=[words, linear])
-        scores = {"train_accuracy": accuracy(model, train, label), "validation_accuracy": accuracy(model, validation, label)}
+        scores = {"train_accuracy": accuracy(linear, prepared, label), "validation_accuracy": accuracy(linear, held, label)}
         if scores["validation_accuracy"] > best_scores["validation_accuracy"]:
-            best, best_scores = model, scores
+            best, best_scores = PipelineModel(stages=[words, linear]), scores
+    for x in (prepared, held, rows):
+        x.unpersist()
     return best, best_scores
 
 
-def accuracy(model: PipelineModel, df: DataFrame, label: str) -> float:
+def accuracy(model: Transformer, df: DataFrame, label: str) -> float:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(model.transform(df))
 
 
