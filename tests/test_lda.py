@@ -66,6 +66,34 @@ def test_a_step_equals_a_plain_one(spark, monkeypatch):
     assert of(after) == pytest.approx(plain_step(counts, first, 1 / 3, 1 / 3), abs=2e-2)
 
 
+def test_fitted_documents_take_no_more_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [np.sort(rng.choice(40, n, replace=False)) for n in (1, 2, 1, 3, 30, 2, 25)]
+    block = lda.Packed.__new__(lda.Packed)
+    block.doc, block.term = np.repeat(np.arange(7), [len(d) for d in docs]).astype(np.int32), np.concatenate(docs).astype(np.int32)
+    block.weight, block.beta, block.keys = rng.uniform(0.1, 3, len(block.doc)), rng.dirichlet(np.ones(40), 4).T, range(7)
+    block.starts = np.searchsorted(block.doc, np.arange(7))
+    gamma = np.ones((7, 4))
+    for _ in range(lda.INNER):
+        theta = np.exp(lda.digamma(gamma) - lda.digamma(gamma.sum(1))[:, None])
+        norm = (theta[block.doc] * block.beta[block.term]).sum(1) + lda.TINY
+        new = 0.2 + theta * np.add.reduceat(block.beta[block.term] * (block.weight / norm)[:, None], block.starts)
+        change, gamma = np.abs(new - gamma).mean(1).max(), new
+        if change < lda.CLOSE:
+            break
+    taken, plain = [], lda.digamma
+    monkeypatch.setattr(lda, "CLOSE", 2e-11)
+    monkeypatch.setattr(lda, "INNER", 5000)
+    monkeypatch.setattr(lda, "digamma", lambda x: taken.append(len(x)) or plain(x))
+    every, _, _ = block.fit(0.2)
+    assert min(taken) < 7  # fitted ones are left out
+    monkeypatch.undo()
+    found, log_theta, norm = block.fit(0.2)
+    assert found == pytest.approx(gamma, abs=1e-9)
+    assert every.sum(1) == pytest.approx(gamma.sum(1))
+    assert norm == pytest.approx((np.exp(log_theta)[block.doc] * block.beta[block.term]).sum(1))
+
+
 def test_partitions_do_not_matter(spark):
     df = entries(planted(spark, 3, 60))
     found = []
