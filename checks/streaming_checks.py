@@ -22,8 +22,10 @@ def new_folder(spark) -> str:
 
 
 def arrived(df, folder: str) -> str:
-    """A file for each row (id, text); writing adds a line end."""
-    df.where(F.length("text") > 0).write.partitionBy("id").text(f"{folder}/in")
+    """A file for each id of (id, text) with its texts, a line end behind each; files arrive in bundles."""
+    lines = df.where(F.length("text") > 0).groupBy("id").agg(F.array_sort(F.collect_list("text")).alias("t"))
+    name = F.concat(F.lit("id="), F.coalesce(F.col("id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    lines.select(name.alias("file"), F.concat(F.array_join("t", "\n"), F.lit("\n")).alias("text")).write.json(f"{folder}/in")
     return f"{folder}/in"
 
 
@@ -45,7 +47,7 @@ FILES = "files AS (SELECT doc_id, text || chr(10) AS text FROM documents WHERE l
 )
 def _(spark, sf):
     folder = new_folder(spark)
-    jobs.stream_redact(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", once=True).awaitTermination()
+    jobs.stream_redact(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", once=True, bundles=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(of_file().alias("doc_id"), "redacted", col("entity_count").cast("bigint").alias("entity_count"))
 
 
@@ -55,7 +57,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = new_folder(spark)
-    jobs.stream_offsets(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", once=True).awaitTermination()
+    jobs.stream_offsets(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", once=True, bundles=True).awaitTermination()
     schema = "file string, entity_count bigint, text_preview string, entities array<struct<start: bigint, end: bigint, text: string, label: string, confidence: double>>"
     rows = spark.read.schema(schema).json(f"{folder}/out").select(of_file().alias("doc_id"), "entity_count", F.explode("entities").alias("x"))
     return rows.select("doc_id", col("x.start").alias("start"), col("x.end").alias("stop"), col("x.text").alias("text"), col("x.label").alias("label"), "entity_count")
@@ -64,7 +66,7 @@ def _(spark, sf):
 @query("st3_stream_sentiment_files", f"WITH {FILES}, {LEX}, {polarity_sql('files', 'doc_id')} SELECT doc_id, {LABEL_SQL} AS label, compound, pos, neg, neu FROM pol")
 def _(spark, sf):
     folder = new_folder(spark)
-    jobs.stream_sentiment(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", lexicon(spark, sf), once=True).awaitTermination()
+    jobs.stream_sentiment(spark, document_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", lexicon(spark, sf), once=True, bundles=True).awaitTermination()
     scored = spark.read.schema("file string, label string, compound double, pos double, neg double, neu double").json(f"{folder}/out")
     return scored.select(of_file().alias("doc_id"), "label", "compound", "pos", "neg", "neu")
 
@@ -92,7 +94,7 @@ REQUESTS = (
 )
 def _(spark, sf):
     folder = new_folder(spark)
-    jobs.stream_records(spark, request_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", lexicon(spark, sf), ["EMAIL_ADDRESS", "US_SSN"], once=True).awaitTermination()
+    jobs.stream_records(spark, request_files(spark, sf, folder), f"{folder}/out", f"{folder}/c", lexicon(spark, sf), ["EMAIL_ADDRESS", "US_SSN"], once=True, bundles=True).awaitTermination()
     good = spark.read.schema("record string, redacted_text string, label string").json(f"{folder}/out/results").withColumn("error", F.lit(None).cast("string"))
     bad = spark.read.schema("record string, error string").json(f"{folder}/out/errors").select("record", F.lit(None).cast("string").alias("redacted_text"), F.lit(None).cast("string").alias("label"), "error")
     position = F.coalesce(F.try_element_at(F.split("record", "#"), F.lit(2)).cast("bigint"), F.lit(-1))

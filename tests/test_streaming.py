@@ -41,6 +41,28 @@ def test_sentiment(spark, tmp_path):
     assert out == {"a.txt": "positive", "b.txt": "negative"}
 
 
+def test_bundles_are_read_as_their_files(spark, tmp_path):
+    texts = {"a": "Write to ann@mail.example.com today\n", "b": "a good day\r\n\u2028x", "empty": ""}
+    put(tmp_path / "in", one="\n".join(json.dumps({"file": f, "text": t}) for f, t in texts.items()), two=json.dumps({"file": "c", "text": "bob@x.org"}))
+    args = (spark, str(tmp_path / "in"))
+    jobs.stream_redact(*args, str(tmp_path / "o1"), str(tmp_path / "c1"), ["EMAIL_ADDRESS"], once=True, bundles=True).awaitTermination()
+    found = {r.file: r.redacted for r in spark.read.parquet(str(tmp_path / "o1")).collect()}
+    assert found == {"a": "Write to [EMAIL_ADDRESS] today\n", "b": texts["b"], "c": "[EMAIL_ADDRESS]"}
+    jobs.stream_sentiment(*args, str(tmp_path / "o2"), str(tmp_path / "c2"), lexicon(spark), once=True, bundles=True).awaitTermination()
+    assert {r.file: r.label for r in spark.read.json(str(tmp_path / "o2")).collect()} == {"a": "neutral", "b": "positive", "c": "neutral"}
+
+
+def test_arriving_documents_come_in_few_files(spark, tmp_path):
+    from checks.streaming_checks import arrived, of_file
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(7, "more"), (8, ""), (9, None)], "id long, text string")
+    folder = arrived(df.coalesce(1), str(tmp_path))
+    assert len(list((tmp_path / "in").rglob("part-*"))) < 100
+    jobs.stream_offsets(spark, folder, str(tmp_path / "o"), str(tmp_path / "c"), ["EMAIL_ADDRESS"], once=True, bundles=True).awaitTermination()
+    rows = {r.id: r.text_preview for r in spark.read.json(str(tmp_path / "o")).select(of_file().alias("id"), "text_preview").collect()}
+    assert len(rows) == 300 and rows[12].startswith("text 12\n") and "more" in rows[7] and "text 7" in rows[7]
+
+
 def test_records(spark, tmp_path):
     batch = {"data": [{"patient_id": "P1", "text": "good, mail a@b.org"}, {"patient_id": "P2", "text": ""}, {"text": "x"}]}
     src = put(tmp_path / "in", a=json.dumps(batch), b=json.dumps({"body": json.dumps(batch)}), c="not json")

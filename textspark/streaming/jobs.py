@@ -23,14 +23,19 @@ from .numbering import folder_exists, stream_numbered
 REGISTRY = "label string, text string, number bigint, batch bigint"
 
 
-def stream_files(spark: SparkSession, path: str, limit: int | None = None, max_files: int = 1000) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, limit: int | None = None, max_files: int = 1000, bundles: bool = False) -> DataFrame:
     """(file, text) per arriving file; empty files (folder markers) are skipped.
 
     Whole texts by default; ``limit`` keeps the first characters only, where a caller needs the old service limit.
+    Very many small files are better sent in ``bundles``: arriving files with a JSON line {"file": …, "text": …} for each of them.
     """
-    raw = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(path)
-    text = F.col("value") if limit is None else T.truncate(F.col("value"), limit)
-    return raw.select(F.col("_metadata.file_path").alias("file"), text.alias("text")).filter(F.length("text") > 0)
+    reader = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+    if bundles:
+        raw = reader.format("json").schema("file string, text string").load(path)
+    else:
+        raw = reader.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    text = F.col("text") if limit is None else T.truncate(F.col("text"), limit)
+    return raw.select("file", text.alias("text")).filter(F.length("text") > 0)
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
@@ -39,10 +44,10 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
 
 
 def stream_redact(
-    spark: SparkSession, source: str, out: str, checkpoint: str, entities: Sequence[str] | None = None, limit: int | None = None, once: bool = False
+    spark: SparkSession, source: str, out: str, checkpoint: str, entities: Sequence[str] | None = None, limit: int | None = None, once: bool = False, bundles: bool = False
 ) -> StreamingQuery:
     """(file, redacted, entity_count) per file, appended to ``out``."""
-    found = pii.detect(stream_files(spark, source, limit), "text", entities)
+    found = pii.detect(stream_files(spark, source, limit, bundles=bundles), "text", entities)
     redacted = found.select(
         "file", S.replace_spans(F.col("text"), F.col("spans"), M.label_text).alias("redacted"), F.size("spans").alias("entity_count")
     )
@@ -50,16 +55,16 @@ def stream_redact(
 
 
 def stream_offsets(
-    spark: SparkSession, source: str, out: str, checkpoint: str, entities: Sequence[str] | None = None, limit: int | None = None, once: bool = False
+    spark: SparkSession, source: str, out: str, checkpoint: str, entities: Sequence[str] | None = None, limit: int | None = None, once: bool = False, bundles: bool = False
 ) -> StreamingQuery:
     """Entities with offsets per file as JSON."""
-    found = pii.detect(stream_files(spark, source, limit), "text", entities)
+    found = pii.detect(stream_files(spark, source, limit, bundles=bundles), "text", entities)
     rows = found.select("file", F.size("spans").alias("entity_count"), T.preview(F.col("text")).alias("text_preview"), F.col("spans").alias("entities"))
     return _start(rows.writeStream.format("json").outputMode("append").option("path", out), checkpoint, once)
 
 
 def stream_sentiment(
-    spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: DataFrame, limit: int | None = None, once: bool = False
+    spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: DataFrame, limit: int | None = None, once: bool = False, bundles: bool = False
 ) -> StreamingQuery:
     """Sentiment label and scores per file as JSON, one folder per batch."""
 
@@ -67,11 +72,11 @@ def stream_sentiment(
         scored = sentiment.labelled_polarity(batch, "file", "text", lexicon)
         scored.write.mode("overwrite").json(f"{out}/batch={batch_id}")
 
-    return _start(stream_files(spark, source, limit).writeStream.foreachBatch(score), checkpoint, once)
+    return _start(stream_files(spark, source, limit, bundles=bundles).writeStream.foreachBatch(score), checkpoint, once)
 
 
 def stream_records(
-    spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: DataFrame, entities: Sequence[str] | None = None, once: bool = False
+    spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: DataFrame, entities: Sequence[str] | None = None, once: bool = False, bundles: bool = False
 ) -> StreamingQuery:
     """Request batches: results under ``out/results``, bad records under ``out/errors``."""
     from ..plans.jobs import analyse_records
@@ -85,7 +90,7 @@ def stream_records(
         errors.unionByName(empty).write.mode("overwrite").json(f"{out}/errors/batch={batch_id}")
         requests.unpersist()
 
-    return _start(stream_files(spark, source).writeStream.foreachBatch(run), checkpoint, once)
+    return _start(stream_files(spark, source, bundles=bundles).writeStream.foreachBatch(run), checkpoint, once)
 
 
 def run_corpus_job(
