@@ -401,3 +401,44 @@ def test_anomalies(spark):
     assert again.join(scored.select("id", F.col("score").alias("s2")), "id").filter(F.abs(F.col("score") - F.col("s2")) > 1e-9).count() == 0
     flagged = anomaly.flag_sigma(scored, "score").filter("anomaly").collect()
     assert 1234 in {r.id for r in flagged}
+
+
+# ---------------------------------------------------------------- texts are read once
+
+
+def test_content_tokens_extract_words_only(spark):
+    texts = ["It's 3.14 and ΑΣ İstanbul x42 42 Ⅳ ⓐⓐ été _a_ -- the GOOD one", "", None, "!? ."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    dropped = [*V.STOP_WORDS, "good"]
+    plain = F.filter(
+        F.transform(T.tokens(F.col("t")), lambda t: F.lower(t)),
+        lambda t: ~t.isin(*dropped) & t.rlike(T.WORD) & ~t.rlike(r"^[0-9][0-9.,]*$") & (F.length(t) > 1),
+    )
+    found = df.select(T.content_tokens(F.col("t"), ["Good"]).alias("a"), plain.alias("b"))
+    assert all(r.a == r.b for r in found.collect())
+    alone = df.select(T.content_tokens(F.col("t"), ["Good"]))
+    assert r"[^\s" not in alone._jdf.queryExecution().analyzed().toString()
+
+
+def test_bags_are_counted_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    calls, plain = [], corpus.bag_of_words
+    monkeypatch.setattr(corpus, "bag_of_words", lambda *a: calls.append(a) or plain(*a))
+    rows = [(i, "apple pear apple" + (" plum" if i == 0 else ""), "en", "web") for i in range(3)] + [(3, None, "en", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["tx21_build_dictionary"](spark, str(tmp_path)).collect()
+    assert len(calls) == 1 and sorted(map(tuple, found)) == sorted((i, t, n) for i in range(3) for t, n in ((0, 2), (1, 1)))
+
+
+def test_limited_count_vectors_read_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        seen.add(1)
+        return text.split()
+
+    df = spark.createDataFrame([(i, "a a b") for i in range(4)], "id long, t string")
+    df = df.select("id", F.udf(split, "array<string>")("t").alias("tokens"))
+    rows = corpus.count_vectors(df, "id", "tokens", vocab_size=1, min_tf=2).collect()
+    assert seen.value == 4 and sorted(map(tuple, rows)) == [(i, "a", 2) for i in range(4)]
