@@ -442,3 +442,23 @@ def test_limited_count_vectors_read_texts_once(spark):
     df = df.select("id", F.udf(split, "array<string>")("t").alias("tokens"))
     rows = corpus.count_vectors(df, "id", "tokens", vocab_size=1, min_tf=2).collect()
     assert seen.value == 4 and sorted(map(tuple, rows)) == [(i, "a", 2) for i in range(4)]
+
+
+def test_yake_words_do_not_become_rows(spark, monkeypatch):
+    """Words stay in the row; slices of few words, equal keys and null keys give the rows of whole documents."""
+    texts = ["Google buys Kaggle. Kaggle hosts data, data science!\n\n NASA data.", " ... ! ", "", None, "Éclair ΑΣ 𝒳yz word. Zwei Wörter x42 42nd", "one word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    whole = keywords.yake(df, "id", "t", top=1000, threshold=1e9)
+    assert "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    want = {tuple(r) for r in whole.collect()}
+    for i in (0, 4):
+        mine = {r[1]: pytest.approx(r[2]) for r in want if r[0] == i}
+        assert mine == brute_yake(texts[i], 3, set(V.STOP_WORDS))
+    monkeypatch.setattr(keywords, "SLICE_WORDS", 2)
+    assert {tuple(r) for r in keywords.yake(df, "id", "t", top=1000, threshold=1e9).collect()} == want
+    best = [r for r in sorted(want, key=lambda r: (r[0], r[-1])) if r[-1] <= 3]
+    assert {tuple(r) for r in keywords.yake(df, "id", "t", top=3, threshold=1e9).collect()} == set(best)
+    twice = spark.createDataFrame([(None, texts[0]), (None, texts[0])], "id long, t string")
+    again = {r.keyword: r for r in keywords.yake(twice, "id", "t", top=1000, threshold=1e9).collect()}
+    assert again and all(r.id is None for r in again.values())
+    assert (again["nasa"].begin, again["nasa"].end, again["nasa"].sentence) == (texts[0].index("NASA"), texts[0].index("NASA") + 4, 2)
