@@ -380,3 +380,18 @@ def test_classifiers_without_labels_or_rows(odd_docs, no_docs, spark):
         assert {r["score"] for r in toxicity.classified(odd_docs, labels, "toxic", 4, 2).collect()} == {0.5}
         assert {r["score"] for r in quality_classifier.classified(odd_docs, labels, "quality", 5, 7).collect()} == {quality}
     assert toxicity.classified(no_docs, one, "toxic", 4, 2).collect() == [] == quality_classifier.classified(no_docs, one, "quality", 5, 0).collect()
+
+
+def test_words_are_cut_as_arrays_and_each_part_is_learned_once(monkeypatch):
+    t = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    letters = "abYZ09'’<|%,. \n\x0b\x00\u0085\u00a0éÖßİŞΣσς日本ǅ½٣²e\u0301\u0915\u093f\u1100\u1161가한😀𝔄«—"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "<|endoftext|> a<|b", "it's we'LL 'tis", "ΟΔΟΣ Σ"]
+    want = [[*t.tokenizer.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+    assert [x.tolist() for x in t.encode([x.encode() for x in texts])] == want
+    monkeypatch.setattr(packing, "PIECE", 7)
+    monkeypatch.setattr(packing, "CACHE", 20)
+    assert [x.tolist() for x in t.encode([x.encode() for x in texts])] == want
+    again = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    again.encode([b"River, river. RIVER; (river) river"])
+    assert set(again.known) == {"river", ",", ".", ";", "(", ")"}

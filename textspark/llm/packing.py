@@ -18,11 +18,10 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textspark.llm.common import ROWS, arrow_map, mixed, query, table, texts, words
+from textspark.llm.common import ROWS, arrow_map, mixed, query, table, texts
 
 LENGTH = 2048
 END = 1
@@ -32,7 +31,10 @@ SLOTS = 4096  # of the hashed vector
 RANGE = 1 << 22  # ids a range is meant to hold, 8 MB; a target, not a cap
 RANGES = 100_000  # from here on ranges grow with the input; they are sorted with spill and stream by
 SAMPLE = 64  # sampled documents for each range
-CACHE = 400_000  # words whose ids a worker keeps, about 80 MB
+CACHE = 400_000  # parts of words whose ids a worker keeps, about 60 MB
+PIECE = 1 << 20  # bytes of texts that are cut into words at once
+BLANK = re.compile(rb"[ \t-\r]")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # by which the usual tokenizer cuts
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,12 +44,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(others)) for b in range(256)}
 
 
+LETTER, DIGIT, OTHER, SPACE, ODD = range(5)
+
+
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(kind, lower case) of each code point of the basic plane; the last entry stands for all above.
+
+    Odd are those by which a word takes the long way: the apostrophe, marks and all that may compose,
+    what does not print, and letters without one lower-case letter of their own.
+    """
+    kind, low = np.full(0x10001, ODD, np.uint8), np.zeros(0x10001, np.uint32)
+    for i in range(0x10000):
+        c = chr(i)
+        group, down = unicodedata.category(c)[0], c.lower()
+        if c in " \t\n\v\f\r":
+            kind[i] = SPACE
+        elif c.isprintable() and group != "M" and c not in "'Σ" and len(down) == 1 and not 0x1100 <= i < 0x1200 and unicodedata.is_normalized("NFC", c):
+            kind[i], low[i] = {"L": LETTER, "N": DIGIT}.get(group, OTHER), ord(down)
+    return kind, low
+
+
 class Tokens:
-    """Ids of texts under a public tokenizer that never joins across white space: each word is encoded once and kept.
+    """Ids of texts under a public tokenizer that never joins across white space.
 
     Where the tokenizer is the usual kind (composed, lower case, cut by a pattern, byte letters, ends of
-    words marked), new words are prepared here and many go to its model at once; any other word
-    or tokenizer takes the long way.
+    words marked), the words of a batch are lowered and cut here as arrays of code points, and only
+    parts not yet known go to its model. Any other word or tokenizer takes the long way.
     """
 
     def __init__(self, path: str):
@@ -59,57 +81,95 @@ class Tokens:
             raise ValueError("ids must fit 16 bits")
         self.model, self.letters = None, byte_letters()
         parts = json.loads(self.tokenizer.to_str())
-        kinds = lambda part, name: [x["type"] for x in (part or {}).get(name, [])]
+        types = lambda part, name: [x["type"] for x in (part or {}).get(name, [])]
         pattern = parts.get("pre_tokenizer")
-        if kinds(parts.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(pattern, "pretokenizers") == ["Split", "ByteLevel"] and parts["model"].get("end_of_word_suffix"):
-            own = pattern["pretokenizers"][0]["pattern"]["Regex"]
-            self.cut, self.cut_ascii = regex.compile(own), re.compile(own.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        usual = types(parts.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"] and types(pattern, "pretokenizers") == ["Split", "ByteLevel"]
+        if usual and pattern["pretokenizers"][0]["pattern"].get("Regex") == PATTERN and parts["model"].get("end_of_word_suffix"):
+            self.kind, self.low = kinds()
             self.model = Tokenizer(self.tokenizer.model)
             self.ends = np.zeros(1 << 16, bool)
             self.ends[[i for p, i in self.tokenizer.get_vocab().items() if p.endswith(parts["model"]["end_of_word_suffix"])]] = True
-
-    def prepared(self, word: str) -> list[str] | None:
-        """The strings that the model gets for a word; None for one that is not plain."""
-        if word.isascii():
-            if word.isalpha():
-                return [word.lower()]
-            return self.cut_ascii.findall(word.lower()) if word.isprintable() and "<|" not in word else None
-        if max(word) >= "\u0300" and (any(map(unicodedata.combining, word)) or not unicodedata.is_normalized("NFC", word)):
-            return None
-        if not word.isprintable() or "<|" in word:
-            return None
-        low = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()  # a final one has no form of its own there
-        parts = [low] if low.isalpha() else self.cut.findall(low)
-        return [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-
-    def learn(self, new: list[bytes]) -> None:
-        plain: list[tuple[bytes, list[str]]] = []
-        for w in new:
-            t = w.decode("utf-8", "replace")
-            parts = self.prepared(t) if self.model else None
-            if parts:
-                plain.append((w, parts))
+        else:
+            self.kind, self.low = np.full(0x10001, ODD, np.uint8), np.zeros(0x10001, np.uint32)
+            self.kind[list(b" \t\n\v\f\r")] = SPACE
+
+    def learn(self, new: list[str], odd: list[bool]) -> None:
+        plain = []
+        for p, long_way in zip(new, odd, strict=True):
+            if long_way:
+                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint16).tobytes()
             else:
-                self.known[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16).tobytes()
+                plain.append(p)
         for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.model.encode_batch_fast([[p for _, parts in part for p in parts]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
-            raw, ends = ids.tobytes(), (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
-            at = n = 0
-            for w, parts in part:
-                n += len(parts)
-                self.known[w], at = raw[at : ends[n - 1]], ends[n - 1]
+            some = plain[i : i + 1000]
+            own = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in some]
+            ids = np.array(self.model.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), strict=True):
+                self.known[p], at = raw[at:end], end
+
+    def parted(self, whole: str) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """The parts of a text, whether each is an odd word as it is, and where each begins."""
+        data = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        at = np.minimum(data, 0x10000)
+        kind = self.kind[at]
+        before = np.append(np.uint8(SPACE), kind[:-1])
+        space = kind == SPACE
+        begins = ~space & ((kind != before) | (kind == DIGIT))
+        odd = kind == ODD
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))  # a special token may begin there
+        low = self.low[at]
+        if odd.any():
+            word = np.cumsum(~space & (before == SPACE)) - 1
+            odd = (np.bincount(word[odd], minlength=word[-1] + 1) > 0)[word] & ~space
+            low, begins = np.where(odd, data, low), np.where(odd, before == SPACE, begins)
+        low, first = low[~space], np.flatnonzero(begins)
+        ends = np.append(0, np.cumsum(1 + (low > 0x7F).astype(np.int32) + (low > 0x7FF) + (low > 0xFFFF)))
+        offsets = ends[np.append(np.flatnonzero(begins[~space]), len(low))].astype(np.int32)
+        text = low.astype("<u4").tobytes().decode("utf-32-le").encode()
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text)).dictionary_encode(), odd[first], first
+
+    def ids(self, some: list[str]) -> list[np.ndarray]:
+        coded, odd, first = self.parted("\n".join([*some, ""]))
+        parts, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        odd_part = np.zeros(len(parts), bool)
+        odd_part[at[odd]] = True
+        pieces = list(map(self.known.get, parts))
+        new = [i for i, x in enumerate(pieces) if x is None]
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, range(len(parts))
+        self.learn([parts[i] for i in new], odd_part[new].tolist())
+        for i in new:
+            pieces[i] = self.known[parts[i]]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        start, n = (np.cumsum(size) - size)[at], size[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(pieces), np.uint16)[np.arange(ends[-1]) + np.repeat(start - ends[:-1], n)]
+        bounds = ends[np.searchsorted(first, np.cumsum([0, *[len(t) + 1 for t in some]]))].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, bodies: list[bytes]) -> list[np.ndarray]:
-        lists = [words(b) for b in bodies]
-        every = set().union(*lists)
-        new = [w for w in every if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(every)
-        self.learn(new)
-        end, get = np.uint16(END).tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)) + end, np.uint16) for x in lists]
+        out, held, size = [[] for _ in bodies], [], 0
+
+        def flush():
+            for (i, _), x in zip(held, self.ids([t for _, t in held]), strict=True):
+                out[i].append(x)
+            held.clear()
+
+        for i, body in enumerate(bodies):
+            at = 0
+            while at < len(body):  # a long text is cut at white space
+                cut = BLANK.search(body, at + PIECE)
+                end = cut.end() if cut else len(body)
+                held.append((i, body[at:end].decode("utf-8", "replace")))
+                size, at = size + end - at, end
+                if size >= PIECE:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        end = np.array([END], np.uint16)
+        return [np.concatenate([*x, end]) for x in out]
 
 
 TOKENS: dict[str, Tokens] = {}  # one for each path in a worker
