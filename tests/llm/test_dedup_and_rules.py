@@ -294,3 +294,20 @@ def test_model_grows_with_the_texts_in_every_script(spark):
     odd = " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(150))
     docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate([*sound, odd])], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in quality_rules.judged(docs).collect() if not r["kept"]} == {60}
+
+
+def test_quality_rules_shuffle_no_text(spark, odd_docs, capsys):
+    """Texts go to their blocks once, in buckets, and a bounded table of rejected keys is broadcast whatever Spark thinks of its size."""
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality_rules.kept(odd_docs).explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+        quality_rules.measured(odd_docs.select("doc_id", quality_rules.language("lang").alias("lang"), "text")).explain()
+        lines = capsys.readouterr().out.splitlines()
+        body = next(i for i, x in enumerate(lines) if "Bucketed: true" in x and "body#" in x)
+        above = [x for x in lines[:body] if len(x) - len(x.lstrip(" :+-")) < len(lines[body]) - len(lines[body].lstrip(" :+-"))]
+        assert not any("Exchange hashpartitioning" in x for x in above)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
