@@ -268,6 +268,34 @@ def test_candidates_are_not_lost_by_a_cut_sample(spark, bench, monkeypatch):
     test_candidates_are_not_lost(spark, bench, monkeypatch)
 
 
+@pytest.mark.parametrize("together", [1 << 14, 7])
+def test_directions_are_those_of_all_passages(spark, monkeypatch, together):
+    """The subspace of a plain iteration over every passage of every text, whatever is multiplied at once."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", together)
+    rng = random.Random(21)
+    make = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    texts, items = [make(rng.randrange(60, 130)) for _ in range(32)] + [None, "", "w1 w1 w1"], [make(20 * i) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [[], []]
+    for of, bodies in zip(rows, (texts, items), strict=True):
+        for t in bodies:
+            s = decontaminate.slots(decontaminate.word_list((t or "").encode()))
+            of += [np.bincount(s[i : i + decontaminate.PASSAGE], minlength=decontaminate.SLOTS) for i in range(0, len(s), decontaminate.PASSAGE)]
+    counts, n = decontaminate.passage_counts(docs)
+    assert n == len(rows[0]) and counts.tolist() == (np.array(rows[0]) > 0).sum(0).tolist()
+    idf = np.log((n + 1) / (counts + 1)).astype(np.float32)
+    a = np.array(rows[0] + rows[1]) * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert decontaminate.RANK < len(a) < decontaminate.PER_SKIP
+    plain = np.linalg.qr(np.random.default_rng(5).standard_normal((decontaminate.SLOTS, decontaminate.RANK)))[0]
+    for _ in range(decontaminate.STEPS):
+        plain = np.linalg.qr(a.T @ (a @ plain))[0]
+    found = decontaminate.directions(docs, table, idf)
+    assert found.shape == plain.shape
+    assert (np.square(found.T @ plain).sum(0) > 0.999).all()
+
+
 def test_short_items_are_phrases(spark):
     table = spark.createDataFrame([(1, "Red, river"), (2, "stone"), (3, "red river"), (4, "...")], "item_id long, text string")
     texts = ["a red river.", "RED-RIVER", "red wide river", "redriver", "a stone", "stones", "", None, "red red river bank stone red river"]
