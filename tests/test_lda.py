@@ -1,13 +1,14 @@
 """Topic models over tables: planted themes, rising bounds, no dependence on partitions."""
 
 import math
+import pathlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textspark.operators import lda, topics
+from textspark.operators import lda, scale, topics
 
 
 def planted(spark, k, n_docs, seed=1, words=30):
@@ -146,3 +147,66 @@ def test_vectors_keep_the_vocabulary_in_a_table(spark):
     assert [(r["term"], r["termIndex"]) for r in v.vocab_table().orderBy("termIndex").collect()] == [("a", 0), ("b", 1), ("c", 2)]
     half = topics.term_vectors(df, "tokens", min_df=0.5)
     assert {r["term"] for r in half.entries.collect()} == {"a"}
+
+
+def tables_kept(spark):
+    folder = pathlib.Path(scale.shared_folder(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir()} if folder.is_dir() else set()
+
+
+def test_lanes_do_not_matter_and_documents_stay_where_they_are(spark, monkeypatch):
+    df = entries(planted(spark, 3, 60))
+    found = []
+    for lane, least in ((1 << 21, 1), (60, 1), (60, 3)):
+        monkeypatch.setattr(lda, "LANE", lane)
+        blocks = lda.blocks_of(df, "id", size=100, least=least)
+        model = lda.fit(blocks, 3, 2)
+        found.append((model.bounds, [(r["topic"], r["term"], round(r["weight"], 9)) for r in lda.heaviest(model, 5).orderBy("topic", "rank").collect()]))
+        plan = lda._by_block(model, blocks, None, "x long")._jdf.queryExecution().executedPlan().toString()
+        assert blocks.lanes > 1 and plan.count("Exchange hashpartitioning") == 1  # the weights go to the lanes, nothing else moves
+        assert {r["n"] for r in blocks.packed.groupBy("block").agg(F.count("*").alias("n")).collect()} == {1}
+    for bounds, rows in found[1:]:
+        assert bounds == pytest.approx(found[0][0], rel=1e-9) and rows == found[0][1]
+
+
+def test_batches_need_not_be_those_of_the_lanes(spark):
+    df = entries(planted(spark, 2, 40))
+    rows = []
+    for least in (2, 3):  # blocks of 6 numbers both times; lanes have one number modulo 3, which says nothing of those modulo 2
+        blocks = lda.blocks_of(df, "id", size=math.ceil(df.count() / 6), least=least)
+        assert blocks.count == 6
+        model = lda.fit(blocks, 2, 4, batches=2)
+        rows.append({r["term"]: r["v"] for r in model.weights.collect()})
+    assert rows[0].keys() == rows[1].keys() and all(rows[0][t] == pytest.approx(v) for t, v in rows[1].items())
+
+
+def test_a_fit_keeps_the_last_weights_only(spark):
+    blocks = lda.blocks_of(entries(planted(spark, 2, 20)), "id")
+    before = tables_kept(spark)
+    model = lda.fit(blocks, 2, 3)
+    assert len(tables_kept(spark) - before) == 1 and before <= tables_kept(spark)
+    assert model.weights.count() == 24
+
+
+def test_repeated_and_null_weights_add_up(spark):
+    rows = [(1, "a", 1.0), (1, "a", 2.0), (1, "b", None), (1, "b", 4.0), (None, "a", 1.0), (None, "a", 1.0), (2, None, 1.0), (3, "c", 0.5)]
+    blocks = lda.blocks_of(spark.createDataFrame(rows, "id long, term string, weight double"), "id", size=2)
+    found = {}
+    terms = {(r["block"], r["pos"]): r["term"] for r in blocks.terms.collect()}
+    for r in blocks.packed.collect():
+        doc, term, weight = np.frombuffer(r["doc"], np.int32), np.frombuffer(r["term"], np.int32), np.frombuffer(r["weight"], np.float64)
+        assert sum(r["documents"]) == len(r["keys"])
+        found |= {(r["keys"][d], terms[r["block"], t]): w for d, t, w in zip(doc, term, weight, strict=True)}
+    assert found == {(1, "a"): 3.0, (1, "b"): 4.0, (None, "a"): 2.0, (3, "c"): 0.5} and blocks.documents == 3
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_a_large_dictionary_is_joined_by_the_key_alone(spark, monkeypatch, kind):
+    fact = spark.createDataFrame([(i, str(i % 7) if i % 11 else None) for i in range(200)], "id long, term string").withColumn("term", F.col("term").cast(kind))
+    dim = spark.createDataFrame([(str(i), 200 // 7, float(i)) for i in range(6)], "term string, n long, x double")
+    want = fact.join(dim.withColumn("term", F.col("term").cast(kind)), "term", "left").select("id", "term", "n", "x")
+    monkeypatch.setattr(scale, "fits", lambda *_: False)
+    for hot in (1, 1000):
+        got = scale.counted_lookup(fact, dim, ["term"], "n", F.col("id"), hot)
+        assert got.columns == ["id", "term", "n", "x"] and got.schema["term"].dataType == fact.schema["term"].dataType
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
