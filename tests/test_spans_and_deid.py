@@ -1,3 +1,5 @@
+import random
+import time
 import hashlib
 import re
 
@@ -287,3 +289,43 @@ def test_phrases_of_many_words(spark):
     phrases = spark.createDataFrame([("bank of new york mellon", "ORG"), ("downtown", "PLACE")], "phrase string, label string")
     found = pii.gazetteer_spans(docs, "id", "t", phrases).collect()
     assert sorted((r.text, r.label) for r in found) == [("bank of new york mellon", "ORG"), ("downtown", "PLACE")]
+
+
+def test_chunks_of_tags_are_those_of_a_walk(spark):
+    """Random tags, null ones, null tokens and arrays of unequal length against one step a token."""
+    rng = random.Random(8)
+    rows = [(0, None, ["O"]), (1, [], []), (2, [(0, 1, "a", 0.5)], None)]
+    for d in range(3, 120):
+        n = rng.randrange(1, 14)
+        toks = [None if rng.random() < 0.05 else (2 * i, 2 * i + 1, rng.choice(["x", "y", None]), rng.choice([0.25, 0.5, None])) for i in range(n)]
+        rows.append((d, toks, [rng.choice(["O", "B-A", "I-A", "I-A", "I-B", "B-B", "B", None]) for _ in range(max(0, n + rng.randrange(-1, 2)))]))
+    df = spark.createDataFrame(rows, "id long, toks array<struct<start int, end int, text string, confidence double>>, tags array<string>")
+    label = lambda t: t if t is None or t[:2] not in ("B-", "I-") else t[2:]
+    for r in df.select("id", "toks", "tags", pii.iob_to_spans(F.col("toks"), F.col("tags")).alias("found")).collect():
+        if r["toks"] is None or r["tags"] is None:
+            assert r["found"] is None
+            continue
+        want, going = [], False
+        for i in range(max(len(r["toks"]), len(r["tags"]))):
+            t, tag = (x[i] if i < len(x) else None for x in (r["toks"], r["tags"]))
+            start, end, text, score = t or (None,) * 4
+            if tag == "O":
+                going = False
+            elif tag and tag[:2] == "I-" and going and want[-1][3] == label(tag):
+                last = want.pop()
+                least = [x for x in (last[4], score) if x is not None]
+                want.append((last[0], end, " ".join(x for x in (last[2], text) if x is not None), last[3], min(least, default=None)))
+            else:
+                want.append((start, end, text, label(tag), score))
+                going = True
+        assert [tuple(x) for x in r["found"]] == want, r
+
+
+def test_chunks_take_time_in_proportion(spark):
+    """One text of 60,000 chunks; as many copies of a growing array took minutes."""
+    n = 60_000
+    toks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.lit("w").alias("text"), F.lit(1.0).alias("confidence")))
+    df = spark.range(1).select(toks.alias("toks"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda _: F.lit("B-A")).alias("tags"))
+    begun = time.monotonic()
+    assert df.select(F.size(pii.iob_to_spans(F.col("toks"), F.col("tags"))).alias("n")).first()["n"] == n
+    assert time.monotonic() - begun < 20

@@ -241,33 +241,26 @@ def overwrite_tags(tokens: Column, tags: Column, listed: Sequence[str], tag: str
 def iob_to_spans(tokens: Column, tags: Column) -> Column:
     """B-/I- tags over token spans to entity spans; a chunk ends where its label does."""
 
-    def step(acc, pair):
-        tag, tok = pair["tag"], pair["tok"]
-        label = F.regexp_replace(tag, "^[BI]-", "")
-        fresh = S.span(tok["start"], tok["end"], tok["text"], label, tok["confidence"])
-        last = F.element_at(acc["spans"], -1)
-        grown = S.span(
-            last["start"], tok["end"], F.concat_ws(" ", last["text"], tok["text"]), label, F.least(last["confidence"], tok["confidence"])
-        )
-        goes_on = tag.startswith("I-") & acc["open"] & (F.size(acc["spans"]) > 1) & (last["label"] == label)
-        return (
-            F.when(tag == "O", F.struct(acc["spans"].alias("spans"), F.lit(False).alias("open")))
-            .when(
-                goes_on,
-                F.struct(
-                    F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(grown)).alias("spans"),
-                    F.lit(True).alias("open"),
-                ),
-            )
-            .otherwise(F.struct(F.concat(acc["spans"], F.array(fresh)).alias("spans"), F.lit(True).alias("open")))
-        )
-
-    pairs = F.zip_with(tokens, tags, lambda t, g: F.struct(t.alias("tok"), g.alias("tag")))
-    # a leading dummy keeps element_at(-1) defined
-    dummy = S.span(F.lit(-1), F.lit(-1), F.lit(""), F.lit(""), F.lit(0.0))
-    start = F.struct(F.array(dummy).cast(S.SPANS_DDL).alias("spans"), F.lit(False).alias("open"))
-    done = F.aggregate(pairs, start, step)["spans"]
-    return let(done, lambda d: F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0))))
+    label = lambda tag: F.regexp_replace(tag, "^[BI]-", "")
+
+    def chunks(pairs):
+        size = F.size(pairs)
+        tag = lambda i: F.get(pairs, i)["tag"]
+        goes_on = lambda p, i: p["tag"].startswith("I-") & (i > 0) & F.coalesce(tag(i - 1) != "O", F.lit(True)) & (label(tag(i - 1)) == label(p["tag"]))
+        at = F.transform(pairs, lambda p, i: F.when(F.coalesce(goes_on(p, i), F.lit(False)), -1).otherwise(i))
+        begins = F.filter(at, lambda i: i >= 0)  # of chunks and of tokens outside
+        return let(begins, lambda begin: F.filter(F.transform(begin, lambda i, k: chunk(pairs, i, F.coalesce(F.get(begin, k + 1), size))), lambda c: c.isNotNull()))
+
+    def chunk(pairs, i, to):
+        first, last = F.get(pairs, i), F.get(pairs, to - 1)["tok"]
+        parts = F.slice(pairs, i + 1, to - i)["tok"]
+        two = F.array_join(F.slice(parts["text"], 1, 2), " ")  # no text where both are null, which is one for those that follow
+        text = F.when(to - i == 1, first["tok"]["text"]).otherwise(F.array_join(F.concat(F.array(two), F.slice(parts["text"], 3, to - i)), " "))
+        found = S.span(first["tok"]["start"], last["end"], text, label(first["tag"]), F.array_min(parts["confidence"]))
+        return F.when(F.coalesce(first["tag"] != "O", F.lit(True)), found)
+
+    # each chunk is made once, when its tokens are known
+    return let(F.zip_with(tokens, tags, lambda t, g: F.struct(t.alias("tok"), g.alias("tag"))), chunks)
 
 
 def validate_types(requested: Sequence[str], known: Sequence[str] = tuple(V.REPLACEMENT_TEXT)) -> list[str]:
